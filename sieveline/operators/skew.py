@@ -1,0 +1,44 @@
+"""Joins that hold when one key owns a large share of the rows."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A key with at least this share of the rows is hot; at most 1/share keys can be, which bounds the hot-key table.
+HOT_SHARE = 0.005
+SALTS = 32
+
+
+def hot_keys(df: DataFrame, on: Sequence[str], share: float = HOT_SHARE, floor: int = 100_000) -> DataFrame:
+    """Keys holding at least ``share`` of all rows and more than ``floor`` rows: never more than ``1/share`` of them."""
+    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
+    total = counts.agg(F.sum("__n")).scalar()
+    return counts.where((F.col("__n") > floor) & (F.col("__n") >= total * share)).drop("__n")
+
+
+def skewed_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", *, salts: int = SALTS,
+                floor: int = 100_000) -> DataFrame:
+    """Inner or left join of a side with possibly hot keys (``right``) to one with few rows per key (``left``).
+
+    Right rows of a hot key are spread over ``salts`` buckets by a hash of the row; the left rows of those keys, and
+    only those, are repeated once per bucket. Every other key keeps a single bucket. A left join adds the rows without a
+    partner by an anti join on the distinct right keys.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError(how)
+    # At most 1/HOT_SHARE rows by construction, so it may be broadcast at any table size.
+    hot = F.broadcast(hot_keys(right, on, floor=floor).withColumn("__hot", F.lit(True)))
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in right.columns]), F.lit(salts)).cast("int")
+    salted = right.join(hot, list(on), "left").withColumn(
+        "__salt", F.when(F.col("__hot"), spread).otherwise(0)).drop("__hot")
+    repeated = left.join(hot, list(on), "left").withColumn(
+        "__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    ).drop("__hot")
+    matched = repeated.join(salted, [*on, "__salt"], "inner").drop("__salt")
+    if how == "inner":
+        return matched
+    alone = left.join(right.select(*on).distinct(), list(on), "left_anti")
+    return matched.unionByName(alone, allowMissingColumns=True)
