@@ -170,9 +170,5 @@ def latency_stats(df: DataFrame, column: str, *by: str) -> DataFrame:
 
 
 def order_filters(filters: DataFrame) -> DataFrame:
-    """Filters numbered by priority (then id). The filter list is a fixed, hand-written dimension."""
-    from pyspark.sql import Window as W
-
-    return filters.withColumn("ord", F.row_number().over(W.orderBy("priority", "id")) - 1)
-
-
+    """Filters in chain order: by priority, then id."""
+    return filters.withColumn("ord", F.struct("priority", "id")).orderBy("ord")

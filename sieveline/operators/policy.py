@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sieveline.functions import catalog as C
@@ -14,8 +13,13 @@ from sieveline.operators.rules import rule_batches
 
 
 def order_rules(rules: DataFrame) -> DataFrame:
-    """Rules numbered by action, descending as text: masking, block, accept. A policy table is a small dimension."""
-    return rules.withColumn("ord", F.row_number().over(W.orderBy(F.desc("action"), "id")) - 1)
+    """Rules ranked by action, descending as text (masking, block, accept); within an action the id decides.
+
+    The rank of the action, not a row number, is stored: there are only a handful of actions, while numbering rows would
+    pull the table through one task.
+    """
+    actions = rules.agg(F.reverse(F.array_sort(F.collect_set("action")))).scalar()
+    return rules.withColumn("ord", F.array_position(actions, F.col("action")).cast("int") - 1)
 
 
 def join_bindings_rules(bindings: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1 +1,6 @@
+"""Registered queries and their SQL twins."""
 
+from sieveline.plans import detection  # noqa: F401
+from sieveline.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
