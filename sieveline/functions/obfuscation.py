@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sieveline.functions import catalog as C
 from sieveline.functions import spans as S
 from sieveline.functions import text as X
+from sieveline.functions.expr import let
 from sieveline.functions.regex import java_pattern
 
 _NUMBER_GATE = java_pattern(r"[\d공영일이삼사오육륙칠팔구]")
@@ -26,6 +27,10 @@ def mask_email(text: Column, token: str = C.MASK_TOKEN) -> Column:
 
 def number_blocks(text: Column) -> Column:
     """Number-like runs as ``array<struct<start,end,kind,digits>>``; kind is account, phone or none."""
+    return let(text, _number_blocks)
+
+
+def _number_blocks(text: Column) -> Column:
     found = S.find_spans(text, C.NUMBER_BLOCK, "number", gate=text.rlike(_NUMBER_GATE))
 
     def classify(s: Column) -> Column:

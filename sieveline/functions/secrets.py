@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sieveline.functions import catalog as C
 from sieveline.functions import spans as S
 from sieveline.functions import text as X
+from sieveline.functions.expr import let
 from sieveline.functions.regex import group_pattern
 
 ENTROPY_LABEL = "high_entropy"
@@ -55,6 +56,11 @@ def findings(text: Column, spans: Column) -> Column:
 
 
 def finding_counts(spans: Column) -> Column:
+    """``struct<known,entropy,pem,jwt,total_spans>``."""
+    return let(spans, _finding_counts)
+
+
+def _finding_counts(spans: Column) -> Column:
     def n(test) -> Column:
         return F.size(F.filter(spans, test))
 

@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sieveline.functions.expr import let, prefixes
 from sieveline.functions.regex import GroupPattern, group_pattern, java_pattern
 
 SPAN = "struct<start:int,end:int,ord:int,type:string,rule:string,value:string>"
@@ -26,26 +27,20 @@ def _positions(text: Column, java: str, lead: Column | None, value: Column | Non
     """Matches and the pieces between them interleave exactly, which gives offsets without leaving the JVM."""
     found = F.regexp_extract_all(text, F.lit(java), F.lit(0))
     # One more piece than matches: the last pair has no hit and goes.
-    pair = F.filter(F.zip_with(F.split(text, java, -1), found, lambda b, m: F.struct(
-        F.length(b).alias("gap"), m.alias("hit"))), lambda o: o["hit"].isNotNull())
+    pairs = F.filter(F.zip_with(F.split(text, java, -1), found, lambda b, m: F.struct(
+        F.length(b).alias("gap"), F.length(m).alias("n"), m.alias("val"), F.lit(0).alias("skip"))), lambda o: o["n"].isNotNull())
     if lead is not None:
         inner = F.zip_with(lead, value, lambda p, v: F.struct(F.length(p).alias("skip"), v.alias("val")))
-        pair = F.zip_with(pair, inner, lambda o, i: F.struct(
-            o["gap"].alias("gap"), o["hit"].alias("hit"), i["skip"].alias("skip"), i["val"].alias("val")))
-    else:
-        pair = F.transform(pair, lambda o: F.struct(
-            o["gap"].alias("gap"), o["hit"].alias("hit"), F.lit(0).alias("skip"), o["hit"].alias("val")))
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+        pairs = F.zip_with(pairs, inner, lambda o, i: F.struct(
+            o["gap"].alias("gap"), o["n"].alias("n"), i["val"].alias("val"), i["skip"].alias("skip")))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["pos"] + x["gap"] + x["skip"]
-        return F.struct(
-            (acc["pos"] + x["gap"] + F.length(x["hit"])).alias("pos"),
-            F.concat(acc["out"], F.array(F.struct(
-                at.alias("start"), (at + F.length(x["val"])).alias("end"), x["val"].alias("value")))).alias("out"),
-        )
+    def place(ps: Column) -> Column:
+        before = prefixes(ps, F.lit(0), lambda x: x["gap"] + x["n"], lambda a, n: a + n)
+        return F.zip_with(ps, before, lambda x, at: F.struct(
+            (at + x["gap"] + x["skip"]).alias("start"), (at + x["gap"] + x["skip"] + F.length(x["val"])).alias("end"),
+            x["val"].alias("value")))
 
-    return F.aggregate(pair, start, step, lambda acc: acc["out"])
+    return let(pairs, place)
 
 
 def find_spans(text: Column, pattern: str, type_: str, *, rule: str | None = None, ord_: int = 0,
@@ -74,21 +69,19 @@ def find_spans(text: Column, pattern: str, type_: str, *, rule: str | None = Non
 
 def islands(spans: Column, touching: bool = False) -> Column:
     """Split spans into connected runs, so that quadratic overlap tests stay inside one run."""
-    ordered = F.array_sort(spans)
-    empty = F.slice(spans, 1, 0)
-    start = F.struct(F.array(empty).alias("done"), empty.alias("run"), F.lit(-1).alias("reach"))
+    return let(F.array_sort(spans), lambda ordered: _islands(ordered, touching))
 
-    def step(acc: Column, s: Column) -> Column:
-        linked = (s["start"] <= acc["reach"]) if touching else (s["start"] < acc["reach"])
-        return F.struct(
-            F.when(linked | (F.size(acc["run"]) == 0), acc["done"])
-            .otherwise(F.concat(acc["done"], F.array(acc["run"]))).alias("done"),
-            F.when(linked, F.concat(acc["run"], F.array(s))).otherwise(F.array(s)).alias("run"),
-            F.greatest(acc["reach"], s["end"]).alias("reach"),
-        )
 
-    runs = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["done"], F.array(acc["run"])))
-    return F.filter(runs, lambda r: F.size(r) > 0)
+def _islands(ordered: Column, touching: bool) -> Column:
+    reach = prefixes(ordered, F.lit(-1), lambda s: s["end"], lambda a, b: F.greatest(a, b))
+
+    def opens(s: Column, before: Column) -> Column:
+        return (s["start"] > before) if touching else (s["start"] >= before)
+
+    flags = F.zip_with(ordered, reach, opens)
+    heads = F.filter(F.transform(flags, lambda f, i: F.when(f, i + 1)), lambda i: i.isNotNull())
+    return let(heads, lambda hs: F.transform(hs, lambda at, k: F.slice(
+        ordered, at, F.coalesce(F.try_element_at(hs, k + 2), F.size(ordered) + 1) - at)))
 
 
 def _greedy(spans: Column, keys: Callable[[Column], Sequence[Column]]) -> Column:
@@ -104,8 +97,11 @@ def _greedy(spans: Column, keys: Callable[[Column], Sequence[Column]]) -> Column
                 F.exists(kept, lambda k: (k["start"] < r["span"]["end"]) & (r["span"]["start"] < k["end"])), kept
             ).otherwise(F.concat(kept, F.array(r["span"]))))
 
-    single = F.transform(islands(spans), lambda run: F.when(F.size(run) == 1, run).otherwise(take(run)))
-    return F.when(F.size(spans) <= 1, spans).otherwise(F.array_sort(F.flatten(single)))
+    def resolved(all_: Column) -> Column:
+        kept = F.transform(islands(all_), lambda run: F.when(F.size(run) == 1, run).otherwise(take(run)))
+        return F.when(F.size(all_) <= 1, all_).otherwise(F.array_sort(F.flatten(kept)))
+
+    return let(spans, resolved)
 
 
 def resolve_longest(spans: Column) -> Column:
@@ -134,25 +130,28 @@ def build_replacements(spans: Column) -> Column:
 
 def values_by_type(spans: Column) -> Column:
     """Distinct values per type, both in order of first appearance."""
-    types = F.array_distinct(F.transform(spans, lambda s: s["type"]))
-    return F.map_from_arrays(types, F.transform(types, lambda t: F.array_distinct(
-        F.transform(F.filter(spans, lambda s: s["type"] == t), lambda s: s["value"]))))
+
+    def grouped(all_: Column) -> Column:
+        types = F.array_distinct(F.transform(all_, lambda s: s["type"]))
+        return let(types, lambda ts: F.map_from_arrays(ts, F.transform(ts, lambda t: F.array_distinct(
+            F.transform(F.filter(all_, lambda s: s["type"] == t), lambda s: s["value"])))))
+
+    return let(spans, grouped)
 
 
 def apply_replacements(text: Column, replacements: Column) -> Column:
     """Rewrite a text by disjoint replacements (any order)."""
-    ordered = F.array_sort(replacements)
-    untouched = replacements.isNull() | (F.size(replacements) == 0)
-
-    def piece(r: Column, i: Column) -> Column:
-        before = F.when(i == 0, F.lit(0)).otherwise(F.try_element_at(ordered, i)["end"])
-        return F.concat(F.substring(text, before + 1, r["start"] - before), r["replacement"])
-
-    tail_from = F.try_element_at(ordered, F.lit(-1))["end"]
-    rebuilt = F.concat(
-        F.array_join(F.transform(ordered, piece), ""),
-        F.substring(text, tail_from + 1, F.greatest(F.length(text) - tail_from, F.lit(0))))
-    return F.when(untouched, text).otherwise(rebuilt)
+
+    def rebuilt(t: Column, ordered: Column) -> Column:
+        def piece(r: Column, i: Column) -> Column:
+            before = F.when(i == 0, F.lit(0)).otherwise(F.try_element_at(ordered, i)["end"])
+            return F.concat(F.substring(t, before + 1, r["start"] - before), r["replacement"])
+
+        tail_from = F.try_element_at(ordered, F.lit(-1))["end"]
+        return F.concat(F.array_join(F.transform(ordered, piece), ""), F.substring(t, tail_from + 1, F.length(t)))
+
+    return let(text, lambda t: let(F.array_sort(replacements), lambda ordered: F.when(
+        F.coalesce(F.size(ordered), F.lit(0)) > 0, rebuilt(t, ordered)).otherwise(t)))
 
 
 def mask_merged(text: Column, spans: Column, token: str = "[MASKING]") -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sieveline.functions import catalog as C
+from sieveline.functions.expr import let
 from sieveline.functions.regex import java_pattern
 
 
@@ -80,14 +81,15 @@ def iso_utc(ts: Column) -> Column:
 
 def shannon_entropy(s: Column) -> Column:
     """Bits per character."""
-    n = F.length(s)
-    chars = F.array_distinct(F.split(s, ""))
 
-    def weight(acc: Column, ch: Column) -> Column:
-        p = (n - F.length(F.replace(s, ch, F.lit("")))) / n
-        return acc - F.when(p > 0, p * F.log2(p)).otherwise(F.lit(0.0))
+    def bits(v: Column) -> Column:
+        def weight(acc: Column, ch: Column) -> Column:
+            share = (F.length(v) - F.length(F.replace(v, ch, F.lit("")))) / F.length(v)
+            return acc - let(share, lambda p: F.when(p > 0, p * F.log2(p)).otherwise(F.lit(0.0)))
+
+        return F.when(F.length(v) > 0, F.aggregate(F.array_distinct(F.split(v, "")), F.lit(0.0), weight)).otherwise(F.lit(0.0))
 
-    return F.when(n > 0, F.aggregate(chars, F.lit(0.0), weight)).otherwise(F.lit(0.0))
+    return let(s, bits)
 
 
 def token_shape(s: Column, hex_first: bool = False) -> Column:
@@ -98,10 +100,13 @@ def token_shape(s: Column, hex_first: bool = False) -> Column:
 
 
 def is_high_entropy(s: Column, hex_first: bool = False) -> Column:
-    shape, n, bits = token_shape(s, hex_first), F.length(s), shannon_entropy(s)
-    min_n = F.create_map(*[F.lit(x) for k, (length, _) in C.ENTROPY_LIMITS.items() for x in (k, length)])
-    min_bits = F.create_map(*[F.lit(x) for k, (_, h) in C.ENTROPY_LIMITS.items() for x in (k, h)])
-    return (n >= F.element_at(min_n, shape)) & (bits >= F.element_at(min_bits, shape))
+    def limit(which: int) -> Column:
+        base64, hexa, mixed = (F.lit(C.ENTROPY_LIMITS[k][which]) for k in ("base64", "hex", "mixed"))
+        shape = token_shape(s, hex_first)
+        return F.when(shape == "base64", base64).when(shape == "hex", hexa).otherwise(mixed)
+
+    # Length first: short candidates are the common case and never pay for the entropy.
+    return (F.length(s) >= limit(0)) & (shannon_entropy(s) >= limit(1))
 
 
 def luhn_valid(s: Column) -> Column:

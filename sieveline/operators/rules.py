@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sieveline.functions import spans as S
+from sieveline.functions.expr import let
 from sieveline.functions.regex import engine_problem, java_pattern, rule_problem
 from sieveline.functions.text import decode_rule
 
@@ -185,8 +186,12 @@ def detect_plan(text: Column, rules: Sequence[Rule]) -> Column:
     return plan_of(rule_spans(text, rules))
 
 
-def plan_of(raw: Column) -> Column:
-    final = S.resolve_longest(raw)
+def plan_of(spans: Column) -> Column:
+    """Detection plan of raw spans."""
+    return let(spans, lambda raw: let(S.resolve_longest(raw), lambda final: _plan(raw, final)))
+
+
+def _plan(raw: Column, final: Column) -> Column:
     hit = F.size(raw) > 0
     return F.struct(
         F.when(hit, "FLAG").otherwise("ALLOW").alias("decision"), F.when(hit, 1.0).otherwise(0.0).alias("score"),
