@@ -77,12 +77,14 @@ def skip_after_upstream_block(stages: Column) -> Column:
 
 
 def run_filter_chain_table(verdicts: DataFrame, key: str = "message_id") -> DataFrame:
-    """Chain over stored verdicts. Only keys with a block are looked up; a key with very many verdicts is spread."""
+    """Chain over stored verdicts, one row each.
+
+    ``stops`` has one row per blocked key, so a key with very many verdicts is large on the left side only, and the
+    adaptive skew join splits it there.
+    """
     stops = verdicts.where(_blocks(F.struct("action", "action_code"))).groupBy(key).agg(F.min("ord").alias("__stop"))
-    joined = skewed_join(stops, verdicts.select(key, *[c for c in verdicts.columns if c != key]), [key], "inner")
-    reached = joined.where(F.col("ord") <= F.col("__stop")).drop("__stop")
-    free = verdicts.join(stops.select(key), [key], "left_anti")
-    return reached.unionByName(free)
+    joined = verdicts.join(stops, key, "left")
+    return joined.where(F.col("__stop").isNull() | (F.col("ord") <= F.col("__stop"))).drop("__stop")
 
 
 def final_decision_table(verdicts: DataFrame, key: str = "message_id") -> DataFrame:

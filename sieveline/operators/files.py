@@ -33,7 +33,9 @@ def sniff_mime(content: Column) -> Column:
     for signature, mime in SIGNATURES:
         test = test.when(head.startswith(signature), mime)
     sample = F.substring(content, F.lit(1), F.lit(1024))
-    is_text = ~F.contains(F.hex(sample), F.lit("0000")) & F.is_valid_utf8(F.substring(content, F.lit(1), F.lit(64)).cast("string"))
+    # The cut may split a character, so up to three bytes less are tried.
+    valid = [F.is_valid_utf8(F.substring(content, F.lit(1), F.lit(64 - back)).cast("string")) for back in range(4)]
+    is_text = ~F.contains(F.hex(sample), F.lit("0000")) & (valid[0] | valid[1] | valid[2] | valid[3])
     return test.when(is_text, "text/plain").otherwise("application/octet-stream")
 
 
