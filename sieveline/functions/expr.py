@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,3 +42,17 @@ def prefixes(items: Column, zero: Column, value: Callable[[Column], Column],
             F.transform(blocks, fold), lambda totals: F.flatten(per_block(blocks, totals))))
 
     return let(items, blocked)
+
+
+def unnest(df: DataFrame, keys: Sequence[str | Column], rows: Column, marker: str) -> DataFrame:
+    """``keys`` with the elements of an array of structs, one per row; ``marker`` is a field that is never null.
+
+    A plain ``inline`` makes the optimizer add a non-empty test on the array, and pushing that test down computes the
+    array twice. The outer form has no such test; its padding row is dropped afterwards.
+    """
+    return df.select(*keys, F.inline_outer(rows)).where(F.col(marker).isNotNull())
+
+
+def unnest_map(df: DataFrame, keys: Sequence[str | Column], entries: Column, key: str, value: str) -> DataFrame:
+    """``keys`` with the entries of a map, one per row; see ``unnest``."""
+    return df.select(*keys, F.explode_outer(entries).alias(key, value)).where(F.col(key).isNotNull())

@@ -88,9 +88,8 @@ def redaction_spans(text: Column, enabled: Sequence[str] = C.PII_ENABLED) -> Col
     if "credit_card_candidate" in on:
         on.add("credit_card")
     gates = {p.pattern: _gate(text, p) for p in C.PII_DETECTION}
-    parts = [S.find_spans(text, pattern, t, rule=C.PII_TOKENS[t], ord_=i, gate=gates.get(pattern))
-             for i, (t, pattern) in enumerate(C.PII_REDACTION) if t in on]
-    return F.concat(*parts) if parts else S.no_spans()
+    return S.spans_of(text, [S.SpanRule(pattern, t, rule=C.PII_TOKENS[t], ord=i, gate=gates.get(pattern))
+                             for i, (t, pattern) in enumerate(C.PII_REDACTION) if t in on])
 
 
 def redact_priority(text: Column, enabled: Sequence[str] = C.PII_ENABLED) -> Column:

@@ -14,11 +14,14 @@ from sieveline.functions.regex import group_pattern
 ENTROPY_LABEL = "high_entropy"
 PEM_LABEL, JWT_LABEL = "pem_key_block", "jwt"
 
-# Literal each pattern cannot do without; checked before the pattern.
-_LITERALS = {
-    "google_api_key": "AIza", "slack_token": "xox", "stripe_key": "sk_", "twilio_api": "SK", "sendgrid_api": "SG.",
-    "openai_like": "sk-", "github_token": "_", "discord_like": "DISCORD",
-}
+# Necessary conditions, checked before the patterns. Tokens and high-entropy strings are long unbroken runs, which
+# ordinary prose does not have; the run is looked for once for all of them.
+_RUN = r"(?<![A-Za-z0-9+/=._\-])[A-Za-z0-9+/=._\-]{%d}"
+_KEY_WORD = r"(?i)key|token|password|secret"
+_LITERALS = {"slack_token": "xox", "discord_like": "DISCORD"}
+_BY_KEY_WORD = ("kv_quoted", "kv_bare")
+_NO_RUN = ("discord_token", "discord_bot_token", "basic_auth_creds", "cloudant_creds", "slack_webhook_path", "PEM 패턴", "slack_token")
+_BY_URL = ("basic_auth_creds", "cloudant_creds", "slack_webhook_path")
 
 
 def high_entropy_spans(text: Column, *, hex_first: bool = False, ord_: int = 0) -> Column:
@@ -28,16 +31,24 @@ def high_entropy_spans(text: Column, *, hex_first: bool = False, ord_: int = 0)
 
 def secret_spans(text: Column, *, hex_first: bool = False) -> Column:
     """Spans of key blocks, JWTs, known tokens and high-entropy strings, in that order; they may overlap."""
-    parts = [
-        S.find_spans(text, C.PEM_BLOCK, PEM_LABEL, ord_=0, gate=F.contains(text, F.lit("-----BEGIN "))),
-        S.find_spans(text, C.JWT, JWT_LABEL, ord_=1),
-    ]
-    for i, (name, pattern) in enumerate(C.KNOWN_TOKENS):
-        literal = _LITERALS.get(name)
-        gate = None if literal is None else F.contains(text, F.lit(literal))
-        parts.append(S.find_spans(text, pattern, name, ord_=2 + i, group="VAL", gate=gate))
-    parts.append(high_entropy_spans(text, hex_first=hex_first, ord_=2 + len(C.KNOWN_TOKENS)))
-    return F.concat(*parts)
+
+    def gated(run: Column, key_word: Column) -> Column:
+        last = 2 + len(C.KNOWN_TOKENS)
+        rules = [S.SpanRule(C.PEM_BLOCK, PEM_LABEL, ord=0, gate=F.contains(text, F.lit("-----BEGIN "))),
+                 S.SpanRule(C.JWT, JWT_LABEL, ord=1, gate=run)]
+        for i, (name, pattern) in enumerate(C.KNOWN_TOKENS):
+            if name in _LITERALS:
+                gate = F.contains(text, F.lit(_LITERALS[name]))
+            elif name in _BY_KEY_WORD:
+                gate = key_word
+            else:
+                gate = None if name in _NO_RUN else run
+            rules.append(S.SpanRule(pattern, name, ord=2 + i, group="VAL", gate=gate))
+        rules.append(S.SpanRule(C.ENTROPY_CANDIDATE, ENTROPY_LABEL, ord=last, gate=run))
+        return F.filter(S.spans_of(text, rules), lambda s: (s["ord"] < last) | X.is_high_entropy(s["value"], hex_first))
+
+    # 19 is the length of the shortest gated token.
+    return let(text.rlike(_RUN % 19), lambda run: let(text.rlike(_KEY_WORD), lambda key_word: gated(run, key_word)))
 
 
 def findings(text: Column, spans: Column) -> Column:
@@ -73,9 +84,20 @@ def _finding_counts(spans: Column) -> Column:
 
 def cloud_secret_spans(text: Column, rules=C.CLOUD_RULES) -> Column:
     """Spans of the sample cloud and SaaS rules; a named group narrows the span."""
-    parts = []
-    for i, (name, rule, _action, flags, group) in enumerate(rules):
-        if group is not None and group_pattern(rule, group, flags) is None:
-            raise ValueError(f"rule {name!r}: its group needs operators.rules.group_spans_in_python")
-        parts.append(S.find_spans(text, rule, name, ord_=i, flags=flags, group=group))
-    return F.concat(*parts)
+    known = {name for name, *_ in C.CLOUD_RULES}
+
+    def gate_of(name: str, run: Column) -> Column | None:
+        if name in _BY_URL:
+            return F.contains(text, F.lit("://"))
+        return run if name in known and name not in _NO_RUN else None
+
+    def gated(run: Column) -> Column:
+        looked_for = []
+        for i, (name, rule, _action, flags, group) in enumerate(rules):
+            if group is not None and group_pattern(rule, group, flags) is None:
+                raise ValueError(f"rule {name!r}: its group needs operators.rules.group_spans_in_python")
+            looked_for.append(S.SpanRule(rule, name, ord=i, flags=flags, group=group, gate=gate_of(name, run)))
+        return S.spans_of(text, looked_for)
+
+    # 16 is the length of the shortest gated token.
+    return let(text.rlike(_RUN % 16), gated)

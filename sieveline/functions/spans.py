@@ -7,6 +7,7 @@ and the size of every array is bounded by the length of that text. Offsets are 0
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,48 +24,77 @@ def no_spans() -> Column:
     return F.array().cast(SPANS)
 
 
-def _positions(text: Column, java: str, lead: Column | None, value: Column | None) -> Column:
-    """Matches and the pieces between them interleave exactly, which gives offsets without leaving the JVM."""
-    found = F.regexp_extract_all(text, F.lit(java), F.lit(0))
+@dataclass(frozen=True)
+class SpanRule:
+    """One Python-dialect pattern to look for.
+
+    ``group`` narrows the span to a named group. ``gate`` is a cheap necessary condition (a literal the pattern needs),
+    checked before the pattern is.
+    """
+
+    pattern: str
+    type: str
+    rule: str | None = None
+    ord: int = 0
+    flags: int = 0
+    group: str | None = None
+    gate: Column | None = None
+
+
+def _matches(text: Column, r: SpanRule) -> Column:
+    """Matches of one rule and the pieces between them; a text without a hit is read once, one with hits twice."""
+    java = java_pattern(r.pattern, r.flags)
+    lead = value = F.lit(None).cast("array<string>")
+    if r.group is not None:
+        grouped: GroupPattern | None = group_pattern(r.pattern, r.group, r.flags)
+        if grouped is None:
+            raise ValueError(f"group {r.group!r} is nested; use operators.rules.group_spans_in_python")
+        java = grouped.pattern
+        lead = F.regexp_extract_all(text, F.lit(java), F.lit(1))
+        value = F.regexp_extract_all(text, F.lit(java), F.lit(grouped.value_index))
+
+    def with_pieces(found: Column) -> Column:
+        hit = F.size(found) > 0
+        return F.when(hit, F.struct(
+            F.lit(r.ord).alias("ord"), F.lit(r.type).alias("type"), F.lit(r.rule or r.type).alias("rule"), found.alias("found"),
+            F.split(text, java, -1).alias("pieces"), lead.alias("lead"), value.alias("value")))
+
+    matched = let(F.regexp_extract_all(text, F.lit(java), F.lit(0)), with_pieces)
+    return F.when(text.isNotNull() if r.gate is None else r.gate, matched)
+
+
+def _place(m: Column) -> Column:
+    """Spans of one rule: matches and the pieces between them interleave exactly, which gives their offsets."""
     # One more piece than matches: the last pair has no hit and goes.
-    pairs = F.filter(F.zip_with(F.split(text, java, -1), found, lambda b, m: F.struct(
-        F.length(b).alias("gap"), F.length(m).alias("n"), m.alias("val"), F.lit(0).alias("skip"))), lambda o: o["n"].isNotNull())
-    if lead is not None:
-        inner = F.zip_with(lead, value, lambda p, v: F.struct(F.length(p).alias("skip"), v.alias("val")))
-        pairs = F.zip_with(pairs, inner, lambda o, i: F.struct(
-            o["gap"].alias("gap"), o["n"].alias("n"), i["val"].alias("val"), i["skip"].alias("skip")))
-
-    def place(ps: Column) -> Column:
+    pairs = F.filter(F.zip_with(m["pieces"], m["found"], lambda b, v: F.struct(
+        F.length(b).alias("gap"), F.length(v).alias("n"), v.alias("hit"))), lambda o: o["n"].isNotNull())
+
+    def placed(ps: Column) -> Column:
         before = prefixes(ps, F.lit(0), lambda x: x["gap"] + x["n"], lambda a, n: a + n)
-        return F.zip_with(ps, before, lambda x, at: F.struct(
-            (at + x["gap"] + x["skip"]).alias("start"), (at + x["gap"] + x["skip"] + F.length(x["val"])).alias("end"),
-            x["val"].alias("value")))
+        starts = F.zip_with(ps, before, lambda x, at: F.struct((at + x["gap"]).alias("at"), x["hit"].alias("hit")))
+        return F.transform(starts, lambda x, i: span(
+            x["at"] + F.coalesce(F.length(F.get(m["lead"], i)), F.lit(0)), F.coalesce(F.get(m["value"], i), x["hit"])))
+
+    def span(start: Column, value: Column) -> Column:
+        return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), m["ord"].alias("ord"), m["type"].alias("type"),
+                        m["rule"].alias("rule"), value.alias("value"))
+
+    return let(pairs, placed)
 
-    return let(pairs, place)
+
+def spans_of(text: Column, rules: Sequence[SpanRule]) -> Column:
+    """All hits of all rules as ``array<SPAN>``, rule by rule, each in text order."""
+    if not rules:
+        return no_spans()
+    hits = F.array_compact(F.array(*[_matches(text, r) for r in rules]))
+    spans = F.flatten(F.transform(hits, _place))
+    return F.filter(spans, lambda s: s["start"] < s["end"]).cast(SPANS)
 
 
 def find_spans(text: Column, pattern: str, type_: str, *, rule: str | None = None, ord_: int = 0,
                flags: int = 0, group: str | None = None, gate: Column | None = None) -> Column:
-    """All hits of one Python-dialect pattern as ``array<SPAN>``; ``group`` narrows the span to a named group.
-
-    ``gate`` is a cheap necessary condition (a literal the pattern needs) checked before the pattern is.
-    """
-    java = java_pattern(pattern, flags)
-    lead = value = None
-    if group is not None:
-        grouped: GroupPattern | None = group_pattern(pattern, group, flags)
-        if grouped is None:
-            raise ValueError(f"group {group!r} is nested; use operators.rules.group_spans_in_python")
-        java = grouped.pattern
-        lead = F.regexp_extract_all(text, F.lit(java), F.lit(1))
-        value = F.regexp_extract_all(text, F.lit(java), F.lit(grouped.value_index))
-    hit = text.rlike(java) if gate is None else gate & text.rlike(java)
-    spans = F.transform(_positions(text, java, lead, value), lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), F.lit(ord_).alias("ord"), F.lit(type_).alias("type"),
-        F.lit(rule or type_).alias("rule"), s["value"].alias("value")))
-    if group is not None:
-        spans = F.filter(spans, lambda s: s["start"] < s["end"])
-    return F.when(hit, spans).otherwise(no_spans()).cast(SPANS)
+    """All hits of one pattern; see ``SpanRule``."""
+    return spans_of(text, [SpanRule(pattern, type_, rule, ord_, flags, group, gate)])
 
 
 def islands(spans: Column, touching: bool = False) -> Column:
@@ -80,8 +110,9 @@ def _islands(ordered: Column, touching: bool) -> Column:
 
     flags = F.zip_with(ordered, reach, opens)
     heads = F.filter(F.transform(flags, lambda f, i: F.when(f, i + 1)), lambda i: i.isNotNull())
-    return let(heads, lambda hs: F.transform(hs, lambda at, k: F.slice(
-        ordered, at, F.coalesce(F.try_element_at(hs, k + 2), F.size(ordered) + 1) - at)))
+    # Elements are picked one by one: a slice would walk the whole array for every run.
+    return let(heads, lambda hs: F.transform(hs, lambda at, k: F.transform(
+        F.sequence(at, F.coalesce(F.try_element_at(hs, k + 2) - 1, F.size(ordered))), lambda j: F.element_at(ordered, j))))
 
 
 def _greedy(spans: Column, keys: Callable[[Column], Sequence[Column]]) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sieveline.functions import spans as S
-from sieveline.functions.expr import let
+from sieveline.functions.expr import let, unnest
 from sieveline.functions.regex import engine_problem, java_pattern, rule_problem
 from sieveline.functions.text import decode_rule
 
@@ -157,13 +157,13 @@ def first_matching_rule(text: Column, rules: Sequence[Rule]) -> Column:
 
 def rule_spans(text: Column, rules: Sequence[Rule], *, lower_type: bool = True) -> Column:
     """All hits of all rules; ``type`` is the lower-cased rule name."""
-    return F.concat(*[S.find_spans(text, r.rule, r.name.lower() if lower_type else r.name, rule=r.name, ord_=r.ord,
-                                   flags=r.flags, group=r.group) for r in rules])
+    return S.spans_of(text, [S.SpanRule(r.rule, r.name.lower() if lower_type else r.name, rule=r.name, ord=r.ord, flags=r.flags,
+                                        group=r.group) for r in rules])
 
 
 def join_text_rules(df: DataFrame, keys: Sequence[str], text: str, rules: DataFrame | Sequence[Rule]) -> DataFrame:
     """One row per text and rule that occurs in it."""
-    parts = [df.select(*keys, F.inline(matching_rules(F.col(text), batch))) for batch in _batches(rules)]
+    parts = [unnest(df, keys, matching_rules(F.col(text), batch), "ord") for batch in _batches(rules)]
     return _union(parts, lambda: df.select(*keys, F.inline(F.array().cast(f"array<{HEADER}>"))))
 
 
@@ -171,12 +171,13 @@ def detect_rules(df: DataFrame, keys: Sequence[str], text: str, rules: DataFrame
     """One row per hit: keys, rule, ordinal of the hit within text and rule, offsets, value."""
     parts = []
     for batch in _batches(rules):
-        per_rule = F.array(*[S.find_spans(F.col(text), r.rule, r.name.lower(), rule=r.name, ord_=r.ord, flags=r.flags,
-                                          group=r.group) for r in batch])
-        numbered = F.flatten(F.transform(per_rule, lambda spans: F.transform(spans, lambda s, i: F.struct(
-            s["ord"].alias("ord"), s["rule"].alias("rule"), i.alias("ordinal"), s["start"].alias("start"),
-            s["end"].alias("end"), s["value"].alias("value")))))
-        parts.append(df.select(*keys, F.inline(numbered)))
+        # Spans come rule by rule; the position within the rule is the position minus that of the rule's first span.
+        numbered = let(rule_spans(F.col(text), batch), lambda spans: let(
+            F.transform(spans, lambda s: s["ord"]), lambda ords: F.transform(spans, lambda s, i: F.struct(
+                s["ord"].alias("ord"), s["rule"].alias("rule"),
+                (i + 1 - F.array_position(ords, s["ord"]).cast("int")).alias("ordinal"), s["start"].alias("start"),
+                s["end"].alias("end"), s["value"].alias("value")))))
+        parts.append(unnest(df, keys, numbered, "ord"))
     return _union(parts, lambda: df.select(*keys, F.inline(F.array().cast(
         "array<struct<ord:int,rule:string,ordinal:int,start:int,end:int,value:string>>"))))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sieveline.functions import catalog as C
 from sieveline.functions import pii as P
 from sieveline.functions import verdicts as V
+from sieveline.functions.expr import unnest
 from sieveline.functions.text import hash_text
 from sieveline.operators import audit, files, scoring
 from sieveline.operators import decisions as N
@@ -39,11 +40,11 @@ _DECIDED = f"{I.PROBED}, {_V}, {_REACHED}, {_FINAL}"
 
 @query(f"WITH {I.PROBED}, {_V}, {_REACHED} SELECT message_id, ord::INT AS ord, filter_id, action FROM r")
 def run_filter_chain(t: Tables) -> DataFrame:
-    return _verdicts(t).select("message_id", F.inline(N.run_filter_chain(F.col("verdicts")))).select("message_id", "ord", "filter_id", "action")
+    return unnest(_verdicts(t), ["message_id"], N.run_filter_chain(F.col("verdicts")), "ord").select("message_id", "ord", "filter_id", "action")
 
 
 def _long(t: Tables) -> DataFrame:
-    return _verdicts(t).select("message_id", F.inline("verdicts"))
+    return unnest(_verdicts(t), ["message_id"], F.col("verdicts"), "ord")
 
 
 @query(f"WITH {I.PROBED}, {_V}, {_REACHED} SELECT message_id, ord::INT AS ord, filter_id, action FROM r")
@@ -69,7 +70,7 @@ def final_decision_table(t: Tables) -> DataFrame:
   SELECT message_id, ord::INT AS ord, filter_id, coalesce(ord > stop, false) AS skipped, CASE WHEN ord > stop THEN by_ END AS skipped_by FROM v LEFT JOIN f USING (doc_id)""")
 def skip_after_upstream_block(t: Tables) -> DataFrame:
     stages = F.transform("verdicts", lambda v: F.struct(v["ord"].alias("ord"), v["filter_id"].alias("filter_id"), (v["action"] == "block").alias("should_block"), v["action"].alias("action")))
-    return _verdicts(t).select("message_id", F.inline(N.skip_after_upstream_block(stages)))
+    return unnest(_verdicts(t), ["message_id"], N.skip_after_upstream_block(stages), "ord")
 
 
 def _echoes(t: Tables) -> DataFrame:
@@ -234,7 +235,7 @@ _SCAN_JSON = """(CASE doc_id % 4 WHEN 0 THEN '{"spans":[{"start":0,"end":3,"type
 @query("""SELECT doc_id, 0 AS start, 3 AS "end", 'a' AS type, 'v' AS value FROM documents WHERE doc_id % 4 = 0 UNION ALL SELECT doc_id, 1, 4, 'k', 't' FROM documents WHERE doc_id % 4 = 0 AND length(text) >= 4
   UNION ALL SELECT doc_id, 2, 5, 'l', 'm' FROM documents WHERE doc_id % 4 = 2 AND length(text) >= 5""")
 def normalize_scanner_spans(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.inline(V.normalize_scanner_spans(F.expr(_SCAN_JSON), F.col("text"))))
+    return unnest(t.documents, ["doc_id"], V.normalize_scanner_spans(F.expr(_SCAN_JSON), F.col("text")), "start")
 
 
 def _stub_scorer():

@@ -11,6 +11,7 @@ from sieveline.functions import obfuscation as O
 from sieveline.functions import pii as P
 from sieveline.functions import secrets as K
 from sieveline.functions import text as X
+from sieveline.functions.expr import unnest, unnest_map
 from sieveline.plans import inputs as I
 from sieveline.plans.registry import Tables, query
 
@@ -27,13 +28,13 @@ def _hits(t: Tables, **options) -> DataFrame:
 
 @query(f"""WITH {I.HITS} SELECT lang, type, count(*) AS n_docs, sum(len(vals))::BIGINT AS n_values FROM hits GROUP BY lang, type""")
 def pii_by_language(t: Tables) -> DataFrame:
-    long = _hits(t).select("lang", F.explode("hits").alias("type", "vals"))
+    long = unnest_map(_hits(t), ["lang"], F.col("hits"), "type", "vals")
     return long.groupBy("lang", "type").agg(F.count("vals").alias("n_docs"), F.sum(F.size("vals")).alias("n_values"))
 
 
 @query(f"""WITH {I.HITS} SELECT doc_id, type, len(vals)::INT AS n, array_to_string(vals, '|') AS vals FROM hits""")
 def detect_pii(t: Tables) -> DataFrame:
-    return _hits(t).select("doc_id", F.explode("hits").alias("type", "v")).select(
+    return unnest_map(_hits(t), ["doc_id"], F.col("hits"), "type", "v").select(
         "doc_id", "type", F.size("v").alias("n"), F.array_join("v", "|").alias("vals"))
 
 
@@ -48,7 +49,7 @@ def detect_card(t: Tables) -> DataFrame:
 
 @query(f"""WITH {I.HITS} SELECT doc_id, type, len(vals)::INT AS n FROM hits WHERE type IN ('email', 'ip', 'phone')""")
 def filter_enabled_types(t: Tables) -> DataFrame:
-    kept = _hits(t).select("doc_id", F.explode(P.filter_enabled_types(F.col("hits"), ["email", "ip", "phone"])).alias("type", "v"))
+    kept = unnest_map(_hits(t), ["doc_id"], P.filter_enabled_types(F.col("hits"), ["email", "ip", "phone"]), "type", "v")
     return kept.select("doc_id", "type", F.size("v").alias("n"))
 
 
@@ -57,13 +58,13 @@ _TOKEN_CASE = "CASE type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.PII
 
 @query(f"""WITH {I.HITS} SELECT doc_id, type, array_to_string(list_transform(vals, lambda v: {_TOKEN_CASE}), '|') AS masked FROM hits""")
 def mask_hits(t: Tables) -> DataFrame:
-    return _hits(t).select("doc_id", F.explode(P.mask_hits(F.col("hits"))).alias("type", "v")).select(
+    return unnest_map(_hits(t), ["doc_id"], P.mask_hits(F.col("hits")), "type", "v").select(
         "doc_id", "type", F.array_join("v", "|").alias("masked"))
 
 
 @query(f"""WITH {I.HITS} SELECT doc_id, type, len(vals)::INT AS n FROM hits""")
 def annotate_counts(t: Tables) -> DataFrame:
-    return _hits(t).select("doc_id", F.explode(P.annotate_counts(F.col("hits"))).alias("type", "n"))
+    return unnest_map(_hits(t), ["doc_id"], P.annotate_counts(F.col("hits")), "type", "n")
 
 
 _TYPE_ORDER = ("CASE type " + " ".join(f"WHEN '{p}' THEN {i}" for i, p in enumerate(
@@ -84,7 +85,7 @@ def build_ui_notice(t: Tables) -> DataFrame:
 
 @query(f"""WITH {I.HITS} SELECT doc_id, type, i::INT AS rank, vals[i] AS value FROM (SELECT *, unnest(range(1, len(vals) + 1)) AS i FROM hits)""")
 def top_values_per_type(t: Tables) -> DataFrame:
-    return _hits(t).select("doc_id", F.explode("hits").alias("type", "v")).select(
+    return unnest_map(_hits(t), ["doc_id"], F.col("hits"), "type", "v").select(
         "doc_id", "type", F.posexplode("v").alias("pos", "value")).select("doc_id", "type", (F.col("pos") + 1).alias("rank"), "value")
 
 
@@ -135,7 +136,7 @@ def _labelled(name: str, pattern: str) -> str:
   UNION ALL SELECT doc_id, 'pem_key_block', left(v, 30) || '...' FROM (SELECT doc_id, unnest({I.every('text', _PEM_SQL)}) AS v FROM flat)""")
 def union_findings(t: Tables) -> DataFrame:
     found = K.findings(_text(), K.secret_spans(_text()))
-    return t.probed.select("doc_id", F.inline(found)).select("doc_id", "label", "match")
+    return unnest(t.probed, ["doc_id"], found, "label").select("doc_id", "label", "match")
 
 
 @query(f"""WITH {I.FLAT}, f AS ({" UNION ALL ".join(_labelled(n, p) for n, p in C.KNOWN_TOKENS)}
@@ -147,16 +148,17 @@ def finding_counts(t: Tables) -> DataFrame:
     # Counts per text first, in the text's row; only (label, n) pairs meet in the shuffle.
     spans = t.probed.select(K.secret_spans(_text()).alias("s"))
     labels = F.transform(F.col("s"), lambda s: s["type"])
-    per_text = spans.select(F.explode(F.transform(F.array_distinct(labels), lambda k: F.struct(
-        k.alias("label"), F.size(F.filter(labels, lambda x: x == k)).alias("n")))).alias("c"))
-    return per_text.groupBy("c.label").agg(F.sum("c.n").alias("n"), F.count(F.lit(1)).alias("n_docs"))
+    counts = F.transform(F.array_distinct(labels), lambda k: F.struct(
+        k.alias("label"), F.size(F.filter(labels, lambda x: x == k)).alias("n")))
+    per_text = unnest(spans, [], counts, "label")
+    return per_text.groupBy("label").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_docs"))
 
 
 @query(f"""WITH {I.PROBED} SELECT doc_id, s::INT AS start, (s + length(v))::INT AS "end", v AS value, round({_ENTROPY.format(c='v')}, 6) AS bits
   FROM {I.spans_sql('probed', 'text', C.ENTROPY_CANDIDATE)} WHERE length(v) >= 24
     AND {_ENTROPY.format(c='v')} >= CASE WHEN regexp_matches(v, '{C.BASE64_SHAPE}') THEN 4.3 ELSE 4.0 END""")
 def detect_high_entropy(t: Tables) -> DataFrame:
-    return t.probed.select("doc_id", F.inline(K.high_entropy_spans(_text()))).select(
+    return unnest(t.probed, ["doc_id"], K.high_entropy_spans(_text()), "start").select(
         "doc_id", "start", "end", "value", F.round(X.shannon_entropy(F.col("value")), 6).alias("bits"))
 
 
@@ -178,7 +180,7 @@ def _cloud_list(name: str, rule: str) -> str:
 @query(f"""WITH {I.FLAT}, f AS ({" UNION ALL ".join(f"SELECT doc_id, '{n}' AS rule, unnest({_cloud_list(n, r)}) AS v FROM flat" for n, r, *_ in C.CLOUD_RULES)})
   SELECT doc_id, rule, count(*) AS n, min(v) AS first_value FROM f GROUP BY doc_id, rule""")
 def detect_cloud_secrets(t: Tables) -> DataFrame:
-    spans = t.probed.select("doc_id", F.inline(K.cloud_secret_spans(_text())))
+    spans = unnest(t.probed, ["doc_id"], K.cloud_secret_spans(_text()), "start")
     return spans.groupBy("doc_id", "rule").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("first_value"))
 
 
@@ -221,7 +223,7 @@ def _blocks_sql(source: str) -> str:
 @query(f"""WITH {_NORMAL} SELECT doc_id, s::INT AS start, e::INT AS "end", kind, digits FROM {_blocks_sql('norm')}""")
 def classify_number_blocks(t: Tables) -> DataFrame:
     norm = t.probed.select("doc_id", X.normalize_obfuscation(_text()).alias("text"))
-    return norm.select("doc_id", F.inline(O.number_blocks(_text())))
+    return unnest(norm, ["doc_id"], O.number_blocks(_text()), "start")
 
 
 def _address_chain(c: str) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sieveline.functions import catalog as C
 from sieveline.functions import pii as P
 from sieveline.functions import spans as S
+from sieveline.functions.expr import unnest, unnest_map
 from sieveline.operators import intervals, rules as R
 from sieveline.operators.decisions import rule_filter
 from sieveline.operators.lines import mask_by_verdicts
@@ -69,7 +70,7 @@ def load_regex_action(t: Tables) -> DataFrame:
 
 @query(f"""WITH {I.FLAT}, {_hits_sql()} SELECT doc_id, lower(rule) AS type, count(DISTINCT v)::INT AS n, min(v) AS smallest FROM rule_hits GROUP BY doc_id, lower(rule)""")
 def values_by_type(t: Tables) -> DataFrame:
-    spans = t.probed.select("doc_id", F.explode(S.values_by_type(R.rule_spans(_text(), RULES))).alias("type", "v"))
+    spans = unnest_map(t.probed, ["doc_id"], S.values_by_type(R.rule_spans(_text(), RULES)), "type", "v")
     return spans.select("doc_id", "type", F.size("v").alias("n"), F.array_min("v").alias("smallest"))
 
 
@@ -78,7 +79,7 @@ def distinct_values(t: Tables) -> DataFrame:
     # Distinct inside the text's row first; nothing is left to do across rows.
     spans = R.rule_spans(_text(), RULES)
     pairs = F.array_distinct(F.transform(spans, lambda s: F.struct(s["rule"].alias("rule"), s["value"].alias("value"))))
-    return t.probed.select("doc_id", F.inline(pairs))
+    return unnest(t.probed, ["doc_id"], pairs, "rule")
 
 
 @query(f"""WITH {I.FLAT}, {_hits_sql()} SELECT doc_id, min_by(rule, ord * 1000000 + s) AS rule, min_by(v, ord * 1000000 + s) AS value FROM rule_hits GROUP BY doc_id""")
@@ -145,7 +146,7 @@ _OVERLAP = (("local", r"[a-z]+[0-9]{3}@"), ("address", r"[a-z]+[0-9]{3}@[a-z]+")
 
 
 def _overlapping() -> Column:
-    return F.concat(*[S.find_spans(_text(), p, n, ord_=i) for i, (n, p) in enumerate(_OVERLAP)])
+    return S.spans_of(_text(), [S.SpanRule(p, n, ord=i) for i, (n, p) in enumerate(_OVERLAP)])
 
 
 def _overlap_sql() -> str:
@@ -158,14 +159,14 @@ def _overlap_sql() -> str:
     SELECT 1 FROM sp b WHERE b.doc_id = a.doc_id AND b.s < a.e AND a.s < b.e AND (b.e - b.s > a.e - a.s OR (b.e - b.s = a.e - a.s AND (b.s < a.s OR (b.s = a.s AND b.ord < a.ord))))
       AND NOT EXISTS (SELECT 1 FROM sp c WHERE c.doc_id = b.doc_id AND c.s < b.e AND b.s < c.e AND (c.e - c.s > b.e - b.s OR (c.e - c.s = b.e - b.s AND (c.s < b.s OR (c.s = b.s AND c.ord < b.ord))))))""")
 def resolve_overlaps_longest(t: Tables) -> DataFrame:
-    return t.probed.select("doc_id", F.inline(S.resolve_longest(_overlapping()))).select("doc_id", "rule", "start", "end")
+    return unnest(t.probed, ["doc_id"], S.resolve_longest(_overlapping()), "start").select("doc_id", "rule", "start", "end")
 
 
 @query(f"""WITH {_overlap_sql()} SELECT doc_id, rule, s::INT AS start, e::INT AS "end" FROM sp a WHERE NOT EXISTS (
     SELECT 1 FROM sp b WHERE b.doc_id = a.doc_id AND b.s < a.e AND a.s < b.e AND b.ord < a.ord
       AND NOT EXISTS (SELECT 1 FROM sp c WHERE c.doc_id = b.doc_id AND c.s < b.e AND b.s < c.e AND c.ord < b.ord))""")
 def resolve_overlaps_priority(t: Tables) -> DataFrame:
-    return t.probed.select("doc_id", F.inline(S.resolve_priority(_overlapping()))).select("doc_id", "rule", "start", "end")
+    return unnest(t.probed, ["doc_id"], S.resolve_priority(_overlapping()), "start").select("doc_id", "rule", "start", "end")
 
 
 _ISLANDS = """, o AS (SELECT doc_id, s, e, CASE WHEN s <= max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS f FROM sp),
@@ -174,7 +175,7 @@ _ISLANDS = """, o AS (SELECT doc_id, s, e, CASE WHEN s <= max(e) OVER (PARTITION
 
 @query(f"""WITH {_overlap_sql()}{_ISLANDS} SELECT doc_id, s::INT AS start, e::INT AS "end" FROM m""")
 def merge_spans(t: Tables) -> DataFrame:
-    return t.probed.select("doc_id", F.inline(S.merge_spans(_overlapping())))
+    return unnest(t.probed, ["doc_id"], S.merge_spans(_overlapping()), "start")
 
 
 @query("""WITH sp AS (SELECT l_returnflag AS doc_id, l_orderkey * 3 AS s, l_orderkey * 3 + l_linenumber AS e FROM lineitem)""" + _ISLANDS + """
@@ -187,7 +188,7 @@ def merge_islands(t: Tables) -> DataFrame:
 
 @query(f"""WITH {I.FLAT}, {_hits_sql()} SELECT doc_id, s::INT AS start, (s + length(v))::INT AS "end", '[' || rule || ']' AS replacement FROM rule_hits""")
 def build_replacements(t: Tables) -> DataFrame:
-    return t.probed.select("doc_id", F.inline(S.build_replacements(R.rule_spans(_text(), RULES))))
+    return unnest(t.probed, ["doc_id"], S.build_replacements(R.rule_spans(_text(), RULES)), "start")
 
 
 @query(f"""WITH {I.PROBED} SELECT doc_id, md5(regexp_replace(text, '[0-9]+', '<n>', 'g')) AS digest FROM probed""")
@@ -200,7 +201,7 @@ def apply_replacements(t: Tables) -> DataFrame:
 @query(f"""WITH {I.PROBED} SELECT doc_id, md5(regexp_replace(text, '[0-9a-f]+', '[MASKING]', 'g')) AS digest FROM probed""")
 def mask_merged(t: Tables) -> DataFrame:
     # Runs of digits and runs of a-f touch inside one hexadecimal run and must merge into one token.
-    spans = F.concat(S.find_spans(_text(), "[0-9]+", "digits"), S.find_spans(_text(), "[a-f]+", "letters", ord_=1))
+    spans = S.spans_of(_text(), [S.SpanRule("[0-9]+", "digits"), S.SpanRule("[a-f]+", "letters", ord=1)])
     return t.probed.select("doc_id", F.md5(S.mask_merged(_text(), spans)).alias("digest"))
 
 
@@ -244,7 +245,7 @@ def mask_entities(t: Tables) -> DataFrame:
 
 @query(f"""WITH {I.PROBED} SELECT doc_id, v AS word, 'MAIL' AS type, CAST(s AS INT) || '-' || CAST(s + length(v) AS INT) AS position FROM {I.spans_sql('probed', 'text', _ENTITY)}""")
 def list_entities(t: Tables) -> DataFrame:
-    return t.probed.select("doc_id", F.inline(S.list_entities(_entities())))
+    return unnest(t.probed, ["doc_id"], S.list_entities(_entities()), "word")
 
 
 @query(f"""WITH {I.PROBED}, c AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM probed)

@@ -85,7 +85,7 @@ def stream_uuid_assign(t: Tables) -> DataFrame:
 @query("SELECT DISTINCT 'm-' || (event_id % 7000) AS message_id FROM events")
 def stream_idempotent(t: Tables) -> DataFrame:
     work = _work(t, "once")
-    rows = _stream(t, "events").select(F.concat(F.lit("m-"), (F.col("event_id") % 7000).cast("string")).alias("message_id"), "ts")
+    rows = _stream(t, "events").select(F.concat(F.lit("m-"), (F.col("event_id") % 7000).cast("string")).alias("message_id"), F.col("ts").cast("timestamp").alias("ts"))
     jobs.stream_idempotent(rows, "message_id", f"{work}/out", f"{work}/ckpt", event_time="ts").awaitTermination()
     return t.spark.read.parquet(f"{work}/out").select("message_id")
 

@@ -19,6 +19,8 @@ def local_session(cores: int = 8, app: str = "sieveline") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Call sites of column expressions are only worth their cost while debugging.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
