@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ def mask_email(text: Column, token: str = C.MASK_TOKEN) -> Column:
 
 
 def number_blocks(text: Column) -> Column:
-    """Number-like runs as ``array<struct<start,end,kind,digits>>``; kind is account, phone or none."""
+    """Number-like runs as ``array<struct<start,end,kind,digits,phone_like>>``; kind is account, phone or none."""
     return let(text, _number_blocks)
 
 
@@ -37,12 +39,15 @@ def _number_blocks(text: Column) -> Column:
     def classify(s: Column) -> Column:
         left = F.greatest(s["start"] - C.CONTEXT_CHARS, F.lit(0))
         context = F.substring(text, left + 1, s["end"] + C.CONTEXT_CHARS - left)
-        ascii_ = X.hangul_digits(s["value"])
-        digits = X.digits_only(ascii_)
-        kind = (F.when((F.length(digits) >= 10) & context.rlike(java_pattern(C.BANK_WORDS)), "account")
-                .when(ascii_.rlike(java_pattern(C.PHONE_HINT)) | F.length(digits).between(10, 12), "phone")
-                .otherwise("none"))
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), kind.alias("kind"), digits.alias("digits"))
+
+        def judged(ascii_: Column, digits: Column) -> Column:
+            phone_like = ascii_.rlike(java_pattern(C.PHONE_HINT)) | F.length(digits).between(10, 12)
+            kind = (F.when((F.length(digits) >= 10) & context.rlike(java_pattern(C.BANK_WORDS)), "account")
+                    .when(phone_like, "phone").otherwise("none"))
+            return F.struct(s["start"].alias("start"), s["end"].alias("end"), kind.alias("kind"), digits.alias("digits"),
+                            phone_like.alias("phone_like"))
+
+        return let(X.hangul_digits(s["value"]), lambda a: let(X.digits_only(a), lambda d: judged(a, d)))
 
     return F.transform(found, classify)
 
@@ -55,16 +60,16 @@ def mask_numbers(text: Column, blocks: Column, token: str = C.MASK_TOKEN) -> Col
 
 def mask_addresses(text: Column, token: str = C.MASK_TOKEN) -> tuple[Column, Column]:
     """(masked text, number of addresses); the five patterns are applied one after the other."""
-    masked, counts = text, []
-    for pattern in C.OBFUSCATED_ADDRESSES:
-        java = java_pattern(pattern)
-        counts.append(F.regexp_count(masked, F.lit(java)))
-        masked = F.regexp_replace(masked, java, token)
-    total = counts[0]
-    for c in counts[1:]:
-        total = total + c
-    gate = text.rlike(_ADDRESS_GATE)
-    return F.when(gate, masked).otherwise(text), F.when(gate, total).otherwise(F.when(text.isNotNull(), 0))
+    def step(state: Column, patterns: tuple[str, ...]) -> Column:
+        if not patterns:
+            return state
+        java = java_pattern(patterns[0])
+        return let(F.struct(
+            F.regexp_replace(state["text"], java, token).alias("text"),
+            (state["n"] + F.regexp_count(state["text"], F.lit(java))).alias("n")), lambda s: step(s, patterns[1:]))
+
+    done = F.when(text.rlike(_ADDRESS_GATE), step(F.struct(text.alias("text"), F.lit(0).alias("n")), C.OBFUSCATED_ADDRESSES))
+    return F.coalesce(done["text"], text), F.coalesce(done["n"], F.when(text.isNotNull(), 0))
 
 
 def count_kind(blocks: Column, kind: str) -> Column:
@@ -87,17 +92,29 @@ def partial_samples(normalized: Column, types: Column) -> Column:
     E-mail keeps two characters and the domain, numbers keep the first three and last four digits, addresses the outer
     two characters on each side.
     """
-    email = F.regexp_extract(normalized, java_pattern(C.OBFUSCATED_EMAIL), 0)
-    blocks = number_blocks(normalized)
-    account = F.try_element_at(F.filter(blocks, lambda b: b["kind"] == "account"), F.lit(1))["digits"]
+    return let(normalized, lambda text: _partial_samples(text, types))
+
+
+def _first_digits(blocks: Column, test: Callable[[Column], Column]) -> Column:
+    return F.try_element_at(F.filter(blocks, test), F.lit(1))["digits"]
+
+
+def _partial_samples(normalized: Column, types: Column) -> Column:
+    email = F.when(F.contains(normalized, F.lit("@")), F.regexp_extract(normalized, java_pattern(C.OBFUSCATED_EMAIL), 0)).otherwise("")
     # A block can be phone-like and account-like at once; the phone sample looks at the phone test alone.
-    phone_like = F.filter(S.find_spans(normalized, C.NUMBER_BLOCK, "n"), lambda s: (
-        X.hangul_digits(s["value"]).rlike(java_pattern(C.PHONE_HINT))
-        | F.length(X.digits_only(X.hangul_digits(s["value"]))).between(10, 12)))
-    phone = X.digits_only(X.hangul_digits(F.try_element_at(phone_like, F.lit(1))["value"]))
+    digits = let(number_blocks(normalized), lambda blocks: F.struct(
+        _first_digits(blocks, lambda b: b["kind"] == "account").alias("account"),
+        _first_digits(blocks, lambda b: b["phone_like"]).alias("phone")))
     address = F.trim(F.coalesce(*[X.blank_to_null(F.regexp_extract(normalized, java_pattern(p), 0))
                                   for p in C.OBFUSCATED_ADDRESSES]))
 
+    return let(F.struct(email.alias("email"), digits.alias("digits"), address.alias("address")), lambda found: _samples(found, types))
+
+
+def _samples(found: Column, types: Column) -> Column:
+    email, address = found["email"], found["address"]
+    account, phone = found["digits"]["account"], found["digits"]["phone"]
+
     def wants(t: str) -> Column:
         return F.array_contains(types, t)
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sieveline.functions.expr import let, prefixes
+from sieveline.functions.expr import BLOCK, let, prefixes
 from sieveline.functions.regex import GroupPattern, group_pattern, java_pattern
 
 SPAN = "struct<start:int,end:int,ord:int,type:string,rule:string,value:string>"
@@ -173,13 +173,28 @@ def values_by_type(spans: Column) -> Column:
 def apply_replacements(text: Column, replacements: Column) -> Column:
     """Rewrite a text by disjoint replacements (any order)."""
 
-    def rebuilt(t: Column, ordered: Column) -> Column:
-        def piece(r: Column, i: Column) -> Column:
-            before = F.when(i == 0, F.lit(0)).otherwise(F.try_element_at(ordered, i)["end"])
-            return F.concat(F.substring(t, before + 1, r["start"] - before), r["replacement"])
+    def region(t: Column, ordered: Column, at: Column) -> Column:
+        """Text from behind replacement ``at - 1`` up to the end of the block starting at ``at``, rewritten."""
+        base = F.when(at == 1, F.lit(0)).otherwise(F.try_element_at(ordered, at - 1)["end"])
+
+        def within(block: Column, base: Column) -> Column:
+            def piece(part: Column) -> Column:
+                def one(r: Column, i: Column) -> Column:
+                    before = F.when(i == 0, F.lit(0)).otherwise(F.try_element_at(block, i)["end"] - base)
+                    return F.concat(F.substring(part, before + 1, r["start"] - base - before), r["replacement"])
+
+                return F.array_join(F.transform(block, one), "")
 
+            return let(F.substring(t, base + 1, F.element_at(block, -1)["end"] - base), piece)
+
+        return let(F.slice(ordered, at, F.lit(BLOCK)), lambda block: let(base, lambda b: within(block, b)))
+
+    def rebuilt(t: Column, ordered: Column) -> Column:
+        # A substring is counted from the start of its text, so it is taken from short regions, not from the whole.
+        starts = F.sequence(F.lit(1), F.size(ordered), F.lit(BLOCK))
         tail_from = F.try_element_at(ordered, F.lit(-1))["end"]
-        return F.concat(F.array_join(F.transform(ordered, piece), ""), F.substring(t, tail_from + 1, F.length(t)))
+        return F.concat(F.array_join(F.transform(starts, lambda at: region(t, ordered, at)), ""),
+                        F.substring(t, tail_from + 1, F.length(t)))
 
     return let(text, lambda t: let(F.array_sort(replacements), lambda ordered: F.when(
         F.coalesce(F.size(ordered), F.lit(0)) > 0, rebuilt(t, ordered)).otherwise(t)))

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from sieveline.functions import catalog as C
 from sieveline.functions import text as X
+from sieveline.functions.expr import let
 
 # --- class probabilities ---------------------------------------------------------------------------------------------
 
@@ -94,8 +95,7 @@ def _repaired(s: Column) -> Column:
 
 
 def _object(s: Column) -> Column:
-    v = F.try_parse_json(s)
-    return F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), v)
+    return let(F.try_parse_json(s), lambda v: F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), v))
 
 
 def _balanced_objects(s: str) -> list[str]:
@@ -136,11 +136,15 @@ def recover_verdict_json(raw: Column) -> Column:
     Clean and lightly broken JSON is parsed in the JVM. Only what both parses reject is handed, alone, to the Python
     salvage step. No answer or no verdict in it blocks.
     """
+    native = let(_without_fences(raw), lambda bare: F.coalesce(_object(bare), _object(_repaired(bare))))
     bare = _without_fences(raw)
-    fixed = _repaired(bare)
-    native = F.coalesce(_object(bare), _object(fixed))
-    rest = F.when(native.isNull() & (F.coalesce(bare, F.lit("")) != ""), fixed)
+    rest = F.when(native.isNull() & (F.coalesce(bare, F.lit("")) != ""), _repaired(bare))
     verdict = F.coalesce(native, F.try_parse_json(_salvage(rest)))
+    return (F.when(F.trim(F.coalesce(raw, F.lit(""))) == "", fail_closed(F.lit("empty_response")))
+            .otherwise(let(verdict, _verdict_of)))
+
+
+def _verdict_of(verdict: Column) -> Column:
     decision = F.lower(F.coalesce(X.safe_get(verdict, "$.decision"), F.lit("")))
     known = decision.isin(C.ALLOW, C.BLOCK)
     listed = F.try_variant_get(verdict, "$.reasons", "array<string>")
@@ -150,8 +154,7 @@ def recover_verdict_json(raw: Column) -> Column:
     reasons = F.when(known, reasons).otherwise(F.concat(reasons, F.array(F.lit(INVALID_DECISION))))
     parsed = F.struct(F.when(known, decision).otherwise(C.BLOCK).alias("decision"),
                       F.array_sort(F.array_distinct(reasons)).alias("reasons"))
-    return (F.when(F.trim(F.coalesce(raw, F.lit(""))) == "", fail_closed(F.lit("empty_response")))
-            .when(verdict.isNull(), fail_closed(F.lit("invalid_json_output"))).otherwise(parsed))
+    return F.when(verdict.isNull(), fail_closed(F.lit("invalid_json_output"))).otherwise(parsed)
 
 
 LINE_VERDICTS = "array<struct<line:int,risk:string,original:string,reasons:array<string>,confidence:double>>"
@@ -171,8 +174,8 @@ def recover_line_verdicts(raw: Column, text: Column, status: Column | None = Non
     bare = _without_fences(raw)
 
     def listed(s: Column) -> Column:
-        v = F.try_parse_json(s)
-        return F.when(F.startswith(F.schema_of_variant(v), F.lit("ARRAY")), F.try_variant_get(v, "$", LINE_VERDICTS))
+        return let(F.try_parse_json(s), lambda v: F.when(
+            F.startswith(F.schema_of_variant(v), F.lit("ARRAY")), F.try_variant_get(v, "$", LINE_VERDICTS)))
 
     span = F.regexp_extract(bare, r"(?s)\[.*\]", 0)
     parsed = F.coalesce(listed(bare), listed(span), listed(_repaired(span)))

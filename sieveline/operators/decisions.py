@@ -16,6 +16,7 @@ from sieveline.functions import catalog as C
 from sieveline.functions import pii as P
 from sieveline.functions import spans as S
 from sieveline.functions import text as X
+from sieveline.functions.expr import let
 from sieveline.operators.rules import Rule, plan_of, rule_spans
 from sieveline.operators.skew import skewed_join
 from sieveline.schemas import VERDICT
@@ -38,9 +39,9 @@ def _blocks(v: Column) -> Column:
 
 def run_filter_chain(verdicts: Column) -> Column:
     """Verdicts up to and including the first block, in chain order; filters behind it never ran."""
-    ordered = F.array_sort(verdicts)
-    at = F.array_position(F.transform(ordered, _blocks), True).cast("int")
-    return F.when(at > 0, F.slice(ordered, F.lit(1), at)).otherwise(ordered)
+    return let(F.array_sort(verdicts), lambda ordered: let(
+        F.array_position(F.transform(ordered, _blocks), True).cast("int"),
+        lambda at: F.when(at > 0, F.slice(ordered, F.lit(1), at)).otherwise(ordered)))
 
 
 def final_decision(verdicts: Column) -> Column:
@@ -48,17 +49,20 @@ def final_decision(verdicts: Column) -> Column:
 
     Decided on the numeric code alone; a verdict without a code counts as allow.
     """
-    ordered = F.array_sort(verdicts)
+    def choose(ordered: Column) -> Column:
+        def first(code: int) -> Column:
+            return F.try_element_at(F.filter(ordered, lambda v: v["action_code"] == code), F.lit(1))
 
-    def first(code: int) -> Column:
-        return F.try_element_at(F.filter(ordered, lambda v: v["action_code"] == code), F.lit(1))
+        return F.coalesce(first(C.CODE_BLOCK), first(C.CODE_MASKING))
 
-    chosen = F.coalesce(first(C.CODE_BLOCK), first(C.CODE_MASKING))
-    code = F.coalesce(chosen["action_code"], F.lit(C.CODE_ALLOW))
-    return F.struct(
-        F.when(code == C.CODE_BLOCK, C.BLOCK).when(code == C.CODE_MASKING, C.MASKING).otherwise(C.ALLOW).alias("action"),
-        code.alias("action_code"), F.coalesce(chosen["masked_contents"], F.lit("")).alias("masked_contents"),
-        F.coalesce(chosen["block_message"], F.lit("")).alias("block_message"))
+    def result(chosen: Column) -> Column:
+        code = F.coalesce(chosen["action_code"], F.lit(C.CODE_ALLOW))
+        return F.struct(
+            F.when(code == C.CODE_BLOCK, C.BLOCK).when(code == C.CODE_MASKING, C.MASKING).otherwise(C.ALLOW).alias("action"),
+            code.alias("action_code"), F.coalesce(chosen["masked_contents"], F.lit("")).alias("masked_contents"),
+            F.coalesce(chosen["block_message"], F.lit("")).alias("block_message"))
+
+    return let(let(F.array_sort(verdicts), choose), result)
 
 
 def skip_after_upstream_block(stages: Column) -> Column:
@@ -66,14 +70,17 @@ def skip_after_upstream_block(stages: Column) -> Column:
 
     Input is ``array<struct<ord,filter_id,should_block,action>>``; a stage blocks when it both should and did.
     """
-    ordered = F.array_sort(stages)
-    blocking = F.filter(ordered, lambda v: F.coalesce(v["should_block"], F.lit(False)) & F.coalesce(
-        F.lower(F.trim(v["action"])).startswith("block"), F.lit(False)))
-    first = F.try_element_at(blocking, F.lit(1))
-    return F.transform(ordered, lambda v: F.struct(
-        v["ord"].alias("ord"), v["filter_id"].alias("filter_id"),
-        F.coalesce(v["ord"] > first["ord"], F.lit(False)).alias("skipped"),
-        F.when(v["ord"] > first["ord"], first["filter_id"]).alias("skipped_by")))
+    def blocking(v: Column) -> Column:
+        return F.coalesce(v["should_block"], F.lit(False)) & F.coalesce(F.lower(F.trim(v["action"])).startswith("block"), F.lit(False))
+
+    def marked(ordered: Column, first: Column) -> Column:
+        return F.transform(ordered, lambda v: F.struct(
+            v["ord"].alias("ord"), v["filter_id"].alias("filter_id"),
+            F.coalesce(v["ord"] > first["ord"], F.lit(False)).alias("skipped"),
+            F.when(v["ord"] > first["ord"], first["filter_id"]).alias("skipped_by")))
+
+    return let(F.array_sort(stages), lambda ordered: let(
+        F.try_element_at(F.filter(ordered, blocking), F.lit(1)), lambda first: marked(ordered, first)))
 
 
 def run_filter_chain_table(verdicts: DataFrame, key: str = "message_id") -> DataFrame:

@@ -223,7 +223,7 @@ def _blocks_sql(source: str) -> str:
 @query(f"""WITH {_NORMAL} SELECT doc_id, s::INT AS start, e::INT AS "end", kind, digits FROM {_blocks_sql('norm')}""")
 def classify_number_blocks(t: Tables) -> DataFrame:
     norm = t.probed.select("doc_id", X.normalize_obfuscation(_text()).alias("text"))
-    return unnest(norm, ["doc_id"], O.number_blocks(_text()), "start")
+    return unnest(norm, ["doc_id"], O.number_blocks(_text()), "start").drop("phone_like")
 
 
 def _address_chain(c: str) -> str:
