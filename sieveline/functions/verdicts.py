@@ -94,8 +94,14 @@ def _repaired(s: Column) -> Column:
     return F.translate(F.regexp_replace(s, r",\s*([}\]])", "$1"), "“”’", "\"\"'")
 
 
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+
+
 def _object(s: Column) -> Column:
-    return let(F.try_parse_json(s), lambda v: F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), v))
+    """The text as one JSON object; the parser stops behind the first value, so text with more behind it is no object."""
+    more = F.regexp_replace(s, _STRING, '""').rlike(r"\}\s*[^\s,\]}]")
+    v = F.try_parse_json(s)
+    return F.when(~more & F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), v)
 
 
 def _balanced_objects(s: str) -> list[str]:
@@ -136,12 +142,13 @@ def recover_verdict_json(raw: Column) -> Column:
     Clean and lightly broken JSON is parsed in the JVM. Only what both parses reject is handed, alone, to the Python
     salvage step. No answer or no verdict in it blocks.
     """
-    native = let(_without_fences(raw), lambda bare: F.coalesce(_object(bare), _object(_repaired(bare))))
+    # No lambda may enclose a Python function, so nothing is bound here; equal sub-expressions are shared by codegen.
     bare = _without_fences(raw)
+    native = F.coalesce(_object(bare), _object(_repaired(bare)))
     rest = F.when(native.isNull() & (F.coalesce(bare, F.lit("")) != ""), _repaired(bare))
     verdict = F.coalesce(native, F.try_parse_json(_salvage(rest)))
     return (F.when(F.trim(F.coalesce(raw, F.lit(""))) == "", fail_closed(F.lit("empty_response")))
-            .otherwise(let(verdict, _verdict_of)))
+            .otherwise(_verdict_of(verdict)))
 
 
 def _verdict_of(verdict: Column) -> Column:

@@ -119,7 +119,7 @@ def extract_file_text(files: DataFrame, keep: Sequence[str] = ("path",),
 def scan_file_rules(text: Column, rules: Sequence[Rule]) -> Column:
     """First rule that occurs as ``struct<action,policy_id,policy_name>``; empty strings when none does."""
     hit = first_matching_rule(text, rules)
-    return F.struct(F.coalesce(hit["action"], F.lit("")).alias("action"), F.coalesce(hit["id"], F.lit("")).alias("policy_id"),
+    return F.struct(F.coalesce(hit["action"], F.lit("")).alias("action"), F.coalesce(hit["rule_id"], F.lit("")).alias("policy_id"),
                     F.coalesce(hit["name"], F.lit("")).alias("policy_name"))
 
 

@@ -40,11 +40,11 @@ class Rule:
         return text.rlike(java_pattern(self.rule, self.flags))
 
     def header(self) -> Column:
-        return F.struct(F.lit(self.ord).alias("ord"), F.lit(self.id).alias("id"), F.lit(self.name).alias("name"),
+        return F.struct(F.lit(self.ord).alias("ord"), F.lit(self.id).alias("rule_id"), F.lit(self.name).alias("name"),
                         F.lit(self.action).alias("action"))
 
 
-HEADER = "struct<ord:int,id:string,name:string,action:string>"
+HEADER = "struct<ord:int,rule_id:string,name:string,action:string>"
 
 
 def as_rules(rows: Iterable[Sequence | dict]) -> list[Rule]:
@@ -145,7 +145,7 @@ def custom_patterns(rules: DataFrame, patterns: Sequence[str], action: str = "bl
 
 
 def matching_rules(text: Column, rules: Sequence[Rule]) -> Column:
-    """Rules that occur in the text as ``array<struct<ord,id,name,action>>``."""
+    """Rules that occur in the text as ``array<struct<ord,rule_id,name,action>>``."""
     return F.array_compact(F.array(*[F.when(r.matches(text), r.header()) for r in rules])).cast(f"array<{HEADER}>")
 
 
