@@ -1,7 +1,8 @@
 """Span algebra as column expressions.
 
 A text's spans live in one array inside the text's own row, so finding, resolving and replacing them needs no shuffle
-and the size of every array is bounded by the length of that text. Offsets are 0-based, half open, in code points.
+and the size of every array is bounded by the length of that text. Offsets are 0-based, half open, in code points;
+``ord`` is the place of the rule among the rules, ``ordinal`` that of the hit among the hits of its rule.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from sieveline.functions.expr import BLOCK, let, prefixes
 from sieveline.functions.regex import GroupPattern, group_pattern, java_pattern
 
-SPAN = "struct<start:int,end:int,ord:int,type:string,rule:string,value:string>"
+SPAN = "struct<start:int,end:int,ord:int,type:string,rule:string,value:string,ordinal:int>"
 SPANS = f"array<{SPAN}>"
 REPLACEMENTS = "array<struct<start:int,end:int,replacement:string>>"
 
@@ -73,11 +74,11 @@ def _place(m: Column) -> Column:
         before = prefixes(ps, F.lit(0), lambda x: x["gap"] + x["n"], lambda a, n: a + n)
         starts = F.zip_with(ps, before, lambda x, at: F.struct((at + x["gap"]).alias("at"), x["hit"].alias("hit")))
         return F.transform(starts, lambda x, i: span(
-            x["at"] + F.coalesce(F.length(F.get(m["lead"], i)), F.lit(0)), F.coalesce(F.get(m["value"], i), x["hit"])))
+            x["at"] + F.coalesce(F.length(F.get(m["lead"], i)), F.lit(0)), F.coalesce(F.get(m["value"], i), x["hit"]), i))
 
-    def span(start: Column, value: Column) -> Column:
+    def span(start: Column, value: Column, ordinal: Column) -> Column:
         return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), m["ord"].alias("ord"), m["type"].alias("type"),
-                        m["rule"].alias("rule"), value.alias("value"))
+                        m["rule"].alias("rule"), value.alias("value"), ordinal.alias("ordinal"))
 
     return let(pairs, placed)
 

@@ -102,13 +102,14 @@ def policy_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """
     keys = ["filter_id", "scope", "id"]
 
-    def state(df: DataFrame, tag: str) -> DataFrame:
-        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"n_{tag}"), F.max(F.struct("action", "rule")).alias(tag))
-
-    both = state(old, "old").join(state(new, "new"), keys, "full_outer")
-    change = (F.when(F.col("n_old").isNull(), "added").when(F.col("n_new").isNull(), "removed")
-              .when((F.col("n_old") != F.col("n_new")) | ~F.col("old").eqNullSafe(F.col("new")), "modified"))
-    return both.select(*keys, change.alias("change")).where(F.col("change").isNotNull())
+    def side(df: DataFrame, old_: int, new_: int) -> DataFrame:
+        return df.select(*keys, "action", "rule", F.lit(old_).alias("old"), F.lit(new_).alias("new"))
+
+    # Two hash aggregations over plain counts; grouping treats nulls as equal, as the comparison must.
+    variants = side(old, 1, 0).unionByName(side(new, 0, 1)).groupBy(*keys, "action", "rule").agg(F.sum("old").alias("o"), F.sum("new").alias("n"))
+    rules = variants.groupBy(*keys).agg(F.sum("o").alias("o"), F.sum("n").alias("n"), F.bool_or(F.col("o") != F.col("n")).alias("differs"))
+    change = F.when(F.col("o") == 0, "added").when(F.col("n") == 0, "removed").when(F.col("differs"), "modified")
+    return rules.select(*keys, change.alias("change")).where(F.col("change").isNotNull())
 
 
 def policy_changed(old: DataFrame, new: DataFrame) -> bool:

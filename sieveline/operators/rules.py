@@ -44,6 +44,7 @@ class Rule:
                         F.lit(self.action).alias("action"))
 
 
+HIT_COLUMNS = ("ord", "rule", "ordinal", "start", "end", "value")
 HEADER = "struct<ord:int,rule_id:string,name:string,action:string>"
 
 
@@ -171,13 +172,8 @@ def detect_rules(df: DataFrame, keys: Sequence[str], text: str, rules: DataFrame
     """One row per hit: keys, rule, ordinal of the hit within text and rule, offsets, value."""
     parts = []
     for batch in _batches(rules):
-        # Spans come rule by rule; the position within the rule is the position minus that of the rule's first span.
-        numbered = let(rule_spans(F.col(text), batch), lambda spans: let(
-            F.transform(spans, lambda s: s["ord"]), lambda ords: F.transform(spans, lambda s, i: F.struct(
-                s["ord"].alias("ord"), s["rule"].alias("rule"),
-                (i + 1 - F.array_position(ords, s["ord"]).cast("int")).alias("ordinal"), s["start"].alias("start"),
-                s["end"].alias("end"), s["value"].alias("value")))))
-        parts.append(unnest(df, keys, numbered, "ord"))
+        hits = F.transform(rule_spans(F.col(text), batch), lambda s: F.struct(*[s[c].alias(c) for c in HIT_COLUMNS]))
+        parts.append(unnest(df, keys, hits, "ord"))
     return _union(parts, lambda: df.select(*keys, F.inline(F.array().cast(
         "array<struct<ord:int,rule:string,ordinal:int,start:int,end:int,value:string>>"))))
 

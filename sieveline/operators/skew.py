@@ -23,22 +23,27 @@ def skewed_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
                 floor: int = 100_000) -> DataFrame:
     """Inner or left join of a side with possibly hot keys (``right``) to one with few rows per key (``left``).
 
-    Right rows of a hot key are spread over ``salts`` buckets by a hash of the row; the left rows of those keys, and
-    only those, are repeated once per bucket. Every other key keeps a single bucket. A left join adds the rows without a
-    partner by an anti join on the distinct right keys.
+    Keys that are not hot are joined as usual. Right rows of hot keys are first reduced to one row per distinct row with
+    its number of copies, so that copies do not land in one bucket together, and then spread over ``salts`` buckets by a
+    hash of the row; the left rows of hot keys, and only those, are repeated per bucket. Behind the join each row is
+    written out as often as it had copies. The salt depends on the row alone, so a task that is run again gives the same
+    rows. A left join adds the rows without a partner. Columns of ``right`` must be groupable (no maps).
+
+    Without hot keys the hot branch is empty and the adaptive planner drops it before it reads anything.
     """
     if how not in ("inner", "left"):
         raise ValueError(how)
+    keys, out = list(on), [*left.columns, *[c for c in right.columns if c not in on]]
     # At most 1/HOT_SHARE rows by construction, so it may be broadcast at any table size.
-    hot = F.broadcast(hot_keys(right, on, floor=floor).withColumn("__hot", F.lit(True)))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in right.columns]), F.lit(salts)).cast("int")
-    salted = right.join(hot, list(on), "left").withColumn(
-        "__salt", F.when(F.col("__hot"), spread).otherwise(0)).drop("__hot")
-    repeated = left.join(hot, list(on), "left").withColumn(
-        "__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
-    ).drop("__hot")
-    matched = repeated.join(salted, [*on, "__salt"], "inner").drop("__salt")
+    hot = F.broadcast(hot_keys(right, on, floor=floor))
+    cold_part = left.join(right.join(hot, keys, "left_anti"), keys).select(*out)
+    copies = right.join(hot, keys, "left_semi").groupBy(*right.columns).agg(F.count(F.lit(1)).alias("__copies"))
+    salted = copies.withColumn("__salt", F.pmod(F.xxhash64(*right.columns), F.lit(salts)).cast("int"))
+    repeated = left.join(hot, keys, "left_semi").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hot_part = (repeated.join(salted, [*keys, "__salt"])
+                .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies")))).select(*out))
+    matched = cold_part.unionByName(hot_part)
     if how == "inner":
         return matched
-    alone = left.join(right.select(*on).distinct(), list(on), "left_anti")
+    alone = left.join(right.select(*keys).distinct(), keys, "left_anti")
     return matched.unionByName(alone, allowMissingColumns=True)

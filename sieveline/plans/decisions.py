@@ -179,11 +179,11 @@ def reasons_to_types(t: Tables) -> DataFrame:
     return _recovered(t).select("doc_id", F.array_join(V.reasons_to_types(F.col("reasons")), ",").alias("types"))
 
 
-@query(f"""WITH {_VERDICT_SQL} SELECT array_to_string(list_sort(list(DISTINCT r)), ',') AS reasons FROM (SELECT unnest(reasons) AS r FROM vr)""")
+@query(f"""WITH {_VERDICT_SQL} SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(reasons, ['again', lang]))), ',') AS reasons FROM vr JOIN documents USING (doc_id)""")
 def distinct_reasons(t: Tables) -> DataFrame:
-    # Distinct first: what is collected is the reason vocabulary, not one entry per verdict.
-    words = _recovered(t).select(F.explode("reasons").alias("r")).distinct()
-    return words.agg(F.array_join(F.array_sort(F.collect_set("r")), ",").alias("reasons"))
+    told = t.documents.select("doc_id", "lang", V.recover_verdict_json(F.expr(I.VERDICT_RAW))["reasons"].alias("r"))
+    twice = F.concat("r", F.array(F.lit("again"), F.col("lang")), F.col("r"))
+    return told.select("doc_id", F.array_join(V.distinct_reasons(twice), ",").alias("reasons"))
 
 
 @query(f"""WITH {_VERDICT_SQL} SELECT doc_id, '{C.MODEL_BLOCK_GUIDE}' || chr(10) || chr(10) || '{C.MODEL_BLOCK_CAUSE}: ' || CASE WHEN len(reasons) = 0 THEN 'unspecified' ELSE array_to_string(reasons, ', ') END
