@@ -252,6 +252,16 @@ def score_text(t: Tables) -> DataFrame:
     return scored.select("doc_id", V.parse_safety_response(F.col("response"))["action"].alias("action"), "status")
 
 
+def _length_scorer():
+    """A scorer of the user's own: anything that maps a batch of texts to answers."""
+    return lambda texts: [str(len(x)) for x in texts]
+
+
+@query("SELECT page_id, length(html)::VARCHAR AS response, NULL AS status FROM pages")
+def custom_scorer(t: Tables) -> DataFrame:
+    return scoring.score_text(t.pages.select("page_id", "html"), ["page_id"], "html", _length_scorer)
+
+
 # --- files -----------------------------------------------------------------------------------------------------------
 
 _KINDS = ("application/pdf", "application/msword", "application/zip", "image/png", "text/plain", files.DOCX_MIME)
@@ -305,6 +315,16 @@ def extract_file_text(t: Tables) -> DataFrame:
     return files.extract_file_text(plain).select("path", F.md5("text").alias("digest"), "error")
 
 
+def _html_text(content: bytes) -> str:
+    return content.decode("utf-8").replace("<", "[").replace(">", "]")
+
+
+@query("SELECT url || '#' || page_id AS path, md5(replace(replace(html, '<', '['), '>', ']')) AS digest, NULL AS error FROM pages")
+def custom_extractor(t: Tables) -> DataFrame:
+    given = t.pages.select(F.concat_ws("#", "url", "page_id").alias("path"), F.lit("text/html").alias("mime_type"), F.encode("html", "UTF-8").alias("content"))
+    return files.extract_file_text(given, extractors={"text/html": _html_text}).select("path", F.md5("text").alias("digest"), "error")
+
+
 @query(f"""WITH {I.PROBED} SELECT '/f/' || doc_id AS path, CASE WHEN strlen(text) > 20000 THEN 'block' WHEN contains(text, 'AKIA') THEN 'block' WHEN contains(text, 'hunter') THEN 'masking' ELSE '' END AS action,
   CASE WHEN strlen(text) > 20000 THEN 'fize size exceeds limit (20000)' WHEN contains(text, 'AKIA') THEN 'aws' WHEN contains(text, 'hunter') THEN 'password' ELSE '' END AS policy_name, sha256(text) AS hash,
   CASE WHEN strlen(text) <= 20000 THEN md5(left(text, 256)) END AS chunk FROM probed""")

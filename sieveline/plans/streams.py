@@ -1,4 +1,4 @@
-"""Streaming queries over the given tables, run until everything available is processed."""
+"""Queries that go through files: written sinks, JSON requests, and streams run until everything available is processed."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sieveline.plans import inputs as I
 from sieveline.plans.registry import Tables, query
 from sieveline.session import checkpoint_dir
-from sieveline.sources import readers
+from sieveline.sources import readers, sinks
 from sieveline.streaming import jobs
 
 
@@ -28,6 +28,24 @@ def _accounts(df: DataFrame) -> DataFrame:
     return df.select(F.concat(F.lit("user"), (F.col("user_id") * 7).cast("string"), F.lit("@example.com")).alias("email"), (F.col("user_id") % 5).cast("int").alias("ai_service"), "event_id", "ts")
 
 
+@query("""SELECT 'm-' || doc_id AS message_id, md5(text) AS digest, doc_id % 2 = 0 AS encoding, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE (doc_id % 6)::INT END AS ai_service, '' AS email, 'input_filter,secret_filter,slm_filter' AS filters FROM documents""")
+def scan_prompts(t: Tables) -> DataFrame:
+    path = _work(t, "requests")
+    # Fields that are null are left out of the JSON, as a client would leave them out.
+    t.documents.select(F.concat(F.lit("m-"), F.col("doc_id").cast("string")).alias("message_id"), F.col("text").alias("prompt"), F.when(F.col("doc_id") % 2 == 0, True).alias("encoding"),
+                       F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 6).alias("ai_service")).write.json(path)
+    return readers.scan_prompts(t.spark, path).select("message_id", F.md5("prompt").alias("digest"), "encoding", "ai_service", "email", F.array_join("filter_list", ",").alias("filters"))
+
+
+@query("SELECT 'm-' || event_id AS id, 'input_filter' AS index, strftime(ts, '%Y-%m-%d') AS date FROM events")
+def sink_audit_jsonl(t: Tables) -> DataFrame:
+    path = _work(t, "audit-log")
+    docs = t.events.select(F.lit("input_filter").alias("index"), F.date_format("ts", "yyyy-MM-dd").alias("date"), F.struct(F.concat(F.lit("m-"), F.col("event_id").cast("string")).alias("id")).alias("doc"))
+    sinks.sink_audit_jsonl(docs, path)
+    lines = t.spark.read.schema("value string, index string, date string").text(path)
+    return lines.select(F.get_json_object("value", "$.id").alias("id"), "index", "date")
+
+
 @query(f"WITH {I.PROBED} SELECT doc_id, regexp_matches(text, 'AKIA[0-9]') AS secret, md5(text) AS digest FROM probed")
 def stream_filter(t: Tables) -> DataFrame:
     work = _work(t, "filter")
