@@ -19,8 +19,8 @@ PASSAGES = (
     f"' id 900101-5' || {_pad(6, 17)} || ' ip 10.20.' || CAST(doc_id % 250 AS STRING) || '.7 end'",
     f"' licence 11-22-' || {_pad(6)} || '-33 firm 123-45-' || {_pad(5)} || ' end'",
     f"' NHIS: 1' || {_pad(9)} || ' TIN: 12-' || {_pad(7)} || ' army 21-' || {_pad(8)} || ' end'",
-    "' 주소 서울특별시 강남구 테헤란로 ' || CAST(doc_id % 500 + 1 AS STRING) || ' 입니다'",
-    "' 주소 경기도 성남시 정자동 ' || CAST(doc_id % 300 + 1 AS STRING) || '번지 (12345) 부산광역시 해운대구 우동 '"
+    "' 주소 대구광역시 수성구 들안로 ' || CAST(doc_id % 500 + 1 AS STRING) || ' 입니다'",
+    "' 주소 충청남도 아산시 배방동 ' || CAST(doc_id % 300 + 1 AS STRING) || '번지 (31456) 울산광역시 남구 달동 '"
     " || CAST(doc_id % 90 + 1 AS STRING) || ' 입니다'",
     "' card 4111 1111 1111 1111 and 4000-0000-0000-' || " + _pad(4) + " || ' end'",
     f"' card 4000-0000-0000-' || {_pad(4, 9)} || ' end'",
@@ -30,8 +30,8 @@ PASSAGES = (
     f"{_NL} || '-----BEGIN RSA PRIVATE KEY-----' || {_NL} || 'MIIE' || {_pad(8)} || {_NL} || '-----END RSA PRIVATE KEY-----'",
     f"{_NL} || '```python' || {_NL} || 'import os' || {_NL} || 'os.system(cmd) # ' || CAST(doc_id AS STRING) || {_NL}"
     f" || 'eval(x); exec(y); open(z)' || {_NL} || '```' || {_NL} || '```' || {_NL} || 'print(1)' || {_NL} || '```'",
-    f"' password: hunter' || {_pad(6)} || ' bank account 110-234-' || {_pad(6)} || ' kim@example 점 com end'",
-    f"' 번호는 공일공.사사삼칠.오공구' || CAST(doc_id % 10 AS STRING) || ' +82 10 1234 ' || {_pad(4)} || ' end'",
+    f"' password: hunter' || {_pad(6)} || ' bank account 620-118-' || {_pad(6)} || ' kim@example 점 com end'",
+    f"' 번호는 공일육.이칠팔오.삼육일' || CAST(doc_id % 10 AS STRING) || ' +82 16 2222 ' || {_pad(4)} || ' end'",
     f"' conn DefaultEndpointsProtocol=https;AccountName=acc;AccountKey=' || lpad(CAST(doc_id AS STRING), 44, 'qR7')"
     f" || ' http://bob:pw' || {_pad(3)} || '@db.example.com/x end'",
     f"' mail ann' || {_pad(3)} || '@example.com bob' || {_pad(3)} || '@example.org ann' || {_pad(3)} || '@example.com end'",

@@ -9,8 +9,8 @@ from sieveline.functions.regex import engine_problem, group_pattern, java_patter
 TEXTS = [
     "번호010-1234-5678 tel 010-1234-5678, 02-123-4567", "a@b.com, x@y.org한 z@w.net\nq@r.io", "900101-1234567 900101-5234567 M12345678 m87654321",
     "10.0.0.1 fe80:0:0:0:0:0:0:1 1.2.3", "card 4111 1111 1111 1111 - 4111-1111-1111-1111 12345678901234567890", "11-22-123456-33 123-45-67890 12-1234567 21-12345678",
-    "건강보험증: A12345678 NHIS 12345-678 nhis:123456", "TIN: 12-3456789 Tax ID 1234567 납세자번호 123-45", "서울특별시 강남구 테헤란로 123 3층, 경기도 성남시 정자동 12-3번지",
-    "(12345) 부산광역시 해운대구 우동 77 그리고 서울 강남구 역삼동 12", "경기도 성남시 분당구 정자동 123-45 행복아파트 101동 202호", "é010-1234-5678 über01012345678 ٠١٠", "line\r\nnext x\n", "",
+    "건강보험증: A12345678 NHIS 12345-678 nhis:123456", "TIN: 12-3456789 Tax ID 1234567 납세자번호 123-45", "대전광역시 유성구 문화로 61 3층, 전라북도 전주시 효자동 17-3번지",
+    "(31456) 울산광역시 남구 달동 77 그리고 대전 서구 둔산동 12", "전라북도 전주시 완산구 효자동 17-3 푸른아파트 5동 904호", "é010-1234-5678 über01012345678 ٠١٠", "line\r\nnext x\n", "",
 ]
 
 
