@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sieveline.functions import catalog as C
+from sieveline.functions.expr import let
 from sieveline.functions.regex import java_pattern
 
 BLOCKS = "array<struct<lang:string,code:string>>"
@@ -49,22 +50,24 @@ def score_code_risk(blocks: Column, source: str = "user") -> Column:
 
 def worst_score(findings: Column, threshold: float = 0.5) -> Column:
     """``struct<worst,n,has_issue>`` over scored findings."""
-    worst = F.coalesce(F.array_max(F.transform(findings, lambda f: f["severity"])), F.lit(0.0))
-    return F.struct(worst.alias("worst"), F.size(findings).alias("n"),
-                    F.exists(findings, lambda f: f["severity"] >= threshold).alias("has_issue"))
+    return let(findings, lambda fs: F.struct(
+        F.coalesce(F.array_max(F.transform(fs, lambda f: f["severity"])), F.lit(0.0)).alias("worst"), F.size(fs).alias("n"),
+        F.exists(fs, lambda f: f["severity"] >= threshold).alias("has_issue")))
 
 
 def decide_code_risk(text: Column, source: str = "user", threshold: float = 0.5, block: bool = True) -> Column:
     """``struct<detected,match_count,worst_score,final_action,findings>``; a text without fences is one block."""
-    fenced = extract_code_blocks(text)
     whole = F.array(F.struct(F.lit(C.CODE_DEFAULT_LANGUAGE).alias("lang"), text.alias("code"))).cast(BLOCKS)
-    findings = score_code_risk(F.when(F.size(fenced) > 0, fenced).otherwise(whole), source)
-    summary = worst_score(findings, threshold)
-    blank = F.trim(F.coalesce(text, F.lit(""))) == ""
-    action = F.when(summary["has_issue"], "BLOCK" if block else "WARN").otherwise("ALLOW")
-    return F.when(~blank, F.struct(
-        summary["has_issue"].alias("detected"), summary["n"].alias("match_count"),
-        summary["worst"].alias("worst_score"), action.alias("final_action"), findings.alias("findings")))
+    blocks = let(extract_code_blocks(text), lambda fenced: F.when(F.size(fenced) > 0, fenced).otherwise(whole))
+
+    def verdict(findings: Column, summary: Column) -> Column:
+        action = F.when(summary["has_issue"], "BLOCK" if block else "WARN").otherwise("ALLOW")
+        return F.struct(
+            summary["has_issue"].alias("detected"), summary["n"].alias("match_count"),
+            summary["worst"].alias("worst_score"), action.alias("final_action"), findings.alias("findings"))
+
+    judged = let(score_code_risk(blocks, source), lambda fs: let(worst_score(fs, threshold), lambda w: verdict(fs, w)))
+    return F.when(F.trim(F.coalesce(text, F.lit(""))) != "", judged)
 
 
 def code_scan_report(findings: Column, title: str = "code scan") -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sieveline.functions import catalog as C
 from sieveline.functions import spans as S
 from sieveline.functions import text as X
+from sieveline.functions.expr import let
 from sieveline.functions.regex import FLAG_IGNORECASE, java_pattern
 
 HITS = "map<string,array<string>>"
@@ -32,13 +33,15 @@ def extract_values(text: Column, pattern: str, gate: Column | None = None) -> Co
     return found if gate is None else F.when(gate, found).otherwise(_no_values())
 
 
-def card_values(text: Column, luhn: bool = True, limit: int = 5) -> tuple[Column, Column]:
-    """(the first valid card number, all candidates when none is valid), each as an array."""
-    found = F.filter(extract_values(text, C.CARD),
-                     lambda c: F.length(F.regexp_replace(c, r"\D", "")).between(13, 19))
-    valid = F.filter(found, X.luhn_valid) if luhn else found
-    candidates = F.when(F.size(valid) == 0, F.slice(F.array_distinct(found), 1, limit)).otherwise(_no_values())
-    return F.slice(valid, 1, 1), candidates
+def card_values(text: Column, luhn: bool = True, limit: int = 5) -> Column:
+    """``struct<card,candidates>``: the first valid card number, or all candidates when none is valid, as arrays."""
+
+    def split(found: Column, valid: Column) -> Column:
+        candidates = F.when(F.size(valid) == 0, F.slice(F.array_distinct(found), 1, limit)).otherwise(_no_values())
+        return F.struct(F.slice(valid, 1, 1).alias("card"), candidates.alias("candidates"))
+
+    found = F.filter(extract_values(text, C.CARD), lambda c: F.length(F.regexp_replace(c, r"\D", "")).between(13, 19))
+    return let(found, lambda f: let(F.filter(f, X.luhn_valid) if luhn else f, lambda v: split(f, v)))
 
 
 def detect_pii(text: Column, *, enabled: Sequence[str] | None = C.PII_ENABLED, luhn: bool = True,
@@ -50,13 +53,14 @@ def detect_pii(text: Column, *, enabled: Sequence[str] | None = C.PII_ENABLED, l
         if p.type == "address":
             values = F.transform(values, F.trim)
         by_type.setdefault(p.type, []).append(values)
-    card, candidate = card_values(text, luhn, max_per_type)
-    by_type["credit_card"], by_type["credit_card_candidate"] = [card], [candidate]
-    keep = [t for t in by_type if enabled is None or t in enabled]
-    values = [F.slice(F.array_distinct(F.concat(*by_type[t]) if len(by_type[t]) > 1 else by_type[t][0]),
-                      1, max_per_type) for t in keep]
-    hits = F.map_from_arrays(F.array(*[F.lit(t) for t in keep]), F.array(*values))
-    return F.map_filter(hits, lambda _, v: F.size(v) > 0)
+
+    def hits(cards: Column) -> Column:
+        found = {**by_type, "credit_card": [cards["card"]], "credit_card_candidate": [cards["candidates"]]}
+        keep = [t for t in found if enabled is None or t in enabled]
+        values = [F.slice(F.array_distinct(F.concat(*found[t]) if len(found[t]) > 1 else found[t][0]), 1, max_per_type) for t in keep]
+        return F.map_from_arrays(F.array(*[F.lit(t) for t in keep]), F.array(*values))
+
+    return F.map_filter(let(card_values(text, luhn, max_per_type), hits), lambda _, v: F.size(v) > 0)
 
 
 def filter_enabled_types(hits: Column, enabled: Sequence[str]) -> Column:
@@ -79,7 +83,7 @@ def annotate_counts(hits: Column) -> Column:
 def sample_first_per_type(masked: Column) -> Column:
     """First masked value of each type, comma joined; null without hits."""
     firsts = F.transform(F.filter(F.map_values(masked), lambda v: F.size(v) > 0), lambda v: F.element_at(v, 1))
-    return F.when(F.size(firsts) > 0, F.array_join(firsts, ", "))
+    return let(firsts, lambda fs: F.when(F.size(fs) > 0, F.array_join(fs, ", ")))
 
 
 def redaction_spans(text: Column, enabled: Sequence[str] = C.PII_ENABLED) -> Column:
@@ -106,7 +110,10 @@ def build_ui_notice(hits: Column, mode: str = "redact", *, include_types: bool =
         return F.lit(C.BLOCKED_PLACEHOLDER)
     if mode != "message_with_mask_info":
         return F.lit("")
-    types = F.map_keys(hits)
+    return let(F.map_keys(hits), lambda types: _notice(types, include_types, include_samples))
+
+
+def _notice(types: Column, include_types: bool, include_samples: bool) -> Column:
     lines = [F.lit(C.NOTICE_HEADER)]
     if include_types:
         lines.append(F.concat(F.lit(f"{C.NOTICE_TYPES}: "), F.array_join(types, ", ")))

@@ -11,7 +11,7 @@ from sieveline.functions import obfuscation as O
 from sieveline.functions import pii as P
 from sieveline.functions import secrets as K
 from sieveline.functions import text as X
-from sieveline.functions.expr import unnest, unnest_map
+from sieveline.functions.expr import let, unnest, unnest_map
 from sieveline.plans import inputs as I
 from sieveline.plans.registry import Tables, query
 
@@ -42,9 +42,9 @@ def detect_pii(t: Tables) -> DataFrame:
   CASE WHEN len(ok) = 0 THEN array_to_string(({I.distinct_in_order('cs')})[1:5], '|') ELSE '' END AS candidates
   FROM card_hits WHERE len(cs) > 0""")
 def detect_card(t: Tables) -> DataFrame:
-    card, candidates = P.card_values(_text())
-    return (t.probed.select("doc_id", F.array_join(card, "|").alias("card"), F.array_join(candidates, "|").alias("candidates"))
-            .where("card <> '' OR candidates <> ''"))
+    rows = let(P.card_values(_text()), lambda c: F.filter(F.array(c), lambda x: F.size(F.concat(x["card"], x["candidates"])) > 0))
+    return unnest(t.probed, ["doc_id"], rows, "card").select(
+        "doc_id", F.array_join("card", "|").alias("card"), F.array_join("candidates", "|").alias("candidates"))
 
 
 @query(f"""WITH {I.HITS} SELECT doc_id, type, len(vals)::INT AS n FROM hits WHERE type IN ('email', 'ip', 'phone')""")
@@ -73,14 +73,15 @@ _TYPE_ORDER = ("CASE type " + " ".join(f"WHEN '{p}' THEN {i}" for i, p in enumer
 
 @query(f"""WITH {I.HITS} SELECT doc_id, string_agg({_TOKEN_CASE}, ', ' ORDER BY {_TYPE_ORDER}) AS samples FROM hits GROUP BY doc_id""")
 def sample_first_per_type(t: Tables) -> DataFrame:
-    return _hits(t).select("doc_id", P.sample_first_per_type(P.mask_hits(F.col("hits"))).alias("samples")).where("samples IS NOT NULL")
+    samples = P.sample_first_per_type(P.mask_hits(F.col("hits")))
+    return unnest(_hits(t), ["doc_id"], F.array(F.struct(samples.alias("samples"))), "samples")
 
 
 @query(f"""WITH {I.HITS} SELECT doc_id, '{C.NOTICE_HEADER}' || chr(10) || '{C.NOTICE_TYPES}: ' || string_agg(type, ', ' ORDER BY {_TYPE_ORDER})
   || chr(10) || '{C.NOTICE_SAMPLES}: ' || string_agg(type || '=' || {_TOKEN_CASE}, ', ' ORDER BY {_TYPE_ORDER}) AS notice FROM hits GROUP BY doc_id""")
 def build_ui_notice(t: Tables) -> DataFrame:
-    hits = _hits(t).where(F.size("hits") > 0)
-    return hits.select("doc_id", P.build_ui_notice(F.col("hits"), "message_with_mask_info").alias("notice"))
+    notice = let(F.col("hits"), lambda h: F.when(F.size(h) > 0, P.build_ui_notice(h, "message_with_mask_info")))
+    return unnest(_hits(t), ["doc_id"], F.array(F.struct(notice.alias("notice"))), "notice")
 
 
 @query(f"""WITH {I.HITS} SELECT doc_id, type, i::INT AS rank, vals[i] AS value FROM (SELECT *, unnest(range(1, len(vals) + 1)) AS i FROM hits)""")

@@ -54,9 +54,7 @@ def test_ein_is_no_hit_by_default_but_is_redacted(column):
 
 
 def test_luhn_off_takes_the_first_candidate(column):
-    card, _ = P.card_values(F.col("text"), luhn=False)
-    assert column([TEXTS[3]], lambda t: P.card_values(t, luhn=False)[0]) == [["4111 1111 1111 1112"]]
-    assert card is not None
+    assert column([TEXTS[3]], lambda t: P.card_values(t, luhn=False)["card"]) == [["4111 1111 1111 1112"]]
 
 
 @pytest.mark.parametrize("value", ["4111111111111111", "4111111111111112", "79927398713", "0", "", "a-b", "4111-1111 1111x1111"])
