@@ -34,7 +34,7 @@ def number_blocks(text: Column) -> Column:
 
 
 def _number_blocks(text: Column) -> Column:
-    found = S.find_spans(text, C.NUMBER_BLOCK, "number", gate=text.rlike(_NUMBER_GATE))
+    found = S.find_spans(text, C.NUMBER_BLOCK, "number", gate=text.rlike("[^A-Za-z]{7}") & text.rlike(_NUMBER_GATE))
 
     def classify(s: Column) -> Column:
         left = F.greatest(s["start"] - C.CONTEXT_CHARS, F.lit(0))

@@ -116,17 +116,24 @@ def luhn_valid(s: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+    return s.map(lambda v: v if v is None or unicodedata.is_normalized("NFKC", v) else unicodedata.normalize("NFKC", v))
+
+
+# Besides ASCII: accented Latin-1 letters, Hangul syllables and unified ideographs: each is its own compatibility normal form and
+# none combines with another, so a text made of them only is normal already.
+STABLE_CHARS = "À-ÿ가-힣一-鿿"
+# ASCII is passed by one range test per character; only the others are looked at more closely.
+_UNSTABLE = rf"[^\x00-\x7F](?<![{STABLE_CHARS}])"
 
 
 def nfkc(text: Column) -> Column:
-    """Compatibility normal form. Pure ASCII is its own normal form and never crosses to Python."""
-    return F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+    """Compatibility normal form; texts that are normal by their alphabet never cross to Python."""
+    return F.coalesce(_nfkc(F.when(text.rlike(_UNSTABLE), text)), text)
 
 
 def normalize_obfuscation(text: Column, unicode_form: bool = True) -> Column:
     """NFKC, then the words people write for a dot become a dot."""
-    return F.regexp_replace(nfkc(text) if unicode_form else text, C.DOT_WORDS, ".")
+    return F.regexp_replace(nfkc(text) if unicode_form else text, "|".join(C.DOT_WORD_LIST), ".")
 
 
 def hangul_digits(text: Column) -> Column:

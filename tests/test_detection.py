@@ -223,3 +223,17 @@ def test_utf8_cut_at_every_byte(column):
         raw = text.encode()
         assert cut == (raw[:limit].decode(errors="ignore") if len(raw) > limit else text)
         assert size == (len(raw) if len(raw) > limit else None)
+
+
+def test_nfkc_and_the_characters_it_may_skip(column):
+    import re as _re
+    import sys
+
+    stable = _re.compile(f"[\\x00-\\x7F{X.STABLE_CHARS}]")
+    chars = [chr(i) for i in range(sys.maxunicode + 1) if stable.match(chr(i))]
+    assert all(unicodedata.is_normalized("NFKC", c) and unicodedata.combining(c) == 0 for c in chars)
+    pairs = (unicodedata.decomposition(chr(i)).split() for i in range(sys.maxunicode + 1))
+    seconds = {chr(int(p[1], 16)) for p in pairs if len(p) == 2 and not p[0].startswith("<")} | {chr(i) for i in range(0x1161, 0x11C3)}
+    assert not seconds & set(chars)
+    texts = ["plain", "é한字", "ＡＢＣ…", "e\u0301", "\u1112\u1161\u11ab", "가\u11a8", "①ﬁ", None, ""]
+    assert column(texts, X.nfkc) == [None if t is None else unicodedata.normalize("NFKC", t) for t in texts]
