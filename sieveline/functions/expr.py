@@ -22,6 +22,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 BLOCK = 32
 
 
+def pick(xs: Column, first: Column, last: Column) -> Column:
+    """Elements ``first`` to ``last`` (1-based, at least one). ``slice`` would walk the whole array for each call."""
+    return F.transform(F.sequence(first, last), lambda j: F.element_at(xs, j))
+
+
 def prefixes(items: Column, zero: Column, value: Callable[[Column], Column],
              combine: Callable[[Column, Column], Column]) -> Column:
     """For each element the combined ``value`` of all elements before it, e.g. running sums or running maxima."""
@@ -37,9 +42,10 @@ def prefixes(items: Column, zero: Column, value: Callable[[Column], Column],
             block, lambda _, i: combine(before, fold(F.slice(block, F.lit(1), i))))))
 
     def blocked(xs: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), F.lit(BLOCK))
-        return let(F.transform(starts, lambda at: F.slice(xs, at, F.lit(BLOCK))), lambda blocks: let(
-            F.transform(blocks, fold), lambda totals: F.flatten(per_block(blocks, totals))))
+        n = F.size(xs)
+        starts = F.when(n > 0, F.sequence(F.lit(1), n, F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+        blocks = F.transform(starts, lambda at: pick(xs, at, F.least(at + (BLOCK - 1), n)))
+        return let(blocks, lambda bs: let(F.transform(bs, fold), lambda totals: F.flatten(per_block(bs, totals))))
 
     return let(items, blocked)
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sieveline.functions.expr import BLOCK, let, prefixes
+from sieveline.functions.expr import BLOCK, let, pick, prefixes
 from sieveline.functions.regex import GroupPattern, group_pattern, java_pattern
 
 SPAN = "struct<start:int,end:int,ord:int,type:string,rule:string,value:string,ordinal:int>"
@@ -111,9 +111,8 @@ def _islands(ordered: Column, touching: bool) -> Column:
 
     flags = F.zip_with(ordered, reach, opens)
     heads = F.filter(F.transform(flags, lambda f, i: F.when(f, i + 1)), lambda i: i.isNotNull())
-    # Elements are picked one by one: a slice would walk the whole array for every run.
-    return let(heads, lambda hs: F.transform(hs, lambda at, k: F.transform(
-        F.sequence(at, F.coalesce(F.try_element_at(hs, k + 2) - 1, F.size(ordered))), lambda j: F.element_at(ordered, j))))
+    return let(heads, lambda hs: F.transform(hs, lambda at, k: pick(
+        ordered, at, F.coalesce(F.try_element_at(hs, k + 2) - 1, F.size(ordered)))))
 
 
 def _greedy(spans: Column, keys: Callable[[Column], Sequence[Column]]) -> Column:
@@ -174,6 +173,9 @@ def values_by_type(spans: Column) -> Column:
 def apply_replacements(text: Column, replacements: Column) -> Column:
     """Rewrite a text by disjoint replacements (any order)."""
 
+    def size_of(ordered: Column) -> Column:
+        return F.greatest(F.lit(BLOCK), F.sqrt(F.size(ordered)).cast("int"))
+
     def region(t: Column, ordered: Column, at: Column) -> Column:
         """Text from behind replacement ``at - 1`` up to the end of the block starting at ``at``, rewritten."""
         base = F.when(at == 1, F.lit(0)).otherwise(F.try_element_at(ordered, at - 1)["end"])
@@ -188,11 +190,13 @@ def apply_replacements(text: Column, replacements: Column) -> Column:
 
             return let(F.substring(t, base + 1, F.element_at(block, -1)["end"] - base), piece)
 
-        return let(F.slice(ordered, at, F.lit(BLOCK)), lambda block: let(base, lambda b: within(block, b)))
+        last = F.least(at + (size_of(ordered) - 1), F.size(ordered))
+        return let(pick(ordered, at, last), lambda block: let(base, lambda b: within(block, b)))
 
     def rebuilt(t: Column, ordered: Column) -> Column:
         # A substring is counted from the start of its text, so it is taken from short regions, not from the whole.
-        starts = F.sequence(F.lit(1), F.size(ordered), F.lit(BLOCK))
+        # With blocks of sqrt(n) replacements, finding the regions and working inside them cost the same.
+        starts = F.sequence(F.lit(1), F.size(ordered), size_of(ordered))
         tail_from = F.try_element_at(ordered, F.lit(-1))["end"]
         return F.concat(F.array_join(F.transform(starts, lambda at: region(t, ordered, at)), ""),
                         F.substring(t, tail_from + 1, F.length(t)))
