@@ -64,7 +64,7 @@ def stream_audit_sink(t: Tables) -> DataFrame:
     return lines.groupBy("index", F.get_json_object("value", "$.event_type").alias("event_type"), "date").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT event_id, user_id % 3 AS rule FROM events WHERE user_id % 3 < 2")
+@query("SELECT event_id, user_id % 2 AS rule FROM events")
 def stream_policy_refresh(t: Tables) -> DataFrame:
     work = _work(t, "policy")
 
@@ -72,7 +72,7 @@ def stream_policy_refresh(t: Tables) -> DataFrame:
         return t.nation.where(F.col("n_nationkey") < 2).select(F.lit("f").alias("filter_id"), F.lit("default").alias("scope"), F.col("n_nationkey").cast("string").alias("id"), F.lit("block").alias("action"), F.lit("x").alias("rule"))
 
     def apply(batch: DataFrame, rules: DataFrame) -> DataFrame:
-        return batch.join(rules.select(F.col("id").cast("bigint").alias("rule")), F.col("user_id") % 3 == F.col("rule")).select("event_id", "rule")
+        return batch.join(rules.select(F.col("id").cast("bigint").alias("rule")), F.col("user_id") % 2 == F.col("rule")).select("event_id", "rule")
 
     jobs.stream_policy_refresh(_stream(t, "events").select("event_id", "user_id"), policy, apply, f"{work}/out", f"{work}/ckpt", every=None).awaitTermination()
     return t.spark.read.parquet(f"{work}/out").select("event_id", "rule")
