@@ -1 +1,16 @@
+"""Queries of operators that compare or combine documents."""
 
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sieveline.llm import pack
+from sieveline.llm.registry import query, table
+
+
+@query()
+def op3_pack_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack.pack_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
