@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sieveline.llm import decontaminate
+from sieveline.llm import decontaminate, license_templates, secret_ledger, url_rules
 from sieveline.llm.registry import query, table
 
 
@@ -27,3 +28,40 @@ FROM w LEFT JOIN words_hit h ON w.id = h.id LEFT JOIN found f ON w.id = f.id
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.report(hits)
+
+
+@query()
+def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = secret_ledger.scan_versions(table(spark, sf_dir, "documents"))
+    spans = F.col("spans")
+    count = lambda kind: F.size(secret_ledger.of_kinds(spans, (kind,))).cast("long").alias(f"n_{kind}")
+    base = secret_ledger.of_kinds(spans, [r.kind for r in secret_ledger.BASE])
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secret_ledger.listed(base), 256).alias("base_sha256"),
+                        secret_ledger.listed(spans).alias("spans"))
+
+
+@query()
+def op6_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_templates.scan_licenses(table(spark, sf_dir, "documents"))
+    own = F.transform("matches", lambda m: m["label"])
+    labels = F.array_sort(F.array_distinct(F.concat("base_labels", own)))
+    score = F.when(F.size("matches") > 0, 1.0).when(F.col("n_base") > 0, 0.5).otherwise(0.0)
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
+                        F.array_join(labels, ",").alias("labels"), score.alias("score"))
+
+
+@query(r"""
+WITH u AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+hp AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+rules(verdict, h, p) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+best AS (SELECT page_id, max_by(h || p, length(h || p)) AS rule, max_by(verdict, length(h || p)) AS verdict
+         FROM hp JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT hp.page_id, host, path, rule,
+       CASE WHEN best.verdict IS NOT NULL THEN best.verdict
+            WHEN host GLOB '*spam-*' OR host GLOB '*cheap-pills*' OR host GLOB '*casino*' OR host GLOB '*free-*download*'
+              OR path GLOB '*/wp-login.*' OR path GLOB '*.exe' OR path GLOB '*.zip' THEN 'block' ELSE 'allow' END AS verdict
+FROM hp LEFT JOIN best ON hp.page_id = best.page_id
+""")
+def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
