@@ -102,20 +102,20 @@ def drop_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
                    min_hit_words: int = 1) -> DataFrame:
     """``docs`` without those that have ``min_hit_words`` or more words inside benchmark windows. All columns stay."""
     bad = find_hits(docs, benchmark, text_col, (id_col,), size).where(covered(F.col("hits")) >= min_hit_words).select(F.col(id_col).alias("_bad"))
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
     """``docs`` with the words inside benchmark windows cut from the text, each with the gap behind it."""
-    hits = find_hits(docs, benchmark, text_col, (id_col,), size).where(F.size("hits") > 0).select(F.col(id_col).alias("_id"), "hits")
-    text = F.col(text_col)
+    found = find_hits(docs, benchmark, text_col, (id_col,), size).where(F.size("hits") > 0).select(F.col(id_col).alias("_id"), F.col("hits").alias("_hits"))
+    text, hits = docs[text_col], found["_hits"]
+    words, gaps = F.regexp_extract_all(text, F.lit(f"({ANY_CASE_WORD})"), 1), F.split(text, ANY_CASE_WORD)
 
     def cut(words: Column, gaps: Column) -> Column:
-        kept = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: ~F.exists("hits", lambda h: (i > h["start"]) & (i <= h["start"] + h["n"])))
+        kept = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: ~F.exists(hits, lambda h: (i > h["start"]) & (i <= h["start"] + h["n"])))
         return let(words, lambda w: let(gaps, lambda g: F.concat(F.element_at(g, 1), F.array_join(
             F.transform(kept, lambda i: F.concat(F.element_at(w, i), F.element_at(g, i + 1))), ""))))
 
-    whole = cut(F.regexp_extract_all(text, F.lit(f"({ANY_CASE_WORD})"), 1), F.split(text, ANY_CASE_WORD))
-    joined = docs.join(hits, docs[id_col].eqNullSafe(F.col("_id")), "left")
-    clean = F.when(F.size("hits") > 0, whole).otherwise(text)
+    clean = F.when(F.size(hits) > 0, cut(words, gaps)).otherwise(text)
+    joined = docs.join(found, docs[id_col].eqNullSafe(found["_id"]), "left")
     return joined.select(*[clean.alias(c) if c == text_col else docs[c] for c in docs.columns])

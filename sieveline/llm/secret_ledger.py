@@ -129,13 +129,15 @@ def mask_secrets(docs: DataFrame, key: str = "doc_id", text_col: str = "text", m
     """``docs`` with every span found replaced by ``mark``; overlapping spans are one. Rows without findings stay as they are."""
     spans, _ = scan_versions(docs, text_col=text_col, keys=(key,))
     hits = spans.where(F.size("spans") > 0).groupBy(F.col(key).alias("_key"), "blob").agg(F.any_value("spans").alias("_spans"))
-    blob = F.unhex(F.sha2(F.coalesce(text_col, F.lit("")), 256))
-    joined = docs.join(hits, docs[key].eqNullSafe(F.col("_key")) & (blob == F.col("blob")), "left")
-    # From behind, so that places found stay valid; a span that reaches into the one before it is joined to it first.
+    blob = F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256))
+    joined = docs.join(hits, docs[key].eqNullSafe(hits["_key"]) & (blob == hits["blob"]), "left")
+    text = docs[text_col]
+    between = lambda a, b: F.substr(text, (a + 1).cast("int"), (b - a).cast("int"))
+    # From the front; a span that begins inside the one before it only prolongs it.
     first = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
     step = lambda acc, s: F.struct(
-        F.when(s["start"] < acc["at"], acc["done"]).otherwise(F.concat(acc["done"], F.substr(F.col(text_col), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))).alias("done"),
+        F.when((s["start"] < acc["at"]), acc["done"]).otherwise(F.concat(acc["done"], between(acc["at"], s["start"]), F.lit(mark))).alias("done"),
         F.greatest(acc["at"], s["end"]).alias("at"))
-    end = lambda acc: F.concat(acc["done"], F.substr(F.col(text_col), (acc["at"] + 1).cast("int")))
-    clean = F.when(F.col("_spans").isNotNull(), F.aggregate("_spans", first, step, end)).otherwise(F.col(text_col))
+    end = lambda acc: F.concat(acc["done"], F.substr(text, (acc["at"] + 1).cast("int")))
+    clean = F.when(hits["_spans"].isNotNull(), F.aggregate(hits["_spans"], first, step, end)).otherwise(text)
     return joined.select(*[clean.alias(c) if c == text_col else docs[c] for c in docs.columns])
