@@ -84,9 +84,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     Counting is a Spark job; only the most frequent words and trigrams of each language are gathered.
     """
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    chosen = bounded(rows.select(id_col), id_col, sample).distinct().select(F.col(id_col).alias("_id"))
-    texts = rows.join(F.broadcast(chosen), F.col(id_col).eqNullSafe(F.col("_id"))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+    chosen = bounded(rows.select("id"), "id", sample).distinct().select(F.col("id").alias("chosen"))
+    texts = rows.join(F.broadcast(chosen), F.col("id").eqNullSafe(F.col("chosen"))).select("lang", "text")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, str], Counter] = {}
