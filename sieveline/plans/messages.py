@@ -8,24 +8,22 @@ from pyspark.sql import functions as F
 from sieveline.functions import catalog as C
 from sieveline.functions import messages as M
 from sieveline.functions import text as X
+from sieveline.operators import turns
 from sieveline.plans import inputs as I
 from sieveline.plans.registry import Tables, query
 from sieveline.sources import readers
 
 
-def _convs(t: Tables) -> DataFrame:
-    return readers.scan_conversations(t.conversations)
+def _per_conversation(t: Tables, *aggregates: Column) -> DataFrame:
+    return t.conversations.groupBy("conv_id").agg(*aggregates)
 
 
-def _m() -> Column:
-    return F.col("messages")
-
-
-@query("""SELECT conv_id, (turn // 1024)::INT AS part, count(*)::INT AS n, string_agg(role, ',' ORDER BY turn) AS roles, md5(string_agg(text, '|' ORDER BY turn)) AS digest
-  FROM conversations GROUP BY conv_id, turn // 1024""")
+@query("""SELECT conv_id, count(*)::INT AS n, string_agg(role, ',' ORDER BY turn) AS roles, md5(string_agg(text, '|' ORDER BY turn)) AS digest
+  FROM conversations GROUP BY conv_id""")
 def scan_conversations(t: Tables) -> DataFrame:
-    return _convs(t).select("conv_id", "part", F.size("messages").alias("n"), F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"),
-                            F.md5(F.array_join(F.transform("messages", lambda m: m["content"]), "|")).alias("digest"))
+    rows = readers.scan_conversations(t.conversations)
+    return rows.select("conv_id", F.size("messages").alias("n"), F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"),
+                       F.md5(F.array_join(F.transform("messages", lambda m: m["content"]), "|")).alias("digest"))
 
 
 def _last_sql(role: str) -> str:
@@ -34,49 +32,48 @@ def _last_sql(role: str) -> str:
 
 @query(_last_sql("user"))
 def last_user_message(t: Tables) -> DataFrame:
-    return _convs(t).select("conv_id", F.md5(M.last_user_message(_m())).alias("digest"))
+    return _per_conversation(t, F.md5(turns.last_text("user")).alias("digest"))
 
 
 @query(_last_sql("assistant"))
 def last_assistant_message(t: Tables) -> DataFrame:
-    return _convs(t).select("conv_id", F.md5(M.last_assistant_message(_m())).alias("digest"))
+    return _per_conversation(t, F.md5(turns.last_text("assistant")).alias("digest"))
 
 
 @query("SELECT conv_id, md5(max_by(text, turn)) AS digest FROM conversations GROUP BY conv_id")
 def last_message(t: Tables) -> DataFrame:
-    return _convs(t).select("conv_id", F.md5(M.last_message(_m())).alias("digest"))
+    return _per_conversation(t, F.md5(turns.last_text()).alias("digest"))
 
 
 @query("SELECT conv_id, md5(min_by(text, turn) FILTER (role = 'system')) AS digest FROM conversations GROUP BY conv_id")
 def get_system_message(t: Tables) -> DataFrame:
-    return _convs(t).select("conv_id", F.md5(M.get_system_message(_m())["content"]).alias("digest"))
+    return _per_conversation(t, F.md5(turns.system_text()).alias("digest"))
 
 
-@query("SELECT conv_id, (count(*) FILTER (role <> 'system'))::INT AS n, md5(coalesce(string_agg(text, '|' ORDER BY turn) FILTER (role <> 'system'), '')) AS digest FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, turn, role, md5(text) AS digest FROM conversations WHERE role <> 'system'")
 def remove_system_messages(t: Tables) -> DataFrame:
-    rest = _convs(t).select("conv_id", M.remove_system_messages(_m()).alias("r"))
-    return rest.select("conv_id", F.size("r").alias("n"), F.md5(F.array_join(F.transform("r", lambda m: m["content"]), "|")).alias("digest"))
+    return turns.without_system(t.conversations).select("conv_id", "turn", "role", F.md5("text").alias("digest"))
 
 
-@query("""SELECT conv_id, md5(min_by(text, turn) FILTER (role = 'system')) AS system_digest, (count(*) FILTER (role <> 'system'))::INT AS n_rest FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id, md5(min_by(text, turn) FILTER (role = 'system')) AS system_digest, (count(*) FILTER (role <> 'system'))::BIGINT AS n_rest FROM conversations GROUP BY conv_id""")
 def pop_system_message(t: Tables) -> DataFrame:
-    popped = _convs(t).select("conv_id", M.pop_system_message(_m()).alias("p"))
-    return popped.select("conv_id", F.md5("p.system.content").alias("system_digest"), F.size("p.rest").alias("n_rest"))
+    return turns.pop_system(t.conversations).select("conv_id", F.md5("system").alias("system_digest"), "n_rest")
 
 
-@query("""WITH h AS (SELECT conv_id, min_by(role, turn) AS role, min_by(text, turn) AS text, count(*) AS n FROM conversations GROUP BY conv_id)
-  SELECT conv_id, md5(CASE WHEN role = 'system' THEN 'be brief' || chr(10) || text ELSE 'be brief' END) AS digest, (n + CASE WHEN role = 'system' THEN 0 ELSE 1 END)::INT AS n FROM h""")
+@query("""WITH h AS (SELECT *, first_value(role) OVER w AS lead, first_value(turn) OVER w AS head FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+  SELECT conv_id, turn, role, md5(CASE WHEN turn = head AND role = 'system' THEN 'be brief' || chr(10) || text ELSE text END) AS digest FROM h
+  UNION ALL SELECT DISTINCT conv_id, head - 1, 'system', md5('be brief') FROM h WHERE lead <> 'system'""")
 def upsert_system_message(t: Tables) -> DataFrame:
-    out = _convs(t).select("conv_id", M.upsert_system_message(_m(), F.lit("be brief")).alias("m"))
-    return out.select("conv_id", F.md5(F.try_element_at("m", F.lit(1))["content"]).alias("digest"), F.size("m").alias("n"))
+    out = turns.upsert_system(t.conversations, F.lit("be brief"))
+    return out.select("conv_id", "turn", "role", F.md5("text").alias("digest"))
 
 
-@query(f"""WITH h AS (SELECT conv_id, count(*) AS n, bool_or(text LIKE '%@%') AS need, bool_or(role = 'system' AND contains(text, '{C.LANGUAGE_MARKER}')) AS told FROM conversations GROUP BY conv_id)
-  SELECT conv_id, (n + CASE WHEN need AND NOT told THEN 1 ELSE 0 END)::INT AS n, need AND NOT told AS added FROM h""")
+@query(f"""WITH h AS (SELECT conv_id, min(turn) AS head, bool_or(contains(text, '@')) AS need, bool_or(role = 'system' AND contains(text, '{C.LANGUAGE_MARKER}')) AS told FROM conversations GROUP BY conv_id)
+  SELECT conv_id, turn, role, md5(text) AS digest FROM conversations
+  UNION ALL SELECT conv_id, head - 1, 'system', md5('{C.LANGUAGE_PROMPT.replace("'", "''")}') FROM h WHERE need AND NOT told""")
 def ensure_language_prompt(t: Tables) -> DataFrame:
-    need = F.exists("messages", lambda m: F.contains(m["content"], F.lit("@")))
-    out = _convs(t).select("conv_id", M.ensure_language_prompt(_m(), need).alias("m"))
-    return out.select("conv_id", F.size("m").alias("n"), (F.try_element_at("m", F.lit(1))["content"] == C.LANGUAGE_PROMPT).alias("added"))
+    out = turns.ensure_language(t.conversations, F.contains("text", F.lit("@")))
+    return out.select("conv_id", "turn", "role", F.md5("text").alias("digest"))
 
 
 @query("""SELECT conv_id, turn, role, md5(text) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE role = 'user') WHERE r = 1""")
@@ -91,7 +88,7 @@ def recent_history(t: Tables) -> DataFrame:
 
 @query("""WITH h AS (SELECT conv_id, max_by(text, turn) FILTER (role = 'user') AS u FROM conversations GROUP BY conv_id) SELECT (count(*) FILTER (coalesce(u, '') <> ''))::BIGINT AS ok, (count(*) FILTER (coalesce(u, '') = ''))::BIGINT AS rejected FROM h""")
 def reject_invalid_prompt(t: Tables) -> DataFrame:
-    asked = _convs(t).select("conv_id", M.last_user_message(_m()).alias("u"))
+    asked = _per_conversation(t, turns.last_text("user").alias("u"))
     ok, bad = readers.reject_invalid_prompt(asked, "u")
     both = ok.select(F.lit(1).alias("ok"), F.lit(0).alias("rejected")).unionByName(bad.select(F.lit(0).alias("ok"), F.lit(1).alias("rejected")))
     return both.agg(F.sum("ok").alias("ok"), F.sum("rejected").alias("rejected"))

@@ -12,9 +12,6 @@ from sieveline.functions.text import user_key
 from sieveline.operators.rules import quarantine_rules
 from sieveline.schemas import LOG_BATCH, MESSAGE, OUTPUTS, PROMPTS, RULE_EXPORT
 
-# Messages of one conversation are packed into rows of at most this many turns.
-TURNS_PER_ROW = 1024
-
 
 def _with_defaults(df: DataFrame) -> DataFrame:
     empty = F.lit("")
@@ -33,18 +30,16 @@ def scan_outputs(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame
     return _with_defaults(spark.read.schema(OUTPUTS).format(fmt).load(path))
 
 
-def scan_conversations(long: DataFrame, *, key: str = "conv_id", turn: str = "turn", role: str = "role",
-                       text: str = "text", turns_per_row: int = TURNS_PER_ROW) -> DataFrame:
-    """Messages in turn order: one row ``(key, part, messages)`` per conversation and block of ``turns_per_row`` turns.
+def scan_conversations(long: DataFrame, *, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """One row ``(key, messages)`` per conversation, its messages in turn order.
 
-    Ordinary conversations are a single row with part 0. A conversation with millions of turns becomes many rows instead
-    of one array no executor can hold; nothing is cut off.
+    The array is as large as the conversation: that is what this form is for. Lookups and edits of stored turns that need no
+    array are in ``operators.turns``.
     """
     packed = F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), F.col(role).alias("r"), F.col(text).alias("x"))))
     parts = F.lit(None).cast("array<struct<type:string,text:string>>")
-    return (long.groupBy(key, F.floor(F.col(turn) / turns_per_row).cast("int").alias("part")).agg(packed.alias("__m"))
-            .select(key, "part", F.transform("__m", lambda m: F.struct(
-                m["r"].alias("role"), m["x"].alias("content"), parts.alias("parts")).cast(MESSAGE)).alias("messages")))
+    return long.groupBy(key).agg(packed.alias("__m")).select(key, F.transform("__m", lambda m: F.struct(
+        m["r"].alias("role"), m["x"].alias("content"), parts.alias("parts")).cast(MESSAGE)).alias("messages"))
 
 
 def latest_turn(long: DataFrame, role: str | None = None, *, key: str = "conv_id", turn: str = "turn") -> DataFrame:

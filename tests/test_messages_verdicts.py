@@ -1,9 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sieveline.functions import catalog as C
 from sieveline.functions import messages as M
 from sieveline.functions import verdicts as V
 from sieveline.functions.verdicts import salvage_object
+from sieveline.operators import turns
 from sieveline.schemas import MESSAGES
 from sieveline.sources import readers
 
@@ -31,13 +33,31 @@ def test_message_lookups(chats):
     assert _eval(chats, M.last_message(M.replace_last_content(m, F.lit("X"))))[:3] == ["X", "X", ""]
 
 
-def test_long_conversations_become_several_rows(spark):
-    long = spark.range(2500).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.col("id").cast("string").alias("text"))
-    rows = readers.scan_conversations(long).orderBy("part").collect()
-    assert [len(r.messages) for r in rows] == [1024, 1024, 452]
-    assert [m.content for r in rows for m in r.messages] == [str(i) for i in range(2500)]
-    assert readers.latest_turn(long, "user").first().text == "2498"
-    assert [r.text for r in readers.recent_history(long, 3).orderBy("age").collect()] == ["2499", "2498", "2497"]
+def test_long_conversations_stay_whole(spark):
+    role = F.when(F.col("id") == 0, "system").when(F.col("id") % 2 == 0, "user").otherwise("assistant")
+    long = spark.range(2500).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.concat(F.lit("t"), "id").alias("text")).repartition(5)
+    (row,) = readers.scan_conversations(long).collect()
+    assert [m.content for m in row.messages] == [f"t{i}" for i in range(2500)]
+    (found,) = long.groupBy("conv_id").agg(turns.last_text("user").alias("u"), turns.last_text("assistant").alias("a"), turns.last_text().alias("l"), turns.system_text().alias("s")).collect()
+    assert (found.u, found.a, found.l, found.s) == ("t2498", "t2499", "t2499", "t0")
+    assert readers.latest_turn(long, "user").first().text == "t2498"
+    assert [r.text for r in readers.recent_history(long, 3).orderBy("age").collect()] == ["t2499", "t2498", "t2497"]
+    told = turns.upsert_system(long, F.lit("new"))
+    assert told.count() == 2500 and [r.text for r in told.where("role = 'system'").collect()] == ["new\nt0"]
+    ok, bad = readers.reject_invalid_prompt(long.groupBy("conv_id").agg(turns.last_text("user").alias("u")), "u")
+    assert (ok.count(), bad.count()) == (1, 0)
+
+
+def test_edits_of_stored_turns(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "system", "s"), (2, 5, "system", f"x {C.LANGUAGE_MARKER}"), (2, 6, None, None), (3, 0, "user", "b"), (None, 3, "system", "n")]
+    long = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    got = lambda df: sorted(((r.conv_id, r.turn, r.role, r.text) for r in df.select("conv_id", "turn", "role", "text").collect()), key=str)
+    fresh = [(1, -1, "system", "new"), (1, 0, "user", "a"), (1, 1, "system", "s"), (2, 5, "system", f"new\nx {C.LANGUAGE_MARKER}"), (2, 6, None, None),
+             (3, -1, "system", "new"), (3, 0, "user", "b"), (None, 3, "system", "new\nn")]
+    assert got(turns.upsert_system(long, F.lit("new"))) == sorted(fresh, key=str)
+    more = [(1, -1, "system", C.LANGUAGE_PROMPT), (3, -1, "system", C.LANGUAGE_PROMPT), (None, 2, "system", C.LANGUAGE_PROMPT)]
+    assert got(turns.ensure_language(long, F.lit(True))) == sorted(rows + more, key=str)
+    assert got(turns.without_system(long)) == [(1, 0, "user", "a"), (3, 0, "user", "b")]
 
 
 def test_recent_history_limits_before_the_shuffle(spark):
