@@ -5,21 +5,22 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sieveline.functions import catalog as C
 from sieveline.functions.regex import FLAG_DOTALL, FLAG_IGNORECASE, FLAG_MULTILINE, FLAG_VERBOSE
-from sieveline.operators.rules import rule_batches
 
 
 def order_rules(rules: DataFrame) -> DataFrame:
     """Rules ranked by action, descending as text (masking, block, accept); within an action the id decides.
 
-    The rank of the action, not a row number, is stored: there are only a handful of actions, while numbering rows would
-    pull the table through one task.
+    The rank of the action, not a row number, is stored: numbering rows would pull the table through one task, while
+    only one row per action is ranked here. A rule without an action has no rank.
     """
-    actions = rules.agg(F.reverse(F.array_sort(F.collect_set("action")))).scalar()
-    return rules.withColumn("ord", F.array_position(actions, F.col("action")).cast("int") - 1)
+    ranks = rules.select(F.col("action").alias("__action")).where("__action IS NOT NULL").distinct().withColumn(
+        "ord", F.dense_rank().over(W.orderBy(F.desc("__action"))) - 1)
+    return rules.join(ranks, F.col("action") == F.col("__action"), "left").drop("__action")
 
 
 def join_bindings_rules(bindings: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -39,9 +40,14 @@ def filters_in_use(filters: DataFrame, bindings: DataFrame) -> DataFrame:
 
 
 def join_user_scope(bound: DataFrame, users: DataFrame) -> DataFrame:
-    """User-scoped rules get the user's row; other scopes, and unknown users, keep null."""
+    """User-scoped rules get the user's row; other scopes, and unknown users, keep null.
+
+    Only user-scoped rows are joined: the others, most of them without a subject, would all meet under one key.
+    """
     u = users.select(F.col("id").alias("__uid"), F.struct(*users.columns).alias("subject_val"))
-    return bound.join(u, (F.col("subject_id") == F.col("__uid")) & (F.col("scope") == "user"), "left").drop("__uid")
+    named = F.coalesce(F.col("scope") == "user", F.lit(False)) & F.col("subject_id").isNotNull()
+    joined = bound.where(named).join(u, F.col("subject_id") == F.col("__uid"), "left").drop("__uid")
+    return joined.unionByName(bound.where(~named).withColumn("subject_val", F.lit(None).cast(joined.schema["subject_val"].dataType)))
 
 
 def inline_flags(flags: Column) -> Column:
@@ -75,41 +81,53 @@ def rule_count(scope_map: DataFrame) -> DataFrame:
 
 def effective_rules(requests: DataFrame, scope_map: DataFrame, *, message_id: str = "message_id", user: str = "user_uuid",
                     service: str = "ai_service", group: str = "user_group_id") -> DataFrame:
-    """Rules that apply to each request, ranked user, service, group, default.
+    """Rules that apply to single requests through their user, service or group, ranked in that order.
 
-    The three subject scopes are one equi join on (scope, subject). Default rules apply to every request and have no
-    key to join on; they are attached as literals, batch by batch.
+    Default rules apply to every request alike and are not repeated for each: ``default_rules`` gives them once. Each scope
+    is a join of its own. Users are many and even; services and groups are few, so their rules are first packed into one
+    row per subject, which leaves the side that a hot subject's requests are joined to small.
     """
-    subjects = F.array(*[F.struct(F.lit(i).alias("scope_rank"), F.lit(s).alias("scope"), F.col(c).cast("string").alias("subject_id"))
-                         for i, (s, c) in enumerate((("user", user), ("service", service), ("group", group)))])
-    asked = requests.select(message_id, F.inline(subjects)).where(F.col("subject_id").isNotNull())
     rules = scope_map.select("scope", "subject_id", "filter_id", F.col("ord"), F.col("id").alias("rule_id"), "action")
-    columns = [message_id, "scope_rank", "scope", "filter_id", "ord", "rule_id", "action"]
-    out = asked.join(rules.where(F.col("scope") != "default"), ["scope", "subject_id"]).select(*columns)
-    default = scope_map.where(F.col("scope") == "default").withColumn("name", F.col("filter_id"))
-    for batch in rule_batches(default):
-        attached = F.array(*[F.struct(
-            F.lit(3).alias("scope_rank"), F.lit("default").alias("scope"), F.lit(r.name).alias("filter_id"),
-            F.lit(r.ord).alias("ord"), F.lit(r.id).alias("rule_id"), F.lit(r.action).alias("action")) for r in batch])
-        out = out.unionByName(requests.select(message_id, F.inline(attached)))
+    out = None
+    for rank, (scope, subject) in enumerate((("user", user), ("service", service), ("group", group))):
+        entry = F.struct(F.lit(rank).alias("scope_rank"), "scope", "filter_id", "ord", "rule_id", "action")
+        packed = rules.where(F.col("scope") == scope).groupBy("subject_id").agg(F.collect_list(entry).alias("__rules"))
+        asked = requests.select(message_id, F.col(subject).cast("string").alias("subject_id")).where(F.col("subject_id").isNotNull())
+        part = asked.join(packed, "subject_id").select(message_id, F.inline("__rules"))
+        out = part if out is None else out.unionByName(part)
     return out
 
 
+def default_rules(scope_map: DataFrame) -> DataFrame:
+    """Rules that apply to every request, once, in the columns of ``effective_rules``."""
+    return scope_map.where(F.col("scope") == "default").select(
+        F.lit(3).alias("scope_rank"), "scope", "filter_id", "ord", F.col("id").alias("rule_id"), "action")
+
+
 def policy_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rules added, removed or modified per filter and scope; a new name alone is no change.
 
-    Counts matter too: the same rule bound twice is another policy than bound once.
+    A filter's scope for which ``new`` has no rule at all is unchanged. Counts matter: the same rule bound twice is another
+    policy than bound once.
     """
-    keys = ["filter_id", "scope", "id"]
-
     def side(df: DataFrame, old_: int, new_: int) -> DataFrame:
-        return df.select(*keys, "action", "rule", F.lit(old_).alias("old"), F.lit(new_).alias("new"))
+        return df.select(*_RULE_KEYS, "action", "rule", F.lit(old_).alias("old"), F.lit(new_).alias("new"))
+
+    return diff_of_sides(side(old, 1, 0).unionByName(side(new, 0, 1)))
+
+
+_RULE_KEYS = ("filter_id", "scope", "id")
+
 
-    # Two hash aggregations over plain counts; grouping treats nulls as equal, as the comparison must.
-    variants = side(old, 1, 0).unionByName(side(new, 0, 1)).groupBy(*keys, "action", "rule").agg(F.sum("old").alias("o"), F.sum("new").alias("n"))
-    rules = variants.groupBy(*keys).agg(F.sum("o").alias("o"), F.sum("n").alias("n"), F.bool_or(F.col("o") != F.col("n")).alias("differs"))
+def diff_of_sides(sides: DataFrame) -> DataFrame:
+    """``policy_diff`` of one table that holds both policies: columns ``old`` and ``new`` count a row for either side."""
+    # Hash aggregations over plain counts; grouping treats nulls as equal, as the comparison must.
+    variants = sides.groupBy(*_RULE_KEYS, "action", "rule").agg(F.sum("old").alias("o"), F.sum("new").alias("n"))
+    rules = variants.groupBy(*_RULE_KEYS).agg(F.sum("o").alias("o"), F.sum("n").alias("n"), F.bool_or(F.col("o") != F.col("n")).alias("differs"))
+    listed = rules.where(F.col("n") > 0).select(F.col("filter_id").alias("__f"), F.col("scope").alias("__s")).distinct()
     change = F.when(F.col("o") == 0, "added").when(F.col("n") == 0, "removed").when(F.col("differs"), "modified")
-    return rules.select(*keys, change.alias("change")).where(F.col("change").isNotNull())
+    changed = rules.select(*_RULE_KEYS, change.alias("change")).where(F.col("change").isNotNull())
+    return changed.join(listed, F.col("filter_id").eqNullSafe(F.col("__f")) & F.col("scope").eqNullSafe(F.col("__s")), "left_semi")
 
 
 def policy_changed(old: DataFrame, new: DataFrame) -> bool:

@@ -1,14 +1,14 @@
 """Rules as data: validation, text-by-rule matching, detection plans.
 
 A rule table is written by administrators, so it is small next to the texts. Rules are unrolled into literal patterns
-(compiled once per task) and tested inside the text's own row: no join, no shuffle, no pair that is not a hit. Tables
-above ``RULES_PER_PASS`` rules are handled in several passes over the text; nothing is dropped.
+(compiled once per task) and tested inside the text's own row: no join, no shuffle, no pair that is not a hit. Any number
+of rules is one scan of the texts; large tables are unrolled into several arrays of one projection.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -21,7 +21,8 @@ from sieveline.functions.expr import let, unnest
 from sieveline.functions.regex import engine_problem, java_pattern, rule_problem
 from sieveline.functions.text import decode_rule
 
-RULES_PER_PASS = 200
+#: Rules unrolled into one array expression, and rules a table may have at most: more is an error, never a cut.
+RULES_PER_ARRAY, MOST_RULES = 200, 50_000
 RULE_COLUMNS = ("ord", "id", "name", "rule", "action", "regex_flag", "regex_group_val")
 DOTALL = 16
 
@@ -66,36 +67,20 @@ def normalize_rules(rules: DataFrame) -> DataFrame:
         (F.col("regex_group_val") if "regex_group_val" in have else F.lit(None).cast("string")).alias("regex_group_val"))
 
 
-def rule_batches(rules: DataFrame, per_pass: int = RULES_PER_PASS) -> Iterator[list[Rule]]:
-    """The rule table in bounded batches, in (ord, id) order."""
-    table = normalize_rules(rules)
-    last: tuple[int, str] | None = None
-    while True:
-        rest = table if last is None else table.where(
-            (F.col("ord") > last[0]) | ((F.col("ord") == last[0]) & (F.col("id") > last[1])))
-        rows = rest.orderBy("ord", "id").limit(per_pass).collect()
-        if rows:
-            yield [Rule(r.ord, r.id, r.name, r.rule, r.action, r.regex_flag, r.regex_group_val) for r in rows]
-        if len(rows) < per_pass:
-            return
-        last = (rows[-1].ord, rows[-1].id)
-
-
-def _batches(rules: DataFrame | Sequence[Rule]) -> Iterator[Sequence[Rule]]:
-    if isinstance(rules, DataFrame):
-        yield from rule_batches(rules)
-    else:
-        for i in range(0, len(rules), RULES_PER_PASS):
-            yield rules[i:i + RULES_PER_PASS]
-
-
-def _union(parts: list[DataFrame], empty: Callable[[], DataFrame]) -> DataFrame:
-    if not parts:
-        return empty()
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def load_rules(rules: DataFrame, most: int = MOST_RULES) -> list[Rule]:
+    """All rules of a table, in an order of all columns, so that equal and null keys are in it as well."""
+    rows = normalize_rules(rules).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules; texts are matched with a table that administrators write")
+    rows.sort(key=lambda r: tuple((v is not None, v) for v in r))
+    return [Rule(r.ord, r.id, r.name, r.rule, r.action, r.regex_flag, r.regex_group_val) for r in rows]
+
+
+def _arrays(rules: DataFrame | Sequence[Rule], array: Callable[[Sequence[Rule]], Column], kind: str) -> Column:
+    """One array for all rules, put together from arrays of a bounded number of rules each."""
+    rows = load_rules(rules) if isinstance(rules, DataFrame) else list(rules)
+    parts = [array(rows[i:i + RULES_PER_ARRAY]) for i in range(0, len(rows), RULES_PER_ARRAY)]
+    return F.concat(*parts) if len(parts) > 1 else parts[0] if parts else F.array().cast(kind)
 
 
 # --- loading ---------------------------------------------------------------------------------------------------------
@@ -164,18 +149,15 @@ def rule_spans(text: Column, rules: Sequence[Rule], *, lower_type: bool = True)
 
 def join_text_rules(df: DataFrame, keys: Sequence[str], text: str, rules: DataFrame | Sequence[Rule]) -> DataFrame:
     """One row per text and rule that occurs in it."""
-    parts = [unnest(df, keys, matching_rules(F.col(text), batch), "ord") for batch in _batches(rules)]
-    return _union(parts, lambda: df.select(*keys, F.inline(F.array().cast(f"array<{HEADER}>"))))
+    return unnest(df, keys, _arrays(rules, lambda part: matching_rules(F.col(text), part), f"array<{HEADER}>"), "ord")
 
 
 def detect_rules(df: DataFrame, keys: Sequence[str], text: str, rules: DataFrame | Sequence[Rule]) -> DataFrame:
     """One row per hit: keys, rule, ordinal of the hit within text and rule, offsets, value."""
-    parts = []
-    for batch in _batches(rules):
-        hits = F.transform(rule_spans(F.col(text), batch), lambda s: F.struct(*[s[c].alias(c) for c in HIT_COLUMNS]))
-        parts.append(unnest(df, keys, hits, "ord"))
-    return _union(parts, lambda: df.select(*keys, F.inline(F.array().cast(
-        "array<struct<ord:int,rule:string,ordinal:int,start:int,end:int,value:string>>"))))
+    def hits(part: Sequence[Rule]) -> Column:
+        return F.transform(rule_spans(F.col(text), part), lambda s: F.struct(*[s[c].alias(c) for c in HIT_COLUMNS]))
+
+    return unnest(df, keys, _arrays(rules, hits, "array<struct<ord:int,rule:string,ordinal:int,start:int,end:int,value:string>>"), "ord")
 
 
 def detect_plan(text: Column, rules: Sequence[Rule]) -> Column:

@@ -134,17 +134,26 @@ def rule_count(t: Tables) -> DataFrame:
     return P.rule_count(P.compile_scope_map(_bound(t)))
 
 
-@query(f"""WITH {_CTES}, {_SCOPE_SQL}, new_map AS (SELECT filter_id, scope, id, CASE WHEN id LIKE '%7' THEN 'allow' ELSE action END AS action, rule FROM scope_map WHERE id NOT LIKE '%3'
+# The new policy lacks some rules, changes some actions, adds some rules, and has nothing at all for the groups of one filter.
+@query(f"""WITH {_CTES}, {_SCOPE_SQL}, all_new AS (SELECT filter_id, scope, id, CASE WHEN id LIKE '%7' THEN 'allow' ELSE action END AS action, rule FROM scope_map WHERE id NOT LIKE '%3'
     UNION ALL SELECT filter_id, scope, 'new-' || filter_id, 'block', 'x' FROM scope_map WHERE id LIKE '%11'),
+  new_map AS (SELECT * FROM all_new WHERE NOT (filter_id = 'f3' AND scope = 'group')),
   o AS (SELECT filter_id, scope, id, count(*) AS n, max(action) AS action, max(rule) AS rule FROM scope_map GROUP BY ALL),
   w AS (SELECT filter_id, scope, id, count(*) AS n, max(action) AS action, max(rule) AS rule FROM new_map GROUP BY ALL)
   SELECT filter_id, scope, id, CASE WHEN o.n IS NULL THEN 'added' WHEN w.n IS NULL THEN 'removed' ELSE 'modified' END AS change
-  FROM o FULL JOIN w USING (filter_id, scope, id) WHERE o.n IS NULL OR w.n IS NULL OR o.n <> w.n OR o.action <> w.action OR o.rule <> w.rule""")
+  FROM o FULL JOIN w USING (filter_id, scope, id) WHERE (o.n IS NULL OR w.n IS NULL OR o.n <> w.n OR o.action <> w.action OR o.rule <> w.rule)
+    AND (filter_id, scope) IN (SELECT (filter_id, scope) FROM new_map)""")
 def policy_diff(t: Tables) -> DataFrame:
-    old = P.compile_scope_map(_bound(t)).select("filter_id", "scope", "id", "action", "rule")
-    kept = old.where(~F.col("id").like("%3")).withColumn("action", F.when(F.col("id").like("%7"), "allow").otherwise(F.col("action")))
-    added = old.where(F.col("id").like("%11")).select("filter_id", "scope", F.concat(F.lit("new-"), "filter_id").alias("id"), F.lit("block").alias("action"), F.lit("x").alias("rule"))
-    return P.policy_diff(old, kept.unionByName(added))
+    # Both policies come from one join of bindings and rules.
+    one, none = F.lit(1), F.lit(0)
+    side = lambda id_, action, rule, old, new: F.struct(id_.alias("id"), action.alias("action"), rule.alias("rule"), old.alias("old"), new.alias("new"))
+    id_, action, rule = F.col("id"), F.col("action"), F.col("rule")
+    listed = ~((F.col("filter_id") == "f3") & (F.col("scope") == "group"))
+    sides = F.array(
+        side(id_, action, rule, one, none),
+        F.when(listed & ~id_.like("%3"), side(id_, F.when(id_.like("%7"), "allow").otherwise(action), rule, none, one)),
+        F.when(listed & id_.like("%11"), side(F.concat(F.lit("new-"), "filter_id"), F.lit("block"), F.lit("x"), none, one)))
+    return P.diff_of_sides(P.compile_scope_map(_bound(t)).select("filter_id", "scope", F.inline(F.array_compact(sides))))
 
 
 @query(f"""WITH {_CTES} SELECT f.id, f.priority FROM filters f""")
@@ -152,24 +161,27 @@ def order_filters(t: Tables) -> DataFrame:
     return N.order_filters(_filters(t)).select("id", "priority")
 
 
-# User rules from customers, service rules from regions, default rules from nations; requests are the events.
+# User rules from customers, service rules from regions, default rules from parts, each bound by two filters; requests are the events.
 def _scopes(t: Tables) -> DataFrame:
     user = t.customer.select(F.lit("f-user").alias("filter_id"), F.lit("user").alias("scope"), F.lit(0).alias("ord"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"),
                              F.lit("x").alias("rule"), F.col("c_mktsegment").alias("action"), F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("subject_id"))
     service = t.region.select(F.lit("f-service").alias("filter_id"), F.lit("service").alias("scope"), F.lit(1).alias("ord"), F.concat(F.lit("s"), F.col("r_regionkey").cast("string")).alias("id"),
                               F.lit("x").alias("rule"), F.lit("masking").alias("action"), F.col("r_regionkey").cast("string").alias("subject_id"))
-    default = t.nation.select(F.lit("f-default").alias("filter_id"), F.lit("default").alias("scope"), F.col("n_regionkey").cast("int").alias("ord"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"),
-                              F.lit("x").alias("rule"), F.lit("block").alias("action"), F.lit(None).cast("string").alias("subject_id"))
+    default = t.part.select(F.explode(F.array(F.lit("f-default"), F.lit("f-other"))).alias("filter_id"), F.lit("default").alias("scope"), (F.col("p_size") % 3).cast("int").alias("ord"),
+                            F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.lit("x").alias("rule"), F.lit("block").alias("action"), F.lit(None).cast("string").alias("subject_id"))
     return user.unionByName(service).unionByName(default)
 
 
 @query("""WITH q AS (SELECT event_id, 'u' || user_id AS user_uuid, (user_id % 8)::VARCHAR AS svc FROM events)
-  SELECT event_id, 0 AS scope_rank, 'user' AS scope, 'c' || c_custkey AS rule_id, c_mktsegment AS action FROM q JOIN customer ON user_uuid = 'u' || c_custkey
-  UNION ALL SELECT event_id, 1, 'service', 's' || r_regionkey, 'masking' FROM q JOIN region ON svc = r_regionkey::VARCHAR
-  UNION ALL SELECT event_id, 3, 'default', 'n' || n_nationkey, 'block' FROM q CROSS JOIN nation""")
+  SELECT event_id, 0 AS scope_rank, 'user' AS scope, 'f-user' AS filter_id, 'c' || c_custkey AS rule_id, c_mktsegment AS action FROM q JOIN customer ON user_uuid = 'u' || c_custkey
+  UNION ALL SELECT event_id, 1, 'service', 'f-service', 's' || r_regionkey, 'masking' FROM q JOIN region ON svc = r_regionkey::VARCHAR
+  UNION ALL SELECT NULL, 3, 'default', unnest(['f-default', 'f-other']), 'p' || p_partkey, 'block' FROM part""")
 def effective_rules(t: Tables) -> DataFrame:
     requests = t.events.select("event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_uuid"), (F.col("user_id") % 8).alias("ai_service"), F.lit(None).cast("string").alias("user_group_id"))
-    return P.effective_rules(requests, _scopes(t), message_id="event_id").select("event_id", "scope_rank", "scope", "rule_id", "action")
+    scopes = _scopes(t)
+    own = P.effective_rules(requests, scopes, message_id="event_id")
+    everyone = P.default_rules(scopes).withColumn("event_id", F.lit(None).cast("bigint"))
+    return own.unionByName(everyone).select("event_id", "scope_rank", "scope", "filter_id", "rule_id", "action")
 
 
 # --- accounts --------------------------------------------------------------------------------------------------------

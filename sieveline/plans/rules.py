@@ -105,14 +105,16 @@ def test_rule(t: Tables) -> DataFrame:
 test_rule.__test__ = False
 
 
-@query(f"""WITH {I.PROBED} SELECT doc_id, 'hunter' AS name FROM probed WHERE regexp_matches(text, '(?i)HUNTER[0-9]')
-  UNION ALL SELECT doc_id, 'acc' FROM probed WHERE regexp_matches(text, '(?i)accountname')""")
+@query(f"""WITH {I.FLAT}, {_hits_sql()} SELECT doc_id, 'KR_RRN' AS name, 'masking' AS action FROM rule_hits WHERE rule = 'KR_RRN' GROUP BY doc_id
+  UNION ALL SELECT doc_id, 'hunter', 'block' FROM probed WHERE regexp_matches(text, '(?i)HUNTER[0-9]')
+  UNION ALL SELECT doc_id, 'acc', 'block' FROM probed WHERE regexp_matches(text, '(?i)accountname')""")
 def custom_patterns(t: Tables) -> DataFrame:
     base = t.spark.createDataFrame([(0, "r0", "KR_RRN", C.KR_RRN, "masking", 0, None)],
                                    "ord int, id string, name string, rule string, action string, regex_flag int, regex_group_val string")
     table = R.custom_patterns(base, ["HUNTER[0-9]", "accountname"])
-    hits = R.join_text_rules(t.probed, ["doc_id"], "text", table.where(F.col("ord") > 0))
-    return hits.select("doc_id", F.when(F.col("ord") == 1, "hunter").otherwise("acc").alias("name"))
+    hits = R.join_text_rules(t.probed, ["doc_id"], "text", table)
+    name = F.when(F.col("ord") == 0, F.col("name")).when(F.col("ord") == 1, "hunter").otherwise("acc")
+    return hits.select("doc_id", name.alias("name"), "action")
 
 
 # --- rule tables -----------------------------------------------------------------------------------------------------

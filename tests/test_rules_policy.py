@@ -34,12 +34,25 @@ def test_rule_matching_forms_agree(spark, texts):
     assert _rows(first, "id", "ord", "value") == [(1, 0, "ab"), (3, 0, "ab")]
 
 
-def test_large_rule_tables_are_read_in_passes(spark, texts, monkeypatch):
-    monkeypatch.setattr(R, "RULES_PER_PASS", 3)
-    table = spark.createDataFrame([(i % 4, f"r{i:03d}", f"n{i}", "ab" if i % 2 else "zz", "block", 0, None) for i in range(10)], RULE_DDL)
-    assert [len(b) for b in R.rule_batches(table, 3)] == [3, 3, 3, 1]
+def test_large_rule_tables_are_one_scan(spark, texts):
+    same = [(0, "same", f"n{i}", "ab" if i % 2 else "zz", "block", 0, None) for i in range(300)]
+    table = spark.createDataFrame([*same, (0, None, "a", "ab", "block", 0, None), (0, None, "b", "ab", "block", 0, None), (None, "x", "c", "zz", None, None, None)], RULE_DDL)
+    assert len(R.load_rules(table)) == 303
     got = R.join_text_rules(texts, ["id"], "text", table)
-    assert got.count() == 2 * 5 + 5
+    assert got.count() == 2 * 152 + 151
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ") == 1
+    assert R.detect_rules(texts, ["id"], "text", table).select("id", "rule").distinct().count() == 2 * 152 + 151
+    with pytest.raises(ValueError, match="more than 302 rules"):
+        R.load_rules(table, 302)
+
+
+def test_default_rules_bound_by_many_filters(spark):
+    scopes = spark.createDataFrame([(f"f{i}", "default", 0, "r", "block", None) for i in range(300)] + [(f"f{i}", "service", 1, "s", "block", "4") for i in range(250)],
+                                   "filter_id string, scope string, ord int, id string, action string, subject_id string")
+    asked = spark.createDataFrame([(f"m{i}", "u", 4, None) for i in range(50)], "message_id string, user_uuid string, ai_service int, user_group_id string")
+    assert P.default_rules(scopes).select("filter_id").distinct().count() == 300
+    assert P.effective_rules(asked, scopes).groupBy("message_id").count().where("count = 250").count() == 50
 
 
 def test_quarantine_and_decode(spark):
@@ -86,7 +99,8 @@ def test_scope_map_and_effective_rules(spark):
     assert P.in_scopes(scopes).count() == 1
     asked = spark.createDataFrame([("m1", "u1", 4, "g1"), ("m2", "u9", 0, None)], "message_id string, user_uuid string, ai_service int, user_group_id string")
     got = _rows(P.effective_rules(asked, scopes), "message_id", "scope_rank", "rule_id")
-    assert got == [("m1", 0, "r1"), ("m1", 1, "r3"), ("m1", 2, "r3"), ("m1", 3, "r2"), ("m2", 3, "r2")]
+    assert got == [("m1", 0, "r1"), ("m1", 1, "r3"), ("m1", 2, "r3")]
+    assert _rows(P.default_rules(scopes), "scope_rank", "filter_id", "rule_id") == [(3, "f1", "r2")]
     filters = spark.createDataFrame([("f1",), ("f3",)], "id string")
     assert [r.id for r in P.filters_in_use(filters, bindings).collect()] == ["f1"]
     assert P.join_filters_bindings(filters, bindings).count() == 4
@@ -98,6 +112,10 @@ def test_policy_diff(spark):
     new = spark.createDataFrame([("f", "user", "1", "block", "a", "renamed"), ("f", "user", "2", "allow", "b", "x"), ("f", "user", "3", None, "c", "x"), ("f", "user", "4", "block", "d", "x"), ("f", "user", "5", "block", "e", "x")], ddl)
     assert _rows(P.policy_diff(old, new), "id", "change") == [("2", "modified"), ("4", "modified"), ("5", "added")]
     assert not P.policy_changed(old, old) and P.policy_changed(old, new)
+    # Nothing listed for a scope leaves it as it is; a scope that is listed loses what is missing.
+    other = spark.createDataFrame([("f", "group", "9", "block", "a", "x"), ("g", None, "1", "block", "a", "x")], ddl)
+    assert _rows(P.policy_diff(old, other), "id", "change") == [("1", "added"), ("9", "added")]
+    assert P.policy_changed(old, old.where("id = '1'")) and not P.policy_changed(old, old.limit(0))
 
 
 # --- decisions -------------------------------------------------------------------------------------------------------
