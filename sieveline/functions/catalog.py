@@ -53,7 +53,7 @@ NEEDS_AT, NEEDS_DASH, NEEDS_01 = "@", "-", "01"
 GATE_DIGITS13 = r"\d{6}-?\d{7}"
 GATE_DIGIT_RUN = r"\d{8}"
 GATE_IP = r"\d\.\d|[0-9A-Fa-f]:[0-9A-Fa-f]"
-GATE_ROAD_NUMBER = r"[가-힣]\s*\d"
+GATE_ROAD_NUMBER = r"[가-힣][\s\-,]*\d"
 
 
 class PiiPattern(NamedTuple):

@@ -33,11 +33,16 @@ def extract_values(text: Column, pattern: str, gate: Column | None = None) -> Co
     return found if gate is None else F.when(gate, found).otherwise(_no_values())
 
 
-def card_values(text: Column, luhn: bool = True, limit: int = 5) -> Column:
+def first_n(values: Column, n: int | None) -> Column:
+    """The first ``n`` values, for display; all of them without ``n``."""
+    return values if n is None else F.slice(values, 1, n)
+
+
+def card_values(text: Column, luhn: bool = True, limit: int | None = None) -> Column:
     """``struct<card,candidates>``: the first valid card number, or all candidates when none is valid, as arrays."""
 
     def split(found: Column, valid: Column) -> Column:
-        candidates = F.when(F.size(valid) == 0, F.slice(F.array_distinct(found), 1, limit)).otherwise(_no_values())
+        candidates = F.when(F.size(valid) == 0, first_n(F.array_distinct(found), limit)).otherwise(_no_values())
         return F.struct(F.slice(valid, 1, 1).alias("card"), candidates.alias("candidates"))
 
     found = F.filter(extract_values(text, C.CARD), lambda c: F.length(F.regexp_replace(c, r"\D", "")).between(13, 19))
@@ -45,8 +50,8 @@ def card_values(text: Column, luhn: bool = True, limit: int = 5) -> Column:
 
 
 def detect_pii(text: Column, *, enabled: Sequence[str] | None = C.PII_ENABLED, luhn: bool = True,
-               max_per_type: int = 5) -> Column:
-    """Distinct values per type, first ``max_per_type`` in text order; ``enabled=None`` keeps every type."""
+               max_per_type: int | None = None) -> Column:
+    """Distinct values per type in text order, for display the first ``max_per_type``; ``enabled=None`` keeps every type."""
     by_type: dict[str, list[Column]] = {}
     for p in C.PII_DETECTION:
         values = extract_values(text, p.pattern, _gate(text, p))
@@ -57,7 +62,7 @@ def detect_pii(text: Column, *, enabled: Sequence[str] | None = C.PII_ENABLED, l
     def hits(cards: Column) -> Column:
         found = {**by_type, "credit_card": [cards["card"]], "credit_card_candidate": [cards["candidates"]]}
         keep = [t for t in found if enabled is None or t in enabled]
-        values = [F.slice(F.array_distinct(F.concat(*found[t]) if len(found[t]) > 1 else found[t][0]), 1, max_per_type) for t in keep]
+        values = [first_n(F.array_distinct(F.concat(*found[t]) if len(found[t]) > 1 else found[t][0]), max_per_type) for t in keep]
         return F.map_from_arrays(F.array(*[F.lit(t) for t in keep]), F.array(*values))
 
     return F.map_filter(let(card_values(text, luhn, max_per_type), hits), lambda _, v: F.size(v) > 0)

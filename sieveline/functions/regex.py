@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from re import _parser
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -131,6 +132,12 @@ def _matching_paren(body: str, at: int) -> int:
     return -1
 
 
+def may_match_empty(pattern: str, flags: int = 0) -> bool:
+    """Whether some match of the pattern can be empty, by the least width of what it's made of."""
+    flags &= ~FLAG_ASCII
+    return _parser.parse(pattern, flags).getwidth()[0] == 0
+
+
 # Texts on which a rule must not produce a zero-width hit.
 _EMPTY_HIT_SAMPLES = ("", " ", "a", "0", "a b", "0.a-1\n", "가 나")
 

@@ -84,19 +84,22 @@ def _finding_counts(spans: Column) -> Column:
 
 def cloud_secret_spans(text: Column, rules=C.CLOUD_RULES) -> Column:
     """Spans of the sample cloud and SaaS rules; a named group narrows the span."""
-    known = {name for name, *_ in C.CLOUD_RULES}
+    # Gates belong to the catalogue's own rules, not to their names: a rule of the user has none.
+    known = {tuple(rule) for rule in C.CLOUD_RULES}
 
-    def gate_of(name: str, run: Column) -> Column | None:
-        if name in _BY_URL:
+    def gate_of(rule: tuple, run: Column) -> Column | None:
+        if rule not in known:
+            return None
+        if rule[0] in _BY_URL:
             return F.contains(text, F.lit("://"))
-        return run if name in known and name not in _NO_RUN else None
+        return None if rule[0] in _NO_RUN else run
 
     def gated(run: Column) -> Column:
         looked_for = []
         for i, (name, rule, _action, flags, group) in enumerate(rules):
             if group is not None and group_pattern(rule, group, flags) is None:
-                raise ValueError(f"rule {name!r}: its group needs operators.rules.group_spans_in_python")
-            looked_for.append(S.SpanRule(rule, name, ord=i, flags=flags, group=group, gate=gate_of(name, run)))
+                raise ValueError(f"rule {name!r}: its group needs operators.rules.spans_in_python")
+            looked_for.append(S.SpanRule(rule, name, ord=i, flags=flags, group=group, gate=gate_of((name, rule, _action, flags, group), run)))
         return S.spans_of(text, looked_for)
 
     # 16 is the length of the shortest gated token.

@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sieveline.functions.expr import BLOCK, let, pick, prefixes
-from sieveline.functions.regex import GroupPattern, group_pattern, java_pattern
+from sieveline.functions.regex import GroupPattern, group_pattern, java_pattern, may_match_empty
 
 SPAN = "struct<start:int,end:int,ord:int,type:string,rule:string,value:string,ordinal:int>"
 SPANS = f"array<{SPAN}>"
@@ -44,12 +44,15 @@ class SpanRule:
 
 def _matches(text: Column, r: SpanRule) -> Column:
     """Matches of one rule and the pieces between them; a text without a hit is read once, one with hits twice."""
+    # Matches and pieces interleave only if no match is empty.
+    if may_match_empty(r.pattern, r.flags):
+        raise ValueError(f"rule {r.rule or r.type!r} can match empty text; use operators.rules.spans_in_python")
     java = java_pattern(r.pattern, r.flags)
     lead = value = F.lit(None).cast("array<string>")
     if r.group is not None:
         grouped: GroupPattern | None = group_pattern(r.pattern, r.group, r.flags)
         if grouped is None:
-            raise ValueError(f"group {r.group!r} is nested; use operators.rules.group_spans_in_python")
+            raise ValueError(f"group {r.group!r} is nested; use operators.rules.spans_in_python")
         java = grouped.pattern
         lead = F.regexp_extract_all(text, F.lit(java), F.lit(1))
         value = F.regexp_extract_all(text, F.lit(java), F.lit(grouped.value_index))

@@ -19,8 +19,8 @@ def blank_to_null(c: Column) -> Column:
 
 
 def decode_prompt(prompt: Column, encoding: Column) -> Column:
-    """Base64 to UTF-8 where the request says so."""
-    return F.when(F.coalesce(encoding, F.lit(False)), F.decode(F.unbase64(prompt), "UTF-8")).otherwise(prompt)
+    """Base64 to UTF-8 where the request says so; null where it is neither, which the caller rejects."""
+    return F.when(F.coalesce(encoding, F.lit(False)), decode_rule(prompt)).otherwise(prompt)
 
 
 def decode_rule(rule: Column) -> Column:
@@ -75,8 +75,8 @@ def apply_storage_policy(response: Column, *, hash_only: bool = False, store_tex
 
 
 def iso_utc(ts: Column) -> Column:
-    """ISO-8601 in UTC; the session time zone must be UTC, as ``session.local_session`` sets it."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    """ISO-8601 in UTC, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(ts.cast("timestamp"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
 def shannon_entropy(s: Column) -> Column:

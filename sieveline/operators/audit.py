@@ -46,12 +46,6 @@ def audit_detect_doc(*, at: Column, stage: str, message_id: Column, session_id:
         X.service_name(ai_service).alias("ai_service"), masked.alias("masked_contents"))
 
 
-def combined_samples(samples: Column, reasons: Column) -> Column:
-    """``samples | reasons: ...`` with either part alone when the other is missing."""
-    told = F.when(F.size(reasons) > 0, F.concat(F.lit("reasons: "), F.array_join(reasons, ", ")))
-    return X.blank_to_null(F.concat_ws(" | ", samples, told))
-
-
 def audit_output_doc(*, at: Column, message_id: Column, session_id: Column, response: Column, response_id: Column,
                      user_id: Column, email: Column, uuid: Column, client_host: Column, ai_service: Column, model: Column,
                      latency_ms: Column, prompt_tokens: Column, completion_tokens: Column, total_tokens: Column,

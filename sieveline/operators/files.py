@@ -25,17 +25,14 @@ DOCX_MIME = "application/vnd.openxmlformats-officedocument.wordprocessingml.docu
 
 
 def sniff_mime(content: Column) -> Column:
-    """Type from the leading bytes; a zip that starts with Office parts is a docx, one without signature is text."""
+    """Type from the leading bytes; a zip with Office parts is a docx, valid UTF-8 without a NUL anywhere is text."""
     head = F.hex(F.substring(content, F.lit(1), F.lit(8)))
-    names = F.hex(F.substring(content, F.lit(1), F.lit(4096)))
-    office = F.hex(F.lit("[Content_Types].xml")), F.hex(F.lit("word/"))
-    test = F.when(head.startswith("504B0304") & (F.contains(names, office[0]) | F.contains(names, office[1])), DOCX_MIME)
+    # A zip names its entries in its central directory, at the end, whatever their number and sizes.
+    office = [F.contains(content, F.lit(n).cast("binary")) for n in ("[Content_Types].xml", "word/")]
+    test = F.when(head.startswith("504B0304") & (office[0] | office[1]), DOCX_MIME)
     for signature, mime in SIGNATURES:
         test = test.when(head.startswith(signature), mime)
-    sample = F.substring(content, F.lit(1), F.lit(1024))
-    # The cut may split a character, so up to three bytes less are tried.
-    valid = [F.is_valid_utf8(F.substring(content, F.lit(1), F.lit(64 - back)).cast("string")) for back in range(4)]
-    is_text = ~F.contains(F.hex(sample), F.lit("0000")) & (valid[0] | valid[1] | valid[2] | valid[3])
+    is_text = ~F.contains(content, F.unhex(F.lit("00"))) & F.is_valid_utf8(content.cast("string"))
     return test.when(is_text, "text/plain").otherwise("application/octet-stream")
 
 
@@ -110,7 +107,10 @@ def extract_file_text(files: DataFrame, keep: Sequence[str] = ("path",),
             yield out
 
     columns = list(dict.fromkeys([*keep, "mime_type", "content"]))
-    return files.select(*columns).mapInPandas(run, ddl)
+    # Plain text needs no Python: it is decoded in the JVM, unless the caller brings a reader of its own for it.
+    in_jvm = F.lit("text/plain" not in (extractors or {})) & F.coalesce(F.col("mime_type") == "text/plain", F.lit(False))
+    here = files.where(in_jvm).select(*keep, F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.lit(None).cast("string").alias("error"))
+    return files.where(~in_jvm).select(*columns).mapInPandas(run, ddl).unionByName(here)
 
 
 # --- decisions -------------------------------------------------------------------------------------------------------
@@ -134,13 +134,14 @@ def scan_files(files: DataFrame, rules: Sequence[Rule], allow_ext=C.ALLOWED_EXTE
     keep = ["message_id", "path", "length", "mime_type", "file_ext", "hash", "allowed", "reason"]
     read = extract_file_text(gated, keep, extractors).withColumn("__hit", scan_file_rules(F.col("text"), rules))
 
-    def unless_blocked(value: Column, blocked: Column) -> Column:
-        return F.when(F.col("allowed"), value).otherwise(blocked)
+    # A file that could not be read was not looked at: it is blocked, with its error as the reason.
+    def unless_blocked(value: Column, blocked: Column, failed: Column) -> Column:
+        return F.when(~F.col("allowed"), blocked).when(F.col("error").isNotNull(), failed).otherwise(value)
 
     return read.select(
-        "message_id", "path", unless_blocked(F.col("__hit.action"), F.lit(C.BLOCK)).alias("action"),
-        unless_blocked(F.col("__hit.policy_id"), F.lit("")).alias("policy_id"),
-        unless_blocked(F.col("__hit.policy_name"), F.col("reason")).alias("policy_name"),
+        "message_id", "path", unless_blocked(F.col("__hit.action"), F.lit(C.BLOCK), F.lit(C.BLOCK)).alias("action"),
+        unless_blocked(F.col("__hit.policy_id"), F.lit(""), F.lit("")).alias("policy_id"),
+        unless_blocked(F.col("__hit.policy_name"), F.col("reason"), F.col("error")).alias("policy_name"),
         F.struct("mime_type", "file_ext", F.col("length").alias("size"), "hash",
                  preview_chunk(F.col("text")).alias("chunk")).alias("file_info"), "error")
 
@@ -149,14 +150,9 @@ def bundle_file_decision(verdicts: DataFrame) -> DataFrame:
     """One row per message: blocked if any file is, with the number of files by outcome.
 
     Counts, not a list of files: they aggregate partially, so a message id shared by very many rows stays cheap. The
-    per-file summary is the verdict table itself; ``file_summary`` attaches it for messages of ordinary size.
+    per-file summary is the verdict table itself.
     """
     block = F.col("action") == C.BLOCK
     return verdicts.groupBy("message_id").agg(
         F.when(F.bool_or(block), C.BLOCK).otherwise(C.ALLOW).alias("action"), F.count(F.lit(1)).alias("n_files"),
         F.count_if(block).alias("n_blocked"))
-
-
-def file_summary(attachments: Column, verdict_of: Callable[[Column], Column]) -> Column:
-    """Per-file summary inside a request row, whose attachment list is bounded by the request itself."""
-    return F.transform(attachments, verdict_of)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 
 from sieveline.functions import spans as S
 from sieveline.functions.expr import let, unnest
-from sieveline.functions.regex import engine_problem, java_pattern, rule_problem
+from sieveline.functions.regex import engine_problem, group_pattern, java_pattern, may_match_empty, rule_problem
 from sieveline.functions.text import decode_rule
 
 #: Rules unrolled into one array expression, and rules a table may have at most: more is an error, never a cut.
@@ -154,10 +155,15 @@ def join_text_rules(df: DataFrame, keys: Sequence[str], text: str, rules: DataFr
 
 def detect_rules(df: DataFrame, keys: Sequence[str], text: str, rules: DataFrame | Sequence[Rule]) -> DataFrame:
     """One row per hit: keys, rule, ordinal of the hit within text and rule, offsets, value."""
+    rows = load_rules(rules) if isinstance(rules, DataFrame) else list(rules)
+    hard = [r for r in rows if may_match_empty(r.rule, r.flags) or (r.group is not None and group_pattern(r.rule, r.group, r.flags) is None)]
+
     def hits(part: Sequence[Rule]) -> Column:
         return F.transform(rule_spans(F.col(text), part), lambda s: F.struct(*[s[c].alias(c) for c in HIT_COLUMNS]))
 
-    return unnest(df, keys, _arrays(rules, hits, "array<struct<ord:int,rule:string,ordinal:int,start:int,end:int,value:string>>"), "ord")
+    found = unnest(df, keys, _arrays([r for r in rows if r not in hard], hits,
+                                     "array<struct<ord:int,rule:string,ordinal:int,start:int,end:int,value:string>>"), "ord")
+    return found.unionByName(spans_in_python(df, keys, text, hard)) if hard else found
 
 
 def detect_plan(text: Column, rules: Sequence[Rule]) -> Column:
@@ -191,25 +197,29 @@ def test_rule(df: DataFrame, keys: Sequence[str], text: str, rule: str, action:
 test_rule.__test__ = False  # not a test case, whatever its name
 
 
-def group_spans_in_python(df: DataFrame, keys: Sequence[str], text: str, rule: Rule) -> DataFrame:
-    """Spans of a nested or optional group, whose offset a JVM expression cannot give.
+def spans_in_python(df: DataFrame, keys: Sequence[str], text: str, rules: Sequence[Rule]) -> DataFrame:
+    """Hits (``HIT_COLUMNS``) of rules whose offsets a JVM expression cannot give: a nested or optional group, or a pattern of
+    which some matches are empty. Empty matches are no hits.
 
-    Only texts the rule matches, found in the JVM, are handed to Python.
+    Only texts that one of the rules matches, found in the JVM, are handed to Python.
     """
-    pattern, flags, group = rule.rule, rule.flags, rule.group
     fields = {f.name: f for f in df.schema.fields}
     key_ddl = ", ".join(f"`{k}` {fields[k].dataType.simpleString()}" for k in keys)
+    given = [(r.ord, r.name, r.rule, r.flags, r.group or 0) for r in rules]
 
     def scan(batches):
-        compiled = re.compile(pattern, flags)
+        compiled = [(ord_, name, re.compile(pattern, flags), group) for ord_, name, pattern, flags, group in given]
         for pdf in batches:
-            rows = [(*row[:-1], rule.name, m.start(group), m.end(group), m[group])
-                    for row in pdf.itertuples(index=False) for m in compiled.finditer(row[-1])
-                    if m.start(group) < m.end(group)]
-            yield pd.DataFrame(rows, columns=[*keys, "rule", "start", "end", "value"])
-
-    hits = df.where(rule.matches(F.col(text))).select(*keys, text)
-    return hits.mapInPandas(scan, f"{key_ddl}, rule string, start int, `end` int, value string")
+            rows = []
+            for row in pdf.itertuples(index=False):
+                for ord_, name, pattern, group in compiled:
+                    found = [m for m in pattern.finditer(row[-1]) if m.start(group) < m.end(group)]
+                    rows += [(*row[:-1], ord_, name, i, m.start(group), m.end(group), m[group]) for i, m in enumerate(found)]
+            yield pd.DataFrame(rows, columns=[*keys, *HIT_COLUMNS])
+
+    any_rule = reduce(lambda a, b: a | b, [r.matches(F.col(text)) for r in rules])
+    return df.where(any_rule).select(*keys, text).mapInPandas(
+        scan, f"{key_ddl}, ord int, rule string, ordinal int, start int, `end` int, value string")
 
 
 def first_hit_per_text(hits: DataFrame, key: str, order: str, *values: str) -> DataFrame:

@@ -39,7 +39,7 @@ def detect_pii(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {I.FLAT}, {I.CARDS} SELECT doc_id, coalesce(ok[1], '') AS card,
-  CASE WHEN len(ok) = 0 THEN array_to_string(({I.distinct_in_order('cs')})[1:5], '|') ELSE '' END AS candidates
+  CASE WHEN len(ok) = 0 THEN array_to_string({I.distinct_in_order('cs')}, '|') ELSE '' END AS candidates
   FROM card_hits WHERE len(cs) > 0""")
 def detect_card(t: Tables) -> DataFrame:
     rows = let(P.card_values(_text()), lambda c: F.filter(F.array(c), lambda x: F.size(F.concat(x["card"], x["candidates"])) > 0))
@@ -84,9 +84,9 @@ def build_ui_notice(t: Tables) -> DataFrame:
     return unnest(_hits(t), ["doc_id"], F.array(F.struct(notice.alias("notice"))), "notice")
 
 
-@query(f"""WITH {I.HITS} SELECT doc_id, type, i::INT AS rank, vals[i] AS value FROM (SELECT *, unnest(range(1, len(vals) + 1)) AS i FROM hits)""")
+@query(f"""WITH {I.HITS} SELECT doc_id, type, i::INT AS rank, vals[i] AS value FROM (SELECT *, unnest(range(1, least(len(vals), 5) + 1)) AS i FROM hits)""")
 def top_values_per_type(t: Tables) -> DataFrame:
-    return unnest_map(_hits(t), ["doc_id"], F.col("hits"), "type", "v").select(
+    return unnest_map(_hits(t, max_per_type=5), ["doc_id"], F.col("hits"), "type", "v").select(
         "doc_id", "type", F.posexplode("v").alias("pos", "value")).select("doc_id", "type", (F.col("pos") + 1).alias("rank"), "value")
 
 

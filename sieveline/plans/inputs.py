@@ -118,7 +118,7 @@ HITS = f"""{FLAT}, {CARDS}, found AS (
   {" UNION ALL ".join(_hits_of(t, s) for t, s in PII_SQL.items())}
   UNION ALL SELECT doc_id, lang, 'credit_card', ok[1:1] FROM card_hits
   UNION ALL SELECT doc_id, lang, 'credit_card_candidate', CASE WHEN len(ok) = 0 THEN cs ELSE [] END FROM card_hits),
-hits AS (SELECT doc_id, lang, type, ({distinct_in_order('xs')})[1:5] AS vals FROM found WHERE len(xs) > 0)"""
+hits AS (SELECT doc_id, lang, type, {distinct_in_order('xs')} AS vals FROM found WHERE len(xs) > 0)"""
 
 
 def spans_sql(source: str, c: str, pattern: str, group: int = 0, keys: str = "doc_id") -> str:

@@ -26,24 +26,17 @@ def local_session(cores: int = 8, app: str = "sieveline") -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the session names; only where none is named (tests) a local one is set."""
+    """The shared checkpoint folder the session names; only a single-machine session without one gets a local folder."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="sieveline-ckpt-")
     spark.sparkContext.setCheckpointDir(made)
     return made
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss, unlike a block kept on executors."""
-    spark = df.sparkSession
-    folder = checkpoint_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def balanced(df: DataFrame, *keys: str | Column) -> DataFrame:
     """Spread a scan that yields fewer splits than cores (one small file, one row group).
 

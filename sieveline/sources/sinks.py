@@ -65,13 +65,14 @@ def sink_account_insert(new: DataFrame, target: str) -> None:
     new.select(F.col("uuid").alias("id"), "email", "ai_service_id", "user_key").write.mode("append").parquet(target)
 
 
-def prompt_log(decided: DataFrame) -> DataFrame:
-    """Prompt log rows of decided requests."""
+def prompt_log(decided: DataFrame, reason_chars: int | None = None) -> DataFrame:
+    """Prompt log rows of decided requests; ``reason_chars`` cuts the reason to the width of a target's column."""
+    reason = F.coalesce("reason", F.lit(""))
     return decided.select(
         F.lit(0).cast("short").alias("agent_id"), "prompt", F.col("at").alias("reg_date"), "session_id",
         F.lit("").alias("user_role"), F.when(F.col("action") == "block", 0).otherwise(1).cast("short").alias("allowed"),
         F.coalesce("masked_contents", F.lit("")).alias("modified_prompt"),
-        F.substring(F.coalesce("reason", F.lit("")), 1, 64).alias("reason"))
+        (reason if reason_chars is None else F.substring(reason, 1, reason_chars)).alias("reason"))
 
 
 def sink_prompt_log(decided: DataFrame, target: str) -> None:

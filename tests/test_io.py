@@ -42,10 +42,49 @@ def test_scan_files(spark, folder):
     assert (got["b.hwpx"].action, got["b.hwpx"].file_info.mime_type, got["b.hwpx"].file_info.chunk) == ("", "application/zip", "한글 문서")
     assert got["c.txt"].action == "block" and got["c.txt"].policy_name.startswith(C.REASON_EXTENSION)
     assert got["d.png"].file_info.mime_type == "image/png" and got["d.png"].action == "block"
-    assert got["e.pdf"].error == "unsupported file type application/pdf" and got["e.pdf"].action == ""
+    assert got["e.pdf"].error == got["e.pdf"].policy_name == "unsupported file type application/pdf" and got["e.pdf"].action == "block"
     assert len(got["f.docx"].file_info.hash) == 64
     bundle = {r.message_id: (r.action, r.n_files, r.n_blocked) for r in FI.bundle_file_decision(verdicts).collect()}
-    assert bundle == {"m1": ("block", 6, 2), "m2": ("allow", 1, 0)}
+    assert bundle == {"m1": ("block", 6, 4), "m2": ("allow", 1, 0)}
+
+
+def test_types_are_told_by_the_whole_content(spark):
+    big = io.BytesIO()
+    with zipfile.ZipFile(big, "w") as z:
+        z.writestr("padding.bin", b"0" * 6000)
+        z.writestr("word/document.xml", "<a/>")
+    rows = [("late", big.getvalue()), ("tail", b"a" * 70 + b"\xff\xfe"), ("nul", b"ab\0cd"), ("late_nul", b"a" * 5000 + b"\0"), ("text", ("é" * 3000).encode()), ("p0p0", b"p0p0p0"), ("empty", b"")]
+    got = {r.k: r.m for r in spark.createDataFrame(rows, "k string, c binary").select("k", FI.sniff_mime(F.col("c")).alias("m")).collect()}
+    other = "application/octet-stream"
+    assert got == {"late": FI.DOCX_MIME, "tail": other, "nul": other, "late_nul": other, "text": "text/plain", "p0p0": "text/plain", "empty": "text/plain"}
+
+
+def test_unreadable_files_are_blocked(spark):
+    files = spark.createDataFrame([("m", "/a.docx", b"PK\x03\x04broken word/"), ("m", "/b.pdf", b"%PDF-1.4")], "message_id string, path string, content binary").withColumn("length", F.octet_length("content").cast("bigint"))
+    verdicts = FI.scan_files(files, as_rules([("x", "zzz", "masking", 0, None)]))
+    assert {(r.action, r.error is not None) for r in verdicts.collect()} == {("block", True)}
+    assert FI.bundle_file_decision(verdicts).first().n_blocked == 2
+
+
+def test_plain_text_and_bad_prompts(spark):
+    from sieveline.functions import text as X
+
+    files = spark.createDataFrame([("a", "text/plain", b"ok"), ("b", "text/plain", b"a\xffb"), ("c", "text/plain", None), ("d", None, b"x")], "path string, mime_type string, content binary")
+    got = {r.path: (r.text, r.error) for r in FI.extract_file_text(files).collect()}
+    assert got == {"a": ("ok", None), "b": ("a\ufffdb", None), "c": (None, None), "d": (None, "unsupported file type None")}
+    prompts = spark.createDataFrame([("aGk=", True), ("***", True), ("/w==", True), ("***", False), (None, True)], "p string, e boolean")
+    assert [r[0] for r in prompts.select(X.decode_prompt(F.col("p"), F.col("e"))).collect()] == ["hi", None, None, "***", None]
+
+
+def test_utc_whatever_the_session(spark):
+    from sieveline.functions import text as X
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Seoul")
+        assert spark.range(1).select(X.iso_utc(F.timestamp_seconds(F.lit(0)))).first()[0] == "1970-01-01T00:00:00.000000Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
 
 
 def test_size_limit_and_custom_extractor(spark, folder):

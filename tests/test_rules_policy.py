@@ -69,9 +69,17 @@ def test_quarantine_and_decode(spark):
     assert len(usable) + len(broken) == 3
 
 
-def test_nested_groups_go_through_python(spark, texts):
+def test_nested_groups_and_empty_matches_go_through_python(spark, texts):
     rule = R.Rule(0, "0", "opt", r"(?:(?P<V>a)b|\d(?P<W>\d))", group="V")
-    assert _rows(R.group_spans_in_python(texts, ["id"], "text", rule), "id", "start", "end", "value") == [(1, 0, 1, "a"), (3, 3, 4, "a"), (3, 9, 10, "a")]
+    want = [(1, 0, 1, "a"), (3, 3, 4, "a"), (3, 9, 10, "a")]
+    assert _rows(R.spans_in_python(texts, ["id"], "text", [rule]), "id", "start", "end", "value") == want
+    mixed = [rule, R.Rule(1, "1", "foo", "(?=z)|foo"), R.Rule(2, "2", "ab", "ab")]
+    df = texts.union(spark.createDataFrame([(5, "zz foo z foo")], "id int, text string"))
+    got = _rows(R.detect_rules(df, ["id"], "text", mixed), "id", "ord", "ordinal", "start", "end", "value")
+    assert [r for r in got if r[1] == 1] == [(5, 1, 0, 3, 6, "foo"), (5, 1, 1, 9, 12, "foo")]
+    assert len([r for r in got if r[1] == 0]) == 3 and len([r for r in got if r[1] == 2]) == 3
+    with pytest.raises(ValueError, match="can match empty text"):
+        R.rule_spans(F.col("text"), mixed[1:])
 
 
 def test_rule_export(spark, tmp_path):
