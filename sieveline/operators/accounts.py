@@ -33,9 +33,13 @@ def assign_uuid(seen: DataFrame, stored: DataFrame) -> DataFrame:
         "uuid", F.coalesce("__id", account_uuid(F.col("user_key")))).drop("__id")
 
 
-def upsert(target: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Insert or update by key: new values win, fields the new rows leave null keep the stored value."""
-    fresh = new.groupBy(key).agg(*[F.max(c).alias(c) for c in new.columns if c != key])
+def upsert(target: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
+    """Insert or update by key: the values of the last new row by ``order`` win, fields it leaves null keep the stored value.
+
+    Of rows with one key and order, the one with the largest hash is the last, whichever task saw it first.
+    """
+    rows = new.select(*new.columns, F.struct(F.col(order), F.xxhash64(*new.columns)).alias("__at"))
+    fresh = rows.groupBy(key).agg(F.max_by(F.struct(*new.columns), "__at").alias("__r")).select("__r.*")
     n, t = fresh.alias("n"), target.alias("t")
     cols = [F.coalesce(F.col(f"n.{c}"), F.col(f"t.{c}")).alias(c) if c in new.columns else F.col(f"t.{c}").alias(c)
             for c in target.columns]
@@ -43,6 +47,9 @@ def upsert(target: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def latest_by_key(target: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
-    """Last write per key over stored and new rows, by partial aggregation."""
-    both = target.unionByName(new)
-    return both.groupBy(key).agg(F.max_by(F.struct(*both.columns), F.col(order)).alias("__r")).select("__r.*")
+    """Last write per key over stored and new rows, by partial aggregation. At a tie new rows go before stored ones, then
+    the hash of the row decides."""
+    columns = target.columns
+    both = target.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
+    last = F.max_by(F.struct(*columns), F.struct(F.col(order), "__new", F.xxhash64(*columns)))
+    return both.groupBy(key).agg(last.alias("__r")).select("__r.*")

@@ -18,7 +18,6 @@ from sieveline.functions import spans as S
 from sieveline.functions import text as X
 from sieveline.functions.expr import let
 from sieveline.operators.rules import Rule, plan_of, rule_spans
-from sieveline.operators.skew import skewed_join
 from sieveline.schemas import VERDICT
 
 
@@ -120,8 +119,13 @@ def union_outputs(outputs: DataFrame, echoes: DataFrame) -> DataFrame:
 
 
 def attach_output_to_prompt(prompts: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Every prompt with its responses; prompts are unique by message id, responses need not be."""
-    return skewed_join(prompts, outputs, ["message_id"], "left")
+    """Every prompt with its responses; prompts are unique by message id, responses need not be.
+
+    The pairs are an inner join, of which Spark can split a message's many responses; prompts without any are added.
+    """
+    paired = prompts.join(outputs, "message_id")
+    alone = prompts.join(outputs.select("message_id").distinct(), "message_id", "left_anti")
+    return paired.unionByName(alone, allowMissingColumns=True)
 
 
 # --- filters ---------------------------------------------------------------------------------------------------------

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import io
 import json
+import zipfile
+from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sieveline.functions import catalog as C
 from sieveline.functions import pii as P
@@ -315,6 +320,38 @@ def extract_file_text(t: Tables) -> DataFrame:
     return files.extract_file_text(plain).select("path", F.md5("text").alias("digest"), "error")
 
 
+def _zipped(text: str) -> bytes:
+    body = "".join(f"<w:p><w:r><w:t>{escape(p)}</w:t></w:r></w:p>" for p in text.split("\n"))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("[Content_Types].xml", "<Types/>")
+        z.writestr("word/document.xml", f'<w:document xmlns:w="urn:w"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
+@F.pandas_udf(T.BinaryType())
+def _docx(texts: pd.Series) -> pd.Series:
+    return texts.map(_zipped)
+
+
+@query("SELECT '/f/' || doc_id AS path, md5(text) AS digest, NULL AS error FROM documents")
+def extract_zip_text(t: Tables) -> DataFrame:
+    zipped = t.documents.select(F.concat(F.lit("/f/"), F.col("doc_id").cast("string")).alias("path"), _docx("text").alias("content"))
+    typed = zipped.withColumn("mime_type", files.sniff_mime(F.col("content")))
+    return files.extract_file_text(typed).select("path", F.md5("text").alias("digest"), "error")
+
+
+# Which words make a text unsafe is learned, so the twin tells what can be known: every text is scored, and both labels are told well.
+@query("""SELECT (SELECT count(*) FROM documents) AS n_docs, count(*) AS n_labelled, true AS tells_unsafe, true AS tells_safe FROM documents JOIN labels USING (doc_id)""")
+def train_safety_classifier(t: Tables) -> DataFrame:
+    from sieveline.operators import safety
+
+    model = safety.train_safety_classifier(t.documents, t.labels)
+    told = safety.score_safety(model, t.documents).join(t.labels.select("doc_id", "toxic"), "doc_id", "left")
+    right = lambda toxic: F.avg(F.when(F.col("toxic") == toxic, (F.col("unsafe").cast("int") == toxic).cast("double"))) >= 0.9
+    return told.agg(F.count("unsafe").alias("n_docs"), F.count("toxic").alias("n_labelled"), right(1).alias("tells_unsafe"), right(0).alias("tells_safe"))
+
+
 def _html_text(content: bytes) -> str:
     return content.decode("utf-8").replace("<", "[").replace(">", "]")
 
@@ -339,12 +376,18 @@ def scan_files(t: Tables) -> DataFrame:
     return verdicts.select("path", "action", "policy_name", "file_info.hash", F.md5("file_info.chunk").alias("chunk"))
 
 
-@query()
+@query("SELECT sum(strlen(text) + 1)::BIGINT AS n_bytes, sum(len(text) - len(replace(text, chr(10), '')) + 1)::BIGINT AS n_lines, true AS whole FROM documents")
 def scan_attachments(t: Tables) -> DataFrame:
-    """The given table files themselves as attachments: names and sizes, contents not read."""
+    """Documents written as files and read back as attachments, contents and all."""
     from sieveline.sources.readers import scan_attachments as scan
 
-    return scan(t.spark, t.dir, glob="*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "length")
+    path = t.work("attachments")
+    t.documents.select("text").write.text(path)
+    found = scan(t.spark, path, glob="part-*").select("length", "content")
+    whole = F.octet_length("content") == F.col("length")
+    lines = F.octet_length("content") - F.octet_length(F.replace(F.col("content").cast("string"), F.lit("\n"), F.lit("")))
+    return found.agg(F.sum("length").alias("n_bytes"), F.sum(lines.cast("bigint")).alias("n_lines"), F.bool_and(whole).alias("whole"))
+
 
 
 # --- audit documents -------------------------------------------------------------------------------------------------

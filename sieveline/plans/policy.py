@@ -216,36 +216,48 @@ def assign_uuid(t: Tables) -> DataFrame:
     return A.assign_uuid(A.seen_accounts(_seen(t)), _stored(t)).select("user_key", "uuid")
 
 
-@query(f"""WITH u AS ({_USERS}), n AS (SELECT 'u' || (user_id * 11) AS id, 'seen@' || max(event_type) AS email FROM events GROUP BY user_id)
-  SELECT coalesce(n.id, u.id) AS id, coalesce(n.email, u.email) AS email, u.user_group_id FROM u FULL JOIN n ON u.id = n.id""")
+@query(f"""WITH u AS ({_USERS}), n AS (SELECT 'u' || (user_id * 11) AS id, 'seen@' || max_by(event_type, event_id) AS email, 'g' || max_by(CASE WHEN event_id % 3 > 0 THEN event_id::VARCHAR ELSE '-' END, event_id) AS grp FROM events GROUP BY user_id)
+  SELECT coalesce(n.id, u.id) AS id, coalesce(n.email, u.email) AS email, coalesce(nullif(grp, 'g-'), u.user_group_id) AS user_group_id FROM u FULL JOIN n ON u.id = n.id""")
 def sink_account_upsert(t: Tables) -> DataFrame:
     target = _users(t).select("id", "email", "user_group_id")
-    new = t.events.select(F.concat(F.lit("u"), (F.col("user_id") * 11).cast("string")).alias("id"), F.concat(F.lit("seen@"), "event_type").alias("email"))
-    return A.upsert(target, new, "id")
+    new = t.events.select(F.concat(F.lit("u"), (F.col("user_id") * 11).cast("string")).alias("id"), F.concat(F.lit("seen@"), "event_type").alias("email"),
+                          F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("g"), F.col("event_id").cast("string"))).alias("user_group_id"), "event_id")
+    path = t.work("account-upsert")
+    sinks.sink_account_upsert(target, new, path, "id", order="event_id")
+    return t.spark.read.parquet(path)
 
 
 @query(f"""WITH {_KEYS}, u AS (SELECT user_key, sha256(user_key) AS h FROM k WHERE user_key NOT IN (SELECT user_key FROM st)) SELECT {_UUID} AS id, user_key FROM u""")
 def sink_account_insert(t: Tables) -> DataFrame:
     fresh = A.new_accounts(A.seen_accounts(_seen(t)), _stored(t))
-    return fresh.select(A.account_uuid(F.col("user_key")).alias("id"), "user_key")
+    path = t.work("account-insert")
+    sinks.sink_account_insert(fresh.withColumn("uuid", A.account_uuid(F.col("user_key"))), path)
+    return t.spark.read.parquet(path).select("id", "user_key")
 
 
 # --- sinks, as the rows they would write -----------------------------------------------------------------------------
 
 
-@query("""WITH e AS (SELECT 'm-' || (event_id % 7000) || ':query' AS doc_key, event_id, value FROM events), s AS (SELECT DISTINCT 'm-' || (user_id * 13) || ':query' AS doc_key FROM events)
-  SELECT doc_key, min(event_id) AS event_id FROM e WHERE doc_key NOT IN (SELECT doc_key FROM s) GROUP BY doc_key""")
+@query("""WITH e AS (SELECT 'm-' || (event_id % 7000) || ':query' AS doc_key, event_id FROM events), s AS (SELECT 'm-' || (user_id * 13) || ':query' AS doc_key, min(-event_id) AS event_id FROM events GROUP BY user_id)
+  SELECT * FROM s UNION ALL SELECT doc_key, min(event_id) AS event_id FROM e WHERE doc_key NOT IN (SELECT doc_key FROM s) GROUP BY doc_key""")
 def sink_idempotent_create(t: Tables) -> DataFrame:
-    new = t.events.select(sinks.document_id(F.concat(F.lit("m-"), (F.col("event_id") % 7000).cast("string"))).alias("doc_key"), "event_id")
-    stored = t.events.select(sinks.document_id(F.concat(F.lit("m-"), (F.col("user_id") * 13).cast("string"))).alias("doc_key"))
-    return sinks.create_only(new, stored.distinct(), "doc_key", "event_id")
+    path = t.work("create")
+    key = lambda c: sinks.document_id(F.concat(F.lit("m-"), c.cast("string"))).alias("doc_key")
+    sinks.sink_idempotent_create(t.events.select(key(F.col("user_id") * 13), (-F.col("event_id")).alias("event_id")), path, "doc_key", "event_id")
+    new = t.events.select(key(F.col("event_id") % 7000), "event_id")
+    for _ in range(2):  # the second time changes nothing
+        sinks.sink_idempotent_create(new, path, "doc_key", "event_id")
+    return t.spark.read.parquet(path)
 
 
 @query("""SELECT user_id, max(event_id) AS event_id, max_by(event_type, event_id) AS event_type, max_by(value, event_id) AS value FROM events GROUP BY user_id""")
 def sink_upsert_latest(t: Tables) -> DataFrame:
     rows = t.events.select("user_id", "event_id", "event_type", "value")
     old, new = rows.where(F.col("event_type") == "click"), rows.where(F.col("event_type") != "click")
-    return A.latest_by_key(old, new, "user_id", "event_id")
+    path = t.work("latest")
+    sinks.sink_upsert_latest(old, None, f"{path}/1", "user_id", "event_id")
+    sinks.sink_upsert_latest(new, f"{path}/1", f"{path}/2", "user_id", "event_id")
+    return t.spark.read.parquet(f"{path}/2")
 
 
 @query(f"""WITH {I.PROBED}, d AS (SELECT doc_id, text, regexp_matches(text, 'AKIA[0-9]{{16}}') AS hit FROM probed)
@@ -254,7 +266,9 @@ def sink_prompt_log(t: Tables) -> DataFrame:
     hit = F.col("text").rlike("AKIA[0-9]{16}")
     decided = t.probed.select(F.col("text").alias("prompt"), F.lit(None).cast("timestamp").alias("at"), F.concat(F.lit("s-"), (F.col("doc_id") % 97).cast("string")).alias("session_id"),
                               F.when(hit, "block").otherwise("allow").alias("action"), F.lit(None).cast("string").alias("masked_contents"), F.when(hit, "aws key").alias("reason"))
-    return sinks.prompt_log(decided).select("agent_id", F.md5("prompt").alias("digest"), "session_id", "allowed", "modified_prompt", "reason")
+    path = t.work("prompt-log")
+    sinks.sink_prompt_log(decided, path)
+    return t.spark.read.parquet(path).select("agent_id", F.md5("prompt").alias("digest"), "session_id", "allowed", "modified_prompt", "reason")
 
 
 @query("""SELECT CASE conv_id % 5 WHEN 0 THEN 'input_filter' WHEN 1 THEN 'regex_filter' WHEN 2 THEN 'output_filter' WHEN 3 THEN 'llm_filter' ELSE 'other' END AS index, conv_id % 5 < 4 AS known,

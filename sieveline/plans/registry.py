@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.plans import inputs as I
-from sieveline.session import balanced
+from sieveline.session import balanced, checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +25,10 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def work(self, name: str) -> str:
+        """A fresh folder under the session's shared checkpoint folder."""
+        return f"{checkpoint_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+
     @cached_property
     def documents(self) -> DataFrame:
         return balanced(self.read("documents").select("doc_id", "lang", "source", "text"), "doc_id")

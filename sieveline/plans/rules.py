@@ -11,9 +11,11 @@ from sieveline.functions import spans as S
 from sieveline.functions.expr import unnest, unnest_map
 from sieveline.operators import intervals, rules as R
 from sieveline.operators.decisions import rule_filter
-from sieveline.operators.lines import mask_by_verdicts
+from sieveline.operators import lines as L
 from sieveline.plans import inputs as I
+from sieveline.plans.policy import _items as _top_level
 from sieveline.plans.registry import Tables, query
+from sieveline.sources import readers
 
 # The three rules of the sample export: (name, rule, action, flags, group)
 EXPORT_RULES = (("KR_RRN", C.KR_RRN, "masking", 0, None), ("KR_PHONE", C.KR_PHONE, "block", 0, None), ("EMAIL", C.EMAIL, "accept", 0, None))
@@ -119,6 +121,23 @@ def custom_patterns(t: Tables) -> DataFrame:
 
 # --- rule tables -----------------------------------------------------------------------------------------------------
 
+_EXPORTED = """CAST(p_partkey AS STRING) AS id, CASE WHEN p_partkey % 11 = 0 THEN ' ' ELSE ' ' || p_name || ' ' END AS name,
+  CASE p_partkey % 7 WHEN 0 THEN '(open' WHEN 1 THEN '' ELSE 'part' || CAST(p_partkey AS STRING) || '[0-9]+' END AS rule, 'block' AS action,
+  CASE p_partkey % 5 WHEN 0 THEN 'draft' WHEN 1 THEN 'Deployed' ELSE 'deployed' END AS status"""
+
+
+@query("""WITH r AS (SELECT p_partkey::VARCHAR AS id, CASE WHEN p_partkey % 11 = 0 THEN 'UNNAMED' ELSE trim(p_name) END AS name, 'part' || p_partkey || '[0-9]+' AS rule
+    FROM part WHERE p_partkey % 7 > 1 AND p_partkey % 5 > 0)
+  SELECT id, name, rule, lower(name) AS type, '[' || name || ']' AS token FROM r""")
+def scan_rules_json(t: Tables) -> DataFrame:
+    """Rules written as exports of some hundred rules each and read back."""
+    path = t.work("rule-export")
+    rules = t.part.selectExpr(*_top_level(_EXPORTED), "p_partkey DIV 300 AS export")
+    exports = rules.groupBy("export").agg(F.to_json(F.struct(F.lit(200).alias("statusCode"), F.collect_list(F.struct("id", "name", "rule", "action", "status")).alias("data"))).alias("value"))
+    exports.write.partitionBy("export").text(path)
+    return readers.scan_rules_json(t.spark, path).select("id", "name", "rule", "type", "token")
+
+
 # Rules derived from the part table: usable ones, an unclosed group, an empty rule, a rule that hits empty text.
 PART_RULE = """(CASE p_partkey % 7 WHEN 0 THEN 'key' || CAST(p_partkey AS STRING) || '(' WHEN 1 THEN '' WHEN 2 THEN 'x' || CAST(p_partkey AS STRING) || '|'
   ELSE 'part' || CAST(p_partkey AS STRING) || '[0-9]+' END)"""
@@ -254,7 +273,8 @@ def list_entities(t: Tables) -> DataFrame:
   SELECT doc_id, coalesce(array_to_string(list_filter(range(1, len(ls) + 1), lambda i: regexp_matches(ls[i], '[0-9]{{6}}')), ','), '') AS risky,
     md5(array_to_string(list_transform(ls, lambda l: CASE WHEN regexp_matches(l, '[0-9]{{6}}') THEN '[MASKED]' ELSE l END), chr(10))) AS digest FROM c""")
 def mask_lines(t: Tables) -> DataFrame:
-    lines = t.probed.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
-    verdicts = lines.select("doc_id", (F.col("i") + 1).alias("line"), F.when(F.col("line").rlike("[0-9]{6}"), "risky").otherwise("safe").alias("risk"))
-    out = mask_by_verdicts(t.probed.select("doc_id", "text"), "doc_id", "text", verdicts)
+    # The verdicts on a text's lines are known in its row, so that's where it's masked.
+    numbers = F.filter(F.transform(F.split("text", "\n", -1), lambda line, i: F.when(line.rlike("[0-9]{6}"), i + 1)), lambda i: i.isNotNull())
+    told = t.probed.select("doc_id", "text", numbers.alias("risky_lines"))
+    out = told.withColumn("masked_text", L.mask_lines(_text(), F.col("risky_lines")))
     return out.select("doc_id", F.coalesce(F.array_join("risky_lines", ","), F.lit("")).alias("risky"), F.md5("masked_text").alias("digest"))

@@ -1,4 +1,8 @@
-"""Writing audit tables, accounts and logs. Every write goes through Spark's commit protocol and can be run again."""
+"""Writing audit tables, accounts and logs through Spark's commit protocol.
+
+``sink_idempotent_create`` (for rows with a key), ``sink_upsert_latest`` and ``sink_account_upsert`` can be run again with
+the same rows; ``sink_audit_jsonl``, ``sink_account_insert`` and ``sink_prompt_log`` append what they are given.
+"""
 
 from __future__ import annotations
 
@@ -8,43 +12,49 @@ from pyspark.sql.utils import AnalysisException
 
 from sieveline.operators.accounts import latest_by_key, upsert
 
-RECORDS_PER_FILE = 10_000
+#: Lines of one file; audit documents are a few hundred bytes.
+RECORDS_PER_FILE = 1_000_000
 
 
-def sink_audit_jsonl(docs: DataFrame, base: str, mode: str = "append") -> None:
-    """One JSON line per document under ``base/index=…/date=…``, at most ``RECORDS_PER_FILE`` per file.
+def sink_audit_jsonl(docs: DataFrame, base: str, mode: str = "append", records_per_file: int = RECORDS_PER_FILE,
+                     buckets: int | None = None) -> None:
+    """One JSON line per document under ``base/index=…/date=…``, at most ``records_per_file`` per file.
 
-    ``docs`` has ``index, date, doc``. Writing needs no shuffle: each task writes the folders its rows belong to.
+    ``docs`` has ``index, date, doc``. Without ``buckets`` nothing is shuffled, and each task writes the folders its rows
+    belong to; with it, a folder gets at most that many files, which large writes want.
     """
+    if buckets:
+        docs = docs.withColumn("__b", F.pmod(F.xxhash64(F.to_json("doc")), F.lit(buckets))).repartition("index", "date", "__b")
     flat = docs.select("index", "date", F.to_json("doc").alias("value"))
-    flat.write.mode(mode).partitionBy("index", "date").option("maxRecordsPerFile", RECORDS_PER_FILE).text(base)
+    flat.write.mode(mode).partitionBy("index", "date").option("maxRecordsPerFile", records_per_file).text(base)
 
 
 def document_id(message_id: Column, kind: str = "query") -> Column:
     return F.when(message_id != "", F.concat(message_id, F.lit(f":{kind}")))
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+def stored_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, None if there is none yet. Any other failure to read it is raised."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
 def create_only(new: DataFrame, stored: DataFrame | None, key: str, order: str | None = None) -> DataFrame:
-    """Rows whose key is not stored yet, the first per key; rows without a key are always new."""
+    """Rows whose key is not stored yet, the first per key by ``order`` and then by hash; rows without a key are always new."""
     keyed, free = new.where(F.col(key).isNotNull()), new.where(F.col(key).isNull())
-    if order is None:
-        first = keyed.dropDuplicates([key])
-    else:
-        first = keyed.groupBy(key).agg(F.min_by(F.struct(*new.columns), F.col(order)).alias("__r")).select("__r.*")
+    at = F.struct(*([F.col(order)] if order else []), F.xxhash64(*new.columns))
+    first = keyed.groupBy(key).agg(F.min_by(F.struct(*new.columns), at).alias("__r")).select("__r.*")
     fresh = first if stored is None else first.join(stored.select(key), key, "left_anti")
     return fresh.select(*new.columns).unionByName(free)
 
 
 def sink_idempotent_create(new: DataFrame, path: str, key: str, order: str | None = None) -> None:
     """Append rows with unknown keys; an existing key is a success, not an error."""
-    create_only(new, _stored(new.sparkSession, path), key, order).write.mode("append").parquet(path)
+    create_only(new, stored_table(new.sparkSession, path), key, order).write.mode("append").parquet(path)
 
 
 def sink_upsert_latest(new: DataFrame, source: str | None, target: str, key: str, order: str) -> None:
@@ -57,8 +67,8 @@ def sink_upsert_latest(new: DataFrame, source: str | None, target: str, key: str
     latest_by_key(stored, new, key, order).write.mode("overwrite").parquet(target)
 
 
-def sink_account_upsert(accounts: DataFrame, new: DataFrame, target: str, key: str = "user_id") -> None:
-    upsert(accounts, new, key).write.mode("overwrite").parquet(target)
+def sink_account_upsert(accounts: DataFrame, new: DataFrame, target: str, key: str = "user_id", *, order: str) -> None:
+    upsert(accounts, new, key, order).write.mode("overwrite").parquet(target)
 
 
 def sink_account_insert(new: DataFrame, target: str) -> None:

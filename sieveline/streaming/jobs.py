@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from sieveline.operators.accounts import account_uuid, assign_uuid, seen_accounts
 from sieveline.operators.policy import policy_diff
-from sieveline.sources.sinks import RECORDS_PER_FILE
+from sieveline.sources.sinks import RECORDS_PER_FILE, create_only, stored_table
 
 Op = Callable[[DataFrame], DataFrame]
 
@@ -57,31 +57,38 @@ def stream_policy_refresh(stream: DataFrame, read_policy: Callable[[], DataFrame
 
     ``apply`` gets the batch and the scope map. ``on_change`` gets the differences.
     """
-    # The policy source changes under us, so the one in force is kept as a written copy, not as a lazy read.
-    current: dict[str, str] = {}
+    # The policy source changes under us. Which written copy judges a batch is noted in the checkpoint folder before the
+    # batch is judged, so a restart goes on from there and a replayed batch meets the policy it met before.
+    notes = f"{checkpoint}/policy_of_batch"
+
+    def noted(spark: SparkSession, upto: int) -> tuple[int, str] | None:
+        known = stored_table(spark, notes)
+        row = None if known is None else known.where(F.col("batch") <= upto).orderBy(F.desc("batch")).first()
+        return row and (row["batch"], row["at"])
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = read_policy()
-        changes = policy_diff(spark.read.parquet(current["at"]), fresh) if current else None
-        if changes is None or not changes.isEmpty():
-            if changes is not None and on_change:
-                on_change(changes)
-            copy = f"{checkpoint}/policy/{batch_id}"
-            fresh.write.mode("overwrite").parquet(copy)
-            current["at"] = copy
-        _write_once(apply(batch, spark.read.parquet(current["at"])), path, batch_id)
+        last = noted(spark, batch_id)
+        if last is None or last[0] < batch_id:
+            fresh, at = read_policy(), last and last[1]
+            changes = policy_diff(spark.read.parquet(at), fresh) if at else None
+            if changes is None or not changes.isEmpty():
+                if changes is not None and on_change:
+                    on_change(changes)
+                at = f"{checkpoint}/policy/{batch_id}"
+                fresh.write.mode("overwrite").parquet(at)
+            spark.createDataFrame([(batch_id, at)], "batch bigint, at string").coalesce(1).write.mode("append").parquet(notes)
+            last = batch_id, at
+        _write_once(apply(batch, spark.read.parquet(last[1])), path, batch_id)
 
     return _trigger(stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint), every).start()
 
 
 def _read_accounts(spark: SparkSession, path: str, before: int) -> DataFrame:
     """Accounts written by earlier batches; a replayed batch must not see its own first attempt."""
-    empty = "user_key string, email string, ai_service_id int, uuid string"
-    try:
-        stored = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - nothing written yet
-        return spark.createDataFrame([], empty)
+    stored = stored_table(spark, path)
+    if stored is None:
+        return spark.createDataFrame([], "user_key string, email string, ai_service_id int, uuid string")
     return stored.where(F.col("batch_id") < before).select("user_key", "email", "ai_service_id", "uuid")
 
 
@@ -106,9 +113,15 @@ def stream_uuid_assign(stream: DataFrame, stored: DataFrame, path: str, checkpoi
     return _trigger(writer.outputMode("append"), every).start()
 
 
-def stream_idempotent(stream: DataFrame, key: str, path: str, checkpoint: str, *, event_time: str, delay: str = "1 hour",
+def stream_idempotent(stream: DataFrame, key: str, path: str, checkpoint: str, *, order: str | None = None,
                       every: str | None = None) -> StreamingQuery:
-    """Repeated request ids are stored once; ids are remembered for ``delay`` of event time, which bounds the state."""
-    once = stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
-    writer = once.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-    return _trigger(writer.outputMode("append"), every).start()
+    """Requests whose id is not stored yet, the first per id; an id is known for as long as its row is stored.
+
+    Ids are looked up in the target, so no streaming state grows and no time limit lets a repeated id in again.
+    """
+    def process(batch: DataFrame, batch_id: int) -> None:
+        stored = stored_table(batch.sparkSession, path)
+        earlier = None if stored is None else stored.where(F.col("batch_id") < batch_id)
+        _write_once(create_only(batch, earlier, key, order), path, batch_id)
+
+    return _trigger(stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint), every).start()

@@ -237,3 +237,7 @@ def test_nfkc_and_the_characters_it_may_skip(column):
     assert not seconds & set(chars)
     texts = ["plain", "é한字", "ＡＢＣ…", "e\u0301", "\u1112\u1161\u11ab", "가\u11a8", "①ﬁ", None, ""]
     assert column(texts, X.nfkc) == [None if t is None else unicodedata.normalize("NFKC", t) for t in texts]
+
+
+def test_compatibility_forms_are_normalized(column):
+    assert column(["ＡＢ１２＠ｘ．ｃｏｍ", "①②", "plain"], X.normalize_obfuscation) == ["AB12@x.com", "12", "plain"]

@@ -191,9 +191,46 @@ def test_policy_refresh_sees_the_new_policy(spark, tmp_path):
     assert len(seen) == 1 and seen[0][0].change == "modified"
 
 
+def test_policy_refresh_goes_on_after_a_restart(spark, tmp_path):
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    ddl, seen = "filter_id string, scope string, id string, action string, rule string", []
+    stream = lambda: jobs.read_files(spark, src, spark.createDataFrame([], "n int").schema)
+    for n, action in enumerate(("block", "allow", "allow", "masking")):
+        _put(spark, src, [(n,)], "n int")
+        jobs.stream_policy_refresh(stream(), lambda a=action: spark.createDataFrame([("f", "default", "1", a, "x")], ddl), lambda b, r: b.crossJoin(r.select("action")),
+                                   out, ck, every=None, on_change=lambda d: seen.append(d.first().change)).awaitTermination()
+    assert sorted((r.n, r.action) for r in spark.read.parquet(out).collect()) == [(0, "block"), (1, "allow"), (2, "allow"), (3, "masking")]
+    assert seen == ["modified", "modified"]
+    # A batch that is processed again meets the policy it met before.
+    notes = {r.batch: r["at"] for r in spark.read.parquet(f"{ck}/policy_of_batch").collect()}
+    assert len(notes) == 4 and notes[1] == notes[2] != notes[3]
+
+
 def test_idempotent_stream(spark, tmp_path):
     src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
-    _put(spark, src, [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:00:01"), ("b", "2024-01-01 00:00:02")], "k string, ts string")
-    stream = jobs.read_files(spark, src, spark.createDataFrame([], "k string, ts timestamp").schema)
-    jobs.stream_idempotent(stream, "k", out, ck, event_time="ts").awaitTermination()
-    assert sorted(r.k for r in spark.read.parquet(out).collect()) == ["a", "b"]
+    for rows in ([("a", "2024-01-01 10:00:00"), ("a", "2024-01-01 10:00:01"), ("b", "2024-01-01 10:00:02")], [("a", "2024-01-01 21:00:00"), ("c", "2024-01-01 21:00:00"), (None, "2024-01-01 21:00:00")]):
+        _put(spark, src, rows, "k string, ts string")
+        stream = jobs.read_files(spark, src, spark.createDataFrame([], "k string, ts timestamp").schema)
+        jobs.stream_idempotent(stream, "k", out, ck, order="ts").awaitTermination()
+    assert sorted((r.k or "", r.ts.hour) for r in spark.read.parquet(out).collect()) == [("", 21), ("a", 10), ("b", 10), ("c", 21)]
+
+
+def test_only_an_absent_table_counts_as_empty(spark, tmp_path):
+    assert sinks.stored_table(spark, str(tmp_path / "none")) is None
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-0.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception, match="(?i)footer|parquet"):
+        sinks.stored_table(spark, str(tmp_path / "bad"))
+
+
+def test_whole_rows_and_ties(spark):
+    from sieveline.operators import accounts as A
+
+    new = spark.createDataFrame([("k", "a1", "b9", 1), ("k", "a9", "b1", 2)], "id string, a string, b string, n int")
+    target = spark.createDataFrame([("k", "x", "y"), ("o", "x", "y")], "id string, a string, b string")
+    assert sorted(tuple(r) for r in A.upsert(target, new, "id", "n").collect()) == [("k", "a9", "b1"), ("o", "x", "y")]
+    tied = {tuple(A.latest_by_key(target, spark.createDataFrame([("k", "n", "x"), ("k", "m", "x")], target.schema).repartition(p), "id", "b").where("id = 'k'").first()) for p in (1, 2, 5)}
+    assert len(tied) == 1
+    old_and_new = A.latest_by_key(target.where("id = 'k'"), spark.createDataFrame([("k", "new", "y")], target.schema), "id", "b")
+    assert old_and_new.first().a == "new"
+    assert len({sinks.create_only(new.repartition(p), None, "id").first().a for p in (1, 2)}) == 1

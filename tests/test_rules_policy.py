@@ -225,4 +225,4 @@ def test_accounts(spark):
     assert ids == {r.user_key: r.uuid for r in A.assign_uuid(seen, stored).collect()}
     target = spark.createDataFrame([("1", "old", 5), ("2", "keep", 6)], "user_id string, email string, n int")
     new = spark.createDataFrame([("1", "new"), ("3", "add")], "user_id string, email string")
-    assert _rows(A.upsert(target, new, "user_id").na.fill(0), "user_id", "email", "n") == [("1", "new", 5), ("2", "keep", 6), ("3", "add", 0)]
+    assert _rows(A.upsert(target, new, "user_id", "email").na.fill(0), "user_id", "email", "n") == [("1", "new", 5), ("2", "keep", 6), ("3", "add", 0)]
