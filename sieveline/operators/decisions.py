@@ -93,18 +93,27 @@ def run_filter_chain_table(verdicts: DataFrame, key: str = "message_id") -> Data
     return joined.where(F.col("__stop").isNull() | (F.col("ord") <= F.col("__stop"))).drop("__stop")
 
 
-def final_decision_table(verdicts: DataFrame, key: str = "message_id") -> DataFrame:
-    """One row per message by partial aggregation: each task ships one candidate per message."""
-    rank = (F.when(F.col("action_code") == C.CODE_BLOCK, 0).when(F.col("action_code") == C.CODE_MASKING, 1).otherwise(2))
-    chosen = F.min_by(F.struct(rank.alias("rank"), "action_code", "masked_contents", "block_message"),
-                      F.struct(rank.alias("r"), F.col("ord").alias("o")))
-    code = F.col("__c.action_code")
-    hit = F.col("__c.rank") < 2
-    return verdicts.groupBy(key).agg(chosen.alias("__c")).select(
-        key, F.when(F.col("__c.rank") == 0, C.BLOCK).when(F.col("__c.rank") == 1, C.MASKING).otherwise(C.ALLOW).alias("action"),
-        F.when(hit, code).otherwise(C.CODE_ALLOW).alias("action_code"),
-        F.when(hit, F.coalesce("__c.masked_contents", F.lit(""))).otherwise("").alias("masked_contents"),
-        F.when(hit, F.coalesce("__c.block_message", F.lit(""))).otherwise("").alias("block_message"))
+def final_decision_table(verdicts: DataFrame, key: str = "message_id", *, stop_at_block: bool = False) -> DataFrame:
+    """One row per message by one partial aggregation: each task ships its candidates for a message, not its verdicts.
+
+    With ``stop_at_block`` the filter chain is run on the way: verdicts behind the first block, by code or by name, don't
+    count. Nothing has to be joined for that, as the first block's place comes out of the same aggregation.
+    """
+    entry = F.struct("ord", "masked_contents", "block_message")
+    first = lambda test: F.min_by(F.when(test, entry), F.when(test, F.col("ord")))
+    found = verdicts.groupBy(key).agg(
+        F.min(F.when(_blocks(F.struct("action", "action_code")), F.col("ord"))).alias("__stop"),
+        first(F.col("action_code") == C.CODE_BLOCK).alias("__block"), first(F.col("action_code") == C.CODE_MASKING).alias("__mask"))
+
+    def reached(c: str) -> Column:
+        there = F.col(c).isNotNull()
+        return there & (F.col("__stop").isNull() | (F.col(f"{c}.ord") <= F.col("__stop"))) if stop_at_block else there
+
+    chosen = F.when(reached("__block"), F.col("__block")).when(reached("__mask"), F.col("__mask"))
+    code = F.when(reached("__block"), C.CODE_BLOCK).when(reached("__mask"), C.CODE_MASKING).otherwise(C.CODE_ALLOW)
+    return found.select(key, chosen.alias("__c"), code.alias("action_code")).select(
+        key, F.when(F.col("action_code") == C.CODE_BLOCK, C.BLOCK).when(F.col("action_code") == C.CODE_MASKING, C.MASKING).otherwise(C.ALLOW).alias("action"),
+        "action_code", F.coalesce("__c.masked_contents", F.lit("")).alias("masked_contents"), F.coalesce("__c.block_message", F.lit("")).alias("block_message"))
 
 
 def echo_block_response(decided: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def final_decision(t: Tables) -> DataFrame:
 
 @query(f"WITH {_DECIDED} {_FINAL_COLUMNS}")
 def final_decision_table(t: Tables) -> DataFrame:
-    return N.final_decision_table(N.run_filter_chain_table(_long(t)))
+    return N.final_decision_table(_long(t), stop_at_block=True)
 
 
 @query(f"""WITH {I.PROBED}, {_V}, f AS (SELECT doc_id, min(ord) AS stop, min_by(filter_id, ord) AS by_ FROM v WHERE action = 'block' GROUP BY doc_id)

@@ -146,7 +146,8 @@ def test_chain_and_decision(spark):
     assert {r.message_id: r["count"] for r in reached.groupBy("message_id").count().collect()} == want
     assert _rows(reached, "message_id", "ord") == _rows(N.run_filter_chain_table(long), "message_id", "ord")
     final = packed.select("message_id", N.final_decision(N.run_filter_chain(F.col("v"))).alias("d")).select("message_id", "d.*")
-    by_table = N.final_decision_table(N.run_filter_chain_table(long))
+    by_table = N.final_decision_table(long, stop_at_block=True)
+    assert sorted(by_table.collect()) == sorted(N.final_decision_table(N.run_filter_chain_table(long)).select(by_table.columns).collect())
     cols = ("message_id", "action", "action_code", "masked_contents", "block_message")
     assert _rows(final, *cols) == _rows(by_table, *cols)
     got = {r.message_id: (r.action, r.block_message) for r in final.collect()}
