@@ -9,23 +9,25 @@ from pyspark.sql import functions as F
 
 # A key with at least this share of the rows is hot; at most 1/share keys can be, which bounds the hot-key table.
 HOT_SHARE = 0.005
-SALTS = 32
+# Rows of a hot key that one bucket is meant to hold.
+BUCKET_ROWS = 100_000
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], share: float = HOT_SHARE, floor: int = 100_000) -> DataFrame:
-    """Keys holding at least ``share`` of all rows and more than ``floor`` rows: never more than ``1/share`` of them."""
+def hot_keys(df: DataFrame, on: Sequence[str], share: float = HOT_SHARE, floor: int = BUCKET_ROWS) -> DataFrame:
+    """Keys holding at least ``share`` of all rows and more than ``floor`` rows, with ``__salts``, the number of buckets of
+    ``floor`` rows they fill: never more than ``1/share`` keys."""
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
     total = counts.agg(F.sum("__n")).scalar()
-    return counts.where((F.col("__n") > floor) & (F.col("__n") >= total * share)).drop("__n")
+    hot = counts.where((F.col("__n") > floor) & (F.col("__n") >= total * share))
+    return hot.select(*on, F.ceil(F.col("__n") / max(floor, 1)).cast("int").alias("__salts"))
 
 
-def skewed_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", *, salts: int = SALTS,
-                floor: int = 100_000) -> DataFrame:
+def skewed_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", *, floor: int = BUCKET_ROWS) -> DataFrame:
     """Inner or left join of a side with possibly hot keys (``right``) to one with few rows per key (``left``).
 
     Keys that are not hot are joined as usual. Right rows of hot keys are first reduced to one row per distinct row with
-    its number of copies, so that copies do not land in one bucket together, and then spread over ``salts`` buckets by a
-    hash of the row; the left rows of hot keys, and only those, are repeated per bucket. Behind the join each row is
+    its number of copies, so that copies do not land in one bucket together, and then spread by a hash of the row over as
+    many buckets as the key's rows fill; the left rows of hot keys, and only those, are repeated per bucket. Behind the join each row is
     written out as often as it had copies. The salt depends on the row alone, so a task that is run again gives the same
     rows. A left join adds the rows without a partner. Columns of ``right`` must be groupable (no maps).
 
@@ -37,9 +39,9 @@ def skewed_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
     # At most 1/HOT_SHARE rows by construction, so it may be broadcast at any table size.
     hot = F.broadcast(hot_keys(right, on, floor=floor))
     cold_part = left.join(right.join(hot, keys, "left_anti"), keys).select(*out)
-    copies = right.join(hot, keys, "left_semi").groupBy(*right.columns).agg(F.count(F.lit(1)).alias("__copies"))
-    salted = copies.withColumn("__salt", F.pmod(F.xxhash64(*right.columns), F.lit(salts)).cast("int"))
-    repeated = left.join(hot, keys, "left_semi").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    copies = right.join(hot, keys).groupBy(*right.columns, "__salts").agg(F.count(F.lit(1)).alias("__copies"))
+    salted = copies.withColumn("__salt", F.pmod(F.xxhash64(*right.columns), "__salts").cast("int")).drop("__salts")
+    repeated = left.join(hot, keys).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))).drop("__salts")
     hot_part = (repeated.join(salted, [*keys, "__salt"])
                 .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies")))).select(*out))
     matched = cold_part.unionByName(hot_part)
