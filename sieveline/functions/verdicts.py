@@ -7,7 +7,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -151,6 +151,21 @@ def recover_verdict_json(raw: Column) -> Column:
             .otherwise(_verdict_of(verdict)))
 
 
+def recover_verdicts(df: DataFrame, raw: Column, name: str = "verdict") -> DataFrame:
+    """``df`` with the ``recover_verdict_json`` of an answer as a column: the same result, each step computed once.
+
+    Parsing, salvage and reading of the fields are columns of their own, so what a step needs several times is bound.
+    """
+    steps = df.withColumn("__raw", raw).withColumn("__bare", _without_fences(F.col("__raw")))
+    bare = F.col("__bare")
+    steps = steps.withColumn("__native", F.coalesce(_object(bare), let(_repaired(bare), _object)))
+    open_ = F.col("__native").isNull() & (F.coalesce(bare, F.lit("")) != "")
+    steps = steps.withColumn("__saved", _salvage(F.when(open_, _repaired(bare))))
+    found = let(F.coalesce("__native", F.try_parse_json("__saved")), _verdict_of)
+    empty = F.trim(F.coalesce("__raw", F.lit(""))) == ""
+    return steps.select(*df.columns, F.when(empty, fail_closed(F.lit("empty_response"))).otherwise(found).alias(name))
+
+
 def _verdict_of(verdict: Column) -> Column:
     decision = F.lower(F.coalesce(X.safe_get(verdict, "$.decision"), F.lit("")))
     known = decision.isin(C.ALLOW, C.BLOCK)

@@ -171,7 +171,8 @@ _VERDICT_SQL = """vr AS (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'allow' WHEN
 
 
 def _recovered(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", V.recover_verdict_json(F.expr(I.VERDICT_RAW)).alias("v")).select("doc_id", "v.*")
+    answers = t.documents.select("doc_id", F.expr(I.VERDICT_RAW).alias("raw"))
+    return V.recover_verdicts(answers, F.col("raw"), "v").select("doc_id", "v.*")
 
 
 @query(f"WITH {_VERDICT_SQL} SELECT doc_id, decision, array_to_string(reasons, ',') AS reasons FROM vr")
@@ -186,7 +187,8 @@ def reasons_to_types(t: Tables) -> DataFrame:
 
 @query(f"""WITH {_VERDICT_SQL} SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(reasons, ['again', lang]))), ',') AS reasons FROM vr JOIN documents USING (doc_id)""")
 def distinct_reasons(t: Tables) -> DataFrame:
-    told = t.documents.select("doc_id", "lang", V.recover_verdict_json(F.expr(I.VERDICT_RAW))["reasons"].alias("r"))
+    answers = t.documents.select("doc_id", "lang", F.expr(I.VERDICT_RAW).alias("raw"))
+    told = V.recover_verdicts(answers, F.col("raw"), "v").select("doc_id", "lang", F.col("v.reasons").alias("r"))
     twice = F.concat("r", F.array(F.lit("again"), F.col("lang")), F.col("r"))
     return told.select("doc_id", F.array_join(V.distinct_reasons(twice), ",").alias("reasons"))
 

@@ -75,10 +75,13 @@ RAW = {
 }
 
 
-def test_verdict_recovery(column):
+def test_verdict_recovery(spark, column):
     got = column(list(RAW), V.recover_verdict_json)
     assert [(v.decision, list(v.reasons)) for v in got] == list(RAW.values())
     assert column([None], V.recover_verdict_json)[0].reasons == ["empty_response"]
+    rows = spark.createDataFrame(list(enumerate([*RAW, None])), "id int, raw string")
+    told = [r.verdict for r in V.recover_verdicts(rows, F.col("raw")).orderBy("id").collect()]
+    assert [(v.decision, list(v.reasons)) for v in told] == [*RAW.values(), ("block", ["empty_response"])]
 
 
 def test_salvage_skips_braces_in_strings():
