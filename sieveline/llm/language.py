@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.llm.batches import portions
 from sieveline.llm.samples import bounded
 from sieveline.llm.storage import written
 
@@ -96,7 +97,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(),) * 3 + (pa.int64(),))],
                                    ["lang", "kind", "item", "n"])
 
-        for batch in batches:
+        for batch in portions(batches):
             for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = Counter(LETTERS.findall(text.lower()))
                 counts.setdefault((lang, "word"), Counter()).update(words)
@@ -251,7 +252,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model)
         span = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in portions(batches, 2000):
             texts, at = batch.column(1).to_pylist(), 0
             while at < len(texts):
                 to, size = at, 0

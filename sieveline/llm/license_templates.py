@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.llm.batches import portions
+
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 #: Phrases whose places are counted, with their labels (fixed values).
@@ -207,7 +209,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         match = pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
         types = [pa.int64()] * 4 + [pa.list_(pa.string()), pa.list_(match)]
         names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "matches"]
-        for batch in batches:
+        for batch in portions(batches):
             rows = [scanner.scan(t) for t in batch.column(1).to_pylist()]
             columns = zip(*rows, strict=True) if rows else [[]] * 6
             yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], [id_col, *names])

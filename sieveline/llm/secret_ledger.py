@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.llm.batches import portions
 from sieveline.llm.storage import written
 
 
@@ -75,7 +76,7 @@ def scan_blobs(blobs: DataFrame, rules: Iterable[Rule] = RULES) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = scanner(rules)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in portions(batches):
             spans = [scan(t) for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(spans, kind)], ["blob", "spans"])
 
