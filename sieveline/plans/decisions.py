@@ -134,21 +134,22 @@ def compose_filters(t: Tables) -> DataFrame:
 
 # --- model verdicts --------------------------------------------------------------------------------------------------
 
-_LOGITS = "embedding[1:3 + (vec_id % 2)::INT]"
+# Each vector as the logits of as many classes as it has fields.
+_LOGITS = "embedding"
 
 
 @query(f"""WITH e AS (SELECT vec_id, list_transform({_LOGITS}, lambda x: exp(x::DOUBLE)) AS p FROM embeddings), q AS (SELECT vec_id, list_transform(p, lambda x: x / list_sum(p)) AS p FROM e),
   c AS (SELECT vec_id, list_max(p) AS conf, list_position(p, list_max(p)) - 1 AS cls FROM q)
   SELECT vec_id, cls = 0 AS safe, CASE WHEN cls = 0 THEN 'SAFE' ELSE 'UNSAFE' END AS label, CASE cls WHEN 0 THEN NULL WHEN 1 THEN 'jailbreak' WHEN 2 THEN 'injection' ELSE 'unsafe_class_' || cls END AS reason, round(conf, 5) AS confidence FROM c""")
 def attack_label(t: Tables) -> DataFrame:
-    logits = F.transform(F.slice("embedding", F.lit(1), (F.lit(3) + F.col("vec_id") % 2).cast("int")), lambda x: x.cast("double"))
+    logits = F.transform("embedding", lambda x: x.cast("double"))
     probs = t.embeddings.select("vec_id", V.softmax(logits).alias("p"))
     return probs.select("vec_id", V.attack_label(F.col("p")).alias("l")).select("vec_id", "l.safe", "l.label", "l.reason", F.round("l.confidence", 5).alias("confidence"))
 
 
-@query("""SELECT vec_id, CASE WHEN embedding[1] >= embedding[2] AND embedding[1] >= embedding[3] THEN 'allow' ELSE 'block' END AS action FROM embeddings""")
+@query("""SELECT vec_id, CASE WHEN list_position(embedding, list_max(embedding)) = 1 THEN 'allow' ELSE 'block' END AS action FROM embeddings""")
 def attack_action(t: Tables) -> DataFrame:
-    probs = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double"))
+    probs = F.transform("embedding", lambda x: x.cast("double"))
     return t.embeddings.select("vec_id", V.attack_action(V.attack_label(probs))["action"].alias("action"))
 
 
