@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from struct import pack as pack_ids
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.llm.batches import portions
+
 #: Words whose ids a worker remembers; a full table is emptied. Only speed depends on it.
-REMEMBERED = 700_000
+REMEMBERED = 600_000
 #: Longer words are encoded each time.
 LONGEST_REMEMBERED = 64
 #: Characters of text tokenized at a time, and pieces among which the next one is chosen.
-CHARS, POOL = 1 << 21, 1024
+CHARS, POOL = 1 << 20, 1024
 
 
 @dataclass(frozen=True)
@@ -35,32 +39,71 @@ class Limits:
     loss_tokens: int = 4096
 
 
-class WordIds(dict):
-    """Token ids of space-separated words, as little-endian unsigned 32-bit numbers.
+class WordIds:
+    """Token ids of texts as little-endian unsigned 32-bit numbers, put together from those of their words.
 
-    The tokenizer drops white space before it forms words, so a text's ids are those of its space-separated parts.
+    The tokenizer drops white space before it forms words, so a text's ids are those of its space-separated parts. It also
+    lower-cases and never joins a letter and the punctuation behind it: letters have the ids of their lower-case form, and a
+    word that ends in one full stop, comma or the like those of the letters before it and of the mark.
     """
 
+    MARKS = frozenset(".,;:|?!")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.seen = Tokenizer.from_file(path), 0
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        # Byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on.
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = [b for b in range(256) if b not in shown]
+        self.alphabet = {b: 256 + i for i, b in enumerate(hidden)}
 
     def encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def plain(self, word: str) -> tuple[str, str]:
+        """The word, lower-cased where that's what the tokenizer does, and its final mark, if they may be encoded apart."""
+        mark = ""
+        if len(word) > 1 and word[-1] in self.MARKS and word[-2].isalpha():
+            word, mark = word[:-1], word[-1]
+        if word.isalpha():
+            lower = word.lower()
+            same = len(lower) == len(word) and "\u03a3" not in word and is_normalized("NFC", word) and is_normalized("NFC", lower)
+            word = lower if word.isascii() or same else word
+        return word, mark
+
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of parts as ``plain`` gives them. One run of lower-case letters is one word for the tokenizer's model."""
+        model, alphabet, out, rest = self.tokenizer.model.tokenize, self.alphabet, {}, []
+        for w in words:
+            if w.isalpha() and w == w.lower() and is_normalized("NFC", w):
+                piece = w if w.isascii() else w.encode().decode("latin-1").translate(alphabet)
+                ids = [t.id for t in model(piece)]
+                out[w] = pack_ids(f"<{len(ids)}I", *ids)
+            else:
+                rest.append(w)
+        out.update(zip(rest, self.encode(rest), strict=True))
+        return [out[w] for w in words]
 
-    def __missing__(self, word: str) -> bytes:
-        return self.encode([word])[0]
+    def learn(self, words: list[str]) -> None:
+        cut = [self.plain(w) for w in words]
+        new = list({p for pair in cut for p in pair}.difference(self.known))
+        self.known.update(zip(new, self.of_words(new), strict=True))
+        self.known.update((w, self.known[a] + self.known[b]) for w, (a, b) in zip(words, cut, strict=True))
 
     def texts(self, texts: list[str]) -> list[bytes]:
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        unknown = set().union(*parts).difference(self)
-        if len(self) + len(unknown) > REMEMBERED:
-            self.clear()
+        unknown = set().union(*parts).difference(self.known)
+        if len(self.known) + len(unknown) > REMEMBERED:
+            self.known = {}
             unknown = set().union(*parts)
-        short = [w for w in unknown if len(w) <= LONGEST_REMEMBERED]
-        self.update(zip(short, self.encode(short), strict=True))
-        return [b"".join(map(self.__getitem__, p)) for p in parts]
+        self.learn([w for w in unknown if len(w) <= LONGEST_REMEMBERED])
+        long = [w for w in unknown if len(w) > LONGEST_REMEMBERED]
+        self.known.update(zip(long, self.encode(long), strict=True))
+        out = [b"".join(map(self.known.__getitem__, p)) for p in parts]
+        for w in long:
+            del self.known[w]
+        return out
 
 
 _WORD_IDS: dict[str, WordIds] = {}
@@ -187,7 +230,7 @@ def pack_texts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[Piece]:
         ids = word_ids(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in portions(batches, 2000):
             keys, texts, losses = (c.to_pylist() for c in batch.columns)
             at = 0
             while at < len(texts):
