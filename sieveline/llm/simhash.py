@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.llm.batches import portions
 from sieveline.llm.components import components
 from sieveline.llm.storage import written
 
@@ -29,6 +30,8 @@ SHINGLE, SEED, MAX_BITS = 3, 42, 3
 TALLIED = 1 << 15
 #: Members of a posting up to which each is compared with all others not yet reached; beyond, differing bits are enumerated.
 COMPARED = 1 << 13
+#: A fingerprint that one of so many rows has is joined to its rows where they are.
+HOT = 2000
 
 
 def fingerprint(text: str, size: int = SHINGLE, seed: int = SEED) -> int:
@@ -54,7 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``id_col, fp`` (a signed long) per row of ``docs``; null texts have no words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             fps = np.array([fingerprint(t, size, seed) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.record_batch([batch.column(0), pa.array(fps, pa.int64())], [id_col, "fp"])
 
@@ -172,14 +175,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives none. Other columns are not read.
     """
     fps = written(fingerprints(docs, id_col, text_col, size, seed), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min(id_col).alias("rep"))
+    nodes = fps.groupBy("fp").agg(F.min(id_col).alias("rep"), F.count("*").alias("n"))
     found = components(links(nodes.select("fp"), max_bits))
     member = found.join(nodes, found["node"] == nodes["fp"]).select("node", "root", "rep")
     least = member.groupBy("root").agg(F.min("rep").alias("least"))
     named = member.join(least, "root").select("node", "least")
     # Fingerprints outside any component stand for their own copies.
-    ids = nodes.join(named, nodes["fp"] == named["node"], "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    return fps.join(ids, "fp").select(id_col, "fp", "component_id")
+    ids = nodes.join(named, nodes["fp"] == named["node"], "left").select("fp", F.coalesce("least", "rep").alias("component_id"), "n")
+    # No more than HOT fingerprints can have as many copies as that; their rows aren't brought together.
+    hot = F.broadcast(ids.where(F.col("n") * HOT >= fps.count()))
+    common = fps.join(hot, "fp").select(id_col, "fp", "component_id")
+    rest = fps.join(hot.select("fp"), "fp", "left_anti").join(ids.drop("n"), "fp").select(id_col, "fp", "component_id")
+    return common.unionAll(rest)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
