@@ -181,7 +181,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = member.groupBy("root").agg(F.min("rep").alias("least"))
     named = member.join(least, "root").select("node", "least")
     # Fingerprints outside any component stand for their own copies.
-    ids = nodes.join(named, nodes["fp"] == named["node"], "left").select("fp", F.coalesce("least", "rep").alias("component_id"), "n")
+    ids = written(nodes.join(named, nodes["fp"] == named["node"], "left").select("fp", F.coalesce("least", "rep").alias("component_id"), "n"), "ids")
     # No more than HOT fingerprints can have as many copies as that; their rows aren't brought together.
     hot = F.broadcast(ids.where(F.col("n") * HOT >= fps.count()))
     common = fps.join(hot, "fp").select(id_col, "fp", "component_id")
