@@ -18,7 +18,7 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.llm.batches import portions
@@ -79,11 +79,20 @@ class Model:
         return [max(self.least, r - best) if ok else self.least for r, ok in zip(raw, usable, strict=True)]
 
 
+def remembered(totals: DataFrame, kind: str, most: int) -> DataFrame:
+    """``lang, item, n``: the counts in all languages of every item that is among the ``most`` most frequent ones of a language."""
+    rows = totals.where(F.col("kind") == kind).select("lang", "item", "n")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "item"))
+    chosen = rows.withColumn("rank", rank).where(F.col("rank") <= most).select("item").distinct()
+    return rows.join(chosen, "item", "left_semi")
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE,
           switch: float = 6.0) -> Model:
     """A model of the languages in ``lang_col``, from at most ``sample`` rows with a text and a language.
 
-    Counting is a Spark job; only the most frequent words and trigrams of each language are gathered.
+    Counting is a Spark job; only the most frequent words and trigrams of each language are gathered, each with its counts in
+    all languages.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     chosen = bounded(rows.select("id"), "id", sample).distinct().select(F.col("id").alias("chosen"))
@@ -114,7 +123,6 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     counted = texts.mapInArrow(count, "lang string, kind string, item string, n bigint").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
     totals = written(counted, "language-counts")
     sums = totals.groupBy("lang", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("different"))
-    top = totals.orderBy(F.col("n").desc(), "lang", "kind", "item")
     size = {(r.lang, r.kind): (r.n, r.different) for r in sums.collect()}
     langs = sorted({lang for lang, _ in size})
     if not langs:
@@ -123,8 +131,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     at = {lang: i for i, lang in enumerate(langs)}
     for kind, most, table in (("word", WORDS, model.words), ("gram", TRIGRAMS, model.grams)):
         counts: dict[str, dict[int, int]] = {}
-        # One bounded read for all languages: the most frequent items overall.
-        for r in top.where(F.col("kind") == kind).limit(most * min(len(langs), 50)).collect():
+        for r in remembered(totals, kind, most).collect():
             counts.setdefault(r.item, {})[at[r.lang]] = r.n
         # Additive smoothing keeps unseen items possible.
         low = [log(0.5 / (size.get((lang, kind), (0, 0))[0] + 0.5 * size.get((lang, kind), (0, 1))[1] + 1)) for lang in langs]

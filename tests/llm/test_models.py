@@ -58,6 +58,20 @@ def test_no_language_to_learn_from(table):
     assert model.langs == [] and language.predict(table([(1, "some text")]), model).first().lang_pred == "und"
 
 
+def test_every_language_keeps_its_own_items(spark, monkeypatch):
+    monkeypatch.setattr(language, "WORDS", 5)
+    monkeypatch.setattr(language, "TRIGRAMS", 5)
+    # "hot" has ten words more frequent than any of "rare"; "both" is among the first of "rare" only.
+    hot = " ".join(f"{w} " * 50 for w in ("ka", "kb", "kc", "kd", "ke", "kf", "kg", "kh", "ki", "kj")) + " both" * 3
+    rare = " ".join(["mi", "mu", "mo", "ma"] * 2 + ["both"] * 2 + ["me"])
+    model = language.learn(spark.createDataFrame([(1, hot, "hot"), (2, rare, "rare")], "doc_id bigint, text string, lang string"))
+    assert set(model.words) == {"ka", "kb", "kc", "kd", "ke", "mi", "mu", "mo", "ma", "both"}
+    counts, different = {"hot": 503, "rare": 11}, {"hot": 11, "rare": 6}
+    for i, (lang, n) in enumerate((("hot", 3), ("rare", 2))):
+        assert abs(model.words["both"][i] - np.log((n + 0.5) / (counts[lang] + 0.5 * different[lang] + 1))) < 1e-9
+    assert any(g.startswith("^m") for g in model.grams)
+
+
 def test_held_out_third(spark):
     import zlib
 
