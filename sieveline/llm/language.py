@@ -1,7 +1,8 @@
 """Language identification: script ranges narrow the candidates, Viterbi over per-word scores labels spans.
 
 A word's score for a language comes from counts learned here: those of the word itself if it's frequent, else those of its
-character trigrams. Languages that don't use the word's script are out. The best labelling of a text maximises the sum of
+character trigrams. Languages that don't use the word's script are out. A word is a run of letters of one script; a longer run
+than ``PIECE`` letters is several words, so text without spaces counts with all its letters. The best labelling of a text maximises the sum of
 scores less a penalty for each switch. Texts are labelled exactly, in blocks of words that run side by side: each block is
 solved for every label that may precede it, and the blocks of a text are then joined, so the longest text needs no more
 steps than its number of blocks.
@@ -40,8 +41,30 @@ _STARTS = [s for s, _ in SCRIPTS]
 SAMPLE, WORDS, TRIGRAMS = 12_000, 20_000, 20_000
 #: A language uses a script if this share of its words does.
 SCRIPT_SHARE = 0.01
-#: Words of a block, scores of words remembered by a worker.
-BLOCK, REMEMBERED = 256, 400_000
+#: Words of a block, scores of words remembered by a worker, letters of a piece.
+BLOCK, REMEMBERED, PIECE = 256, 400_000, 64
+_CLASSES = {name: "".join(f"{re.escape(chr(a))}-{re.escape(chr(b - 1))}" for (a, s), b in zip(SCRIPTS, [*_STARTS[1:], 0x110000], strict=True) if s == name)
+            for _, name in SCRIPTS}
+_PIECES = re.compile("|".join(f"[{c}]{{1,{PIECE}}}" for c in _CLASSES.values()))
+
+
+def words_of(text: str) -> list[str]:
+    """Words of a lower-cased text: runs of letters of one script, long ones in pieces."""
+    found = LETTERS.findall(text)
+    if all(w.isascii() and len(w) <= PIECE for w in found):
+        return found
+    return [p for w in found for p in ((w,) if w.isascii() and len(w) <= PIECE else _PIECES.findall(w))]
+
+
+def starts_of(text: str) -> list[int]:
+    """Where the words of a text begin in it, as many as its lower-cased form has."""
+    lower = text.lower()
+    starts = [m.start() + p.start() for m in LETTERS.finditer(lower) for p in _PIECES.finditer(m.group())]
+    if len(lower) == len(text):
+        return starts
+    # A letter may become several.
+    ends = np.cumsum([len(c.lower()) for c in text])
+    return np.searchsorted(ends, starts, side="right").tolist()
 
 
 def script(word: str) -> str:
@@ -49,7 +72,7 @@ def script(word: str) -> str:
 
 
 def trigrams(word: str) -> list[str]:
-    w = f"^{word[:64]}$"
+    w = f"^{word}$"
     return [w[i:i + 3] for i in range(len(w) - 2)]
 
 
@@ -108,7 +131,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
         for batch in portions(batches):
             for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = Counter(LETTERS.findall(text.lower()))
+                words = Counter(words_of(text.lower()))
                 counts.setdefault((lang, "word"), Counter()).update(words)
                 grams, used = counts.setdefault((lang, "gram"), Counter()), counts.setdefault((lang, "script"), Counter())
                 for w, n in words.items():
@@ -219,7 +242,7 @@ class Labeller:
     def label(self, texts: list[str]) -> list[tuple[str, float, list[dict]]]:
         """Per text: its language, the share of letters in it, and spans of one language in code points."""
         model = self.model
-        found = [LETTERS.findall(t.lower()) for t in texts]
+        found = [words_of(t.lower()) for t in texts]
         some = [i for i, f in enumerate(found) if f and model.langs]
         out = [(UNKNOWN, 0.0, []) for _ in texts]
         if not some:
@@ -238,9 +261,9 @@ class Labeller:
             cuts = np.flatnonzero(labels[a + 1:b] != labels[a:b - 1]) + 1
             spans = [{"lang": model.langs[top], "start": 0, "end": len(texts[i])}]
             if len(cuts):
-                # Spans begin with their first word; letters whose case changes their number are counted as in the text.
-                starts = [m.start() for m in LETTERS.finditer(texts[i])]
-                marks = [0, *(starts[c] if c < len(starts) else len(texts[i]) for c in cuts.tolist()), len(texts[i])]
+                # Spans begin with their first word.
+                starts = starts_of(texts[i])
+                marks = [0, *(starts[c] for c in cuts.tolist()), len(texts[i])]
                 kinds = [model.langs[labels[a + c]] for c in (0, *cuts.tolist())]
                 spans = [{"lang": k, "start": x, "end": y} for k, x, y in zip(kinds, marks[:-1], marks[1:], strict=True)]
             out[i] = (model.langs[top], float(share[top] / share.sum()), spans)

@@ -72,6 +72,22 @@ def test_every_language_keeps_its_own_items(spark, monkeypatch):
     assert any(g.startswith("^m") for g in model.grams)
 
 
+def test_runs_without_spaces_count_with_all_letters(spark, table):
+    words, rows = language_rows()
+    model = language.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    aa, bb, ru = ("".join(words[k] * 20) for k in ("aa", "bb", "ru"))
+    texts = [(1, aa[:64] + bb * 3), (2, aa[:40] + ru), (3, "İİ " + aa + " " + ru)]
+    got = {r.doc_id: r for r in language.predict(table(texts), model).collect()}
+    assert got[1].lang_pred == "bb" and got[2].lang_pred == "ru"
+    assert [(s.lang, s.start) for s in got[2].spans] == [("aa", 0), ("ru", 40)]
+    assert got[3].spans[-1].lang == "ru" and got[3].spans[-1].start == 4 + len(aa)
+    for text in (aa + ru, "漢字かなカナabc한글", "x" * 1000, "straße Ωm élan", "𠀀𐐀z"):
+        pieces = language.words_of(text.lower())
+        assert "".join(pieces) == "".join(language.LETTERS.findall(text.lower()))
+        assert all(len(p) <= language.PIECE and len({language.script(c) for c in p}) == 1 for p in pieces)
+        assert len(language.starts_of(text)) == len(pieces)
+
+
 def test_held_out_third(spark):
     import zlib
 
