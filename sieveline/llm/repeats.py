@@ -15,7 +15,10 @@ have equal k-mers at equal places. So it's enough to sort suffixes whose anchors
 3. Each document unites its removed ranges.
 
 A portion resolves its own copies itself: only the smallest document of equal k-mers or spans goes on. A passage that stands in a
-third of all documents hence costs a bucket one entry per portion. Every comparison that counts is made on bytes.
+third of all documents hence costs a bucket one entry per portion. Where it ends, though, the spans of one k-mer reach into each
+document's own text and are all different. Anchors are counted per k-mer in step 1, and the windows of those with more than ``HOT``
+are dealt singly, by a hash of all their bytes, so that no k-mer needs to fit into a task. Every comparison that counts is made
+on bytes.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from pyspark.sql import functions as F
 LENGTH, KMER = 50, 20
 #: Bytes looked at in one go, anchors of a portion, entries a bucket is meant to hold, windows sorted in one go.
 CHUNK, PORTION, BUCKET, SORTED = 1 << 18, 1 << 20, 1 << 20, 1 << 19
+#: Anchors of one k-mer that may meet in one bucket; in large corpora one more for each MB, so that few k-mers are above.
+HOT = 1 << 14
 _M = 0x9E3779B97F4A7C15
 _U = np.uint64
 
@@ -147,8 +152,10 @@ def _blobs(items: Iterable[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
 
 
 def _by_bucket(df: DataFrame, n: int, reduce: Callable[[list[bytes]], Iterator[pa.RecordBatch]],
-               local: Callable[[bytes], pa.RecordBatch], schema: str) -> DataFrame:
-    """Blobs of a bucket together into ``reduce``; those of buckets below 0, dealt anyhow, one by one into ``local``."""
+               local: Callable[[bytes], pa.RecordBatch], schema: str,
+               single: Callable[[list[bytes]], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
+    """Blobs of a bucket together into ``reduce``, those of buckets from ``n`` on into ``single``; those of buckets below 0, dealt
+    anyhow, one by one into ``local``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -159,11 +166,11 @@ def _by_bucket(df: DataFrame, n: int, reduce: Callable[[list[bytes]], Iterator[p
                     continue
                 if bucket != at:
                     if held:
-                        yield from reduce(held)
+                        yield from (reduce if at < n else single)(held)
                     at, held = bucket, []
                 held.append(data)
         if held:
-            yield from reduce(held)
+            yield from (reduce if at < n else single)(held)
 
     return df.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
@@ -172,8 +179,9 @@ def _batch(schema: dict[str, pa.DataType], *columns: np.ndarray) -> pa.RecordBat
     return pa.record_batch([pa.array(c, t) for c, t in zip(columns, schema.values(), strict=True)], list(schema))
 
 
-def _shared_kmers(texts: DataFrame, length: int, k: int, n: int) -> DataFrame:
-    """``doc, kmer``: anchors' k-mers of each document that at least one other document has as well."""
+def _shared_kmers(texts: DataFrame, length: int, k: int, n: int, hot: int) -> DataFrame:
+    """``doc, kmer``: anchors' k-mers of each document that at least one other document has as well; and, without a document, those
+    of more than ``hot`` anchors."""
 
     def portions(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
         hashes, docs, size, turn = [], [], 0, 0
@@ -183,6 +191,7 @@ def _shared_kmers(texts: DataFrame, length: int, k: int, n: int) -> DataFrame:
             h, d = np.concatenate(hashes), np.concatenate(docs)
             order = np.lexsort((d, h))
             h, d = h[order], d[order]
+            times = np.diff(np.append(np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])), len(h)))
             new = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
             h, d = h[new], d[new]
             first = np.concatenate([[True], h[1:] != h[:-1]])
@@ -192,7 +201,7 @@ def _shared_kmers(texts: DataFrame, length: int, k: int, n: int) -> DataFrame:
                 turn += 1
                 yield -turn, _packed(h[shared][by], d[shared][by])
             h, d = h[first], d[first]
-            yield from _dealt((h >> _U(32)) * _U(n) >> _U(32), n, h, d)
+            yield from _dealt((h >> _U(32)) * _U(n) >> _U(32), n, h, d, times)
 
         for data, ends, rows, _, batch in _chunks(batches, length - 1):
             at, _, _, kmer = anchors(data, ends, length, k)
@@ -213,10 +222,13 @@ def _shared_kmers(texts: DataFrame, length: int, k: int, n: int) -> DataFrame:
         return _batch(schema, d, h.view(np.int64))
 
     def reduce(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        h, d = (np.concatenate(c) for c in zip(*(_unpacked(b, *kinds) for b in blobs), strict=True))
+        h, d, times = (np.concatenate(c) for c in zip(*(_unpacked(b, *kinds, ("i8", 1)) for b in blobs), strict=True))
         order = np.lexsort((d, h))
-        h, d = h[order], d[order]
+        h, d, times = h[order], d[order], times[order]
         begins = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        many = h[begins[np.add.reduceat(times, begins) > hot]]
+        if len(many):
+            yield _batch(schema, pa.nulls(len(many), pa.int64()), many.view(np.int64))
         sizes = np.diff(np.append(begins, len(h)))
         other = np.repeat(d[begins] != d[begins + sizes - 1], sizes)
         h, d = h[other], d[other]
@@ -305,8 +317,10 @@ def _later_windows(spans: np.ndarray, sizes: np.ndarray, kmer: np.ndarray, docs:
 
 def _removed_ranges(texts: DataFrame, length: int, k: int, n: int) -> DataFrame:
     """``doc, tag, rep, first, last``: window starts of a text (``doc, tag``) that are removed, from first to last; with ``rep``
-    from 0 on, windows that share the fate of those at ``rep``, where the text has the same bytes."""
+    from 0 on, windows that share the fate of those at ``rep``, where the text has the same bytes. ``texts``: ``doc, tag, kmers,
+    hot, data``; windows of k-mers in ``hot`` are dealt singly."""
     widest = 2 * length - k
+    window = (("u1", length), ("i8", 1), ("i8", 1), ("i8", 1))
     kinds = (("u1", widest), ("u1", 1), ("u1", 1), ("i8", 1), ("i8", 1), ("i8", 1))
 
     def portions(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
@@ -314,22 +328,30 @@ def _removed_ranges(texts: DataFrame, length: int, k: int, n: int) -> DataFrame:
 
         def out() -> Iterator[tuple[int, bytes]]:
             nonlocal turn
-            span, lens, at, doc, tag, pos, kmer = (np.concatenate(c) for c in zip(*held, strict=True))
+            span, lens, at, doc, tag, pos, kmer, hot = (np.concatenate(c) for c in zip(*held, strict=True))
             order = np.lexsort((pos, tag, doc, _span_hash(span, lens)))
-            span, lens, at, doc, tag, pos, kmer = (c[order] for c in (span, lens, at, doc, tag, pos, kmer))
+            span, lens, at, doc, tag, pos, kmer, hot = (c[order] for c in (span, lens, at, doc, tag, pos, kmer, hot))
             same = np.concatenate([[False], (span[1:] == span[:-1]).all(axis=1) & (lens[1:] == lens[:-1]) & (at[1:] == at[:-1])])
             begins = np.flatnonzero(~same)
             counts = np.diff(np.append(begins, len(doc)))
             rep, last = np.repeat(pos[begins], counts), pos + lens - length
-            later = doc > np.repeat(doc[begins], counts)
+            later_spans = doc > np.repeat(doc[begins], counts)
             # Equal spans under one document: those of its first text are told their fate by the first place, another text asks itself.
-            twin = same & ~later & (tag == np.repeat(tag[begins], counts))
-            ranges = [doc[later], tag[later], np.full(later.sum(), -1), pos[later], last[later]]
+            twin = same & ~later_spans & (tag == np.repeat(tag[begins], counts))
+            ranges = [c[later_spans] for c in (doc, tag, np.full(len(doc), -1), pos, last)]
             ranges = [np.concatenate(c) for c in zip(ranges, [doc[twin], tag[twin], rep[twin], pos[twin], last[twin]], strict=True)]
             if len(ranges[0]):
                 turn += 1
                 yield -turn, _packed(*_runs(*ranges))
-            go = np.flatnonzero(~later & ~twin)
+            single = np.flatnonzero(~later_spans & ~twin & hot)
+            for part in _in_portions(single[np.argsort(kmer[single], kind="stable")], lens.astype(np.int64) - length + 1):
+                strings, own, later = _first_windows(*_windows(span, lens, part, length), doc, tag, pos)
+                if later.any():
+                    turn += 1
+                    yield -turn, _packed(*_runs(own[0][later], own[1][later], np.full(later.sum(), -1), own[2][later], own[2][later]))
+                strings, *own = (c[~later] for c in (strings, *own))
+                yield from _dealt(_U(n) + ((_window_hash(strings) >> _U(32)) * _U(n) >> _U(32)), 2 * n, strings, *own)
+            go = np.flatnonzero(~later_spans & ~twin & ~hot)
             go = go[np.lexsort((pos[go], tag[go], doc[go]))]
             yield from _dealt((kmer[go] >> _U(32)) * _U(n) >> _U(32), n, *(c[go] for c in (span, lens, at, doc, tag, pos)))
 
@@ -338,21 +360,25 @@ def _removed_ranges(texts: DataFrame, length: int, k: int, n: int) -> DataFrame:
             kmer = _mix(kmer * _U(_M))
             piece = np.searchsorted(ends, at, side="right")
             # Shared k-mers of the rows at hand, each made its own by the row's number.
-            lists = batch.column(2)
             mine = np.unique(rows)
-            values, bounds = lists.values.to_numpy(zero_copy_only=False).view(_U), lists.offsets.to_numpy()
-            known = np.sort(np.concatenate([values[bounds[r]: bounds[r + 1]] + _U(r * _M % (1 << 64)) for r in mine.tolist()]))
+
+            def listed(lists: pa.ListArray, asked: np.ndarray, mine: np.ndarray = mine) -> np.ndarray:
+                values, bounds = lists.values.to_numpy(zero_copy_only=False).view(_U), lists.offsets.to_numpy()
+                known = np.sort(np.concatenate([values[bounds[r]: bounds[r + 1]] + _U(r * _M % (1 << 64)) for r in mine.tolist()]))
+                return known[np.minimum(np.searchsorted(known, asked), len(known) - 1)] == asked if len(known) else np.zeros(len(asked), bool)
+
             asked = kmer + rows[piece].astype(_U) * _U(_M)
-            hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, asked), len(known) - 1)] == asked) if len(known) else np.zeros(0, np.int64)
+            hit = np.flatnonzero(listed(batch.column(2), asked))
             if not len(hit):
                 continue
             begin, lens = first[hit], last[hit] - first[hit] + length
             index = begin[:, None] + np.arange(widest)
             span = np.where(np.arange(widest) < lens[:, None], data[np.minimum(index, len(data) - 1)], np.uint8(0))
+            hot = listed(batch.column(3), asked[hit])
             piece, row = piece[hit], rows[piece[hit]]
             pos = begin - (ends[piece] - np.diff(np.append(0, ends))[piece]) + offs[piece]
             doc, tag = (batch.column(i).to_numpy(zero_copy_only=False)[row] for i in (0, 1))
-            held.append((span, lens.astype(np.uint8), (at[hit] - begin).astype(np.uint8), doc, tag, pos, kmer[hit]))
+            held.append((span, lens.astype(np.uint8), (at[hit] - begin).astype(np.uint8), doc, tag, pos, kmer[hit], hot))
             size += len(hit)
             if size >= PORTION // 4:
                 yield from out()
@@ -393,8 +419,53 @@ def _removed_ranges(texts: DataFrame, length: int, k: int, n: int) -> DataFrame:
     def local(blob: bytes) -> pa.RecordBatch:
         return _batch(_RANGES, *_unpacked(blob, *[("i8", 1)] * len(_RANGES)))
 
-    sent = texts.select("doc", "tag", "kmers", "data").mapInArrow(lambda b: _blobs(portions(b)), "bucket bigint, data binary")
-    return _by_bucket(sent, n, reduce, local, _RANGES_SQL)
+    def single(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        strings, doc, tag, pos = (np.concatenate(c) for c in zip(*(_unpacked(b, *window) for b in blobs), strict=True))
+        _, (doc, tag, pos), later = _first_windows(strings, np.arange(len(doc)), np.zeros(len(doc), np.int64), doc, tag, pos)
+        if later.any():
+            yield _batch(_RANGES, *_runs(doc[later], tag[later], np.full(later.sum(), -1), pos[later], pos[later]))
+
+    sent = texts.select("doc", "tag", "kmers", "hot", "data").mapInArrow(lambda b: _blobs(portions(b)), "bucket bigint, data binary")
+    return _by_bucket(sent, n, reduce, local, _RANGES_SQL, single)
+
+
+def _in_portions(entries: np.ndarray, windows: np.ndarray) -> Iterator[np.ndarray]:
+    """Entries in order, at most SORTED windows at a time, or one entry."""
+    ends = np.cumsum(windows[entries])
+    a = 0
+    while a < len(entries):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] - windows[entries[a]] + SORTED, side="right")))
+        yield entries[a:b]
+        a = b
+
+
+def _windows(span: np.ndarray, lens: np.ndarray, entries: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Bytes, entry and place of each window of the entries."""
+    n = lens[entries].astype(np.int64) - length + 1
+    entry = np.repeat(entries, n)
+    place = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n)
+    strings = np.lib.stride_tricks.sliding_window_view(np.ascontiguousarray(span).reshape(-1), length)
+    return strings[entry * span.shape[1] + place], entry, place
+
+
+def _window_hash(strings: np.ndarray) -> np.ndarray:
+    return _span_hash(strings, np.full(len(strings), strings.shape[1]))
+
+
+def _first_windows(strings: np.ndarray, entry: np.ndarray, place: np.ndarray, doc: np.ndarray, tag: np.ndarray,
+                   pos: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Windows with equal ones side by side: bytes; document, tag and start; whether a smaller document has the same bytes."""
+    own = [doc[entry], tag[entry], pos[entry] + place]
+    hashes = _window_hash(strings)
+    order = np.lexsort((*own[::-1], hashes))
+    differs = (strings[order][1:] != strings[order][:-1]).any(axis=1)
+    if (differs & (hashes[order][1:] == hashes[order][:-1])).any():
+        # Different bytes with one hash: by their bytes.
+        order = np.lexsort((*own[::-1], *strings.T[::-1]))
+        differs = (strings[order][1:] != strings[order][:-1]).any(axis=1)
+    strings, own = strings[order], [c[order] for c in own]
+    begins = np.flatnonzero(np.concatenate([[True], differs]))
+    return strings, own, own[0] > np.repeat(own[0][begins], np.diff(np.append(begins, len(strings))))
 
 
 def _span_hash(span: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -458,12 +529,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = max(parts, 2 * int(size) // (length - k + 2) // BUCKET + 1)
     named = source.where(F.col("doc").isNotNull() & (F.octet_length("_text") >= length))
-    kmers = _shared_kmers(named.select("doc", F.col("_text").cast("binary").alias("data")), length, k, n)
-    lists = kmers.groupBy("doc").agg(F.collect_list("kmer").alias("kmers"))
+    kmers = _shared_kmers(named.select("doc", F.col("_text").cast("binary").alias("data")), length, k, n, max(HOT, int(size) >> 20))
+    hot = F.broadcast(kmers.where("doc IS NULL").select(F.col("kmer").alias("hot")))
+    lists = kmers.where("doc IS NOT NULL").join(hot, F.col("kmer") == F.col("hot"), "left").groupBy("doc").agg(
+        F.collect_list("kmer").alias("kmers"), F.collect_list("hot").alias("hot"))
     texts = source.select("doc", F.xxhash64("_text").alias("tag"), F.col("_text").cast("binary").alias("data"))
     # Both joins read the named texts dealt by document: Spark shuffles them once.
     dealt = texts.where(F.col("doc").isNotNull())
-    asked = dealt.join(lists, "doc").select("doc", "tag", "kmers", "data")
+    asked = dealt.join(lists, "doc").select("doc", "tag", "kmers", "hot", "data")
     ranges = _removed_ranges(asked, length, k, n).groupBy("doc").agg(F.collect_list(F.struct(*list(_RANGES)[1:])).alias("ranges"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -146,6 +146,32 @@ def test_repeats_in_small_portions(table, monkeypatch):
     assert rows_of(repeats.remove_repeats(table(rows))) == brute_repeats([(i, t.encode()) for i, t in rows], 50)
 
 
+def test_windows_of_hot_kmers_are_dealt_singly(spark, table, monkeypatch):
+    rows = repeat_texts()
+    rng = random.Random(11)
+    common = "this passage stands in very many of the documents, each time in other words"
+    own = lambda: "".join(rng.choice("abcdefgh ") for _ in range(60))
+    rows += [(1000 + i, own() + common + own()) for i in range(200)]
+    expected = brute_repeats([(i, t.encode()) for i, t in rows], 50)
+    most = {}
+    for hot in (1 << 30, 20, 0):
+        monkeypatch.setattr(repeats, "HOT", hot)
+        sizes, by_bucket = [], repeats._by_bucket
+
+        def spy(df, n, *rest, by_bucket=by_bucket, sizes=sizes):
+            sizes.append(df.where("bucket >= 0").groupBy("bucket").agg({"bucket": "count"}).collect())
+            assert hot == 1 << 30 or len(sizes) < 2 or any(r.bucket >= n for r in sizes[-1])
+            return by_bucket(df, n, *rest)
+
+        monkeypatch.setattr(repeats, "_by_bucket", spy)
+        assert rows_of(repeats.remove_repeats(table(rows))) == expected
+        monkeypatch.setattr(repeats, "_by_bucket", by_bucket)
+        most[hot] = sum(r.bucket >= 0 for r in sizes[1])
+    assert most[20] > most[1 << 30]
+    monkeypatch.setattr(repeats, "SORTED", 40)
+    assert rows_of(repeats.remove_repeats(table(rows))) == expected
+
+
 def test_windows_of_one_kmer_in_several_sets():
     rng = np.random.default_rng(9)
     spans = np.zeros((400, 80), np.uint8)
