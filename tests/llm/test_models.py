@@ -137,6 +137,18 @@ def counted(df):
     return sorted((str(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in df.collect())
 
 
+def test_one_row_of_an_id_is_learned_from(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["good", "words", "@@##", "x"]) for _ in range(20))) for i in range(20)]
+    rows += [(7, f"another text {i % 3}") for i in range(50)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, quality int")
+    sizes, old, learned = [], preference.fit, []
+    monkeypatch.setattr(preference, "fit", lambda x, y: sizes.append(len(x)) or old(x, y))
+    for order in (rows, rows[::-1]):
+        learned.append(preference.learn(spark.createDataFrame(order, "doc_id bigint, text string").repartition(5), labels))
+    assert sizes == [20, 20] and (learned[0].weights == learned[1].weights).all()
+
+
 def test_quality_counts_equal_brute_force(table, awkward, monkeypatch):
     rng = random.Random(5)
     rows = [*awkward, *[(100 + i, "".join(rng.choice(["a", "b", "é", "#"]) + rng.choice([" ", " ", "\n", "\t", " \r"]) for _ in range(rng.randrange(40)))) for i in range(120)]]
