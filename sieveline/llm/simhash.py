@@ -16,6 +16,7 @@ from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -193,9 +194,24 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with one document of each component, the one with the smallest id; all columns stay.
 
     A row that repeats another's id and text is the same document and goes as well. Rows without an id can't be told apart
-    and stay.
+    and stay. Of rows that share an id but not the text, only those go whose own text is a copy.
     """
     found = near_duplicates(docs, id_col, text_col, **settings)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(gone, docs[id_col] == gone["_gone"], "left_anti")
-    return named.dropDuplicates([id_col, text_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    is_copy = F.col(id_col) != F.col("component_id")
+    judged = found.groupBy(F.col(id_col).alias("_gone")).agg(F.min(is_copy).alias("_every"), F.max(is_copy).alias("_any")).where("_any")
+    named = docs.where(F.col(id_col).isNotNull())
+    kept = named.join(judged, docs[id_col] == judged["_gone"], "left_anti")
+    # Ids of which some texts are copies and others aren't: by fingerprint.
+    size, seed = settings.get("size", SHINGLE), settings.get("seed", SEED)
+
+    @F.pandas_udf("bigint")
+    def own(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in texts:
+            yield pd.Series(np.array([fingerprint(t, size, seed) for t in part], np.uint64).view(np.int64))
+
+    mixed = named.join(judged.where("NOT _every"), docs[id_col] == judged["_gone"], "left_semi").dropDuplicates([id_col, text_col])
+    mixed = mixed.withColumn("_own_fp", own(F.coalesce(text_col, F.lit(""))))
+    copies = found.where(is_copy).select(F.col(id_col).alias("_copy_id"), F.col("fp").alias("_copy_fp")).distinct()
+    same = (F.col("_own_fp") == F.col("_copy_fp")) & (mixed[id_col] == copies["_copy_id"])
+    mixed = mixed.join(copies, same, "left_anti").select(docs.columns)
+    return kept.dropDuplicates([id_col, text_col]).unionByName(mixed).unionByName(docs.where(F.col(id_col).isNull()))

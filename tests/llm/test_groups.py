@@ -87,6 +87,15 @@ def test_near_duplicates_equal_brute_force(table, awkward):
     assert simhash.near_duplicates(table([])).count() == 0
 
 
+def test_rows_with_one_id_go_by_their_own_text(table):
+    words = lambda k, n: " ".join(f"{k}{i * 7 % 83}" for i in range(n))
+    rows = [(1, words("a", 80)), (2, words("a", 80)), (2, words("b", 80)), (2, words("b", 80)), (2, None), (3, words("c", 60)), (4, words("a", 80))]
+    kept = simhash.drop_near_duplicates(table(rows))
+    want = [(1, words("a", 80)), (2, None), (2, words("b", 80)), (3, words("c", 60))]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+    assert kept.columns == table(rows).columns
+
+
 @pytest.mark.parametrize("compared", [1 << 13, 0])
 def test_forest_connects_what_is_linked(monkeypatch, compared):
     monkeypatch.setattr(simhash, "COMPARED", compared)
