@@ -89,11 +89,13 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, findings
     """Findings of all paths, and the ledger's new entries.
 
     ``versions``: a row per path and version, named by ``keys``; other columns are not read. ``ledger``: ``blob,
-    rule_version`` of earlier scans, and ``findings`` what they found (``blob, rule_version, spans``). Returned are
+    rule_version`` of earlier scans, and ``findings`` what they found (``blob, rule_version, spans``), needed with a ledger. Returned are
     ``keys, blob, spans`` for every row of ``versions`` (no finding: an empty array) and ``blob, rule_version, spans`` of
     the blobs scanned now, to be appended to both. Repeated rows are scanned once and come back as often as they are
     given; null keys are keys like any other; an empty table gives two empty tables.
     """
+    if ledger is not None and findings is None:
+        raise ValueError("a ledger needs the findings of its scans: blobs in it aren't scanned again")
     rules = tuple(rules)
     version = rule_version(rules)
     paths = written(addressed(versions, text_col, keys), "blobs")

@@ -97,6 +97,8 @@ def test_ledger_scans_only_unseen_blobs(spark, table):
     assert new.count() == 1 and found.where(F.size("spans") > 0).count() == 3
     _, all_again = secret_ledger.scan_versions(later, ledger, findings, rules=secret_ledger.RULES[:2])
     assert all_again.count() == 3
+    with pytest.raises(ValueError, match="findings"):
+        secret_ledger.scan_versions(later, ledger)
 
 
 def test_masking(spark, table, awkward):
