@@ -98,6 +98,19 @@ class Automaton:
     def first_words(self) -> set[bytes]:
         return {w for s in self.closed([0]) for w, _ in self.edges.get(s, ())}
 
+    def needed_word(self) -> bytes | None:
+        """The longest word that every accepted run of words has."""
+        for word in sorted({w for edges in self.edges.values() for w, _ in edges}, key=lambda w: (-len(w), w)):
+            todo, seen = [0], set()
+            while todo:
+                s = todo.pop()
+                if s not in seen:
+                    seen.add(s)
+                    todo += [t for w, t in self.edges.get(s, ()) if w != word] + self.skips.get(s, []) + [self.gaps[t] for t in (s,) if t in self.gaps]
+            if self.end not in seen:
+                return word
+        return None
+
     def match(self, words: list[bytes], at: int) -> int | None:
         """The end of the longest accepted run of words that begins at ``at``."""
         states, found, i = self.closed([0]), None, at
@@ -160,8 +173,9 @@ class Scanner:
         for label, a in self.automata.items():
             for w in a.first_words():
                 self.begins.setdefault(w, []).append(label)
-        # Templates and phrases can only stand where a word that each of them needs occurs.
-        self.needed = re.compile(b"|".join(sorted({max(p, key=len) for p, _ in self.phrases} | {w for w in self.begins if len(w) >= 5} | {b"under"})))
+        # Templates and phrases can only stand where a word that each of them needs occurs; one that needs none can stand anywhere.
+        needed = {max(p, key=len) for p, _ in self.phrases} | {a.needed_word() or b"" for a in self.automata.values()}
+        self.needed = re.compile(b"" if b"" in needed else b"|".join(sorted(needed)))
         self.is_word = np.zeros(256, bool)
         self.is_word[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 

@@ -131,6 +131,15 @@ def test_template_markup(template, text, end):
     assert license_templates.compile_template(template).match(license_templates.words_of(text), 0) == end
 
 
+@pytest.mark.parametrize(("template", "text", "needed"), [
+    ("This software is provided as is", "this software is provided as is", b"provided"), ("a|b c|d", "b d", None), ("[[alpha]] {{2}} is", "x is", b"is"),
+    ("[[longest]] mid {{1}}", "mid", b"mid")])
+def test_own_templates_are_not_filtered_out(template, text, needed):
+    scanner = license_templates.Scanner({"own": template}, license_templates.PHRASES)
+    assert scanner.automata["own"].needed_word() == needed
+    assert [m["label"] for m in scanner.scan(f"so: {text} .")[5]] == ["own"]
+
+
 def test_full_templates_are_accepted():
     scanner = license_templates.Scanner(license_templates.TEMPLATES, license_templates.PHRASES)
     for label, template in license_templates.TEMPLATES.items():
