@@ -1,9 +1,9 @@
-"""Removal of repeated byte strings: a sparse suffix array over anchored suffixes, dealt out over tasks.
+"""Removal of repeated byte strings: strings grouped by minimizer anchors, dealt out over tasks.
 
-A longest-previous-factor array tells for each place of the corpus the longest string there that also starts earlier; where
-it reaches ``length`` bytes, those bytes are a later copy. Only whether it does matters, so suffixes are compared by
-their first ``length`` bytes, equal ones by document: the previous smaller value then stands right in front of a suffix,
-the next smaller one can't share as much, and a suffix has an earlier match if it isn't in the first document of its run.
+A longest-previous-factor array would tell for each place of the corpus the longest string there that also starts earlier; where
+it reaches ``length`` bytes, those bytes are a later copy. Only whether it does matters, so neither that array nor previous or
+next smaller values are computed: strings of ``length`` bytes are grouped by their bytes, and one has an earlier match if it isn't
+in the smallest document of its group.
 
 No task sees the whole corpus. Each string of ``length`` bytes has an anchor, its leftmost k-mer of least hash: equal strings
 have equal k-mers at equal places. So it's enough to sort suffixes whose anchors have the same k-mer against each other:
