@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sieveline.llm import query_filters, query_groups, query_models  # noqa: F401
+from sieveline.llm import query_filters, query_groups, query_models, query_texts  # noqa: F401
 from sieveline.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
