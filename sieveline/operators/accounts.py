@@ -9,10 +9,11 @@ from sieveline.functions.text import user_key
 
 
 def account_uuid(key: Column) -> Column:
-    """Stable id of an account key. A random id would change when a task is run again; this one cannot."""
+    """Stable id of an account key, null for none. A random id would change when a task is run again; this one cannot."""
     h = F.sha2(key, 256)
     cut = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (14, 3), (18, 3), (21, 12))]
-    return F.concat_ws("-", cut[0], cut[1], F.concat(F.lit("4"), cut[2]), F.concat(F.lit("a"), cut[3]), cut[4])
+    spelled = F.concat_ws("-", cut[0], cut[1], F.concat(F.lit("4"), cut[2]), F.concat(F.lit("a"), cut[3]), cut[4])
+    return F.when(key.isNotNull(), spelled)
 
 
 def seen_accounts(requests: DataFrame) -> DataFrame:

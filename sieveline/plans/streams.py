@@ -96,10 +96,10 @@ def stream_account_dedup(t: Tables) -> DataFrame:
   SELECT event_id, coalesce(id, left(h, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-a' || substr(h, 18, 3) || '-' || substr(h, 21, 12)) AS uuid FROM u""")
 def stream_uuid_assign(t: Tables) -> DataFrame:
     work = t.work("uuid")
-    stored = readers.scan_users(t.customer.select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("id"), F.concat(F.lit("user"), F.col("c_custkey").cast("string"), F.lit("@example.com")).alias("email"),
-                                                  (F.col("c_nationkey") % 5).cast("int").alias("ai_service_id")))
+    stored = readers.scan_users(_stream(t, "customer").select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("id"), F.concat(F.lit("user"), F.col("c_custkey").cast("string"), F.lit("@example.com")).alias("email"),
+                                                              (F.col("c_nationkey") % 5).cast("int").alias("ai_service_id")))
     keyed = _accounts(_stream(t, "events")).withColumn("user_key", F.concat_ws("_", "email", F.col("ai_service").cast("string")))
-    jobs.stream_uuid_assign(keyed.select("event_id", "user_key"), stored, f"{work}/out", f"{work}/ckpt").awaitTermination()
+    jobs.stream_uuid_assign(keyed.select("event_id", "user_key"), stored.select("user_key", "id"), f"{work}/out", f"{work}/ckpt").awaitTermination()
     return t.spark.read.parquet(f"{work}/out").select("event_id", "uuid")
 
 

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from sieveline.operators.accounts import account_uuid, assign_uuid, seen_accounts
+from sieveline.functions.text import user_key
+from sieveline.operators.accounts import account_uuid
 from sieveline.operators.policy import policy_diff
-from sieveline.sources.sinks import RECORDS_PER_FILE, create_only, stored_table
+from sieveline.sources.sinks import RECORDS_PER_FILE, stored_table
+from sieveline.streaming.keyed import SALTS, first_of_key, known_of_key, start_keyed
 
 Op = Callable[[DataFrame], DataFrame]
 
@@ -84,44 +86,34 @@ def stream_policy_refresh(stream: DataFrame, read_policy: Callable[[], DataFrame
     return _trigger(stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint), every).start()
 
 
-def _read_accounts(spark: SparkSession, path: str, before: int) -> DataFrame:
-    """Accounts written by earlier batches; a replayed batch must not see its own first attempt."""
-    stored = stored_table(spark, path)
-    if stored is None:
-        return spark.createDataFrame([], "user_key string, email string, ai_service_id int, uuid string")
-    return stored.where(F.col("batch_id") < before).select("user_key", "email", "ai_service_id", "uuid")
+def stream_account_dedup(stream: DataFrame, target: str, checkpoint: str, every: str | None = "10 seconds", *,
+                         stored: DataFrame | None = None) -> StreamingQuery:
+    """Accounts seen for the first time, appended with their id. ``stored`` is a stream of accounts known from elsewhere."""
+    seen = stream.select(user_key(F.col("email"), F.col("ai_service")).alias("user_key"), "email", F.col("ai_service").alias("ai_service_id"))
+    fresh = first_of_key(seen.where(F.col("user_key").isNotNull()), "user_key", "email", stored)
+    writer = fresh.withColumn("uuid", account_uuid(F.col("user_key"))).writeStream.format("parquet").option("path", target)
+    return start_keyed(_trigger(writer.option("checkpointLocation", checkpoint).outputMode("append"), every), stream.sparkSession)
 
 
-def stream_account_dedup(stream: DataFrame, target: str, checkpoint: str, every: str | None = "10 seconds") -> StreamingQuery:
-    """Accounts seen for the first time, appended with their id.
+def stream_uuid_assign(stream: DataFrame, stored: DataFrame, path: str, checkpoint: str, every: str | None = None, *,
+                       salts: int = SALTS) -> StreamingQuery:
+    """Requests with the id of their account: the stored one, else the stable id of the key.
 
-    Known accounts are looked up in the target, so no streaming state grows with the number of accounts.
+    ``stored`` (``user_key, id``) is a stream too: accounts that others store while this runs are known from the next batch on.
+    Several ids stored for a key in one batch: the smallest; later ones don't replace it.
     """
-    def process(batch: DataFrame, batch_id: int) -> None:
-        known = _read_accounts(batch.sparkSession, target, batch_id)
-        fresh = seen_accounts(batch).join(known.select("user_key"), "user_key", "left_anti")
-        _write_once(fresh.withColumn("uuid", account_uuid(F.col("user_key"))), target, batch_id)
-
-    return _trigger(stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint), every).start()
-
-
-def stream_uuid_assign(stream: DataFrame, stored: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Requests with the id of their account: the stored one, else the stable id of the key. Needs no state."""
-    known = stored.groupBy("user_key").agg(F.min("id").alias("id"))
-    writer = (assign_uuid(stream, known).writeStream.format("parquet").option("path", path)
-              .option("checkpointLocation", checkpoint))
-    return _trigger(writer.outputMode("append"), every).start()
+    out = known_of_key(stream, "user_key", stored.select("user_key", F.col("id").alias("__known")), salts)
+    assigned = out.withColumn("uuid", F.coalesce("__known", account_uuid(F.col("user_key")))).drop("__known")
+    writer = assigned.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    return start_keyed(_trigger(writer.outputMode("append"), every), stream.sparkSession)
 
 
 def stream_idempotent(stream: DataFrame, key: str, path: str, checkpoint: str, *, order: str | None = None,
-                      every: str | None = None) -> StreamingQuery:
-    """Requests whose id is not stored yet, the first per id; an id is known for as long as its row is stored.
+                      every: str | None = None, stored: DataFrame | None = None) -> StreamingQuery:
+    """Requests whose id was not seen yet, the first per id by ``order`` and then by hash; rows without an id are all kept.
 
-    Ids are looked up in the target, so no streaming state grows and no time limit lets a repeated id in again.
+    An id is known for good, however long ago it came. ``stored`` is a stream of rows with ids known from elsewhere.
     """
-    def process(batch: DataFrame, batch_id: int) -> None:
-        stored = stored_table(batch.sparkSession, path)
-        earlier = None if stored is None else stored.where(F.col("batch_id") < batch_id)
-        _write_once(create_only(batch, earlier, key, order), path, batch_id)
-
-    return _trigger(stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint), every).start()
+    fresh = first_of_key(stream.where(F.col(key).isNotNull()), key, order, stored).unionByName(stream.where(F.col(key).isNull()))
+    writer = fresh.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    return start_keyed(_trigger(writer.outputMode("append"), every), stream.sparkSession)
