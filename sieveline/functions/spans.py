@@ -95,6 +95,24 @@ def spans_of(text: Column, rules: Sequence[SpanRule]) -> Column:
     return F.filter(spans, lambda s: s["start"] < s["end"]).cast(SPANS)
 
 
+def spans_of_pattern(text: Column, pattern: Column, grouped: Column, value_index: Column, ord_: Column, name: Column) -> Column:
+    """All hits of a pattern that is data, as ``array<SPAN>``; ``grouped`` and ``value_index`` are null or a ``GroupPattern``.
+
+    The pattern has no empty match. ``type`` is the lower-cased name.
+    """
+    whole = F.coalesce(grouped, pattern)
+
+    def with_pieces(found: Column) -> Column:
+        narrowed = grouped.isNotNull()
+        return F.when(F.size(found) > 0, F.struct(
+            ord_.alias("ord"), F.lower(name).alias("type"), name.alias("rule"), found.alias("found"), F.split(text, whole, -1).alias("pieces"),
+            F.when(narrowed, F.regexp_extract_all(text, whole, F.when(narrowed, F.lit(1)).otherwise(F.lit(0)))).alias("lead"),
+            F.when(narrowed, F.regexp_extract_all(text, whole, F.coalesce(value_index, F.lit(0)))).alias("value")))
+
+    spans = let(F.regexp_extract_all(text, whole, F.lit(0)), lambda found: let(with_pieces(found), lambda m: F.when(m.isNotNull(), _place(m))))
+    return F.filter(F.coalesce(spans, F.array()), lambda s: s["start"] < s["end"]).cast(SPANS)
+
+
 def find_spans(text: Column, pattern: str, type_: str, *, rule: str | None = None, ord_: int = 0,
                flags: int = 0, group: str | None = None, gate: Column | None = None) -> Column:
     """All hits of one pattern; see ``SpanRule``."""

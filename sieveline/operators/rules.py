@@ -1,8 +1,9 @@
 """Rules as data: validation, text-by-rule matching, detection plans.
 
-A rule table is written by administrators, so it is small next to the texts. Rules are unrolled into literal patterns
-(compiled once per task) and tested inside the text's own row: no join, no shuffle, no pair that is not a hit. Any number
-of rules is one scan of the texts; large tables are unrolled into several arrays of one projection.
+A rule table is written by administrators, so it is small next to the texts. A few rules are unrolled into literal patterns
+(compiled once per task) and tested inside the text's own row: no join, no shuffle, no pair that is not a hit. Of many
+rules, those that cannot match without some literal are looked for all at once by an automaton over the literals; only the
+rules it names for a text are tried on it, as rows of text and rule joined to the broadcast patterns. The others are unrolled.
 """
 
 from __future__ import annotations
@@ -12,18 +13,23 @@ from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sieveline.functions import spans as S
 from sieveline.functions.expr import let, unnest
+from sieveline.functions.literals import automaton, mandatory, named
 from sieveline.functions.regex import engine_problem, group_pattern, java_pattern, may_match_empty, rule_problem
 from sieveline.functions.text import decode_rule
 
 #: Rules unrolled into one array expression, and rules a table may have at most: more is an error, never a cut.
 RULES_PER_ARRAY, MOST_RULES = 200, 50_000
+#: Up to this many rules are cheaper unrolled than named by an automaton.
+FEW_RULES = 24
 RULE_COLUMNS = ("ord", "id", "name", "rule", "action", "regex_flag", "regex_group_val")
 DOTALL = 16
 
@@ -148,21 +154,79 @@ def rule_spans(text: Column, rules: Sequence[Rule], *, lower_type: bool = True)
                                         group=r.group) for r in rules])
 
 
-def join_text_rules(df: DataFrame, keys: Sequence[str], text: str, rules: DataFrame | Sequence[Rule]) -> DataFrame:
-    """One row per text and rule that occurs in it."""
-    return unnest(df, keys, _arrays(rules, lambda part: matching_rules(F.col(text), part), f"array<{HEADER}>"), "ord")
+def _indexed(rules: Sequence[Rule], few: int) -> tuple[list[tuple[Rule, frozenset[str]]], list[Rule]]:
+    """(rules with the literals they need, the others); none of the first kind if there are few rules."""
+    if len(rules) <= few:
+        return [], list(rules)
+    needed = [mandatory(r.rule, r.flags) for r in rules]
+    return ([(r, n) for r, n in zip(rules, needed, strict=True) if n is not None], [r for r, n in zip(rules, needed, strict=True) if n is None])
 
 
-def detect_rules(df: DataFrame, keys: Sequence[str], text: str, rules: DataFrame | Sequence[Rule]) -> DataFrame:
-    """One row per hit: keys, rule, ordinal of the hit within text and rule, offsets, value."""
-    rows = load_rules(rules) if isinstance(rules, DataFrame) else list(rules)
-    hard = [r for r in rows if may_match_empty(r.rule, r.flags) or (r.group is not None and group_pattern(r.rule, r.group, r.flags) is None)]
+NAMED = "struct<ord:int,rule_id:string,name:string,action:string,pattern:string,grouped:string,value:int>"
+
 
-    def hits(part: Sequence[Rule]) -> Column:
-        return F.transform(rule_spans(F.col(text), part), lambda s: F.struct(*[s[c].alias(c) for c in HIT_COLUMNS]))
+def _named(df: DataFrame, keys: Sequence[str], text: str, rules: Sequence[tuple[Rule, frozenset[str]]], every_text: bool) -> DataFrame:
+    """Keys, ``__text`` and ``__named``: the rules one of whose literals the text has, with their patterns for the engine.
 
-    found = unnest(df, keys, _arrays([r for r in rows if r not in hard], hits,
-                                     "array<struct<ord:int,rule:string,ordinal:int,start:int,end:int,value:string>>"), "ord")
+    Texts without any are left out unless ``every_text``.
+    """
+    rows = []
+    for r, _ in rules:
+        grouped = group_pattern(r.rule, r.group, r.flags) if r.group is not None else None
+        rows.append({"ord": r.ord, "rule_id": r.id, "name": r.name, "action": r.action, "pattern": java_pattern(r.rule, r.flags),
+                     "grouped": grouped and grouped.pattern, "value": grouped and grouped.value_index})
+    # At most MOST_RULES rules.
+    shared = df.sparkSession.sparkContext.broadcast(([needed for _, needed in rules], rows))
+    fields = {f.name: f for f in df.schema.fields}
+    ddl = ", ".join([*(f"`{k}` {fields[k].dataType.simpleString()}" for k in keys), f"__text string, __named array<{NAMED}>"])
+    kind = pa.struct([("ord", pa.int32()), *((c, pa.string()) for c in ("rule_id", "name", "action", "pattern", "grouped")), ("value", pa.int32())])
+
+    def look(batches: Iterable[pa.RecordBatch]):
+        literals, table = shared.value
+        machine, table = automaton(literals), pa.array(table, kind)
+        for batch in batches:
+            found = [[] if t is None else named(machine, t) for t in batch.column(len(keys)).to_pylist()]
+            if not every_text:
+                some = [i for i, f in enumerate(found) if f]
+                batch, found = batch.take(pa.array(some, pa.int64())), [found[i] for i in some]
+            ends = np.cumsum([0, *map(len, found)])
+            flat = table.take(pa.array([i for f in found for i in f], pa.int64()))
+            yield pa.record_batch([*batch.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], [*keys, "__text", "__named"])
+
+    return df.select(*keys, F.col(text).alias("__text")).mapInArrow(look, ddl)
+
+
+def join_text_rules(df: DataFrame, keys: Sequence[str], text: str, rules: DataFrame | Sequence[Rule], few: int = FEW_RULES) -> DataFrame:
+    """One row per text and rule that occurs in it. Of more than ``few`` rules those with literals are named by an automaton."""
+    rows = load_rules(rules) if isinstance(rules, DataFrame) else list(rules)
+    indexed, others = _indexed(rows, few)
+    kind = f"array<{HEADER}>"
+    if not indexed:
+        return unnest(df, keys, _arrays(others, lambda part: matching_rules(F.col(text), part), kind), "ord")
+    hits = F.transform(F.filter("__named", lambda r: F.regexp_like("__text", r["pattern"])), lambda r: F.struct(
+        *[r[c].alias(c) for c in ("ord", "rule_id", "name", "action")])).cast(kind)
+    if others:
+        hits = F.concat(hits, _arrays(others, lambda part: matching_rules(F.col("__text"), part), kind))
+    return unnest(_named(df, keys, text, indexed, bool(others)), keys, hits, "ord")
+
+
+def detect_rules(df: DataFrame, keys: Sequence[str], text: str, rules: DataFrame | Sequence[Rule], few: int = FEW_RULES) -> DataFrame:
+    """One row per hit: keys, rule, ordinal of the hit within text and rule, offsets, value. ``few`` as for ``join_text_rules``."""
+    rows = load_rules(rules) if isinstance(rules, DataFrame) else list(rules)
+    is_hard = [may_match_empty(r.rule, r.flags) or (r.group is not None and group_pattern(r.rule, r.group, r.flags) is None) for r in rows]
+    hard = [r for r, h in zip(rows, is_hard, strict=True) if h]
+    indexed, others = _indexed([r for r, h in zip(rows, is_hard, strict=True) if not h], few)
+
+    def hits(spans: Column) -> Column:
+        return F.transform(spans, lambda s: F.struct(*[s[c].alias(c) for c in HIT_COLUMNS]))
+
+    kind = "array<struct<ord:int,rule:string,ordinal:int,start:int,end:int,value:string>>"
+    where, at = (df, text) if not indexed else (_named(df, keys, text, indexed, bool(others)), "__text")
+    spans = _arrays(others, lambda part: hits(rule_spans(F.col(at), part)), kind)
+    if indexed:
+        named_spans = F.transform("__named", lambda r: hits(S.spans_of_pattern(F.col(at), r["pattern"], r["grouped"], r["value"], r["ord"], r["name"])))
+        spans = F.concat(F.flatten(named_spans).cast(kind), spans) if others else F.flatten(named_spans).cast(kind)
+    found = unnest(where, keys, spans, "ord")
     return found.unionByName(spans_in_python(df, keys, text, hard)) if hard else found
 
 
