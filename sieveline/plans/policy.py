@@ -11,6 +11,7 @@ from sieveline.operators import policy as P
 from sieveline.plans import inputs as I
 from sieveline.plans.registry import Tables, query
 from sieveline.sources import readers, sinks
+from sieveline.sources.keyed_table import KeyedTable
 
 # --- derived policy tables -------------------------------------------------------------------------------------------
 
@@ -222,9 +223,10 @@ def sink_account_upsert(t: Tables) -> DataFrame:
     target = _users(t).select("id", "email", "user_group_id")
     new = t.events.select(F.concat(F.lit("u"), (F.col("user_id") * 11).cast("string")).alias("id"), F.concat(F.lit("seen@"), "event_type").alias("email"),
                           F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("g"), F.col("event_id").cast("string"))).alias("user_group_id"), "event_id")
-    path = t.work("account-upsert")
-    sinks.sink_account_upsert(target, new, path, "id", order="event_id")
-    return t.spark.read.parquet(path)
+    table = KeyedTable(t.spark, t.work("account-upsert"), "id", target.schema, 16)
+    table.rewrite(target, lambda _, rows: rows)
+    sinks.sink_account_upsert(table, new, table.path, "id", order="event_id")
+    return table.rows()
 
 
 @query(f"""WITH {_KEYS}, u AS (SELECT user_key, sha256(user_key) AS h FROM k WHERE user_key NOT IN (SELECT user_key FROM st)) SELECT {_UUID} AS id, user_key FROM u""")
@@ -246,8 +248,8 @@ def sink_idempotent_create(t: Tables) -> DataFrame:
     sinks.sink_idempotent_create(t.events.select(key(F.col("user_id") * 13), (-F.col("event_id")).alias("event_id")), path, "doc_key", "event_id")
     new = t.events.select(key(F.col("event_id") % 7000), "event_id")
     for _ in range(2):  # the second time changes nothing
-        sinks.sink_idempotent_create(new, path, "doc_key", "event_id")
-    return t.spark.read.parquet(path)
+        table = sinks.sink_idempotent_create(new, path, "doc_key", "event_id")
+    return table.rows()
 
 
 @query("""SELECT user_id, max(event_id) AS event_id, max_by(event_type, event_id) AS event_type, max_by(value, event_id) AS value FROM events GROUP BY user_id""")
@@ -255,9 +257,8 @@ def sink_upsert_latest(t: Tables) -> DataFrame:
     rows = t.events.select("user_id", "event_id", "event_type", "value")
     old, new = rows.where(F.col("event_type") == "click"), rows.where(F.col("event_type") != "click")
     path = t.work("latest")
-    sinks.sink_upsert_latest(old, None, f"{path}/1", "user_id", "event_id")
-    sinks.sink_upsert_latest(new, f"{path}/1", f"{path}/2", "user_id", "event_id")
-    return t.spark.read.parquet(f"{path}/2")
+    sinks.sink_upsert_latest(old, path, path, "user_id", "event_id")
+    return sinks.sink_upsert_latest(new, path, path, "user_id", "event_id").rows()
 
 
 @query(f"""WITH {I.PROBED}, d AS (SELECT doc_id, text, regexp_matches(text, 'AKIA[0-9]{{16}}') AS hit FROM probed)

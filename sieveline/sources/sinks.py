@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from sieveline.operators.accounts import latest_by_key, upsert
+from sieveline.sources.keyed_table import KeyedTable
 
 #: Lines of one file; audit documents are a few hundred bytes.
 RECORDS_PER_FILE = 1_000_000
@@ -52,23 +53,40 @@ def create_only(new: DataFrame, stored: DataFrame | None, key: str, order: str |
     return fresh.select(*new.columns).unionByName(free)
 
 
-def sink_idempotent_create(new: DataFrame, path: str, key: str, order: str | None = None) -> None:
-    """Append rows with unknown keys; an existing key is a success, not an error."""
-    create_only(new, stored_table(new.sparkSession, path), key, order).write.mode("append").parquet(path)
+def sink_idempotent_create(new: DataFrame, path: str, key: str, order: str | None = None, *, buckets: int = 16) -> KeyedTable:
+    """Append rows with unknown keys; an existing key is a success, not an error.
+
+    Of the table at ``path`` the files that may hold one of the keys, told by their Bloom filters, are read for their keys.
+    """
+    table = KeyedTable(new.sparkSession, path, key, new.schema, buckets)
+    table.create(new, lambda rows, stored: create_only(rows, stored, key, order))
+    return table
 
 
-def sink_upsert_latest(new: DataFrame, source: str | None, target: str, key: str, order: str) -> None:
-    """Stored and new rows, the latest per key, written as a new version of the table.
+def sink_upsert_latest(new: DataFrame, source: str | None, target: str, key: str, order: str, *, buckets: int = 16) -> KeyedTable | None:
+    """Stored and new rows, the latest per key.
 
-    A parquet folder cannot be read and overwritten at once, so ``target`` is another folder than ``source``; on a
-    transactional table format the same frame feeds a MERGE.
+    With ``source`` and ``target`` one folder, it is a bucketed table and only the buckets of the new keys are written anew.
+    With two folders the second gets a whole copy.
     """
-    stored = new.limit(0) if source is None else new.sparkSession.read.parquet(source)
+    if source == target:
+        table = KeyedTable(new.sparkSession, target, key, new.schema, buckets)
+        table.rewrite(new, lambda stored, rows: latest_by_key(stored, rows, key, order))
+        return table
+    stored = new.limit(0)
+    if source is not None:
+        kept = KeyedTable(new.sparkSession, source, key, new.schema, buckets)
+        stored = kept.rows() if kept.exists() else new.sparkSession.read.parquet(source)
     latest_by_key(stored, new, key, order).write.mode("overwrite").parquet(target)
+    return None
 
 
-def sink_account_upsert(accounts: DataFrame, new: DataFrame, target: str, key: str = "user_id", *, order: str) -> None:
-    upsert(accounts, new, key, order).write.mode("overwrite").parquet(target)
+def sink_account_upsert(accounts: DataFrame | KeyedTable, new: DataFrame, target: str, key: str = "user_id", *, order: str) -> None:
+    """Insert or update accounts: in the buckets of a keyed table that the new keys touch, or as a whole copy of ``accounts``."""
+    if isinstance(accounts, KeyedTable):
+        accounts.rewrite(new, lambda stored, rows: upsert(stored, rows, key, order))
+    else:
+        upsert(accounts, new, key, order).write.mode("overwrite").parquet(target)
 
 
 def sink_account_insert(new: DataFrame, target: str) -> None:
