@@ -235,13 +235,33 @@ def mask_merged(text: Column, spans: Column, token: str = "[MASKING]") -> Column
 def mask_entities(text: Column, entities: Column, char: str = "*") -> Column:
     """Overwrite tagger entities ``array<struct<word,start,end,entity_group>>`` by ``char`` times the word's length.
 
-    Applied from the last start to the first, as overlapping tagger output is cut in that order.
+    As if applied from the last start to the first, where an entity that reaches into a later one cuts into its mask. Read
+    from the left, entity k begins where its predecessors have used the text up to: ``used(k + 1) = max(end, used(k) + end -
+    start - length)``. Such steps compose, so one prefix scan gives all places, and the text is rebuilt once.
     """
-    back = F.reverse(F.array_sort(F.transform(entities, lambda e: F.struct(
-        e["start"].alias("start"), e["end"].alias("end"), F.length(e["word"]).alias("n")))))
-    return F.aggregate(back, text, lambda t, e: F.concat(
-        F.substring(t, F.lit(1), e["start"]), F.repeat(F.lit(char), e["n"]),
-        F.substring(t, e["end"] + 1, F.greatest(F.length(t) - e["end"], F.lit(0)))))
+    ordered = F.array_sort(F.transform(entities, lambda e: F.struct(
+        e["start"].alias("start"), e["end"].alias("end"), F.length(e["word"]).alias("n"))))
+
+    def step(least: Column, more: Column) -> Column:
+        return F.struct(least.cast("long").alias("least"), more.cast("long").alias("more"))
+
+    def edits(es: Column) -> Column:
+        before = prefixes(es, step(F.lit(-(1 << 40)), F.lit(0)), lambda e: step(e["end"], e["end"] - e["start"] - e["n"]),
+                          lambda a, b: step(F.greatest(b["least"], a["least"] + b["more"]), a["more"] + b["more"]))
+        return F.zip_with(es, before, lambda e, p: let(F.greatest(p["least"], p["more"]).cast("int"), lambda used: F.struct(
+            F.greatest(e["start"], used).alias("start"), F.greatest(e["end"], used + e["end"] - e["start"] - e["n"]).alias("end"),
+            F.repeat(F.lit(char), F.greatest(e["n"] - F.greatest(used - e["start"], F.lit(0)), F.lit(0))).alias("replacement"), used.alias("used"), e["start"].alias("from"))))
+
+    def by_piece(t: Column, es: Column) -> Column:
+        # A mask longer than its entity can bring used text back: pieces are then not disjoint.
+        pieces = F.transform(es, lambda e: F.concat(F.substring(t, e["used"] + 1, F.greatest(e["from"] - e["used"], F.lit(0))), e["replacement"]))
+        return F.concat(F.array_join(pieces, ""), let(F.element_at(es, -1)["end"], lambda used: F.substring(t, used + 1, F.length(t))))
+
+    def rebuilt(t: Column, es: Column) -> Column:
+        disjoint = F.forall(es, lambda e: e["end"] >= e["start"])
+        return F.when(disjoint, apply_replacements(t, F.transform(es, lambda e: F.struct(e["start"], e["end"], e["replacement"])))).otherwise(by_piece(t, es))
+
+    return let(text, lambda t: let(edits(ordered), lambda es: F.when(F.size(es) > 0, rebuilt(t, es)).otherwise(t)))
 
 
 def list_entities(entities: Column) -> Column:
