@@ -9,10 +9,11 @@ whose lengths are powers of two. A task that runs again yields the same rows, as
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from struct import pack as pack_ids
-from unicodedata import is_normalized
+from unicodedata import is_normalized, normalize
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from sieveline.llm.batches import portions
 
-#: Words whose ids a worker remembers; a full table is emptied. Only speed depends on it.
+#: Words whose ids a worker remembers, in two generations. Only speed depends on it.
 REMEMBERED = 600_000
 #: Longer words are encoded each time.
 LONGEST_REMEMBERED = 64
@@ -39,71 +40,81 @@ class Limits:
     loss_tokens: int = 4096
 
 
-class WordIds:
+class WordIds(dict):
     """Token ids of texts as little-endian unsigned 32-bit numbers, put together from those of their words.
 
-    The tokenizer drops white space before it forms words, so a text's ids are those of its space-separated parts. It also
-    lower-cases and never joins a letter and the punctuation behind it: letters have the ids of their lower-case form, and a
-    word that ends in one full stop, comma or the like those of the letters before it and of the mark.
+    That is right for a tokenizer that drops white space before it forms words, lower-cases, and never joins a letter and the
+    punctuation behind it: a text's ids are then those of its space-separated parts, letters have the ids of their lower-case
+    form, and a word that ends in a letter and one full stop, comma or the like those of what is before the mark and of the
+    mark. Other tokenizers (``by_word`` is false) are given whole texts.
+
+    The dictionary holds the ids of words. When it is full it becomes the older generation, from which words that still
+    occur are taken over; what occurs no more goes with the next one.
     """
 
     MARKS = frozenset(".,;:|?!")
+    #: What the tokenizer file must say for words to be encoded apart.
+    NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+    SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        super().__init__()
+        self.tokenizer, self.older = Tokenizer.from_file(path), {}
+        self.model = self.tokenizer.model.tokenize
+        self.by_word = self._drops_spaces(json.loads(self.tokenizer.to_str()))
         # Byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on.
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         hidden = [b for b in range(256) if b not in shown]
         self.alphabet = {b: 256 + i for i, b in enumerate(hidden)}
 
-    def encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def plain(self, word: str) -> tuple[str, str]:
-        """The word, lower-cased where that's what the tokenizer does, and its final mark, if they may be encoded apart."""
-        mark = ""
+    @classmethod
+    def _drops_spaces(cls, said: dict) -> bool:
+        normalizer, before, model = said.get("normalizer") or {}, said.get("pre_tokenizer") or {}, said["model"]
+        steps = before.get("pretokenizers") or [{}, {}]
+        splits = steps[0].get("pattern", {}).get("Regex") == cls.SPLIT and steps[0].get("behavior") == "Removed" and bool(steps[0].get("invert"))
+        bytewise = len(steps) == 2 and steps[1].get("type") == "ByteLevel" and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+        return (normalizer.get("normalizers") == cls.NORMALIZERS and splits and bytewise and model["type"] == "BPE"
+                and not said.get("truncation") and not any(t["content"].isalpha() for t in said.get("added_tokens") or []))
+
+    def encoded(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self._of(word)
+        if len(word) <= LONGEST_REMEMBERED:
+            if len(self) >= REMEMBERED // 2:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def _of(self, word: str) -> bytes:
         if len(word) > 1 and word[-1] in self.MARKS and word[-2].isalpha():
-            word, mark = word[:-1], word[-1]
+            # Lower-cased or composed anew, the letter can end in a mark of its own, which then joins the one behind it.
+            if word.isascii() or normalize("NFC", word[:-1]).lower()[-1:].isalpha():
+                return self[word[:-1]] + self[word[-1]]
         if word.isalpha():
+            if word.isascii():
+                lower = word.lower()
+                return self[lower] if lower != word else self._of_letters(word)
             lower = word.lower()
-            same = len(lower) == len(word) and "\u03a3" not in word and is_normalized("NFC", word) and is_normalized("NFC", lower)
-            word = lower if word.isascii() or same else word
-        return word, mark
-
-    def of_words(self, words: list[str]) -> list[bytes]:
-        """Ids of parts as ``plain`` gives them. One run of lower-case letters is one word for the tokenizer's model."""
-        model, alphabet, out, rest = self.tokenizer.model.tokenize, self.alphabet, {}, []
-        for w in words:
-            if w.isalpha() and w == w.lower() and is_normalized("NFC", w):
-                piece = w if w.isascii() else w.encode().decode("latin-1").translate(alphabet)
-                ids = [t.id for t in model(piece)]
-                out[w] = pack_ids(f"<{len(ids)}I", *ids)
-            else:
-                rest.append(w)
-        out.update(zip(rest, self.encode(rest), strict=True))
-        return [out[w] for w in words]
+            if len(lower) == len(word) and "\u03a3" not in word and is_normalized("NFC", word) and is_normalized("NFC", lower) and lower.isalpha():
+                return self[lower] if lower != word else self._of_letters(word.encode().decode("latin-1").translate(self.alphabet))
+        return self.encoded(word) if word else b""
 
-    def learn(self, words: list[str]) -> None:
-        cut = [self.plain(w) for w in words]
-        new = list({p for pair in cut for p in pair}.difference(self.known))
-        self.known.update(zip(new, self.of_words(new), strict=True))
-        self.known.update((w, self.known[a] + self.known[b]) for w, (a, b) in zip(words, cut, strict=True))
+    def _of_letters(self, piece: str) -> bytes:
+        """Ids of one run of lower-case letters, which is one word for the tokenizer's model."""
+        ids = [t.id for t in self.model(piece)]
+        return pack_ids(f"<{len(ids)}I", *ids)
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        unknown = set().union(*parts).difference(self.known)
-        if len(self.known) + len(unknown) > REMEMBERED:
-            self.known = {}
-            unknown = set().union(*parts)
-        self.learn([w for w in unknown if len(w) <= LONGEST_REMEMBERED])
-        long = [w for w in unknown if len(w) > LONGEST_REMEMBERED]
-        self.known.update(zip(long, self.encode(long), strict=True))
-        out = [b"".join(map(self.known.__getitem__, p)) for p in parts]
-        for w in long:
-            del self.known[w]
-        return out
+        if not self.by_word:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [b"".join(map(self.__getitem__, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 _WORD_IDS: dict[str, WordIds] = {}
