@@ -12,9 +12,11 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from sieveline.llm.batches import portions
 from sieveline.llm.storage import written
@@ -22,13 +24,18 @@ from sieveline.llm.storage import written
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: matches of ``pattern`` whose ``group`` has ``least`` characters or more. ``hint`` has to occur, in lower case."""
+    """A kind of secret: matches of ``pattern`` whose ``group`` has ``least`` characters or more. ``hint`` has to occur, in lower case.
+
+    ``sweep`` names a function of ``SWEEPS`` that gives the pattern's matches in time linear in the text, where the pattern
+    itself would start over at each place that looks like a beginning.
+    """
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 0
     hint: str = ""
+    sweep: str = ""
 
 
 #: Kinds in the order in which spans with one start are listed.
@@ -38,8 +45,8 @@ BASE = (
     Rule("hex", r"[0-9a-f]{32,}", 0, 32),
 )
 RULES = BASE + (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", 0, 0, "private key-----"),
-    Rule("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0, "eyj"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", 0, 0, "private key-----", "pem"),
+    Rule("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0, "eyj", "jwt"),
     Rule("bearer", r"(?i:bearer)\x20+([A-Za-z0-9._~+/-]{20,})", 1, 20, "bearer"),
     Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:([^\s/@]{4,128})@", 1, 4, "://"),
 )
@@ -51,14 +58,57 @@ def rule_version(rules: Iterable[Rule] = RULES) -> str:
     return hashlib.sha256(repr(tuple(rules)).encode()).hexdigest()[:16]
 
 
+_BEGIN, _END = (re.compile(rf"(?=(-----{word} [A-Z ]*PRIVATE KEY-----))") for word in ("BEGIN", "END"))
+_TOKENS, _JWT = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)+"), re.compile(r"\beyJ", re.ASCII)
+
+
+def pem_spans(text: str) -> Iterator[tuple[int, int]]:
+    """From each BEGIN line to the next END line behind it; what a key contains begins no other."""
+    ends = [(m.start(), m.end(1)) for m in _END.finditer(text)]
+    done = at = 0
+    for m in _BEGIN.finditer(text):
+        if m.start() >= done:
+            while at < len(ends) and ends[at][0] < m.end(1):
+                at += 1
+            if at == len(ends):
+                return
+            done = ends[at][1]
+            yield m.start(), done
+
+
+def jwt_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Three parts of a dotted run: the first from ``eyJ`` on with 8 characters behind it, the others 8 long."""
+    for m in _TOKENS.finditer(text):
+        parts, at = m[0].split("."), m.start()
+        places = []
+        for p in parts:
+            places.append((at, at + len(p)))
+            at += len(p) + 1
+        i = 0
+        while i + 2 < len(parts):
+            found = _JWT.search(text, places[i][0], places[i][1]) if len(parts[i + 1]) >= 8 and len(parts[i + 2]) >= 8 else None
+            if found and places[i][1] - found.end() >= 8:
+                yield found.start(), places[i + 2][1]
+                i += 2
+            i += 1
+
+
+SWEEPS = {"pem": pem_spans, "jwt": jwt_spans}
+
+
 def scanner(rules: Iterable[Rule]):
     """``text -> [(kind, start, end)]``, by start and then in the order of the rules. Places are code points."""
     compiled = [(i, r, re.compile(r.pattern, re.ASCII)) for i, r in enumerate(rules)]
 
     def scan(text: str) -> list[dict]:
         lower = text.lower() if any(r.hint for _, r, _ in compiled) else ""
-        found = [(m.start(), i, m.end(), r.kind) for i, r, p in compiled if not r.hint or r.hint in lower
-                 for m in p.finditer(text) if len(m.group(r.group)) >= r.least]
+        found = []
+        for i, r, p in compiled:
+            if not r.hint or r.hint in lower:
+                if r.sweep:
+                    found += [(a, i, b, r.kind) for a, b in SWEEPS[r.sweep](text)]
+                else:
+                    found += [(m.start(), i, m.end(), r.kind) for m in p.finditer(text) if len(m.group(r.group)) >= r.least]
         return [{"kind": kind, "start": a, "end": b} for a, _, b, kind in sorted(found)]
 
     return scan
@@ -134,13 +184,23 @@ def mask_secrets(docs: DataFrame, key: str = "doc_id", text_col: str = "text", m
     hits = spans.where(F.size("spans") > 0).groupBy(F.col(key).alias("_key"), "blob").agg(F.any_value("spans").alias("_spans"))
     blob = F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256))
     joined = docs.join(hits, docs[key].eqNullSafe(hits["_key"]) & (blob == hits["blob"]), "left")
-    text = docs[text_col]
-    between = lambda a, b: F.substr(text, (a + 1).cast("int"), (b - a).cast("int"))
-    # From the front; a span that begins inside the one before it only prolongs it.
-    first = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
-    step = lambda acc, s: F.struct(
-        F.when((s["start"] < acc["at"]), acc["done"]).otherwise(F.concat(acc["done"], between(acc["at"], s["start"]), F.lit(mark))).alias("done"),
-        F.greatest(acc["at"], s["end"]).alias("at"))
-    end = lambda acc: F.concat(acc["done"], F.substr(text, (acc["at"] + 1).cast("int")))
-    clean = F.when(hits["_spans"].isNotNull(), F.aggregate(hits["_spans"], first, step, end)).otherwise(text)
+    found = hits["_spans"].isNotNull()
+    clean = F.when(found, _masked(F.when(found, docs[text_col]), F.when(found, hits["_spans"]), F.lit(mark))).otherwise(docs[text_col])
     return joined.select(*[clean.alias(c) if c == text_col else docs[c] for c in docs.columns])
+
+
+@F.pandas_udf(StringType())
+def _masked(texts: pd.Series, spans: pd.Series, marks: pd.Series) -> pd.Series:
+    """Texts with their spans replaced, the pieces joined once; a span that begins inside the one before only prolongs it."""
+    out = []
+    for text, each, mark in zip(texts, spans, marks, strict=True):
+        if text is None or each is None:
+            out.append(None)
+            continue
+        pieces, at = [], 0
+        for s in each:
+            if s["start"] >= at:
+                pieces += [text[at:s["start"]], mark]
+            at = max(at, s["end"])
+        out.append("".join([*pieces, text[at:]]))
+    return pd.Series(out, dtype=object)
