@@ -11,6 +11,7 @@ steps than its number of blocks.
 from __future__ import annotations
 
 import re
+import sys
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -26,7 +27,9 @@ from sieveline.llm.batches import portions
 from sieveline.llm.samples import bounded
 from sieveline.llm.storage import written
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Word characters of the regex engine that are neither letters nor decimal digits: fractions, Roman numerals, circled digits.
+_NUMERALS = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 UNKNOWN = "und"
 #: First code points of script ranges (fixed values).
 SCRIPTS = (
@@ -114,12 +117,14 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
           switch: float = 6.0) -> Model:
     """A model of the languages in ``lang_col``, from at most ``sample`` rows with a text and a language.
 
-    Counting is a Spark job; only the most frequent words and trigrams of each language are gathered, each with its counts in
+    Of rows with one id one is learned from; rows without a text or a language are not. Counting is a Spark job; only the most frequent words and trigrams of each language are gathered, each with its counts in
     all languages.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     chosen = bounded(rows.select("id"), "id", sample).distinct().select(F.col("id").alias("chosen"))
-    texts = rows.join(F.broadcast(chosen), F.col("id").eqNullSafe(F.col("chosen"))).select("lang", "text")
+    # One row of an id, always the same one: a repeated id doesn't lift the bound.
+    one = F.min_by(F.struct("lang", "text"), F.xxhash64("lang", "text")).alias("r")
+    texts = rows.join(F.broadcast(chosen), F.col("id").eqNullSafe(F.col("chosen"))).groupBy("id").agg(one).select("r.*")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, str], Counter] = {}
@@ -228,15 +233,17 @@ class Labeller:
     """Labels texts with a model's languages, remembering the scores of words."""
 
     def __init__(self, model: Model):
-        self.model, self.at, self.rows = model, {}, []
+        self.model, self.at, self.rows, self.known = model, {}, [], []
+        self.scripts = {name for name, used in model.scripts.items() if any(used)}
 
     def _index(self, words: list[str]) -> np.ndarray:
         new = set(words).difference(self.at)
         if len(self.at) + len(new) > REMEMBERED:
-            self.at, self.rows, new = {}, [], set(words)
+            self.at, self.rows, self.known, new = {}, [], [], set(words)
         for w in new:
             self.at[w] = len(self.rows)
             self.rows.append(self.model.score(w))
+            self.known.append(script(w) in self.scripts)
         return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
 
     def label(self, texts: list[str]) -> list[tuple[str, float, list[dict]]]:
@@ -254,9 +261,11 @@ class Labeller:
         labels = viterbi(np.array(self.rows, np.float32)[index], ends, model.switch) if len(self.rows) <= 2 * len(words) else viterbi(
             np.array([self.rows[i] for i in index.tolist()], np.float32), ends, model.switch)
         letters = np.fromiter(map(len, words), np.int64, len(words))
+        # Letters of a script that no language uses speak for none: they lower the score.
+        spoken = letters * np.array(self.known, bool)[index]
         for n, i in enumerate(some):
             a, b = ends[n] - sizes[n], ends[n]
-            share = np.bincount(labels[a:b], letters[a:b], len(model.langs))
+            share = np.bincount(labels[a:b], spoken[a:b], len(model.langs))
             top = int(share.argmax())
             cuts = np.flatnonzero(labels[a + 1:b] != labels[a:b - 1]) + 1
             spans = [{"lang": model.langs[top], "start": 0, "end": len(texts[i])}]
@@ -266,14 +275,15 @@ class Labeller:
                 marks = [0, *(starts[c] for c in cuts.tolist()), len(texts[i])]
                 kinds = [model.langs[labels[a + c]] for c in (0, *cuts.tolist())]
                 spans = [{"lang": k, "start": x, "end": y} for k, x, y in zip(kinds, marks[:-1], marks[1:], strict=True)]
-            out[i] = (model.langs[top], float(share[top] / share.sum()), spans)
+            out[i] = (model.langs[top], float(share[top] / letters[a:b].sum()), spans)
         return out
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, lang_pred, score, spans`` per row of ``docs``, from the text alone.
 
-    A null text, one without letters, or a model without languages gives ``und``, score 0 and no spans. Repeated rows give
+    The score is the share of letters in the language; letters of scripts that no learned language uses are in none. A null
+    text, one without letters, or a model without languages gives ``und``, score 0 and no spans. Repeated rows give
     repeated rows, an empty table none; other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
