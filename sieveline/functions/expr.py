@@ -37,15 +37,25 @@ def prefixes(items: Column, zero: Column, value: Callable[[Column], Column],
     def fold_values(xs: Column) -> Column:
         return F.aggregate(xs, zero, combine)
 
-    def per_block(blocks: Column, totals: Column) -> Column:
-        return F.transform(blocks, lambda block, k: let(fold_values(F.slice(totals, F.lit(1), k)), lambda before: F.transform(
-            block, lambda _, i: combine(before, fold(F.slice(block, F.lit(1), i))))))
+    def within(block: Column, before: Column, total: Callable[[Column], Column]) -> Column:
+        return F.transform(block, lambda _, i: combine(before, total(F.slice(block, F.lit(1), i))))
 
-    def blocked(xs: Column) -> Column:
+    def cut(xs: Column) -> Column:
         n = F.size(xs)
         starts = F.when(n > 0, F.sequence(F.lit(1), n, F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
-        blocks = F.transform(starts, lambda at: pick(xs, at, F.least(at + (BLOCK - 1), n)))
-        return let(blocks, lambda bs: let(F.transform(bs, fold), lambda totals: F.flatten(per_block(bs, totals))))
+        return F.transform(starts, lambda at: pick(xs, at, F.least(at + (BLOCK - 1), n)))
+
+    def few(totals: Column) -> Column:
+        return F.transform(totals, lambda _, k: fold_values(F.slice(totals, F.lit(1), k)))
+
+    def many(totals: Column) -> Column:
+        """The same by blocks of totals: their sums are so few that folding them again costs little."""
+        return let(cut(totals), lambda groups: let(F.transform(groups, fold_values), lambda sums: F.flatten(F.zip_with(
+            groups, few(sums), lambda group, before: within(group, before, fold_values)))))
+
+    def blocked(xs: Column) -> Column:
+        return let(cut(xs), lambda blocks: let(F.transform(blocks, fold), lambda totals: F.flatten(F.zip_with(
+            blocks, F.when(F.size(totals) <= 2 * BLOCK, few(totals)).otherwise(many(totals)), lambda block, before: within(block, before, fold)))))
 
     return let(items, blocked)
 
