@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, RegexTokenizer
@@ -17,19 +18,26 @@ def train_safety_classifier(docs: DataFrame, labels: DataFrame, *, key: str = "d
                             sample: int = SAMPLE, features: int = 1 << 16) -> PipelineModel:
     """Logistic regression over hashed words, with both labels weighing the same.
 
-    Rows without a text, or labelled neither 0 nor 1, are not learned from. The same rows give the same model.
+    Rows without a text, or labelled neither 0 nor 1, are not learned from; of the texts of one id, one is. The same rows give
+    the same model.
     """
     known = labels.where(F.col(label).isin(0, 1)).select(key, F.col(label).cast("double").alias("label"))
     chosen = known.orderBy(F.xxhash64(key), key, "label").limit(sample)
-    rows = docs.where(F.col(text).isNotNull()).select(key, F.col(text).alias("text")).join(F.broadcast(chosen), key)
+    # One text of an id, so that an id of very many rows stays one example.
+    texts = docs.where(F.col(text).isNotNull()).select(key, F.col(text).alias("text")).join(F.broadcast(chosen.select(key).distinct()), key)
+    one = texts.groupBy(key).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = one.join(F.broadcast(chosen), key).persist(StorageLevel.MEMORY_AND_DISK)
     share = rows.agg(F.avg("label")).first()[0]
-    if share is None or share in (0.0, 1.0):
-        raise ValueError("labelled texts of both kinds are needed")
-    weighed = rows.withColumn("weight", F.when(F.col("label") == 1, 1 - share).otherwise(share))
-    return Pipeline(stages=[
-        RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[^\p{L}]+", toLowercase=True),
-        HashingTF(inputCol="words", outputCol="features", numFeatures=features, binary=True),
-        LogisticRegression(weightCol="weight", regParam=1e-3, maxIter=40)]).fit(weighed)
+    try:
+        if share is None or share in (0.0, 1.0):
+            raise ValueError("labelled texts of both kinds are needed")
+        weighed = rows.withColumn("weight", F.when(F.col("label") == 1, 1 - share).otherwise(share))
+        return Pipeline(stages=[
+            RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[^\p{L}]+", toLowercase=True),
+            HashingTF(inputCol="words", outputCol="features", numFeatures=features, binary=True),
+            LogisticRegression(weightCol="weight", regParam=1e-3, maxIter=40)]).fit(weighed)
+    finally:
+        rows.unpersist()
 
 
 def score_safety(model: PipelineModel, docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:

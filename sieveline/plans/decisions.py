@@ -392,6 +392,20 @@ def scan_attachments(t: Tables) -> DataFrame:
     return found.agg(F.sum("length").alias("n_bytes"), F.sum(lines.cast("bigint")).alias("n_lines"), F.bool_and(whole).alias("whole"))
 
 
+@query("SELECT sum(strlen(text) + 1)::BIGINT AS n_bytes, sum(len(text) - len(replace(text, chr(10), '')) + 1)::BIGINT AS n_lines, true AS gapless FROM documents")
+def scan_file_chunks(t: Tables) -> DataFrame:
+    """The same files by byte ranges: every byte is in exactly one chunk, whatever surroundings chunks carry."""
+    from sieveline.sources.file_chunks import scan_chunks
+
+    path = t.work("chunked")
+    t.documents.select("text").write.text(path)
+    core = F.substring(F.col("content"), F.col("lead") + 1, (F.col("stop") - F.col("start")).cast("int"))
+    chunks = scan_chunks(t.spark, path, "part-*", chunk=1 << 16, overlap=1 << 10).select("path", "length", "start", "stop", core.alias("core"))
+    lines = F.octet_length("core") - F.octet_length(F.replace(F.col("core").cast("string"), F.lit("\n"), F.lit("")))
+    files_ = chunks.groupBy("path").agg(F.sum(F.octet_length("core")).alias("n_bytes"), F.sum(lines).alias("n_lines"),
+                                        (F.sum(F.col("stop") - F.col("start")) == F.max("length")).alias("gapless"))
+    return files_.agg(F.sum("n_bytes").alias("n_bytes"), F.sum("n_lines").alias("n_lines"), F.bool_and("gapless").alias("gapless"))
+
 
 # --- audit documents -------------------------------------------------------------------------------------------------
 

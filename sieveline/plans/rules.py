@@ -250,6 +250,13 @@ def redact_all_types(t: Tables) -> DataFrame:
     return t.probed.select("doc_id", F.md5(P.redact_priority(_text())).alias("digest"))
 
 
+@query(f"WITH {I.PROBED} SELECT doc_id, 0 AS residue FROM probed")
+def redact_residue(t: Tables) -> DataFrame:
+    """What the redaction patterns still find behind redaction: nothing."""
+    left = P.redaction_spans(F.col("clean"), P.C.PII_ENABLED)
+    return t.probed.select("doc_id", P.redact_priority(_text()).alias("clean")).select("doc_id", F.size(left).alias("residue"))
+
+
 _ENTITY = r"[a-z]+[0-9]{3}@[a-z.]+"
 
 

@@ -154,6 +154,36 @@ def test_scoring_isolates_failures(spark):
     assert scoring.pending(df, blocked, "id").count() == 3
 
 
+def test_batches_are_cut_by_padded_size(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def make():
+        def score(texts: pd.Series):
+            sizes = [len(t or "") for t in texts]
+            if len(texts) > 8 or (len(texts) > 1 and max(sizes) * len(texts) > 400):
+                seen.add(1)
+            if None in list(texts):
+                raise ValueError
+            return [str(len(t)) for t in texts]
+
+        return score
+
+    rows = [(i, "x" * (i * 37 % 211 + 1)) for i in range(500)] + [(500, "y" * 5000), (501, None), (502, "")]
+    df = spark.createDataFrame(rows, "id int, text string").repartition(2)
+    got = scoring.score_text(df, ["id"], "text", make, batch_chars=400, batch_texts=8, report=True).collect()
+    assert seen.value == 0 and {r.id: r.response for r in got} == {i: None if t is None else str(len(t)) for i, t in rows}
+    assert [r.id for r in got if r.status] == [501]
+    padded, real = sum(r.batch_longest for r in got), sum(len(t or "") for _, t in rows)
+    assert real <= padded < 1.1 * real
+    assert scoring.score_text(df.limit(0), ["id", "text"], "text", make).columns == ["id", "text", "response", "status"]
+
+
+def test_a_scorer_that_forgets_answers_fails_text_by_text(spark):
+    df = spark.createDataFrame([(i, "a" * i) for i in range(1, 6)], "id int, text string").coalesce(1)
+    got = scoring.score_text(df, ["id"], "text", lambda: lambda texts: [t for t in texts if len(t) != 3]).collect()
+    assert {r.id: r.status for r in got} == {1: None, 2: None, 3: "error", 4: None, 5: None}
+
+
 # --- streams ---------------------------------------------------------------------------------------------------------
 
 

@@ -8,7 +8,6 @@ from sieveline.operators import decisions as N
 from sieveline.operators import policy as P
 from sieveline.operators import rules as R
 from sieveline.operators.intervals import merge_islands
-from sieveline.operators.skew import hot_keys, skewed_join
 from sieveline.sources import readers
 
 RULE_DDL = "ord int, id string, name string, rule string, action string, regex_flag int, regex_group_val string"
@@ -181,18 +180,7 @@ def test_rule_filter_policies(spark):
     assert N.rule_filter(df, "text", rules, policy="block").first().action == "block"
 
 
-# --- skew ------------------------------------------------------------------------------------------------------------
-
-
-def test_skewed_join_keeps_every_row(spark):
-    left = spark.createDataFrame([("hot", 1), ("cold", 2), ("alone", 3)], "k string, a int")
-    right = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "cold").otherwise("hot").alias("k"), F.col("id").alias("b")).unionByName(spark.createDataFrame([("other", 1)], "k string, b long"))
-    assert {r.k for r in hot_keys(right, ["k"], floor=100).collect()} == {"hot", "cold"}
-    copies = right.unionByName(right.where("k = 'hot'").withColumn("b", F.lit(7).cast("long")))
-    assert skewed_join(left, copies, ["k"], floor=100).where("b = 7").count() == 2001
-    for how in ("inner", "left"):
-        got = skewed_join(left, right, ["k"], how, floor=100)
-        assert _rows(got.na.fill(-1), "k", "a", "b") == _rows(left.join(right, "k", how).na.fill(-1), "k", "a", "b")
+# --- intervals -------------------------------------------------------------------------------------------------------
 
 
 def test_merge_islands_against_running_scan(spark):
