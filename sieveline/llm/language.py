@@ -1,7 +1,8 @@
 """Language identification: script ranges narrow the candidates, Viterbi over per-word scores labels spans.
 
-A word's score for a language comes from counts learned here: those of the word itself if it's frequent, else those of its
-character trigrams. Languages that don't use the word's script are out. A word is a run of letters of one script; a longer run
+A word's score for a language is the log probability of the word plus that of its character trigrams, by counts learned here; what
+was never counted is smoothed, so an unknown word is judged by its trigrams. All words and trigrams of the sample are kept, each with the
+languages it was seen in (``Items``). Languages that don't use the word's script are out. A word is a run of letters of one script; a longer run
 than ``PIECE`` letters is several words, so text without spaces counts with all its letters. The best labelling of a text maximises the sum of
 scores less a penalty for each switch. Texts are labelled exactly, in blocks of words that run side by side: each block is
 solved for every label that may precede it, and the blocks of a text are then joined, so the longest text needs no more
@@ -20,6 +21,8 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,14 +43,16 @@ SCRIPTS = (
     (0xFFA0, "hangul"), (0x10000, "other"), (0x20000, "han"))
 _STARTS = [s for s, _ in SCRIPTS]
 
-#: Documents learned from, and words and trigrams remembered for each language. These bound what reaches the driver.
-SAMPLE, WORDS, TRIGRAMS = 12_000, 20_000, 20_000
+#: Documents learned from, their characters altogether, and those of one of them. These bound what reaches the driver: 2^26 characters
+#: hold at most some 13 million different words (of 5 letters or more, as there are few shorter ones), at 14 bytes each.
+SAMPLE, CHARACTERS, LONGEST = 12_000, 1 << 26, 1 << 22
 #: A language uses a script if this share of its words does.
 SCRIPT_SHARE = 0.01
 #: Words of a block, scores of words remembered by a worker, letters of a piece.
 BLOCK, REMEMBERED, PIECE = 256, 400_000, 64
 _CLASSES = {name: "".join(f"{re.escape(chr(a))}-{re.escape(chr(b - 1))}" for (a, s), b in zip(SCRIPTS, [*_STARTS[1:], 0x110000], strict=True) if s == name)
             for _, name in SCRIPTS}
+SCRIPT_NAMES = list(_CLASSES)
 _PIECES = re.compile("|".join(f"[{c}]{{1,{PIECE}}}" for c in _CLASSES.values()))
 
 
@@ -79,60 +84,104 @@ def trigrams(word: str) -> list[str]:
     return [w[i:i + 3] for i in range(len(w) - 2)]
 
 
+def hashes(items: Iterable[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, items), np.uint64)
+
+
+@dataclass
+class Items:
+    """Log probabilities of items, by the hash of an item, for the languages it was seen in; ``rest`` is for all others."""
+
+    keys: np.ndarray
+    starts: np.ndarray
+    langs: np.ndarray
+    logs: np.ndarray
+    rest: np.ndarray
+
+    @staticmethod
+    def of(items: np.ndarray, langs: np.ndarray, counts: np.ndarray, scale: np.ndarray) -> Items:
+        """From the count of each item in each language that has it. Additive smoothing keeps unseen items possible."""
+        order = np.lexsort((langs, items))
+        items, langs, counts = items[order], langs[order], counts[order]
+        begins = np.flatnonzero(np.append(True, items[1:] != items[:-1])) if len(items) else np.zeros(0, np.int64)
+        logs = np.log((counts + 0.5) / scale[langs]).astype(np.float32)
+        return Items(items[begins], np.append(begins, len(items)), langs.astype(np.uint16), logs, np.log(0.5 / scale).astype(np.float32))
+
+    def rows(self, items: np.ndarray) -> np.ndarray:
+        """A row of log probabilities, one of each language, for each item."""
+        out = np.tile(self.rest, (len(items), 1))
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, items), len(self.keys) - 1)
+            hit = np.flatnonzero(self.keys[at] == items)
+            first, n = self.starts[at[hit]], self.starts[at[hit] + 1] - self.starts[at[hit]]
+            place = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            out[np.repeat(hit, n), self.langs[place]] = self.logs[place]
+        return out
+
+
 @dataclass
 class Model:
     """Learned log probabilities per language, and the scripts each uses."""
 
     langs: list[str]
-    words: dict[str, list[float]] = field(default_factory=dict)
-    grams: dict[str, list[float]] = field(default_factory=dict)
-    rare: list[float] = field(default_factory=list)
+    words: Items | None = None
+    grams: Items | None = None
     scripts: dict[str, list[bool]] = field(default_factory=dict)
     switch: float = 6.0
     least: float = -12.0
 
-    def score(self, word: str) -> list[float]:
-        """Log probability for each language, relative to the best one; no less than ``least``."""
-        if word in self.words:
-            raw = self.words[word]
-        else:
-            known = [self.grams.get(g, self.rare) for g in trigrams(word)]
-            raw = [sum(c) for c in zip(*known, strict=True)]
-        usable = self.scripts.get(script(word))
-        if not usable or not any(usable):
-            return [0.0] * len(self.langs)
-        best = max(r for r, ok in zip(raw, usable, strict=True) if ok)
-        return [max(self.least, r - best) if ok else self.least for r, ok in zip(raw, usable, strict=True)]
-
-
-def remembered(totals: DataFrame, kind: str, most: int) -> DataFrame:
-    """``lang, item, n``: the counts in all languages of every item that is among the ``most`` most frequent ones of a language."""
-    rows = totals.where(F.col("kind") == kind).select("lang", "item", "n")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "item"))
-    chosen = rows.withColumn("rank", rank).where(F.col("rank") <= most).select("item").distinct()
-    return rows.join(chosen, "item", "left_semi")
+    def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log probabilities of words for each language, relative to the best one and no less than ``least``; and whether any
+        language uses the word's script."""
+        count = len(self.langs)
+        used = np.array([self.scripts.get(name, [False] * count) for name in SCRIPT_NAMES])
+        at = {name: i for i, name in enumerate(SCRIPT_NAMES)}
+        out, known = np.empty((len(words), count), np.float32), np.empty(len(words), bool)
+        step = max(1, (1 << 18) // count)
+        for a in range(0, len(words), step):
+            part = words[a:a + step]
+            raw = self.words.rows(hashes(part))
+            index: dict[str, int] = {}
+            grams = [index.setdefault(g, len(index)) for w in part for g in trigrams(w)]
+            sizes = np.fromiter(map(len, part), np.int64, len(part))
+            raw += np.add.reduceat(self.grams.rows(hashes(index))[grams], np.cumsum(sizes) - sizes, axis=0)
+            usable = used[[at[script(w)] for w in part]]
+            known[a:a + step] = some = usable.any(axis=1)
+            best = np.where(usable, raw, -np.inf).max(axis=1, initial=-np.inf)
+            best[~some] = 0
+            out[a:a + step] = np.where(usable, np.maximum(self.least, raw - best[:, None]), np.where(some, self.least, 0)[:, None])
+        return out, known
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE,
-          switch: float = 6.0) -> Model:
+          switch: float = 6.0, characters: int = CHARACTERS, longest: int = LONGEST) -> Model:
     """A model of the languages in ``lang_col``, from at most ``sample`` rows with a text and a language.
 
-    Of rows with one id one is learned from; rows without a text or a language are not. Counting is a Spark job; only the most frequent words and trigrams of each language are gathered, each with its counts in
-    all languages.
+    Learned from are texts of up to ``longest`` characters, in the order of their hashed ids until they have ``characters``
+    altogether, each whole. Of rows with one id one is learned from; rows without a text or a language are not. Counting is a
+    Spark job; the driver gathers hashes of words and trigrams with their counts, which the bounds of the sample keep small.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(
+        F.col("lang").isNotNull() & (F.length("text") <= longest))
     chosen = bounded(rows.select("id"), "id", sample).distinct().select(F.col("id").alias("chosen"))
     # One row of an id, always the same one: a repeated id doesn't lift the bound.
     one = F.min_by(F.struct("lang", "text"), F.xxhash64("lang", "text")).alias("r")
-    texts = rows.join(F.broadcast(chosen), F.col("id").eqNullSafe(F.col("chosen"))).groupBy("id").agg(one).select("r.*")
+    taken = written(rows.join(F.broadcast(chosen), F.col("id").eqNullSafe(F.col("chosen"))).groupBy("id").agg(one).select("id", "r.*"), "language-sample")
+    # A running total over the lengths of the sample, in one task: a row of two numbers for each of its documents.
+    so_far = F.sum("size").over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    within = taken.select("id", F.length("text").alias("size")).select(F.col("id").alias("within"), so_far.alias("so_far")).where(F.col("so_far") <= characters)
+    texts = taken.join(F.broadcast(within), F.col("id").eqNullSafe(F.col("within")), "left_semi").select("lang", "text")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, str], Counter] = {}
 
         def out() -> pa.RecordBatch:
-            rows = [(lang, kind, item, n) for (lang, kind), c in counts.items() for item, n in c.items()]
-            return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(),) * 3 + (pa.int64(),))],
-                                   ["lang", "kind", "item", "n"])
+            sizes = [len(c) for c in counts.values()]
+            names = [np.repeat(np.array([key[i] for key in counts], object), sizes) for i in (0, 1)]
+            items = [np.array([SCRIPT_NAMES.index(i) for i in c], np.uint64) if kind == "script" else hashes(c) for (_, kind), c in counts.items()]
+            items = np.concatenate([np.zeros(0, np.uint64), *items]).view(np.int64)
+            return pa.record_batch([*(pa.array(c, pa.string()) for c in names), pa.array(items),
+                                    pa.array([n for c in counts.values() for n in c.values()], pa.int64())], ["lang", "kind", "item", "n"])
 
         for batch in portions(batches):
             for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -148,7 +197,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 counts.clear()
         yield out()
 
-    counted = texts.mapInArrow(count, "lang string, kind string, item string, n bigint").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
+    counted = texts.mapInArrow(count, "lang string, kind string, item bigint, n bigint").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
     totals = written(counted, "language-counts")
     sums = totals.groupBy("lang", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("different"))
     size = {(r.lang, r.kind): (r.n, r.different) for r in sums.collect()}
@@ -157,20 +206,17 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return Model([])
     model = Model(langs, switch=switch)
     at = {lang: i for i, lang in enumerate(langs)}
-    for kind, most, table in (("word", WORDS, model.words), ("gram", TRIGRAMS, model.grams)):
-        counts: dict[str, dict[int, int]] = {}
-        for r in remembered(totals, kind, most).collect():
-            counts.setdefault(r.item, {})[at[r.lang]] = r.n
-        # Additive smoothing keeps unseen items possible.
-        low = [log(0.5 / (size.get((lang, kind), (0, 0))[0] + 0.5 * size.get((lang, kind), (0, 1))[1] + 1)) for lang in langs]
-        scale = [size.get((lang, kind), (0, 0))[0] + 0.5 * size.get((lang, kind), (0, 1))[1] + 1 for lang in langs]
-        for item, by in counts.items():
-            table[item] = [log((by.get(i, 0) + 0.5) / scale[i]) for i in range(len(langs))]
-        if kind == "gram":
-            model.rare = low
+
+    def items(kind: str) -> Items:
+        found = totals.where(F.col("kind") == kind).select("item", "lang", "n").toArrow()
+        which = pc.index_in(found["lang"], pa.array(langs, pa.string())).to_numpy()
+        scale = np.array([n + 0.5 * different + 1 for n, different in (size.get((lang, kind), (0, 0)) for lang in langs)])
+        return Items.of(found["item"].to_numpy().view(np.uint64), which, found["n"].to_numpy(), scale)
+
+    model = Model(langs, items("word"), items("gram"), switch=switch)
     for r in totals.where(F.col("kind") == "script").collect():
         share = r.n / size[(r.lang, "script")][0]
-        model.scripts.setdefault(r.item, [False] * len(langs))[at[r.lang]] = share >= SCRIPT_SHARE
+        model.scripts.setdefault(SCRIPT_NAMES[r.item], [False] * len(langs))[at[r.lang]] = share >= SCRIPT_SHARE
     return model
 
 
@@ -233,17 +279,23 @@ class Labeller:
     """Labels texts with a model's languages, remembering the scores of words."""
 
     def __init__(self, model: Model):
-        self.model, self.at, self.rows, self.known = model, {}, [], []
-        self.scripts = {name for name, used in model.scripts.items() if any(used)}
+        self.model, self.at = model, {}
+        self.rows, self.known = np.empty((0, len(model.langs)), np.float32), np.empty(0, bool)
+        self.most = 4 * REMEMBERED // max(4, len(model.langs))
 
     def _index(self, words: list[str]) -> np.ndarray:
         new = set(words).difference(self.at)
-        if len(self.at) + len(new) > REMEMBERED:
-            self.at, self.rows, self.known, new = {}, [], [], set(words)
-        for w in new:
-            self.at[w] = len(self.rows)
-            self.rows.append(self.model.score(w))
-            self.known.append(script(w) in self.scripts)
+        if len(self.at) + len(new) > self.most:
+            self.at, new = {}, set(words)
+        if new:
+            here, to = len(self.at), len(self.at) + len(new)
+            if to > len(self.rows):
+                more = max(to, min(2 * len(self.rows), self.most)) - len(self.rows)
+                self.rows = np.concatenate([self.rows, np.empty((more, self.rows.shape[1]), np.float32)])
+                self.known = np.concatenate([self.known, np.empty(more, bool)])
+            fresh = list(new)
+            self.rows[here:to], self.known[here:to] = self.model.scores(fresh)
+            self.at.update(zip(fresh, range(here, to), strict=True))
         return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
 
     def label(self, texts: list[str]) -> list[tuple[str, float, list[dict]]]:
@@ -258,11 +310,10 @@ class Labeller:
         sizes = np.array([len(found[i]) for i in some])
         ends = np.cumsum(sizes)
         index = self._index(words)
-        labels = viterbi(np.array(self.rows, np.float32)[index], ends, model.switch) if len(self.rows) <= 2 * len(words) else viterbi(
-            np.array([self.rows[i] for i in index.tolist()], np.float32), ends, model.switch)
+        labels = viterbi(self.rows[index], ends, model.switch)
         letters = np.fromiter(map(len, words), np.int64, len(words))
         # Letters of a script that no language uses speak for none: they lower the score.
-        spoken = letters * np.array(self.known, bool)[index]
+        spoken = letters * self.known[index]
         for n, i in enumerate(some):
             a, b = ends[n] - sizes[n], ends[n]
             share = np.bincount(labels[a:b], spoken[a:b], len(model.langs))

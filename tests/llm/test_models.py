@@ -58,18 +58,58 @@ def test_no_language_to_learn_from(table):
     assert model.langs == [] and language.predict(table([(1, "some text")]), model).first().lang_pred == "und"
 
 
-def test_every_language_keeps_its_own_items(spark, monkeypatch):
-    monkeypatch.setattr(language, "WORDS", 5)
-    monkeypatch.setattr(language, "TRIGRAMS", 5)
-    # "hot" has ten words more frequent than any of "rare"; "both" is among the first of "rare" only.
-    hot = " ".join(f"{w} " * 50 for w in ("ka", "kb", "kc", "kd", "ke", "kf", "kg", "kh", "ki", "kj")) + " both" * 3
+def test_every_item_is_kept_with_its_counts(spark):
+    # "hot" has ten words more frequent than any of "rare", and three of five thousand seen once.
+    once = "abcdefghijklmnop"
+    once = [f"q{a}{b}{c}" for a in once for b in once for c in once]
+    hot = " ".join(f"{w} " * 50 for w in ("ka", "kb", "kc", "kd", "ke", "kf", "kg", "kh", "ki", "kj")) + " both" * 3 + " " + " ".join(once)
     rare = " ".join(["mi", "mu", "mo", "ma"] * 2 + ["both"] * 2 + ["me"])
     model = language.learn(spark.createDataFrame([(1, hot, "hot"), (2, rare, "rare")], "doc_id bigint, text string, lang string"))
-    assert set(model.words) == {"ka", "kb", "kc", "kd", "ke", "mi", "mu", "mo", "ma", "both"}
-    counts, different = {"hot": 503, "rare": 11}, {"hot": 11, "rare": 6}
-    for i, (lang, n) in enumerate((("hot", 3), ("rare", 2))):
-        assert abs(model.words["both"][i] - np.log((n + 0.5) / (counts[lang] + 0.5 * different[lang] + 1))) < 1e-9
-    assert any(g.startswith("^m") for g in model.grams)
+    counts = [Counter(hot.split()), Counter(rare.split())]
+    grams = [Counter() for _ in counts]
+    for c, g in zip(counts, grams, strict=True):
+        for w, n in c.items():
+            g.update({t: n * language.trigrams(w).count(t) for t in set(language.trigrams(w))})
+    for items, by in ((model.words, counts), (model.grams, grams)):
+        names = sorted(set().union(*by)) + ["never", "seen"]
+        assert len(items.keys) == len(names) - 2
+        want = [[np.log((c[w] + 0.5) / (c.total() + 0.5 * len(c) + 1)) for c in by] for w in names]
+        assert np.allclose(items.rows(language.hashes(names)), want, atol=1e-5)
+
+
+def test_scores_equal_plain_sums(spark):
+    words, rows = language_rows()
+    model = language.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    asked = [w for of in words.values() for w in of] + ["xyz", "q", "ярко", "漢字", "lomizx"]
+    got, known = model.scores(asked)
+    assert known.tolist() == [w != "漢字" for w in asked]
+    for w, row in zip(asked, got.tolist(), strict=True):
+        raw = model.words.rows(language.hashes([w]))[0].astype(float) + sum(model.grams.rows(language.hashes([t]))[0].astype(float) for t in language.trigrams(w))
+        usable = model.scripts.get(language.script(w), [False] * 3)
+        best = max((r for r, ok in zip(raw, usable, strict=True) if ok), default=0)
+        want = [max(-12.0, r - best) if ok else -12.0 for r, ok in zip(raw, usable, strict=True)] if any(usable) else [0.0] * 3
+        assert np.allclose(row, want, atol=1e-4)
+
+
+def test_many_languages_and_a_small_memory(spark, table, monkeypatch):
+    monkeypatch.setattr(language, "REMEMBERED", 40)
+    rng = random.Random(5)
+    vocabulary = {f"l{i:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for i in range(150)}
+    texts = [(2 * i + j, " ".join(rng.choices(words, k=40)), lang) for i, (lang, words) in enumerate(vocabulary.items()) for j in (0, 1)]
+    model = language.learn(spark.createDataFrame([t for t in texts if t[0] % 2 == 0], "doc_id bigint, text string, lang string"))
+    assert len(model.langs) == 150 and len(model.words.logs) < 2 * 150 * 12
+    got = {r.doc_id: r.lang_pred for r in language.predict(table([t[:2] for t in texts]), model).collect()}
+    assert sum(got[i] == lang for i, _, lang in texts) >= 0.99 * len(texts)
+
+
+def test_the_sample_is_bounded_in_characters(spark):
+    rows = [(i, f"w{'abcdefghij'[i % 10]} " * 10, "aa") for i in range(50)] + [(100, "long " * 100, "aa")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    for most, texts in ((10 * 30, 10), (1 << 20, 50)):
+        kept = language.learn(docs, longest=40, characters=most).words
+        # Each text has ten words of one kind; the smoothing of unseen ones tells how many were counted.
+        assert abs(0.5 / np.exp(float(kept.rest[0])) - (10 * texts + 0.5 * len(kept.keys) + 1)) < 0.01
+        assert not np.isin(language.hashes(["long"]), kept.keys).any()
 
 
 def test_runs_without_spaces_count_with_all_letters(spark, table):
