@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 LENGTH, KMER = 50, 20
 #: Bytes looked at in one go, anchors of a portion, entries a bucket is meant to hold, windows sorted in one go.
 CHUNK, PORTION, BUCKET, SORTED = 1 << 18, 1 << 20, 1 << 20, 1 << 19
-#: Anchors of one k-mer that may meet in one bucket; in large corpora one more for each MB, so that few k-mers are above.
-HOT = 1 << 14
+#: Anchors of one k-mer that may meet in one bucket, at every size; hot k-mers that may be broadcast.
+HOT, SENT = 1 << 14, 1 << 22
 _M = 0x9E3779B97F4A7C15
 _U = np.uint64
 
@@ -529,8 +529,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = max(parts, 2 * int(size) // (length - k + 2) // BUCKET + 1)
     named = source.where(F.col("doc").isNotNull() & (F.octet_length("_text") >= length))
-    kmers = _shared_kmers(named.select("doc", F.col("_text").cast("binary").alias("data")), length, k, n, max(HOT, int(size) >> 20))
-    hot = F.broadcast(kmers.where("doc IS NULL").select(F.col("kmer").alias("hot")))
+    kmers = _shared_kmers(named.select("doc", F.col("_text").cast("binary").alias("data")), length, k, n, HOT)
+    hot = kmers.where("doc IS NULL").select(F.col("kmer").alias("hot"))
+    # A byte begins one anchor at most, so there are no more hot k-mers than this. If they might be too many to broadcast, they are
+    # joined by a shuffle, in which Spark splits a k-mer of very many documents.
+    hot = F.broadcast(hot) if int(size) // max(1, HOT) <= SENT else hot.hint("merge")
     lists = kmers.where("doc IS NOT NULL").join(hot, F.col("kmer") == F.col("hot"), "left").groupBy("doc").agg(
         F.collect_list("kmer").alias("kmers"), F.collect_list("hot").alias("hot"))
     texts = source.select("doc", F.xxhash64("_text").alias("tag"), F.col("_text").cast("binary").alias("data"))

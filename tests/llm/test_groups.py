@@ -177,6 +177,12 @@ def test_windows_of_hot_kmers_are_dealt_singly(spark, table, monkeypatch):
         monkeypatch.setattr(repeats, "_by_bucket", by_bucket)
         most[hot] = sum(r.bucket >= 0 for r in sizes[1])
     assert most[20] > most[1 << 30]
+    # Joined by a shuffle where they might be too many to broadcast.
+    monkeypatch.setattr(repeats, "SENT", 0)
+    monkeypatch.setattr(repeats, "HOT", 20)
+    assert rows_of(repeats.remove_repeats(table(rows))) == expected
+    monkeypatch.setattr(repeats, "SENT", 1 << 22)
+    monkeypatch.setattr(repeats, "HOT", 0)
     monkeypatch.setattr(repeats, "SORTED", 40)
     assert rows_of(repeats.remove_repeats(table(rows))) == expected
 
