@@ -31,8 +31,9 @@ from sieveline.llm.samples import bounded
 from sieveline.llm.storage import written
 
 #: Word characters of the regex engine that are neither letters nor decimal digits: fractions, Roman numerals, circled digits.
-_NUMERALS = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+_NUMERALS = frozenset(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+#: Runs of letters, in a text without such numerals.
+LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 #: First code points of script ranges (fixed values).
 SCRIPTS = (
@@ -56,9 +57,16 @@ SCRIPT_NAMES = list(_CLASSES)
 _PIECES = re.compile("|".join(f"[{c}]{{1,{PIECE}}}" for c in _CLASSES.values()))
 
 
+def spaced(text: str) -> str:
+    """A text with a space for each numeral; a class that lists all of them would be tried on every character."""
+    if text.isascii() or _NUMERALS.isdisjoint(text):
+        return text
+    return "".join([" " if c in _NUMERALS else c for c in text])
+
+
 def words_of(text: str) -> list[str]:
     """Words of a lower-cased text: runs of letters of one script, long ones in pieces."""
-    found = LETTERS.findall(text)
+    found = LETTERS.findall(spaced(text))
     if all(w.isascii() and len(w) <= PIECE for w in found):
         return found
     return [p for w in found for p in ((w,) if w.isascii() and len(w) <= PIECE else _PIECES.findall(w))]
@@ -67,7 +75,7 @@ def words_of(text: str) -> list[str]:
 def starts_of(text: str) -> list[int]:
     """Where the words of a text begin in it, as many as its lower-cased form has."""
     lower = text.lower()
-    starts = [m.start() + p.start() for m in LETTERS.finditer(lower) for p in _PIECES.finditer(m.group())]
+    starts = [m.start() + p.start() for m in LETTERS.finditer(spaced(lower)) for p in _PIECES.finditer(m.group())]
     if len(lower) == len(text):
         return starts
     # A letter may become several.

@@ -112,6 +112,14 @@ def test_the_sample_is_bounded_in_characters(spark):
         assert not np.isin(language.hashes(["long"]), kept.keys).any()
 
 
+def test_words_are_runs_of_letters_for_every_code_point():
+    for text in ("".join(f"a{c}b " for c in map(chr, range(0x30000)) if not 0xD800 <= ord(c) < 0xE000), "plain x1y_z", "é½è", ""):
+        letters = "".join(c if c.isalpha() else " " for c in text)
+        assert "".join(language.words_of(text)) == letters.replace(" ", "")
+        runs, starts = letters.split(" "), language.starts_of(text)
+        assert len(starts) >= sum(map(bool, runs)) and (len(text.lower()) != len(text) or all(text.lower()[i].isalpha() for i in starts))
+
+
 def test_runs_without_spaces_count_with_all_letters(spark, table):
     words, rows = language_rows()
     model = language.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
