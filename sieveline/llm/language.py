@@ -44,8 +44,8 @@ SCRIPTS = (
     (0xFFA0, "hangul"), (0x10000, "other"), (0x20000, "han"))
 _STARTS = [s for s, _ in SCRIPTS]
 
-#: Documents learned from, their characters altogether, and those of one of them. These bound what reaches the driver: 2^26 characters
-#: hold at most some 13 million different words (of 5 letters or more, as there are few shorter ones), at 14 bytes each.
+#: Documents learned from, their characters altogether, and those of one of them. These bound what reaches the driver: no more
+#: different words than characters, at 14 bytes each; in ordinary text they are far fewer.
 SAMPLE, CHARACTERS, LONGEST = 12_000, 1 << 26, 1 << 22
 #: A language uses a script if this share of its words does.
 SCRIPT_SHARE = 0.01
