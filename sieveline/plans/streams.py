@@ -12,8 +12,8 @@ from sieveline.streaming import jobs
 
 
 def _stream(t: Tables, table: str) -> DataFrame:
-    schema = t.read(table).schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(t.dir)
+    # A table is one file or a folder of files. A stream takes a plain path for a folder; as a glob it may be either.
+    return t.spark.readStream.schema(t.read(table).schema).parquet(f"{t.dir}/{table}.parque[t]")
 
 
 def _accounts(df: DataFrame) -> DataFrame:
