@@ -4,10 +4,11 @@ import datetime
 import decimal
 import shutil
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sieveline.streaming import jobs
+from sieveline.streaming import jobs, keyed
 
 
 @pytest.fixture
@@ -119,3 +120,40 @@ def test_settings_of_the_session_stay(narrow, tmp_path):
     put(narrow, src, [("a",)], "k string")
     jobs.stream_idempotent(source(narrow, src, "k string"), "k", str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert narrow.conf.get(key, None) == before and narrow.read.parquet(str(tmp_path / "out")).where(F.col("k") == "a").count() == 1
+
+
+class Messages:
+    """A map state that counts the messages sent to it."""
+
+    def __init__(self):
+        self.held, self.sent = {}, 0
+
+    def exists(self):
+        self.sent += 1
+        return bool(self.held)
+
+    def getValue(self, key):  # noqa: N802
+        self.sent += 1
+        return self.held.get(key)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.sent += 1
+        self.held[key] = value
+
+
+def test_keys_of_a_bucket_are_one_call_and_reads_are_of_the_batch_s_keys():
+    state = Messages()
+    processor = keyed._Known()
+    processor.init(type("Handle", (), {"getMapState": lambda self, *_: state})())
+
+    def call(rows):
+        before = state.sent
+        out = processor.handleInputRows((0, 0), iter([pd.DataFrame(rows[i:i + 300], columns=["bucket", "salt", "key", "value", "row"]) for i in range(0, len(rows), 300)]), None)
+        return {r: k for pdf in out for r, k in zip(pdf["__row"], pdf["__known"])}, state.sent - before
+
+    asked = [(0, 0, f"k{i % 1200}", None, f"r{i}") for i in range(5000)]
+    told = [(0, 0, f"k{i}", v, None) for i in range(1000) for v in (f"b{i}", f"a{i}")]
+    got, sent = call(asked + told)  # stored rows behind the requests, two values a key
+    assert got == {f"r{i}": f"a{i % 1200}" if i % 1200 < 1000 else None for i in range(5000)} and sent == 1001
+    got, sent = call([(0, 0, "k7", "0", None), (0, 0, "k7", None, "x"), (0, 0, "k8", None, "y"), (0, 0, "k8", None, "z"), (0, 0, "new", None, "n")])
+    assert got == {"x": "a7", "y": "a8", "z": "a8", "n": None} and sent == 4
