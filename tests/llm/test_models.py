@@ -1,10 +1,12 @@
 """Operators that learn or estimate: exact parts against brute force, the rest by held-out accuracy."""
 
+import functools
 import random
 import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sieveline.llm import language, preference, quality_rules
@@ -197,6 +199,45 @@ def test_one_row_of_an_id_is_learned_from(spark, monkeypatch):
     assert sizes == [20, 20] and (learned[0].weights == learned[1].weights).all()
 
 
+def test_preferences_are_learned_from_all_labelled_rows(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["good", "words", "stand", "here."] if rng.random() < (0.8 if i % 3 else 0.4) else ["@@##", "x", "BAD!"]) for _ in range(12))) for i in range(17_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(17_000)], "doc_id bigint, quality int")
+    sizes, old = [], preference.fit
+    monkeypatch.setattr(preference, "fit", lambda x, y: sizes.append((len(x), x, y)) or old(x, y))
+    monkeypatch.setattr(preference, "GATHERED", 50)
+    scorer = preference.learn(docs, labels)
+    n, blocks, counts = sizes[0]
+    assert n == 17_000 and blocks.blocks.count() == 5 and list(counts[:2]) == [5667, 11_333]
+    x = np.array([preference.features(t) for _, t in rows])
+    assert np.allclose(scorer.mean, x.mean(axis=0)) and np.allclose(scorer.scale, np.where(x.std(axis=0) < 1e-6, 1.0, x.std(axis=0) + 1e-9))
+    # The pairs of all blocks, brought together: the slope of their loss is zero where the solver stopped.
+    loss = np.zeros(preference.N_FEATURES)
+    for r in blocks.blocks.collect():
+        z, y = np.frombuffer(r.x).reshape(-1, preference.N_FEATURES), np.frombuffer(r.y, np.int8)
+        good, bad = preference._pairs(r.block, y, preference.PAIRS)
+        assert (y[good] == 1).all() and (y[bad] == 0).all() and set(bad) == set(np.flatnonzero(y == 0))
+        d = (z[good] - z[bad]) / scorer.scale
+        loss += d.T @ (1 / (1 + np.exp(d @ scorer.weights)))
+    assert np.abs(loss / (preference.PAIRS * counts[2]) - 1e-3 * scorer.weights).max() < 1e-6
+    ranked = np.sort(scorer.raw(x))
+    assert abs(scorer.threshold - (ranked[5666] + ranked[5667]) / 2) < 1e-9
+
+
+@pytest.mark.parametrize("gathered", [0, 3, 1000])
+def test_the_place_of_the_threshold_is_exact(monkeypatch, gathered):
+    monkeypatch.setattr(preference, "GATHERED", gathered)
+    values = np.random.default_rng(3).choice(np.append(np.round(np.random.default_rng(2).normal(size=40), 2), [0.5, 0.5 + 2**-53, -1e300]), 300)
+
+    class Held(list):
+        def over(self, part, join=np.add):
+            return functools.reduce(join, [part(i, b, None) for i, b in enumerate(np.array_split(values, 7))])
+
+    for k in range(1, 300):
+        assert preference._ranked(Held(values), lambda x: x, k) == tuple(np.sort(values)[k - 1:k + 1])
+
+
 def test_quality_counts_equal_brute_force(table, awkward, monkeypatch):
     rng = random.Random(5)
     rows = [*awkward, *[(100 + i, "".join(rng.choice(["a", "b", "é", "#"]) + rng.choice([" ", " ", "\n", "\t", " \r"]) for _ in range(rng.randrange(40)))) for i in range(120)]]
