@@ -12,6 +12,7 @@ from sieveline.functions import obfuscation as O
 from sieveline.functions import pii as P
 from sieveline.functions import secrets as K
 from sieveline.functions import spans as S
+from sieveline.functions.regex import java_pattern
 
 _GATED = [(p.type, p.pattern, p.literal, p.gate) for p in C.PII_DETECTION if p.literal or p.gate]
 _GATED += [("address", p, None, C.GATE_ROAD_NUMBER) for p in C.OBFUSCATED_ADDRESSES]
@@ -81,3 +82,13 @@ def test_every_value_counts(column):
 def test_patterns_that_can_match_nothing_are_refused():
     with pytest.raises(ValueError, match="can match empty text"):
         S.find_spans(F.col("text"), "(?=z)|foo", "x")
+
+
+def test_conditions_ahead_of_numbers_and_addresses_change_no_hit(column):
+    parts = ["+82 10-1234-5678", "(02) 345-6789", "공일공 일이삼사 오육칠팔", " \t\n      ", "call 010.1234.5678x", "٠١٢٣٤٥٦٧", "a-b 1 2", "word", "é", "82 8282828", *PROBES,
+             "대전광역시 유성구 문화로 61", "x대구 수성구 들안로 12"]
+    texts = [a + b + c for a in parts for b in ("", " ", "q") for c in parts]
+    for ahead, patterns in ((O.NUMBER_AHEAD, [C.NUMBER_BLOCK]), (O.ADDRESS_AHEAD, C.OBFUSCATED_ADDRESSES)):
+        for p in patterns:
+            found = [column(texts, lambda t, q=q: F.regexp_extract_all(t, F.lit(java_pattern(q)), F.lit(0))) for q in (p, ahead + p)]
+            assert found[0] == found[1] and any(found[0])
