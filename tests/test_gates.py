@@ -86,9 +86,42 @@ def test_patterns_that_can_match_nothing_are_refused():
 
 def test_conditions_ahead_of_numbers_and_addresses_change_no_hit(column):
     parts = ["+82 10-1234-5678", "(02) 345-6789", "공일공 일이삼사 오육칠팔", " \t\n      ", "call 010.1234.5678x", "٠١٢٣٤٥٦٧", "a-b 1 2", "word", "é", "82 8282828", *PROBES,
-             "대전광역시 유성구 문화로 61", "x대구 수성구 들안로 12"]
+             "대전광역시 유성구 문화로 61", "x대구 수성구 들안로 12", "대전광역시 유성구 봉명동 12 한빛아파트 3동"]
     texts = [a + b + c for a in parts for b in ("", " ", "q") for c in parts]
+    hits = 0
     for ahead, patterns in ((O.NUMBER_AHEAD, [C.NUMBER_BLOCK]), (O.ADDRESS_AHEAD, C.OBFUSCATED_ADDRESSES)):
         for p in patterns:
             found = [column(texts, lambda t, q=q: F.regexp_extract_all(t, F.lit(java_pattern(q)), F.lit(0))) for q in (p, ahead + p)]
-            assert found[0] == found[1] and any(found[0])
+            assert found[0] == found[1]
+            hits += sum(map(len, found[0]))
+    assert hits > 100
+
+
+def _in_run():
+    for name, pattern in (*C.KNOWN_TOKENS, (K.JWT_LABEL, C.JWT), (K.ENTROPY_LABEL, C.ENTROPY_CANDIDATE)):
+        if name not in (*K._LITERALS, *K._BY_KEY_WORD, *K._NO_RUN):
+            yield name, pattern, 0
+    for name, pattern, _, flags, _ in C.CLOUD_RULES:
+        if name not in (*K._BY_URL, *K._NO_RUN) and "(?i)" not in pattern:
+            yield name, pattern, flags
+
+
+@pytest.mark.parametrize(("name", "pattern", "flags"), list(_in_run()))
+def test_tokens_are_found_in_the_runs_of_their_text(name, pattern, flags):
+    @_QUIET
+    @given(st.from_regex(re.compile(pattern, flags)))
+    def check(text):
+        runs = " ".join(re.findall(K._RUNS, text))
+        assert re.search(K._IN_RUN[name], runs) if name in K._IN_RUN else runs
+
+    check()
+
+
+@pytest.mark.parametrize("name", K._BY_KEY_WORD)
+def test_key_words_stand_in_front_of_a_sign(name):
+    @_QUIET
+    @given(st.from_regex(dict(C.KNOWN_TOKENS)[name]))
+    def check(text):
+        assert re.search(K._KEY_SIGN, text)
+
+    check()
