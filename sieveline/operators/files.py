@@ -5,16 +5,17 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from re import _constants as K
 from re import _parser
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions import catalog as C
+from sieveline.functions.blocks import in_blocks
 from sieveline.functions.expr import let
 from sieveline.functions.text import hash_content, preview_chunk
 from sieveline.operators.rules import Rule, first_matching_rule
@@ -85,18 +86,18 @@ def _zip_xml(content: bytes) -> str:
 
 EXTRACTORS: dict[str, Callable[[bytes], str]] = {
     "text/plain": _plain, DOCX_MIME: _zip_xml, "application/zip": _zip_xml, "application/octet-stream": _zip_xml}
+READ = pa.struct([("text", pa.string()), ("error", pa.string())])
 
 
 def extract_file_text(files: DataFrame, keep: Sequence[str] = ("path",),
                       extractors: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
     """``keep`` columns plus ``text, error`` of rows with ``mime_type, content``; an unreadable file gets an error.
 
-    Rows whose content is null (rejected by the gate) pass through untouched, so nothing has to be joined back. Batches
-    are cut by bytes (``spark.sql.execution.arrow.maxBytesPerBatch``), since a few large files can fill a batch.
+    Rows whose content is null (rejected by the gate) pass through untouched, so nothing has to be joined back. ``files`` is
+    evaluated once. What crosses to Python comes in batches cut by bytes (``spark.sql.execution.arrow.maxBytesPerBatch``); a task
+    holds one file and one block of texts as Python objects, whatever the batch holds.
     """
     table = {**EXTRACTORS, **(extractors or {})}
-    fields = {f.name: f.dataType.simpleString() for f in files.schema.fields}
-    ddl = ", ".join([f"`{k}` {fields[k]}" for k in keep] + ["text string", "error string"])
 
     def read(mime: str | None, content: bytes | None) -> tuple[str | None, str | None]:
         if content is None:
@@ -105,23 +106,21 @@ def extract_file_text(files: DataFrame, keep: Sequence[str] = ("path",),
         if reader is None:
             return None, f"unsupported file type {mime}"
         try:
-            return reader(bytes(content)), None
+            return reader(content), None
         except Exception as err:  # noqa: BLE001 - reported per file
             return None, str(err) or type(err).__name__
 
-    def run(batches):
-        for pdf in batches:
-            out = pdf[list(keep)].copy()
-            done = [read(m, c) for m, c in zip(pdf["mime_type"], pdf["content"])]
-            out["text"] = [d[0] for d in done]
-            out["error"] = [d[1] for d in done]
-            yield out
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        return in_blocks(batches, read, READ, lambda done: len(done[0] or ""))
 
-    columns = list(dict.fromkeys([*keep, "mime_type", "content"]))
+    # Said to be non-deterministic, it is evaluated once per file: a filter on its result would evaluate it again.
+    reading = F.arrow_udf(run, "text string, error string").asNondeterministic()
     # Plain text needs no Python: it is decoded in the JVM, unless the caller brings a reader of its own for it.
     in_jvm = F.lit("text/plain" not in (extractors or {})) & F.coalesce(F.col("mime_type") == "text/plain", F.lit(False))
-    here = files.where(in_jvm).select(*keep, F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.lit(None).cast("string").alias("error"))
-    return files.where(~in_jvm).select(*columns).mapInPandas(run, ddl).unionByName(here)
+    plain = F.when(in_jvm, F.make_valid_utf8(F.col("content").cast("string")))
+    parted = files.select(*keep, F.col("mime_type").alias("__mime"), plain.alias("__plain"), F.when(~in_jvm, F.col("content")).alias("__content"))
+    done = parted.select(*keep, "__plain", reading("__mime", "__content").alias("__read"))
+    return done.select(*keep, F.coalesce("__plain", "__read.text").alias("text"), F.col("__read.error").alias("error"))
 
 
 # --- decisions -------------------------------------------------------------------------------------------------------

@@ -5,9 +5,10 @@ from __future__ import annotations
 import io
 import json
 import zipfile
+from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 from sieveline.functions import catalog as C
 from sieveline.functions import pii as P
 from sieveline.functions import verdicts as V
+from sieveline.functions.blocks import in_blocks
 from sieveline.functions.expr import unnest
 from sieveline.functions.text import hash_text
 from sieveline.operators import audit, files, scoring
@@ -323,7 +325,9 @@ def extract_file_text(t: Tables) -> DataFrame:
     return files.extract_file_text(plain).select("path", F.md5("text").alias("digest"), "error")
 
 
-def _zipped(text: str) -> bytes:
+def _zipped(text: str | None) -> bytes | None:
+    if text is None:
+        return None
     body = "".join(f"<w:p><w:r><w:t>{escape(p)}</w:t></w:r></w:p>" for p in text.split("\n"))
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
@@ -332,9 +336,9 @@ def _zipped(text: str) -> bytes:
     return out.getvalue()
 
 
-@F.pandas_udf(T.BinaryType())
-def _docx(texts: pd.Series) -> pd.Series:
-    return texts.map(_zipped)
+@F.arrow_udf(T.BinaryType())
+def _docx(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return in_blocks(((t,) for t in texts), _zipped, pa.binary(), lambda zipped: len(zipped or b""))
 
 
 @query("SELECT '/f/' || doc_id AS path, md5(text) AS digest, NULL AS error FROM documents")
