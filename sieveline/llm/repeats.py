@@ -15,7 +15,8 @@ have equal k-mers at equal places. So it's enough to sort suffixes whose anchors
 3. Each document unites its removed ranges.
 
 A portion resolves its own copies itself: only the smallest document of equal k-mers or spans goes on. A passage that stands in a
-third of all documents hence costs a bucket one entry per portion. Where it ends, though, the spans of one k-mer reach into each
+third of all documents hence costs a bucket one entry per portion. A bucket is kept compressed and worked off in sets of about
+``HELD`` entries, equal k-mers or windows in one set, so that a task's memory doesn't follow the bucket's size. Where it ends, though, the spans of one k-mer reach into each
 document's own text and are all different. Anchors are counted per k-mer in step 1, and the windows of those with more than ``HOT``
 are dealt singly, by a hash of all their bytes, so that no k-mer needs to fit into a task. Every comparison that counts is made
 on bytes.
@@ -28,12 +29,17 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.llm import batches as arrow
+
 LENGTH, KMER = 50, 20
 #: Bytes looked at in one go, anchors of a portion, entries a bucket is meant to hold, windows sorted in one go.
-CHUNK, PORTION, BUCKET, SORTED = 1 << 18, 1 << 20, 1 << 20, 1 << 19
+CHUNK, PORTION, BUCKET, SORTED = 1 << 18, 1 << 20, 1 << 20, 1 << 18
+#: Entries of a bucket that are unpacked in one go. The rest of it stays compressed.
+HELD = 1 << 17
 #: Anchors of one k-mer that may meet in one bucket, at every size; hot k-mers that may be broadcast.
 HOT, SENT = 1 << 14, 1 << 22
 _M = 0x9E3779B97F4A7C15
@@ -89,7 +95,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int, k: int) -> tuple[np
 def _chunks(batches: Iterable[pa.RecordBatch], overlap: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Batches with the text as their last column, as bytes of about CHUNK size: data, ends, row in the batch, place in the
     text, batch. A longer text comes in pieces that overlap, so that each of its windows is in exactly one of them."""
-    for batch in batches:
+    for batch in arrow.portions(batches, 1000):
         texts = batch.column(batch.num_columns - 1).to_pylist()
         held, rows, offs, size = [], [], [], 0
 
@@ -129,11 +135,47 @@ def _unpacked(blob: bytes, *kinds: tuple[str, int]) -> list[np.ndarray]:
     return out
 
 
-def _dealt(bucket: np.ndarray, n: int, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """The columns by bucket, in their present order within each."""
+def _gathered(held: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+    """Columns of all parts, each joined by itself; ``held`` is empty afterwards."""
+    columns: list = [list(c) for c in zip(*held, strict=True)]
+    held.clear()
+    for i, parts in enumerate(columns):
+        columns[i] = np.concatenate(parts)
+        parts.clear()
+    return columns
+
+
+def _in_order(columns: list[np.ndarray], order: np.ndarray) -> list[np.ndarray]:
+    """The columns' rows in an order, one column after the other put in place of the former one."""
+    for i, c in enumerate(columns):
+        columns[i] = c[order]
+    return columns
+
+
+def _in_sets(blobs: list[bytes], kinds: tuple[tuple[str, int], ...], most: int,
+             hashes: Callable[[list[np.ndarray]], np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Columns of all blobs in sets of about ``most`` entries; entries of one hash are in one set. Each set unpacks the blobs anew."""
+    size = sum(np.dtype(k).itemsize * w for k, w in kinds)
+    sets = -(-sum(zstandard.frame_content_size(b) for b in blobs) // (size * most))
+    for t in range(sets):
+        held = []
+        for b in blobs:
+            columns = _unpacked(b, *kinds)
+            if sets > 1:
+                own = np.flatnonzero(hashes(columns) % _U(sets) == t)
+                columns = [c[own] for c in columns]
+            held.append(tuple(columns))
+            del columns
+        if (columns := _gathered(held))[0].size:
+            yield columns
+
+
+def _dealt(bucket: np.ndarray, n: int, *columns: np.ndarray, rows: np.ndarray | None = None) -> Iterator[tuple[int, bytes]]:
+    """The columns, or these ``rows`` of them, by bucket, in their present order within each."""
     bucket = bucket.astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     bounds = np.searchsorted(bucket[order], np.arange(n + 1))
+    order = order if rows is None else rows[order]
     for b in np.flatnonzero(np.diff(bounds)).tolist():
         part = order[bounds[b]: bounds[b + 1]]
         yield b, _packed(*(c[part] for c in columns))
@@ -144,13 +186,18 @@ def _blobs(items: Iterable[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
     for item in items:
         held.append(item)
         size += len(item[1])
-        if size > 1 << 23:
+        if size > 1 << 21:
             yield pa.record_batch([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.binary())], ["bucket", "data"])
             held, size = [], 0
     if held:
         yield pa.record_batch([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.binary())], ["bucket", "data"])
 
 
+def _anyhow(turn: int) -> int:
+    """A bucket below 0 for the task's result of this number: other tasks and turns have others, or all tasks' would meet in one."""
+    return -1 - TaskContext.get().partitionId() - (turn << 32)
+
+
 def _by_bucket(df: DataFrame, n: int, reduce: Callable[[list[bytes]], Iterator[pa.RecordBatch]],
                local: Callable[[bytes], pa.RecordBatch], schema: str,
                single: Callable[[list[bytes]], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
@@ -160,7 +207,8 @@ def _by_bucket(df: DataFrame, n: int, reduce: Callable[[list[bytes]], Iterator[p
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         for batch in batches:
-            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            # Blobs are views of their batch.
+            for bucket, data in zip(batch.column(0).to_pylist(), (v.as_buffer() for v in batch.column(1)), strict=True):
                 if bucket < 0:
                     yield local(data)
                     continue
@@ -184,13 +232,13 @@ def _shared_kmers(texts: DataFrame, length: int, k: int, n: int, hot: int) -> Da
     of more than ``hot`` anchors."""
 
     def portions(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
-        hashes, docs, size, turn = [], [], 0, 0
+        held, size, turn = [], 0, 0
 
         def out() -> Iterator[tuple[int, bytes]]:
             nonlocal turn
-            h, d = np.concatenate(hashes), np.concatenate(docs)
-            order = np.lexsort((d, h))
-            h, d = h[order], d[order]
+            columns = _gathered(held)
+            h, d = _in_order(columns, np.lexsort(columns[::-1]))
+            del columns
             times = np.diff(np.append(np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])), len(h)))
             new = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
             h, d = h[new], d[new]
@@ -199,19 +247,18 @@ def _shared_kmers(texts: DataFrame, length: int, k: int, n: int, hot: int) -> Da
             if shared.any():
                 by = np.lexsort((h[shared], d[shared]))
                 turn += 1
-                yield -turn, _packed(h[shared][by], d[shared][by])
+                yield _anyhow(turn), _packed(h[shared][by], d[shared][by])
             h, d = h[first], d[first]
             yield from _dealt((h >> _U(32)) * _U(n) >> _U(32), n, h, d, times)
 
         for data, ends, rows, _, batch in _chunks(batches, length - 1):
             at, _, _, kmer = anchors(data, ends, length, k)
             ids = batch.column(0).to_numpy(zero_copy_only=False)[rows]
-            hashes.append(_mix(kmer * _U(_M)))
-            docs.append(ids[np.searchsorted(ends, at, side="right")])
+            held.append((_mix(kmer * _U(_M)), ids[np.searchsorted(ends, at, side="right")]))
             size += len(at)
             if size >= PORTION:
                 yield from out()
-                hashes, docs, size = [], [], 0
+                size = 0
         if size:
             yield from out()
 
@@ -222,9 +269,11 @@ def _shared_kmers(texts: DataFrame, length: int, k: int, n: int, hot: int) -> Da
         return _batch(schema, d, h.view(np.int64))
 
     def reduce(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        h, d, times = (np.concatenate(c) for c in zip(*(_unpacked(b, *kinds, ("i8", 1)) for b in blobs), strict=True))
-        order = np.lexsort((d, h))
-        h, d, times = h[order], d[order], times[order]
+        for columns in _in_sets(blobs, (*kinds, ("i8", 1)), 2 * HELD, lambda c: c[0]):
+            yield from met(columns)
+
+    def met(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        h, d, times = _in_order(columns, np.lexsort((columns[1], columns[0])))
         begins = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         many = h[begins[np.add.reduceat(times, begins) > hot]]
         if len(many):
@@ -293,7 +342,7 @@ def _later_windows(spans: np.ndarray, sizes: np.ndarray, kmer: np.ndarray, docs:
         entry = np.repeat(part, n)
         place = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n)
         # A k-mer with very many spans: its windows are sorted in several sets told apart by a byte sum, equal ones in one.
-        times = -(-len(entry) // (4 * SORTED))
+        times = -(-len(entry) // (2 * SORTED))
         sums = np.zeros(len(entry), np.int64)
         if times > 1:
             sums = spans[entry, place].astype(np.int64) * 31 + spans[entry, place + length - 1] * 7 + spans[entry, place + length // 2]
@@ -310,8 +359,8 @@ def _later_windows(spans: np.ndarray, sizes: np.ndarray, kmer: np.ndarray, docs:
             begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             least = np.repeat(docs[e[begins]], np.diff(np.append(begins, len(keys))))
             later = docs[e] > least
-            entries.append(e[later])
-            places.append(p[later])
+            entries.append(e[later].astype(np.int32))
+            places.append(p[later].astype(np.uint8))
     return (np.concatenate(entries), np.concatenate(places)) if entries else (np.zeros(0, np.int64),) * 2
 
 
@@ -328,10 +377,10 @@ def _removed_ranges(texts: DataFrame, length: int, k: int, n: int) -> DataFrame:
 
         def out() -> Iterator[tuple[int, bytes]]:
             nonlocal turn
-            span, lens, at, doc, tag, pos, kmer, hot = (np.concatenate(c) for c in zip(*held, strict=True))
-            order = np.lexsort((pos, tag, doc, _span_hash(span, lens)))
-            span, lens, at, doc, tag, pos, kmer, hot = (c[order] for c in (span, lens, at, doc, tag, pos, kmer, hot))
-            same = np.concatenate([[False], (span[1:] == span[:-1]).all(axis=1) & (lens[1:] == lens[:-1]) & (at[1:] == at[:-1])])
+            columns = _gathered(held)
+            span, lens, at, doc, tag, pos, kmer, hot = _in_order(columns, np.lexsort((*columns[5:2:-1], _span_hash(*columns[:2]))))
+            del columns
+            same = _equal_to_former(span, lens, at)
             begins = np.flatnonzero(~same)
             counts = np.diff(np.append(begins, len(doc)))
             rep, last = np.repeat(pos[begins], counts), pos + lens - length
@@ -342,18 +391,18 @@ def _removed_ranges(texts: DataFrame, length: int, k: int, n: int) -> DataFrame:
             ranges = [np.concatenate(c) for c in zip(ranges, [doc[twin], tag[twin], rep[twin], pos[twin], last[twin]], strict=True)]
             if len(ranges[0]):
                 turn += 1
-                yield -turn, _packed(*_runs(*ranges))
+                yield _anyhow(turn), _packed(*_runs(*ranges))
             single = np.flatnonzero(~later_spans & ~twin & hot)
             for part in _in_portions(single[np.argsort(kmer[single], kind="stable")], lens.astype(np.int64) - length + 1):
                 strings, own, later = _first_windows(*_windows(span, lens, part, length), doc, tag, pos)
                 if later.any():
                     turn += 1
-                    yield -turn, _packed(*_runs(own[0][later], own[1][later], np.full(later.sum(), -1), own[2][later], own[2][later]))
+                    yield _anyhow(turn), _packed(*_runs(own[0][later], own[1][later], np.full(later.sum(), -1), own[2][later], own[2][later]))
                 strings, *own = (c[~later] for c in (strings, *own))
                 yield from _dealt(_U(n) + ((_window_hash(strings) >> _U(32)) * _U(n) >> _U(32)), 2 * n, strings, *own)
             go = np.flatnonzero(~later_spans & ~twin & ~hot)
             go = go[np.lexsort((pos[go], tag[go], doc[go]))]
-            yield from _dealt((kmer[go] >> _U(32)) * _U(n) >> _U(32), n, *(c[go] for c in (span, lens, at, doc, tag, pos)))
+            yield from _dealt((kmer[go] >> _U(32)) * _U(n) >> _U(32), n, span, lens, at, doc, tag, pos, rows=go)
 
         for data, ends, rows, offs, batch in _chunks(batches, length - 1):
             at, first, last, kmer = anchors(data, ends, length, k)
@@ -372,8 +421,8 @@ def _removed_ranges(texts: DataFrame, length: int, k: int, n: int) -> DataFrame:
             if not len(hit):
                 continue
             begin, lens = first[hit], last[hit] - first[hit] + length
-            index = begin[:, None] + np.arange(widest)
-            span = np.where(np.arange(widest) < lens[:, None], data[np.minimum(index, len(data) - 1)], np.uint8(0))
+            strings = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(widest, np.uint8)), widest)
+            span = np.where(np.arange(widest) < lens[:, None], strings[begin], np.uint8(0))
             hot = listed(batch.column(3), asked[hit])
             piece, row = piece[hit], rows[piece[hit]]
             pos = begin - (ends[piece] - np.diff(np.append(0, ends))[piece]) + offs[piece]
@@ -382,15 +431,17 @@ def _removed_ranges(texts: DataFrame, length: int, k: int, n: int) -> DataFrame:
             size += len(hit)
             if size >= PORTION // 4:
                 yield from out()
-                held, size = [], 0
+                size = 0
         if size:
             yield from out()
 
     def reduce(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        span, lens, at, doc, tag, pos = (np.concatenate(c) for c in zip(*(_unpacked(b, *kinds) for b in blobs), strict=True))
-        order = np.lexsort((pos, tag, doc, _span_hash(span, lens)))
-        span, lens, at, doc, tag, pos = (c[order] for c in (span, lens, at, doc, tag, pos))
-        new = np.concatenate([[True], (span[1:] != span[:-1]).any(axis=1) | (lens[1:] != lens[:-1]) | (at[1:] != at[:-1])])
+        for columns in _in_sets(blobs, kinds, HELD, lambda c: _mix(_rolling_at(c[0], c[2], k) * _U(_M))):
+            yield from met(columns)
+
+    def met(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        span, lens, at, doc, tag, pos = _in_order(columns, np.lexsort((*columns[5:2:-1], _span_hash(*columns[:2]))))
+        new = ~_equal_to_former(span, lens, at)
         begins = np.flatnonzero(new)
         which = np.cumsum(new) - 1
         later = doc > doc[begins][which]
@@ -402,7 +453,7 @@ def _removed_ranges(texts: DataFrame, length: int, k: int, n: int) -> DataFrame:
         several = np.sort(order[~(alone[:-1] & alone[1:])])
         if len(several):
             d = begins[several]
-            e, w = _later_windows(span[d], lens[d], kmer[several], doc[d], length)
+            e, w, to = _in_a_row(*_later_windows(span[d], lens[d], kmer[several], doc[d], length))
             # The same windows for each text of the span's first document.
             firsts = np.flatnonzero(~later)
             per = np.bincount(which[firsts], minlength=len(begins))
@@ -410,8 +461,7 @@ def _removed_ranges(texts: DataFrame, length: int, k: int, n: int) -> DataFrame:
             group = several[e]
             times = per[group]
             pick = firsts[np.repeat(at_first[group], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-            start = pos[pick] + np.repeat(w, times)
-            ranges.append([doc[pick], tag[pick], np.full(len(pick), -1), start, start])
+            ranges.append([doc[pick], tag[pick], np.full(len(pick), -1), pos[pick] + np.repeat(w, times), pos[pick] + np.repeat(to, times)])
         ranges = [np.concatenate(c) for c in zip(*ranges, strict=True)]
         if len(ranges[0]):
             yield _batch(_RANGES, *_runs(*ranges))
@@ -420,15 +470,32 @@ def _removed_ranges(texts: DataFrame, length: int, k: int, n: int) -> DataFrame:
         return _batch(_RANGES, *_unpacked(blob, *[("i8", 1)] * len(_RANGES)))
 
     def single(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        strings, doc, tag, pos = (np.concatenate(c) for c in zip(*(_unpacked(b, *window) for b in blobs), strict=True))
-        _, (doc, tag, pos), later = _first_windows(strings, np.arange(len(doc)), np.zeros(len(doc), np.int64), doc, tag, pos)
-        if later.any():
-            yield _batch(_RANGES, *_runs(doc[later], tag[later], np.full(later.sum(), -1), pos[later], pos[later]))
+        for strings, doc, tag, pos in _in_sets(blobs, window, SORTED, lambda c: _window_hash(c[0])):
+            _, (doc, tag, pos), later = _first_windows(strings, np.arange(len(doc)), np.zeros(len(doc), np.int64), doc, tag, pos)
+            if later.any():
+                yield _batch(_RANGES, *_runs(doc[later], tag[later], np.full(later.sum(), -1), pos[later], pos[later]))
 
     sent = texts.select("doc", "tag", "kmers", "hot", "data").mapInArrow(lambda b: _blobs(portions(b)), "bucket bigint, data binary")
     return _by_bucket(sent, n, reduce, local, _RANGES_SQL, single)
 
 
+def _in_a_row(entry: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entry, first and last place of windows that follow each other in an entry."""
+    order = np.lexsort((place, entry))
+    entry, place = entry[order], place[order].astype(np.int64)
+    begins = np.flatnonzero(np.append(True, (entry[1:] != entry[:-1]) | (place[1:] != place[:-1] + 1))[: len(entry)])
+    return entry[begins], place[begins], place[np.append(begins[1:], len(entry))[: len(begins)] - 1]
+
+
+def _equal_to_former(span: np.ndarray, lens: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether an entry has the span and the anchor of the one before it."""
+    same = np.concatenate([[False], (lens[1:] == lens[:-1]) & (at[1:] == at[:-1])])
+    for a in range(1, len(span), 1 << 14):
+        part = span[a - 1: a + (1 << 14)]
+        same[a: a + (1 << 14)] &= (part[1:] == part[:-1]).all(axis=1)
+    return same
+
+
 def _in_portions(entries: np.ndarray, windows: np.ndarray) -> Iterator[np.ndarray]:
     """Entries in order, at most SORTED windows at a time, or one entry."""
     ends = np.cumsum(windows[entries])
@@ -471,10 +538,10 @@ def _first_windows(strings: np.ndarray, entry: np.ndarray, place: np.ndarray, do
 def _span_hash(span: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """To bring equal spans together; whether they are equal is told by their bytes."""
     out = lens.astype(_U)
-    words = np.zeros((len(span), -(-span.shape[1] // 8) * 8), np.uint8)
-    words[:, : span.shape[1]] = span
-    for word in words.view(_U).T:
-        out = _mix(out * _U(_M) + word)
+    for i in range(0, span.shape[1], 8):
+        word = np.zeros((len(span), 8), np.uint8)
+        word[:, : span.shape[1] - i] = span[:, i: i + 8]
+        out = _mix(out * _U(_M) + word.view(_U)[:, 0])
     return out
 
 
@@ -544,7 +611,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in arrow.portions(batches):
             doc, tags, ranges, texts = batch.columns
             columns = [c.to_numpy(zero_copy_only=False) for c in ranges.values.flatten()]
             bounds, known = ranges.offsets.to_pylist(), ranges.is_valid().to_pylist()

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -203,6 +204,53 @@ def test_windows_of_one_kmer_in_several_sets():
     assert results[0] == results[1] and results[0]
 
 
+def test_a_bucket_is_worked_off_in_bounded_memory(table, monkeypatch):
+    """Four times the entries in one bucket need no more memory than the blobs themselves."""
+    monkeypatch.setattr(repeats, "HELD", 1 << 13, raising=False)
+    steps = []
+    monkeypatch.setattr(repeats, "_by_bucket", lambda df, n, reduce, *rest: steps.append(reduce) or df)
+    docs = table([(1, "x")])
+    repeats._shared_kmers(docs.selectExpr("doc_id doc", "cast(text as binary) data"), 50, 20, 1, 1 << 14)
+    repeats._removed_ranges(docs.selectExpr("doc_id doc", "1L tag", "array(1L) kmers", "array(1L) hot", "cast(text as binary) data"), 50, 20, 1)
+    rng = np.random.default_rng(3)
+
+    def blobs(step, n):
+        """n strings, each in two documents."""
+        span, hashes = rng.integers(0, 256, (n, 80), np.uint8), rng.integers(0, 1 << 63, n, np.uint64)
+        for part in np.array_split(np.arange(2 * n), 16):
+            own, doc = part % n, part // n + 1
+            if step:
+                yield repeats._packed(span[own], np.full(len(own), 80, np.uint8), np.full(len(own), 30, np.uint8), doc, doc, own)
+            else:
+                yield repeats._packed(hashes[own], doc, np.ones(len(own), np.int64))
+
+    for step, reduce in enumerate(steps):
+        peaks = []
+        for n in (1 << 15, 1 << 17):
+            held, told = list(blobs(step, n)), 0
+            tracemalloc.start()
+            for batch in reduce(held):
+                told += batch.num_rows if not step else sum(batch["last"].to_numpy() - batch["first"].to_numpy() + 1)
+            peaks.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+            assert told == (31 * n if step else 2 * n)
+        assert peaks[1] < 1.5 * peaks[0] + sum(map(len, held)) / 8, (step, peaks)
+
+
+def test_results_of_portions_are_dealt_over_all_tasks(table, monkeypatch):
+    rng, dealt, by_bucket = random.Random(13), [], repeats._by_bucket
+
+    def spy(df, *rest):
+        dealt.append([r.bucket for r in df.where("bucket < 0").select("bucket").collect()])
+        return by_bucket(df, *rest)
+
+    monkeypatch.setattr(repeats, "_by_bucket", spy)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    rows = [(i, text) for i in range(60)]
+    assert rows_of(repeats.remove_repeats(table(rows))) == brute_repeats([(i, t.encode()) for i, t in rows], 50)
+    assert len(dealt[0]) > 1 and all(len(set(b)) == len(b) for b in dealt)
+
+
 def test_repeats_of_awkward_rows(table, awkward):
     rows = [r for r in awkward if r[0] not in (4, None)]
     again = [*rows, (12, dict(rows)[9]), (13, dict(rows)[8])]
