@@ -59,7 +59,8 @@ def rule_version(rules: Iterable[Rule] = RULES) -> str:
 
 
 _BEGIN, _END = (re.compile(rf"(?=(-----{word} [A-Z ]*PRIVATE KEY-----))") for word in ("BEGIN", "END"))
-_TOKENS, _JWT = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)+"), re.compile(r"\beyJ", re.ASCII)
+#: Runs are taken whole: with a dot asked for, one without any would be read again from each of its characters.
+_TOKENS, _JWT = re.compile(r"[A-Za-z0-9_.-]+"), re.compile(r"\beyJ", re.ASCII)
 
 
 def pem_spans(text: str) -> Iterator[tuple[int, int]]:
@@ -77,7 +78,7 @@ def pem_spans(text: str) -> Iterator[tuple[int, int]]:
 
 
 def jwt_spans(text: str) -> Iterator[tuple[int, int]]:
-    """Three parts of a dotted run: the first from ``eyJ`` on with 8 characters behind it, the others 8 long."""
+    """Three parts of a dotted run: the first from ``eyJ`` on with 8 characters behind it, the others 8 long. Parts between dots may be empty."""
     for m in _TOKENS.finditer(text):
         parts, at = m[0].split("."), m.start()
         places = []

@@ -63,6 +63,16 @@ def test_five_megabytes_are_scanned_and_masked_in_seconds(spark, table, piece):
         assert got[0].text == "[SECRET] " * len(found) and got[1].text == "clean" and time.perf_counter() - at < 40
 
 
+@pytest.mark.parametrize("piece", ["-eyJ", "eyJabcdefgh", "-eyJ.", "eyJabcdefgh.short.", "eyJabcdefgh..", ".-eyJabcdefgh"])
+def test_runs_with_few_dots_are_read_once(piece):
+    jwt = next(re.compile(r.pattern, re.ASCII) for r in secret_ledger.RULES if r.kind == "jwt")
+    few, many = piece * 40, piece * (400_000 // len(piece))
+    assert list(secret_ledger.jwt_spans(few)) == [m.span() for m in jwt.finditer(few)]
+    at = time.perf_counter()
+    found = list(secret_ledger.jwt_spans(many))
+    assert time.perf_counter() - at < 3 and bool(found) == bool(jwt.search(few))
+
+
 def test_a_ledger_spares_scanned_blobs_and_gives_the_same_findings(table):
     rows = [(i, f"text {i % 7} token = 'abcdefgh{i % 5}xyz'") for i in range(40)] + [(50, None), (51, "")]
     whole, _ = secret_ledger.scan_versions(table(rows))
