@@ -44,6 +44,7 @@ HELD = 1 << 17
 HOT, SENT = 1 << 14, 1 << 22
 _M = 0x9E3779B97F4A7C15
 _U = np.uint64
+_HALF = _U(0xFFFFFFFF)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -220,7 +221,8 @@ def _by_bucket(df: DataFrame, n: int, reduce: Callable[[list[bytes]], Iterator[p
         if held:
             yield from (reduce if at < n else single)(held)
 
-    return df.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    # A partition has one bucket of each kind; dealt by their hash, some would have several and others none.
+    return df.repartitionById(n, F.pmod("bucket", F.lit(n)).cast("int")).sortWithinPartitions("bucket").mapInArrow(run, schema)
 
 
 def _batch(schema: dict[str, pa.DataType], *columns: np.ndarray) -> pa.RecordBatch:
@@ -229,7 +231,8 @@ def _batch(schema: dict[str, pa.DataType], *columns: np.ndarray) -> pa.RecordBat
 
 def _shared_kmers(texts: DataFrame, length: int, k: int, n: int, hot: int) -> DataFrame:
     """``doc, kmer``: anchors' k-mers of each document that at least one other document has as well; and, without a document, those
-    of more than ``hot`` anchors."""
+    of more than ``hot`` anchors. A k-mer is told by half of its hash: another one that shares it is asked about, or dealt singly,
+    without need, in each document alike."""
 
     def portions(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
         held, size, turn = [], 0, 0
@@ -263,10 +266,10 @@ def _shared_kmers(texts: DataFrame, length: int, k: int, n: int, hot: int) -> Da
             yield from out()
 
     kinds = (("u8", 1), ("i8", 1))
-    schema = {"doc": pa.int64(), "kmer": pa.int64()}
+    schema = {"doc": pa.int64(), "kmer": pa.int32()}
 
-    def told(h: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
-        return _batch(schema, d, h.view(np.int64))
+    def told(h: np.ndarray, d: np.ndarray | pa.Array) -> pa.RecordBatch:
+        return _batch(schema, d, (h & _HALF).astype(np.uint32).view(np.int32))
 
     def reduce(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         for columns in _in_sets(blobs, (*kinds, ("i8", 1)), 2 * HELD, lambda c: c[0]):
@@ -277,7 +280,7 @@ def _shared_kmers(texts: DataFrame, length: int, k: int, n: int, hot: int) -> Da
         begins = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         many = h[begins[np.add.reduceat(times, begins) > hot]]
         if len(many):
-            yield _batch(schema, pa.nulls(len(many), pa.int64()), many.view(np.int64))
+            yield told(many, pa.nulls(len(many), pa.int64()))
         sizes = np.diff(np.append(begins, len(h)))
         other = np.repeat(d[begins] != d[begins + sizes - 1], sizes)
         h, d = h[other], d[other]
@@ -288,7 +291,7 @@ def _shared_kmers(texts: DataFrame, length: int, k: int, n: int, hot: int) -> Da
         return told(*_unpacked(blob, *kinds))
 
     sent = texts.select("doc", "data").mapInArrow(lambda b: _blobs(portions(b)), "bucket bigint, data binary")
-    return _by_bucket(sent, n, reduce, local, "doc bigint, kmer bigint")
+    return _by_bucket(sent, n, reduce, local, "doc bigint, kmer int")
 
 
 #: How a range of windows is removed: by itself, like the windows from ``rep`` on, or all of them like the one at ``rep``.
@@ -412,11 +415,11 @@ def _removed_ranges(texts: DataFrame, length: int, k: int, n: int) -> DataFrame:
             mine = np.unique(rows)
 
             def listed(lists: pa.ListArray, asked: np.ndarray, mine: np.ndarray = mine) -> np.ndarray:
-                values, bounds = lists.values.to_numpy(zero_copy_only=False).view(_U), lists.offsets.to_numpy()
-                known = np.sort(np.concatenate([values[bounds[r]: bounds[r + 1]] + _U(r * _M % (1 << 64)) for r in mine.tolist()]))
+                values, bounds = lists.values.to_numpy(zero_copy_only=False).view(np.uint32), lists.offsets.to_numpy()
+                known = np.sort(np.concatenate([values[bounds[r]: bounds[r + 1]] + _U(r << 32) for r in mine.tolist()]))
                 return known[np.minimum(np.searchsorted(known, asked), len(known) - 1)] == asked if len(known) else np.zeros(len(asked), bool)
 
-            asked = kmer + rows[piece].astype(_U) * _U(_M)
+            asked = (kmer & _HALF) + (rows[piece].astype(_U) << _U(32))
             hit = np.flatnonzero(listed(batch.column(2), asked))
             if not len(hit):
                 continue

@@ -9,8 +9,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from sieveline.llm import components, pack, repeats, simhash
 
@@ -251,6 +253,21 @@ def test_results_of_portions_are_dealt_over_all_tasks(table, monkeypatch):
     assert len(dealt[0]) > 1 and all(len(set(b)) == len(b) for b in dealt)
 
 
+def test_each_partition_has_one_bucket(spark, table):
+    held = lambda blobs: iter([pa.record_batch([pa.array([len(blobs)], pa.int64())], ["blobs"])])
+    sent = spark.range(240).selectExpr("id % 24 bucket", "cast('x' as binary) data")
+    found = repeats._by_bucket(sent, 12, held, None, "blobs bigint", held).withColumn("at", F.spark_partition_id())
+    assert sorted((r.at, r.blobs) for r in found.collect()) == [(i, 10) for i in range(12) for _ in range(2)]
+
+
+@pytest.mark.parametrize("hot", [5, 1 << 14])
+def test_kmers_that_are_told_alike(table, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "_HALF", np.uint64(7))
+    rows = repeat_texts()
+    assert rows_of(repeats.remove_repeats(table(rows))) == brute_repeats([(i, t.encode()) for i, t in rows], 50)
+
+
 def test_repeats_of_awkward_rows(table, awkward):
     rows = [r for r in awkward if r[0] not in (4, None)]
     again = [*rows, (12, dict(rows)[9]), (13, dict(rows)[8])]
